@@ -40,10 +40,10 @@ def _named(rows: DataFrame, bucket_of: Callable[[Column], Column], label: str) -
     if "number" not in contested.columns:
         return rows.withColumn("names", F.transform("items", lambda x: F.struct(bucket_of(x).alias("bucket"), F.lit(0).alias("number")))).drop("items")
     others = [c for c in rows.columns if c != "items"]
-    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", *others, F.posexplode("items").alias("at", "item"))
+    each = rows.withColumn("whole", F.monotonically_increasing_id()).select("whole", *others, F.posexplode("items").alias("at", "item"))
     each = each.withColumn("bucket", bucket_of(F.col("item"))).join(contested, ["bucket", "item"], "left")
     name = F.struct("at", "bucket", F.coalesce("number", F.lit(0)).alias("number"))
-    back = each.groupBy("row").agg(F.sort_array(F.collect_list(name)).alias("names"), *(F.first(c).alias(c) for c in others))
+    back = each.groupBy("whole").agg(F.sort_array(F.collect_list(name)).alias("names"), *(F.first(c).alias(c) for c in others))
     return back.select(*others, F.transform("names", lambda x: F.struct(x["bucket"].alias("bucket"), x["number"].alias("number"))).alias("names"))
 
 
@@ -84,3 +84,10 @@ def groups(docs: DataFrame, **how) -> DataFrame:
         (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
         "text_sha256",
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """`docs` without the rows that groups() drops. Where rows repeat a doc_id and its text, one of them stays."""
+    dropped = written(groups(docs).filter("NOT kept").select("doc_id", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeated")), "dropped")
+    out = docs.join(dropped.filter("NOT repeated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return out if dropped.filter("repeated").isEmpty() else out.dropDuplicates(["doc_id", "text"])

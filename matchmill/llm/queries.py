@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocknames, pii, quality
+from . import blocknames, htmltext, hyperminhash, langid, mixing, packing, pii, quality, substring, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, d: pii.digest(_documents(spark, d)),
+    "op2_substring_dedup": lambda spark, d: substring.digest(_documents(spark, d)),
+    "op3_near_dedup": lambda spark, d: hyperminhash.near_duplicates(_documents(spark, d)),
+    "op4_language_id": lambda spark, d: langid.digest(_documents(spark, d)),
+    "op5_mixing": lambda spark, d: mixing.taken(_documents(spark, d)),
+    "op6_token_counts": lambda spark, d: tokencount.token_counts(_documents(spark, d)),
+    "op7_html_extraction": lambda spark, d: htmltext.extract(spark.read.parquet(f"{d}/pages.parquet")),
     "op8_quality": lambda spark, d: quality.digest(_documents(spark, d)),
     "op9_exact_dedup": lambda spark, d: blocknames.groups(_documents(spark, d)),
+    "op10_packing": lambda spark, d: packing.pack(_documents(spark, d)),
 }
 
 ORACLE: dict[str, str] = {}
@@ -63,3 +70,28 @@ FROM docs d LEFT JOIN per USING (doc_id)
 
 
 ORACLE["op1_pii"] = _pii_sql()
+
+ORACLE["op2_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM hit),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM (SELECT words.* FROM words ANTI JOIN gone USING (doc_id, j)) GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op3_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM w WHERE len(w) > 0),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs WHERE 100 * c >= 80 * (n + m - c)),
+both AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.v FROM reach JOIN both ON reach.b = both.u)
+SELECT a AS doc_id, coalesce(any_value(len(s.s)), 0) AS n_shingles, min(b) AS component_id, min(b) = a AS kept
+FROM reach LEFT JOIN s ON s.doc_id = a GROUP BY a
+"""
