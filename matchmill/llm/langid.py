@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 250, 4096, 500
 HIDDEN, SEGMENT, STEPS, BATCH, RATE = 16, 20, 800, 256, 8e-3
 REMEMBERED = 500_000
-BYTES = np.arange(256, dtype=np.uint8)
 UNKNOWN = "und"
 
 
@@ -130,7 +129,7 @@ def gradients(p: dict, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[flo
     dstates = {"f": dboth[..., :HIDDEN], "b": np.take_along_axis(dboth[..., HIDDEN:], back[:, :, None], 1)}
     for d, (xs, _, tape) in runs.items():
         gx, gh, gc = np.zeros_like(p[f"{d}x"]), np.zeros_like(p[f"{d}h"]), np.zeros_like(p[f"{d}c"])
-        dh = np.zeros((len(x), HIDDEN), np.float32)
+        dh, seen = np.zeros((len(x), HIDDEN), np.float32), []
         for t in range(x.shape[1] - 1, -1, -1):
             h, z, r, u, hat, m = tape[t]
             dh = dh + dstates[d][:, t]
@@ -140,10 +139,14 @@ def gradients(p: dict, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[flo
             dr = dhat * u * r * (1 - r)
             da = np.concatenate((dz, dr, dhat), 1)
             db = np.concatenate((dz, dr, dhat * r), 1)
-            gx += (xs[:, t, None] == BYTES).astype(da.dtype).T @ da
+            seen.append(da)
             gc += da.sum(0)
             gh += h.T @ db
             dh = np.where(m, on * z, dh) + db @ p[f"{d}h"].T
+        read = xs.T[::-1].reshape(-1)
+        order = np.argsort(read, kind="stable")
+        found, first = np.unique(read[order], return_index=True)
+        gx[found] = np.add.reduceat(np.concatenate(seen)[order], first)
         g |= {f"{d}x": gx, f"{d}h": gh, f"{d}c": gc}
     return float(loss), g
 

@@ -90,8 +90,8 @@ s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2,
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT u, v FROM pairs WHERE 100 * c >= 80 * (n + m - c)),
-both AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.v FROM reach JOIN both ON reach.b = both.u)
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.v FROM reach JOIN edges ON reach.b = edges.u)
 SELECT a AS doc_id, coalesce(any_value(len(s.s)), 0) AS n_shingles, min(b) AS component_id, min(b) = a AS kept
 FROM reach LEFT JOIN s ON s.doc_id = a GROUP BY a
 """
