@@ -5,8 +5,8 @@
 2. Documents with equal sets are one class from here on, so copies cost one row.
 3. Four 16-bit registers make a band of 64 bits. In each band bucket every class is paired with the smallest one there,
    estimated (matches less the expected register collisions), and confirmed on the full sets.
-4. Confirmed pairs give components. Buckets that still hold several components pair the members outside their largest
-   component with everything there; those pairs are estimated and confirmed too, and the components are final.
+4. Confirmed pairs give components. Members of buckets that still hold several components are paired across components
+   by an exact prefix filter on their full sets; those pairs are estimated and confirmed too, and the components are final.
 
 No pairs inside one component are made in step 4, so a large family of copies costs a multiple of its size. At a
 similarity of 0.8 a pair shares none of the 32 bands with a probability of about 5e-8.
@@ -156,6 +156,32 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perc
     return written(likely.join(of("b"), "b").join(of("a"), "a").filter(common * 100 >= (F.size("seta") + F.size("setb") - common) * percent).select("a", "b"), f"{label}-links")
 
 
+def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `mixed` (id, component) in different components that may be linked; no linked pair is missing.
+
+    Shingles are ordered from rare to frequent. Linked documents of sizes n and m have percent / (100 + percent) * (n + m)
+    of them in common, so the first that they share stands early in both: what comes after it has to be enough. Each
+    document is looked up by the shingles that stand early enough, and a shingle's largest component isn't paired with itself."""
+    ids = mixed.select("id", "component").distinct()
+    chosen = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(chosen.mapInArrow(lambda it: _full_sets(it, k), "doc_id long, shingles array<long>"), "mixed-sets")
+    each = sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    common = each.join(held, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    early = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
+    keys = common.withColumn("before", F.col("n") - F.size("common")).select("id", "n", "before", F.posexplode(F.slice("common", 1, F.greatest(early, F.lit(0)).cast("int"))).alias("at", "c"))
+    keys = keys.select("id", (F.col("n") - F.col("before") - F.col("at")).alias("left"), "n", F.col("c.shingle").alias("shingle")).join(ids, "id")
+    keys = written(keys, "early-shingles")
+    sizes = keys.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    keys = keys.join(main.select("shingle", F.col("top.component").alias("main")), "shingle")
+    side = lambda v: [F.col("id").alias(v), F.col("component").alias(f"c{v}"), F.col("n").alias(f"n{v}"), F.col("left").alias(f"l{v}")]
+    rest = keys.filter("component <> main").select("shingle", *side("x"))
+    pairs = rest.join(keys.select("shingle", *side("y"), (F.col("component") == F.col("main")).alias("of_main")), "shingle")
+    pairs = pairs.filter(f"cx <> cy AND (of_main OR x < y) AND {100 + percent} * least(lx, ly) >= {percent} * (nx + ny) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of `docs`, linked at 100 * intersection >= percent * union.
 
@@ -175,9 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     sizes = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several")).filter("several > 1")
     mixed = written(labelled.join(main.select("band", "key", F.col("top.component").alias("main")), ["band", "key"]), "mixed")
-    rest = mixed.filter("component <> main").select("band", "key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = rest.join(mixed.select("band", "key", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("of_main")), ["band", "key"])
-    across = across.filter("cx <> cy AND (of_main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    across = _across(mixed, texts, k, percent)
     more = _confirmed(across.join(crowded.filter("a <> b").select("a", "b").distinct(), ["a", "b"], "left_anti"), reps, texts, k, percent, "cross")
     if not more.isEmpty():
         found = components(links.union(more))
