@@ -49,14 +49,15 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
 
 
 def segments(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of words in rows of SEGMENT, long words over several rows: bytes, their number, the word of each row."""
+    """Bytes of words in rows of at most SEGMENT, long words over several rows: bytes, their number, the word of each row."""
     parts, owner = [], []
     for i, w in enumerate(words):
         for j in range(0, len(w), SEGMENT):
             parts.append(w[j : j + SEGMENT])
             owner.append(i)
     n = np.array([len(p) for p in parts], np.int64)
-    x = np.frombuffer(b"".join(p.ljust(SEGMENT, b"\0") for p in parts), np.uint8).reshape(-1, SEGMENT)
+    width = max(map(len, parts), default=1)
+    x = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width)
     return x, n, np.array(owner, np.int64)
 
 
@@ -183,6 +184,7 @@ class Reader:
     def learn(self, words: list[bytes]) -> None:
         while len(self.sums) < len(self.number) + len(words):
             self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
+        words = sorted(words, key=lambda w: (len(w), w))  # words of one length go through few idle steps
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
             x, n, owner = segments(some)
@@ -200,7 +202,7 @@ class Reader:
                 self.clear()
                 new = {w for ws in split for w in ws}
             if new:
-                self.learn(sorted(new))
+                self.learn(list(new))
             for j, ws in enumerate(split):
                 if ws:
                     total = self.sums[np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
