@@ -36,6 +36,9 @@ SLACK_SIGMAS = 5.0
 #: Fixed value: the constant in the expected number of register collisions of two HyperMinHash sketches.
 COLLISION_CONSTANT = 0.169919487159739093975315012348
 
+#: Size of the bitmap by which the texts of candidates are picked out, a prime below 2^23; it is broadcast, 1 MB at all sizes.
+MARKS = 8388593
+
 #: For each bucket an order in which it looks for a full bucket when it is empty.
 BORROW = np.argsort(np.random.default_rng(77).random((BUCKETS, BUCKETS)), axis=1).T
 
@@ -118,6 +121,31 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), lists], ["doc_id", "shingles"])
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the places of `ids` (doc_id), gathered in at most MARKS / 64 + 1 rows."""
+    place = F.pmod("doc_id", F.lit(MARKS))
+    rows = ids.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(doc_id, {MARKS}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    marks = np.zeros(MARKS // 64 + 1, np.uint64)
+    marks[[r["w"] for r in rows]] = np.array([r["b"] for r in rows], np.int64).view(np.uint64)
+    return marks
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, k: int, label: str) -> DataFrame:
+    """Written (doc_id, shingles) of the documents in `ids` and some others. Their texts are picked out where they are
+    read, so no text is shuffled; what the bitmap lets through too much no later join finds."""
+    marks = texts.sparkSession.sparkContext.broadcast(_marked(ids))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False) % MARKS
+            hit = (marks.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            some = batch.filter(pa.array(hit.astype(bool)))
+            if some.num_rows:
+                yield some
+
+    return written(texts.mapInArrow(lambda it: _full_sets(chosen(it), k), "doc_id long, shingles array<long>"), label).dropDuplicates(["doc_id"])
+
+
 def registers(bands: np.ndarray) -> np.ndarray:
     u = bands.view(np.uint64)
     return np.stack([(u >> np.uint64(16 * (BAND_REGISTERS - 1 - j))) & np.uint64(0xFFFF) for j in range(BAND_REGISTERS)], -1)
@@ -148,9 +176,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perc
     likely = both.select("a", "b", "na", "nb", "bandsa", "bandsb").mapInArrow(lambda it: _likely(it, percent / 100), "a long, b long")
     likely = written(likely, f"{label}-likely")
     wanted = likely.select("a").union(likely.select("b")).toDF("doc_id").distinct()
-    chosen = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = chosen.mapInArrow(lambda it: _full_sets(it, k), "doc_id long, shingles array<long>")
-    sets = written(sets, f"{label}-sets")
+    sets = _sets_of(texts, wanted, k, f"{label}-sets")
     of = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set{s}"))
     common = F.size(F.array_intersect("seta", "setb"))
     return written(likely.join(of("b"), "b").join(of("a"), "a").filter(common * 100 >= (F.size("seta") + F.size("setb") - common) * percent).select("a", "b"), f"{label}-links")
@@ -163,8 +189,8 @@ def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     of them in common, so the first that they share stands early in both: what comes after it has to be enough. Each
     document is looked up by the shingles that stand early enough, and a shingle's largest component isn't paired with itself."""
     ids = mixed.select("id", "component").distinct()
-    chosen = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(chosen.mapInArrow(lambda it: _full_sets(it, k), "doc_id long, shingles array<long>"), "mixed-sets")
+    wanted = ids.select(F.col("id").alias("doc_id"))
+    sets = _sets_of(texts, wanted, k, "mixed-sets").join(wanted, "doc_id", "left_semi")
     each = sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     common = each.join(held, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
