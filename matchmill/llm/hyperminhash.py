@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     key = ["n", "s1", "s2"]
     classes = seen.filter("doc_id IS NOT NULL AND n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
-    reps = classes.filter("n > 4").select(F.col("rep").alias("doc_id"), "n", "bands")
+    able = F.col("n") * 100 >= (F.col("n") + 1) * percent  # a smaller set is linked with no other set but its equals
+    reps = classes.filter(able).select(F.col("rep").alias("doc_id"), "n", "bands")
     members = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     first = members.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     crowded = written(members.join(first, ["band", "key"]).withColumnRenamed("doc_id", "b"), "crowded")

@@ -74,6 +74,13 @@ def test_near(docs, none):
     assert hyperminhash.near_duplicates(none).count() == 0
 
 
+def test_near_of_few_shingles(spark):
+    """Sets of four and five shingles are linked at exactly 80 of 100; smaller ones only with their equals."""
+    texts = {1: "a b c d e f g h", 2: "a b c d e f g", 3: "a b c d e f", 4: "p q r", 5: "P  q\nr", 6: "a b c d e f g", 7: "p q r s", 8: ""}
+    got = hyperminhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {1: (5, 1), 2: (4, 1), 3: (3, 3), 4: (1, 4), 5: (1, 4), 6: (4, 1), 7: (1, 7), 8: (0, 8)}
+
+
 def test_estimates():
     """Sketches of sets with known similarity."""
     h = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
