@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 250, 4096, 500
 HIDDEN, SEGMENT, STEPS, BATCH, RATE = 16, 20, 800, 256, 8e-3
-REMEMBERED = 500_000
+REMEMBERED, PASS_BYTES = 500_000, 1 << 20
 UNKNOWN = "und"
 
 
@@ -192,21 +193,30 @@ class Reader:
             np.add.at(self.sums, at + owner, np.concatenate((probabilities(self.p, x, n).sum(1), n[:, None]), 1).astype(np.float32))
             self.number.update((w, at + j) for j, w in enumerate(some))
 
-    def pool(self, texts: list[str | None]) -> np.ndarray:
-        """Mean probabilities over all bytes of each text's words."""
+    def pool(self, texts: pa.Array) -> np.ndarray:
+        """Mean probabilities over all bytes of each text's words; texts are read in passes of about PASS_BYTES."""
         out = np.zeros((len(texts), self.classes), np.float64)
-        for i in range(0, len(texts), 64):
-            split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[i : i + 64]]
-            new = {w for ws in split for w in ws} - self.number.keys()
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PASS_BYTES)))
+            split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, end - at), ""))
+            words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
+            distinct = words.dictionary.cast(pa.binary()).to_pylist()
+            new = [w for w in distinct if w and w not in self.number]
             if len(self.number) + len(new) > REMEMBERED and self.number:
                 self.clear()
-                new = {w for ws in split for w in ws}
+                new = [w for w in distinct if w]
             if new:
-                self.learn(list(new))
-            for j, ws in enumerate(split):
-                if ws:
-                    total = self.sums[np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
-                    out[i + j] = total[:-1] / total[-1]
+                self.learn(new)
+            sums = self.sums[np.fromiter((self.number[w] if w else -1 for w in distinct), np.int64, len(distinct))]
+            sums[[i for i, w in enumerate(distinct) if not w]] = 0
+            read, full = words.indices.to_numpy(), np.flatnonzero(np.diff(ends))
+            if len(full):
+                total = np.add.reduceat(sums.astype(np.float64)[read], ends[full], axis=0)
+                some = total[:, -1] > 0
+                out[at + full[some]] = total[some, :-1] / total[some, -1:]
+            at = end
         return out
 
 
@@ -219,7 +229,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], text: int, langs: list[str], p:
         _readers[key] = Reader(p, len(langs))
     reader = _readers[key]
     for batch in batches:
-        pooled = reader.pool(batch.column(text).to_pylist())
+        pooled = reader.pool(batch.column(text))
         best = pooled.argmax(1) if len(pooled) else np.zeros(0, int)
         arrays = [pa.array([langs[k] for k in best], pa.string()), pa.array(pooled.max(1) if len(pooled) else [], pa.float64())]
         yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "lang_pred", "score"])
