@@ -46,6 +46,31 @@ def odds(spark: SparkSession, sf_dir: str, m: DataFrame) -> DataFrame:
     return line.join(m.select("match_id", "league", "home_team_id", "away_team_id", outcome(F.col("home_goals"), F.col("away_goals")).alias("outcome")), "match_id")
 
 
+#: Inputs of the model as expressions over a match; zeros and nulls are among them.
+INPUTS = {
+    "home_avg_scored": "match_id % 9 / 4", "away_avg_scored": "match_id % 7 / 3", "home_avg_conceded": "match_id % 5 / 2", "away_avg_conceded": "match_id % 8 / 4", "home_split_games": "match_id % 4", "away_split_games": "match_id % 3",
+    "home_split_scored": "match_id % 11 / 5", "home_split_conceded": "match_id % 6 / 4", "away_split_scored": "match_id % 10 / 5", "away_split_conceded": "match_id % 13 / 6", "home_split_over25": "match_id % 5 / 5", "away_split_over25": "match_id % 6 / 6",
+    "home_wins": "match_id % 6", "home_draws": "match_id % 3", "home_games": "match_id % 5 * 4", "away_wins": "match_id % 7", "away_draws": "match_id % 4", "away_games": "match_id % 6 * 3", "home_rest_days": "CASE WHEN match_id % 5 > 0 THEN match_id % 12 / 2 END", "away_rest_days": "match_id % 9 / 2",
+    "home_club_elo": "match_id % 4 * 500 + home_team_id % 20", "away_club_elo": "match_id % 3 * 700 + away_team_id % 20", "home_injuries": "match_id % 5", "away_injuries": "match_id % 7", "weather_risk": "CASE match_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END", "lineups_confirmed": "match_id % 3 = 0",
+    "home_starters": "match_id % 12", "away_starters": "match_id % 13", "home_rating": "match_id % 9 / 1", "away_rating": "match_id % 8 / 1", "home_keeper_rating": "match_id % 8 / 1", "away_keeper_rating": "match_id % 7 / 1", "home_country": "region", "away_country": "CASE WHEN match_id % 2 = 0 THEN region WHEN match_id % 3 = 0 THEN league END", "league_type": "CASE WHEN match_id % 5 = 0 THEN 'cup' END",
+    "h2h_played": "match_id % 6", "h2h_home_wins": "match_id % 4", "h2h_away_wins": "match_id % 3", "match_importance": "CASE WHEN match_id % 3 = 0 THEN 27 / 25 END", "home_btts_rate": "match_id % 5 / 5", "away_btts_rate": "match_id % 4 / 4", "home_yellow_rate": "match_id % 9 / 3", "away_yellow_rate": "match_id % 8 / 3", "home_red_rate": "match_id % 4 / 8", "away_red_rate": "match_id % 5 / 8",
+    "home_avg_corners": "match_id % 9 / 1", "away_avg_corners": "match_id % 7 / 1", "home_set_piece": "match_id % 9 / 2", "away_set_piece": "match_id % 5 / 2", "home_shots_on": "match_id % 7 / 1", "away_shots_on": "match_id % 6 / 1", "home_learning_outcome_hit": "match_id % 5 / 4", "away_learning_outcome_hit": "match_id % 3 / 2", "home_learning_goal_bias": "match_id % 7 / 4 - 1", "away_learning_goal_bias": "match_id % 5 / 4 - 1",
+    "home_learning_outcome_bias": "match_id % 9 / 4 - 1", "away_learning_outcome_bias": "match_id % 8 / 4 - 1", "home_learning_reviews": "match_id % 11", "away_learning_reviews": "match_id % 7", "home_learning_exact": "match_id % 5 / 8", "away_learning_exact": "match_id % 6 / 8", "learning_reliability": "match_id % 8 / 8", "home_market_implied": "match_id % 3 / 2", "away_market_implied": "match_id % 4 / 2", "home_market_actual": "match_id % 5 / 2", "away_market_actual": "match_id % 6 / 2",
+    "home_market_over": "match_id % 9 / 8 - 1 / 2", "away_market_over": "match_id % 11 / 8 - 1 / 2", "home_market_games": "match_id % 20", "away_market_games": "match_id % 15", "closing_coverage": "match_id % 5 / 4", "league_reliability": "CASE WHEN match_id % 4 > 0 THEN match_id % 9 / 8 END", "league_avg_goal_error": "match_id % 9 / 4", "phase_reliability": "CASE WHEN match_id % 3 > 0 THEN match_id % 7 / 8 END", "phase_avg_goal_error": "match_id % 8 / 4",
+    "referee_cards_trend": "match_id % 6 / 1", "referee_penalty_rate": "match_id % 4 / 16", "home_fragility": "match_id % 5", "away_fragility": "match_id % 3",
+}
+
+
+def inputs(m: DataFrame) -> DataFrame:
+    """Matches with INPUTS, the results of three meetings and two bookmakers' records."""
+    number = lambda e: F.expr(f"CAST({e} AS DOUBLE)")
+    book = lambda name, a, b: F.struct(F.lit(name).alias("book"), number(f"match_id % {a} / 8 - 1 / 2").alias("home_over"), number(f"match_id % {b} / 8 - 1 / 2").alias("away_over"), number("match_id % 10").alias("home_games"), number("match_id % 13").alias("away_games"), number("match_id % 3 / 2").alias("home_coverage"), number("match_id % 4 / 3").alias("away_coverage"))
+    books = F.when(F.col("match_id") % 7 == 0, F.array().cast("array<struct<book:string,home_over:double,away_over:double,home_games:double,away_games:double,home_coverage:double,away_coverage:double>>")).otherwise(F.array(book("a", 9, 10), book("b", 12, 7)))
+    return m.select("match_id", *(F.expr(e).alias(k) for k, e in INPUTS.items()), F.expr("array(match_id % 3 - 1, match_id % 2, 1 - match_id % 3)").alias("h2h_results"), books.alias("books"))
+
+
+INPUT_SQL = "x AS (SELECT match_id, " + ", ".join(f"{e} AS {k}" for k, e in INPUTS.items()) + " FROM m)"
+
 MATCH_SQL = """
 m AS (
   SELECT o.o_orderkey AS match_id, CAST(o.o_orderdate AS DATE) AS match_date, n.n_name AS league, r.r_name AS region,
