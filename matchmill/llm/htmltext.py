@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with the path of open tags from the root to it. Over all blocks of a path the
-ratio of text to blocks and of punctuation to blocks is taken, both are smoothed along the page, fused, and compared with
-a threshold. Paths below it, and all paths through boilerplate tags or classes, are no content.
+ratio of text to blocks and of punctuation to blocks is taken, both are smoothed along the page and fused to a score, and
+paths from a share of the spread of the page's scores on are content. Tags and class names only change the score: each
+boilerplate element around a path divides it, and article or main add to it. A heading goes with the content of its section, and lists, tables and the like with the content blocks around them.
 
 Defined cases: a null or empty page gives the empty text; unclosed and stray tags are tolerated; pages are handled one by
 one, so repeated rows and null ids stay as they are; other columns of the input are ignored.
@@ -31,16 +32,21 @@ CLOSES_P = BLOCK - {"br", "button", "body", "html", "head", "caption", "td", "th
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，]")
-#: A path counts as content from this share of the page's strongest path.
-LEAST_SHARE = 0.02
+#: Paths are content from this share of the standard deviation of the blocks' scores.
+SPREAD = 0.6
+#: What a boilerplate element around a path leaves of its score, and what article or main make of it.
+LOWERED, RAISED = 0.1, 1.5
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags that stand in running text; a path up to the last other tag is the block's container.
+INNER = HEADING | frozenset("p br hr ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption center address".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """(path, boilerplate, text) of each block of text in page order."""
-    out: list[tuple[tuple[str, ...], bool, str]] = []
-    open_: list[tuple[str, bool]] = []
+def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
+    """(path, numbers of the boilerplate elements around it, text) of each block of text in page order."""
+    out: list[tuple[tuple[str, ...], tuple[int, ...], str]] = []
+    open_: list[tuple[str, tuple[int, ...]]] = []
     text: list[str] = []
+    elements = 0
 
     def flush() -> None:
         if text:
@@ -48,7 +54,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             text.clear()
             if whole:
                 path = tuple(t for t, _ in open_ if t in BLOCK)
-                out.append((path, bool(open_) and open_[-1][1], whole))
+                out.append((path, open_[-1][1] if open_ else (), whole))
 
     for m in TOKEN.finditer(page):
         kind = m.lastgroup
@@ -79,35 +85,57 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
                     break
         named = " ".join(next(filter(None, a), "") for a in ATTRIBUTE.findall(m["rest"])).lower() if "=" in m["rest"] else ""
         inside_article = tag == "header" and any(t == "article" for t, _ in open_)
-        off = (bool(open_) and open_[-1][1]) or (tag in BOILERPLATE and not inside_article) or (tag not in ("article", "main", "body", "html") and bool(named) and NAMES.search(named) is not None)
+        around = open_[-1][1] if open_ else ()
+        if (tag in BOILERPLATE and not inside_article) or (tag not in ("article", "main", "body", "html") and bool(named) and NAMES.search(named) is not None):
+            elements += 1
+            around = (*around, elements)
         if not m["rest"].rstrip().endswith("/") or tag in BLOCK:
-            open_.append((tag, off))
+            open_.append((tag, around))
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the content paths, each one line."""
-    found = [b for b in blocks(page or "") if not b[1]]
+    found = blocks(page or "")
     if not found:
         return ""
+    lowered = [len(around) for _, around, _ in found]
+    paths = [(p, n) for (p, _, _), n in zip(found, lowered)]
     chars, marks, times = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, _, t in found:
-        chars[path] += len(t)
-        marks[path] += len(PUNCTUATION.findall(t))
-        times[path] += 1
-    ratio = np.array([chars[p] / times[p] for p, _, _ in found])
-    points = np.array([marks[p] / times[p] for p, _, _ in found])
+    for k, (_, _, t) in zip(paths, found):
+        chars[k] += len(t)
+        marks[k] += len(PUNCTUATION.findall(t))
+        times[k] += 1
+    ratio = np.array([chars[k] / times[k] for k in paths])
+    points = np.array([marks[k] / times[k] for k in paths])
     smooth = lambda x: np.convolve(np.pad(x, 1, "edge"), [0.25, 0.5, 0.25], "valid")
-    fused = smooth(ratio) * (1 + smooth(points))
-    best: dict[tuple, float] = defaultdict(float)
-    for (p, _, _), f in zip(found, fused):
-        best[p] = max(best[p], float(f))
-    top = max(best.values())
-    content = {p for p, f in best.items() if f >= LEAST_SHARE * top}
-    trunks = {p[: p.index("article") + 1] for p in content if "article" in p} or {p[: p.index("main") + 1] for p in content if "main" in p}
-    keep = [t for p, _, t in found if (any(p[: len(k)] == k for k in trunks) if trunks else p in content or (p and p[-1] in HEADING))]
-    return "\n".join(keep)
+    fused = np.sqrt(smooth(ratio) * (1 + smooth(points)))
+    total: dict[tuple, float] = defaultdict(float)
+    for k, f in zip(paths, fused):
+        total[k] += float(f)
+    factor = {k: LOWERED ** k[1] * (RAISED if "article" in k[0] or "main" in k[0] else 1.0) for k in total}
+    score = {k: total[k] / times[k] * factor[k] for k in total}
+    least = SPREAD * float(np.std([score[k] for k in paths]))
+    keep = [score[k] >= least for k in paths]
+    container = [next((p[: i + 1] for i in range(len(p) - 1, -1, -1) if p[i] not in INNER), ()) for p, _ in paths]
+    section = [-1] * 7  # most lowered content block since the last heading of at most this level, from the page's end
+    for i in range(len(paths) - 1, -1, -1):
+        tag = paths[i][0][-1] if paths[i][0] else ""
+        if tag in HEADING:
+            own = np.sqrt(ratio[i] * (1 + points[i])) * factor[paths[i]]
+            keep[i] = section[int(tag[1])] >= lowered[i] or bool(own >= least)
+            section[int(tag[1]) :] = [-1] * (7 - int(tag[1]))
+        elif keep[i]:
+            section = [max(x, lowered[i]) for x in section]
+    ends: dict[tuple, list[int]] = {}
+    for i, k in enumerate(keep):
+        if k:
+            ends.setdefault((container[i], lowered[i]), [i, i])[1] = i
+    for i, n in enumerate(lowered):
+        first, last = ends.get((container[i], n), (i, i))
+        keep[i] = keep[i] or first < i < last
+    return "\n".join(t for (_, _, t), k in zip(found, keep) if k)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,6 +199,18 @@ def test_html(spark):
     assert htmltext.extract(rows.limit(0)).count() == 0
 
 
+def test_html_paths():
+    """Scores of paths choose the content, whatever holds it."""
+    long = "Long running text of the page, with commas, and more. " * 6
+    div = f"<div><h1>Head</h1><div>By me</div><p>{long}</p><ul><li>one</li><li>two</li></ul><p>{long}</p></div>"
+    teaser = "<article><h2>Related</h2><p>A teaser, of some words.</p></article>"
+    want = ["Head", long.strip(), "one", "two", long.strip()]
+    got = htmltext.main_text(f"<nav><a>Home</a></nav>{div}{teaser}<footer>f</footer>").split("\n")
+    assert [x for x in got if x != "By me"] == want
+    inner = htmltext.main_text(f"<article><h1>Head</h1>{f'<p>{long}</p>' * 5}<div><a>tag</a></div><div><a>tag</a></div></article>").split("\n")
+    assert inner == ["Head", *[long.strip()] * 5]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
