@@ -3,7 +3,8 @@
 A page is cut into blocks of text, each with the path of open tags from the root to it. Over all blocks of a path the
 ratio of text to blocks and of punctuation to blocks is taken, both are smoothed along the page and fused to a score, and
 paths from a share of the spread of the page's scores on are content. Tags and class names only change the score: each
-boilerplate element around a path divides it, and article or main add to it. A heading goes with the content of its section, and lists, tables and the like with the content blocks around them.
+boilerplate element around a path divides it, unless that element holds most of the page's text, and article or main add
+to it. A heading goes with the content of its section, and lists, tables and the like with the content blocks around them.
 
 Defined cases: a null or empty page gives the empty text; unclosed and stray tags are tolerated; pages are handled one by
 one, so repeated rows and null ids stay as they are; other columns of the input are ignored.
@@ -27,10 +28,12 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 BOILERPLATE = frozenset("nav header footer aside form button menu head dialog".split())
-NAMES = re.compile(r"(?<![a-z])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|reply|replies|cookies?|consent|footer|header|menu|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?![a-z])")
+NAMES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments reply replies cookie cookies consent contentinfo footer header menu nav navbar navigation newsletter notice popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+)
 CLOSES_P = BLOCK - {"br", "button", "body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg\b[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*(?<=/)>|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，]")
 #: Paths are content from this share of the standard deviation of the blocks' scores.
 SPREAD = 0.6
@@ -83,10 +86,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
                     break
                 if open_[i][0] in BLOCK:
                     break
-        named = " ".join(next(filter(None, a), "") for a in ATTRIBUTE.findall(m["rest"])).lower() if "=" in m["rest"] else ""
-        inside_article = tag == "header" and any(t == "article" for t, _ in open_)
+        named = {w for a in ATTRIBUTE.findall(m["rest"]) for w in "".join(a).lower().split()} if "=" in m["rest"] else set()
+        if "header" in named or tag == "header":
+            inside_article = any(t == "article" for t, _ in open_)
+            named = named - {"header"} if inside_article else named | {"header"}
         around = open_[-1][1] if open_ else ()
-        if (tag in BOILERPLATE and not inside_article) or (tag not in ("article", "main", "body", "html") and bool(named) and NAMES.search(named) is not None):
+        if (tag in BOILERPLATE and tag != "header") or (tag not in ("article", "main", "body", "html") and not NAMES.isdisjoint(named)):
             elements += 1
             around = (*around, elements)
         if not m["rest"].rstrip().endswith("/") or tag in BLOCK:
@@ -100,7 +105,12 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    lowered = [len(around) for _, around, _ in found]
+    held: dict[int, int] = defaultdict(int)
+    for _, around, t in found:
+        for e in around:
+            held[e] += len(t)
+    whole = sum(len(t) for _, _, t in found)
+    lowered = [sum(2 * held[e] <= whole for e in around) for _, around, _ in found]
     paths = [(p, n) for (p, _, _), n in zip(found, lowered)]
     chars, marks, times = defaultdict(int), defaultdict(int), defaultdict(int)
     for k, (_, _, t) in zip(paths, found):

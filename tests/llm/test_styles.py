@@ -211,6 +211,17 @@ def test_html_paths():
     assert inner == ["Head", *[long.strip()] * 5]
 
 
+def test_html_names():
+    """Names lower a score as whole words, do not veto what holds most of the text, and a closed svg is empty."""
+    long = "Long running text of the page, with commas, and more. " * 6
+    article = f'<article><div class="entry-header"><h1>Head</h1></div><p>{long}</p></article>'
+    want = f"Head\n{long.strip()}"
+    for around in ('div class="layout has-sidebar"', 'div class="no-banner"', 'section class="social-science"', 'div class="sidebar"', "form", "footer"):
+        assert htmltext.main_text(f"<{around}>{article}</{around.split()[0]}><div class='wide ad'>Buy now.</div>") == want
+    svg = f"<article><p>{long}</p><svg class='x' title='a>b'/><p>{long}</p><svg><title>no</title></svg><svg/><p>{long}</p></article>"
+    assert htmltext.main_text(svg) == "\n".join([long.strip()] * 3)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
