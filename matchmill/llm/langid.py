@@ -7,6 +7,11 @@ bounded sample; prediction reads whole texts, and what a worker has read once (t
 Parameters that bound the sample: SAMPLE_DOCS documents a language, in expectation, chosen by a hash of their ids, of
 each SAMPLE_CHARS characters from a hashed place. At most MOST_LANGUAGES languages are learned.
 
+A text is recognised from a score of LEAST_SHARE of the way from an even guess (one over the number of languages) to 1.
+That is checked on held-out documents, sampled like the others: those labelled as they were given stay, and where fewer
+than LEAST_RIGHT of them are, or there is nothing to learn from or fewer than LEAST_CHECKED documents to check on, every
+text with a letter counts as recognised. So does one of under LEAST_BYTES bytes, which are too few to judge by.
+
 Defined cases: a null text or one without a letter is `und` with score 0; with nothing to learn from every document is
 `und`; a null doc_id counts as the empty string for held_out; rows are labelled one by one; columns of the input that
 have the names of the new ones are replaced.
@@ -26,16 +31,18 @@ from pyspark.sql import types as T
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 250, 4096, 500
 HIDDEN, SEGMENT, STEPS, BATCH, RATE = 16, 20, 800, 256, 8e-3
 REMEMBERED, PASS_BYTES = 500_000, 1 << 20
+LEAST_SHARE, LEAST_RIGHT, LEAST_CHECKED, LEAST_BYTES = 0.1, 0.9, 20, 256
 UNKNOWN = "und"
+LETTER = r"\p{L}"
 
 
 def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text) of the bounded training sample, in a fixed order."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+def sample(docs: DataFrame, held: bool = False) -> list[tuple[str, str]]:
+    """(lang, text) of the bounded training sample, or that of held-out documents, in a fixed order."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (held_out(F.col("doc_id")) == held))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return []
@@ -223,11 +230,16 @@ class Reader:
 _readers: dict[bytes, Reader] = {}
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], text: int, langs: list[str], p: dict, key: bytes) -> Iterator[pa.RecordBatch]:
+def _reader(p: dict, classes: int) -> Reader:
+    key = b"".join(p[k].tobytes()[:64] for k in sorted(p))
     if key not in _readers:
         _readers.clear()
-        _readers[key] = Reader(p, len(langs))
-    reader = _readers[key]
+        _readers[key] = Reader(p, classes)
+    return _readers[key]
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], text: int, langs: list[str], p: dict) -> Iterator[pa.RecordBatch]:
+    reader = _reader(p, len(langs))
     for batch in batches:
         pooled = reader.pool(batch.column(text))
         best = pooled.argmax(1) if len(pooled) else np.zeros(0, int)
@@ -239,16 +251,45 @@ def label(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """`docs` with lang_pred and score, by a network trained on `learn_from` (`docs` if none is given)."""
     docs = docs.drop("lang_pred", "score")
     langs, p = train(sample(learn_from or docs))
-    unknown = F.col("text").isNull() | ~F.col("text").rlike(r"\p{L}")
+    unknown = F.col("text").isNull() | ~F.col("text").rlike(LETTER)
     if not langs:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     text = docs.columns.index("text")
-    key = b"".join(p[k].tobytes()[:64] for k in sorted(p))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = docs.mapInArrow(lambda it: _labelled(it, text, langs, p, key), schema)
+    out = docs.mapInArrow(lambda it: _labelled(it, text, langs, p), schema)
     return out.withColumns({"lang_pred": F.when(unknown, F.lit(UNKNOWN)).otherwise(F.col("lang_pred")), "score": F.when(unknown, F.lit(0.0)).otherwise(F.col("score"))})
 
 
+def least_score(docs: DataFrame, langs: list[str], p: dict) -> float | None:
+    """From which score a text is recognised; None if scores decide nothing."""
+    checked = [(langs.index(k), t) for k, t in sample(docs, held=True) if k in langs] if len(langs) > 1 else []
+    if len(checked) < LEAST_CHECKED:
+        return None
+    pooled = Reader(p, len(langs)).pool(pa.array([t for _, t in checked], pa.string()))
+    right = pooled.argmax(1) == [k for k, _ in checked]
+    if right.mean() < LEAST_RIGHT:
+        return None
+    return min((1 + LEAST_SHARE * (len(langs) - 1)) / len(langs), float(pooled.max(1)[right].min()))
+
+
+def _recognised(batches: Iterator[pa.RecordBatch], text: int, classes: int, p: dict, least: float) -> Iterator[pa.RecordBatch]:
+    reader = _reader(p, classes)
+    for batch in batches:
+        if batch.num_rows:
+            short = pc.less(pc.binary_length(batch.column(text)), LEAST_BYTES)
+            yield batch.filter(pc.or_(short, pa.array(reader.pool(batch.column(text)).max(1) >= least)))
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows with a letter that are recognised by their score, or too short for it, by a network trained on `docs`."""
+    letters = docs.filter(F.col("text").rlike(LETTER))
+    langs, p = train(sample(docs))
+    if (least := least_score(docs, langs, p)) is None:
+        return letters
+    text = docs.columns.index("text")
+    return letters.mapInArrow(lambda it: _recognised(it, text, len(langs), p, least), docs.schema)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per document."""
     out = label(docs.select("doc_id", "text"), docs)

@@ -222,6 +222,24 @@ def test_html_names():
     assert htmltext.main_text(svg) == "\n".join([long.strip()] * 3)
 
 
+def test_pipeline_language(spark):
+    """The network's score rejects what is of no one language and no clean document; with nothing learned letters decide."""
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = table.filter("length(text) > 2000").groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("t")).collect()
+    mixed = [(10**6 + i, " ".join(r["t"][i % len(r["t"])][:2000] for r in long), None, "j", 1) for i in range(5)]
+    short = [(10**6 - 1, "Of and and ly esor.\nLicensed under the Apache License, Version 2.0.", "en", "j", 67)]
+    table = table.unionByName(spark.createDataFrame(short, table.schema))
+    docs = table.unionByName(spark.createDataFrame(mixed, table.schema))
+    ids = lambda d: sorted(r["doc_id"] for r in d.select("doc_id").collect())
+    clean, letters = (ids(d.filter(F.col("text").rlike(r"\p{L}"))) for d in (table, docs))
+    assert ids(corpus_pipeline.language(spark, docs, "")) == clean and len(letters) == len(clean) + 5
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    held = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.col("lang")))
+    assert ids(corpus_pipeline.language(spark, unlabelled, "")) == ids(corpus_pipeline.language(spark, held, "")) == letters
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
