@@ -1,11 +1,16 @@
 """Language of documents by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions, labels every byte with probabilities of the languages, and a
+The network reads the bytes of a text in both directions and labels every byte with probabilities of the languages; a
 document's probabilities are the means over all its bytes. It is trained in numpy by backpropagation through time on a
-bounded sample; prediction reads whole texts, and what a worker has read once (the sums over a word's bytes) it remembers.
+bounded sample. Its gates and candidates use x / (1 + |x|) as their curve, which costs no transcendental function.
+
+A text is read in rows of SPAN bytes that run side by side. The state is carried through a row, over words and spaces
+alike, and each row begins CONTEXT bytes before its span and ends as many after it, so that both directions come to the
+span with a state from the text around it; those bytes are labelled in the neighbouring rows. Nothing is cut by spaces,
+so scripts without them are read like the others, and a text of any length is read whole in bounded memory.
 
 Parameters that bound the sample: SAMPLE_DOCS documents a language, in expectation, chosen by a hash of their ids, of
-each SAMPLE_CHARS characters from a hashed place. At most MOST_LANGUAGES languages are learned.
+each SAMPLE_CHARS characters from a hashed place; SAMPLE_TOTAL documents in all, shared evenly by the languages.
 
 A text is recognised from a score of LEAST_SHARE of the way from an even guess (one over the number of languages) to 1.
 That is checked on held-out documents, sampled like the others: those labelled as they were given stay, and where fewer
@@ -13,8 +18,8 @@ than LEAST_RIGHT of them are, or there is nothing to learn from or fewer than LE
 text with a letter counts as recognised. So does one of under LEAST_BYTES bytes, which are too few to judge by.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with nothing to learn from every document is
-`und`; a null doc_id counts as the empty string for held_out; rows are labelled one by one; columns of the input that
-have the names of the new ones are replaced.
+`und`; of equally likely languages the first by name is given; a null doc_id counts as the empty string for held_out;
+rows are labelled one by one, repeated ones alike; columns of the input that have the names of the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -28,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 250, 4096, 500
-HIDDEN, SEGMENT, STEPS, BATCH, RATE = 16, 20, 800, 256, 8e-3
-REMEMBERED, PASS_BYTES = 500_000, 1 << 20
+from .workers import free
+
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 250, 4096, 4000
+HIDDEN, WINDOW, STEPS, BATCH, RATE = 12, 64, 300, 128, 1e-2
+SPAN, CONTEXT, ROWS = 448, 32, 1024
 LEAST_SHARE, LEAST_RIGHT, LEAST_CHECKED, LEAST_BYTES = 0.1, 0.9, 20, 256
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -43,12 +50,11 @@ def held_out(id: Column) -> Column:
 def sample(docs: DataFrame, held: bool = False) -> list[tuple[str, str]]:
     """(lang, text) of the bounded training sample, or that of held-out documents, in a fixed order."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (held_out(F.col("doc_id")) == held))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not counts:
         return []
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["n"])))))
+    each = min(SAMPLE_DOCS, max(1, SAMPLE_TOTAL // len(counts)))
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["n"])))))
     place = F.xxhash64(F.lit("langid"), "doc_id")
     some = rows.filter(F.pmod(place, F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
     start = F.pmod(F.shiftright(place, 20), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
@@ -56,21 +62,12 @@ def sample(docs: DataFrame, held: bool = False) -> list[tuple[str, str]]:
     return sorted((r["lang"], r["text"]) for r in got.collect())
 
 
-def segments(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of words in rows of at most SEGMENT, long words over several rows: bytes, their number, the word of each row."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for j in range(0, len(w), SEGMENT):
-            parts.append(w[j : j + SEGMENT])
-            owner.append(i)
-    n = np.array([len(p) for p in parts], np.int64)
-    width = max(map(len, parts), default=1)
-    x = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width)
-    return x, n, np.array(owner, np.int64)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def side_by_side(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, the longest first, as columns of a matrix of bytes, and how many of them reach each place."""
+    n = np.array([len(r) for r in rows], np.int64)
+    width = max(1, int(n.max())) if len(n) else 1
+    x = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(-1, width).T
+    return np.ascontiguousarray(x), np.searchsorted(-n, -np.arange(width), "left")
 
 
 def initial(classes: int, seed: int = 0) -> dict[str, np.ndarray]:
@@ -81,95 +78,118 @@ def initial(classes: int, seed: int = 0) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _run(p: dict, d: str, x: np.ndarray, inside: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States after each byte in the order of x; outside a word the state stays. keep: what backpropagation needs."""
-    h = np.zeros((len(x), HIDDEN), np.float32)
-    states, tape = np.zeros((x.shape[1], len(x), HIDDEN), np.float32), []
-    table = p[f"{d}x"] + p[f"{d}c"]
-    for t in range(x.shape[1]):
-        a, b, m = table[x[:, t]], h @ p[f"{d}h"], inside[:, t, None]
-        zr = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        u = b[:, 2 * HIDDEN :]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * u)
-        new = np.where(m, n + z * (h - n), h)
-        if keep:
-            tape.append((h, z, r, u, n, m))
-        states[t] = h = new
-    return states, tape
-
-
-def _orders(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which bytes are inside a word; the bytes from last to first; where each place of the reversed word is."""
-    place = np.arange(x.shape[1])
-    inside = place[None, :] < n[:, None]
-    back = np.where(inside, n[:, None] - 1 - place[None, :], place[None, :])
-    return inside, np.take_along_axis(x, back, 1), back
-
-
-def probabilities(p: dict, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Language probabilities of every byte (rows, places, languages), zero outside words."""
-    inside, xb, back = _orders(x, n)
-    f, _ = _run(p, "f", x, inside, False)
-    b, _ = _run(p, "b", xb, inside, False)
-    b = np.take_along_axis(b.transpose(1, 0, 2), back[:, :, None], 1)
-    logits = f.transpose(1, 0, 2) @ p["o"][:HIDDEN] + b @ p["o"][HIDDEN:] + p["ob"]
-    e = np.exp(logits - logits.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True) * inside[:, :, None]
-
-
-def gradients(p: dict, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+def layers(x: np.ndarray) -> np.ndarray:
+    """Columns of the update gate, the reset gate and the candidate, each by itself."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _places(d: str, width: int) -> range:
+    return range(width) if d == "f" else range(width - 1, -1, -1)
+
+
+def run(p: dict, d: str, x: np.ndarray, reach: np.ndarray, tape: dict | None = None) -> np.ndarray:
+    """States (places, rows, HIDDEN) of direction d. Rows that don't reach a place stand at the end, so a step takes the
+    first ones only. The two gates and the candidate are three layers of one array. tape gets what backpropagation needs."""
+    width, rows = x.shape
+    table, mix = layers(p[f"{d}x"] + p[f"{d}c"]), layers(p[f"{d}h"])
+    states = np.zeros((width, rows, HIDDEN), table.dtype)
+    h = np.zeros((rows, HIDDEN), table.dtype)
+    put, own, scale = (np.empty((3, rows, HIDDEN), table.dtype) for _ in range(3))
+    for t in _places(d, width):
+        a = reach[t]
+        now, at, sums, by = h[:a], put[:, :a], own[:, :a], scale[:, :a]
+        for k in range(3):
+            np.take(table[k], x[t, :a], axis=0, out=at[k], mode="clip")
+            np.matmul(now, mix[k], out=sums[k])
+        at[:2] += sums[:2]
+        np.abs(at[:2], out=by[:2])
+        by[:2] += 1
+        at[:2] /= by[:2]
+        at[:2] *= 0.5
+        at[:2] += 0.5
+        z, r, u, n = at[0], at[1], sums[2], at[2]
+        n += np.multiply(r, u, out=by[2])
+        np.abs(n, out=by[2])
+        by[2] += 1
+        n /= by[2]
+        if tape is not None:
+            tape[t] = now.copy(), z.copy(), r.copy(), u.copy(), n.copy()
+        now -= n
+        now *= z
+        now += n
+        states[t, :a] = now
+    return states
+
+
+def labels(p: dict, x: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Language probabilities of every byte, (languages, places, rows), a few places at a time."""
+    f, b = run(p, "f", x, reach), run(p, "b", x, reach)
+    width, rows = x.shape
+    step = max(1, (1 << 19) // (rows * len(p["ob"])))
+    for t in range(0, width, step):
+        logits = p["o"][:HIDDEN].T @ f[t : t + step].reshape(-1, HIDDEN).T
+        logits += p["o"][HIDDEN:].T @ b[t : t + step].reshape(-1, HIDDEN).T
+        logits += p["ob"][:, None]
+        logits -= logits.max(0)
+        e = np.exp(logits, out=logits)
+        e /= e.sum(0)
+        yield t, e.reshape(len(e), -1, rows)
+
+
+def gradients(p: dict, x: np.ndarray, reach: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     """Mean cross-entropy over bytes and its gradient by backpropagation through time."""
-    inside, xb, back = _orders(x, n)
-    runs = {"f": (x, *_run(p, "f", x, inside, True)), "b": (xb, *_run(p, "b", xb, inside, True))}
-    hf = runs["f"][1].transpose(1, 0, 2)
-    hb = np.take_along_axis(runs["b"][1].transpose(1, 0, 2), back[:, :, None], 1)
-    both = np.concatenate((hf, hb), -1)
+    width, rows = x.shape
+    tapes: dict[str, dict] = {"f": {}, "b": {}}
+    both = np.concatenate([run(p, d, x, reach, tapes[d]) for d in "fb"], -1)
     logits = both @ p["o"] + p["ob"]
-    e = np.exp(logits - logits.max(-1, keepdims=True))
-    q = e / e.sum(-1, keepdims=True)
+    q = np.exp(logits - logits.max(-1, keepdims=True))
+    q /= q.sum(-1, keepdims=True)
+    inside = np.arange(rows)[None, :] < reach[:, None]
     total = inside.sum()
-    loss = -(np.log(np.take_along_axis(q, y[:, None, None], -1)[..., 0] + 1e-9) * inside).sum() / total
-    dl = q.copy()
-    np.put_along_axis(dl, np.broadcast_to(y[:, None, None], (*dl.shape[:2], 1)), np.take_along_axis(dl, np.broadcast_to(y[:, None, None], (*dl.shape[:2], 1)), -1) - 1, -1)
-    dl *= inside[:, :, None] / total
-    g = {"o": np.einsum("ith,itc->hc", both, dl), "ob": dl.sum((0, 1))}
-    dboth = dl @ p["o"].T
-    dstates = {"f": dboth[..., :HIDDEN], "b": np.take_along_axis(dboth[..., HIDDEN:], back[:, :, None], 1)}
-    for d, (xs, _, tape) in runs.items():
-        gx, gh, gc = np.zeros_like(p[f"{d}x"]), np.zeros_like(p[f"{d}h"]), np.zeros_like(p[f"{d}c"])
-        dh, seen = np.zeros((len(x), HIDDEN), np.float32), []
-        for t in range(x.shape[1] - 1, -1, -1):
-            h, z, r, u, hat, m = tape[t]
-            dh = dh + dstates[d][:, t]
-            on = dh * m
-            dhat = on * (1 - z) * (1 - hat * hat)
-            dz = on * (h - hat) * z * (1 - z)
-            dr = dhat * u * r * (1 - r)
-            da = np.concatenate((dz, dr, dhat), 1)
-            db = np.concatenate((dz, dr, dhat * r), 1)
-            seen.append(da)
-            gc += da.sum(0)
-            gh += h.T @ db
-            dh = np.where(m, on * z, dh) + db @ p[f"{d}h"].T
-        read = xs.T[::-1].reshape(-1)
+    loss = -(np.log(q[:, np.arange(rows), y] + 1e-9) * inside).sum() / total
+    q[:, np.arange(rows), y] -= 1
+    q *= (inside / total)[..., None]
+    q = q.astype(both.dtype)
+    g = {"o": both.reshape(-1, 2 * HIDDEN).T @ q.reshape(-1, q.shape[-1]), "ob": q.sum((0, 1))}
+    back = q @ p["o"].T
+    for d, part in (("f", back[..., :HIDDEN]), ("b", back[..., HIDDEN:])):
+        gh, dh = np.zeros_like(p[f"{d}h"]), np.zeros((rows, HIDDEN), both.dtype)
+        into = np.zeros((width, rows, 3 * HIDDEN), both.dtype)
+        for t in reversed(_places(d, width)):
+            a = reach[t]
+            h, z, r, u, n = tapes[d][t]
+            on = dh[:a] + part[t, :a]
+            dn = on * (1 - z) * (1 - np.abs(n)) ** 2
+            slope = lambda gate: 0.5 * (1 - np.abs(2 * gate - 1)) ** 2
+            dz, dr = on * (h - n) * slope(z), dn * u * slope(r)
+            own = np.concatenate((dz, dr, dn * r), 1)
+            into[t, :a] = np.concatenate((dz, dr, dn), 1)
+            gh += h.T @ own
+            dh[:a] = on * z + own @ p[f"{d}h"].T
+        flat, read = into.reshape(-1, 3 * HIDDEN), x.reshape(-1)
         order = np.argsort(read, kind="stable")
         found, first = np.unique(read[order], return_index=True)
-        gx[found] = np.add.reduceat(np.concatenate(seen)[order], first)
-        g |= {f"{d}x": gx, f"{d}h": gh, f"{d}c": gc}
+        gx = np.zeros_like(p[f"{d}x"])
+        gx[found] = np.add.reduceat(flat[order], first)
+        g |= {f"{d}x": gx, f"{d}h": gh, f"{d}c": flat.sum(0)}
     return float(loss), g
 
 
 def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> tuple[list[str], dict]:
-    """(languages, parameters): Adam over batches of words, languages drawn evenly."""
+    """(languages, parameters): Adam over batches of windows of texts, languages drawn evenly."""
     langs = sorted({lang for lang, _ in rows})
-    words = [[w for lang, text in rows if lang == k for w in text.encode("utf-8", "surrogatepass").split()] for k in langs]
+    texts = [[text.encode("utf-8", "surrogatepass") for lang, text in rows if lang == k] for k in langs]
     p, rng = initial(len(langs), seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for step in range(1, steps + 1 if len(langs) > 1 else 1):
-        y = rng.integers(0, len(langs), BATCH)
-        x, n, owner = segments([words[k][rng.integers(0, len(words[k]))] for k in y])
-        _, g = gradients(p, x, n, y[owner])
+        chosen = []
+        for k in rng.integers(0, len(langs), BATCH):
+            text = texts[k][rng.integers(0, len(texts[k]))]
+            at = rng.integers(0, max(1, len(text) - WINDOW))
+            chosen.append((text[at : at + WINDOW], k))
+        chosen.sort(key=lambda c: -len(c[0]))
+        x, reach = side_by_side([c[0] for c in chosen])
+        _, g = gradients(p, x, reach, np.array([c[1] for c in chosen]))
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -178,72 +198,43 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> tup
     return langs, p
 
 
-class Reader:
-    """Sums of byte probabilities of words, remembered."""
-
-    def __init__(self, p: dict, classes: int):
-        self.p, self.classes = p, classes
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, self.classes + 1), np.float32)
-
-    def learn(self, words: list[bytes]) -> None:
-        while len(self.sums) < len(self.number) + len(words):
-            self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
-        words = sorted(words, key=lambda w: (len(w), w))  # words of one length go through few idle steps
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            x, n, owner = segments(some)
-            at = len(self.number)
-            np.add.at(self.sums, at + owner, np.concatenate((probabilities(self.p, x, n).sum(1), n[:, None]), 1).astype(np.float32))
-            self.number.update((w, at + j) for j, w in enumerate(some))
-
-    def pool(self, texts: pa.Array) -> np.ndarray:
-        """Mean probabilities over all bytes of each text's words; texts are read in passes of about PASS_BYTES."""
-        out = np.zeros((len(texts), self.classes), np.float64)
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PASS_BYTES)))
-            split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, end - at), ""))
-            words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
-            distinct = words.dictionary.cast(pa.binary()).to_pylist()
-            new = [w for w in distinct if w and w not in self.number]
-            if len(self.number) + len(new) > REMEMBERED and self.number:
-                self.clear()
-                new = [w for w in distinct if w]
-            if new:
-                self.learn(new)
-            sums = self.sums[np.fromiter((self.number[w] if w else -1 for w in distinct), np.int64, len(distinct))]
-            sums[[i for i, w in enumerate(distinct) if not w]] = 0
-            read, full = words.indices.to_numpy(), np.flatnonzero(np.diff(ends))
-            if len(full):
-                total = np.add.reduceat(sums.astype(np.float64)[read], ends[full], axis=0)
-                some = total[:, -1] > 0
-                out[at + full[some]] = total[some, :-1] / total[some, -1:]
-            at = end
-        return out
-
-
-_readers: dict[bytes, Reader] = {}
-
-
-def _reader(p: dict, classes: int) -> Reader:
-    key = b"".join(p[k].tobytes()[:64] for k in sorted(p))
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(p, classes)
-    return _readers[key]
+def pool(p: dict, texts: pa.Array) -> np.ndarray:
+    """Mean probabilities over all bytes of each text."""
+    out = np.zeros((len(texts), len(p["ob"])), np.float64)
+    waiting: list[tuple[int, int, int, bytes]] = []  # text, bytes before the span, bytes of the span, row
+
+    def read(rows: list[tuple[int, int, int, bytes]]) -> None:
+        rows.sort(key=lambda r: -len(r[3]))
+        x, reach = side_by_side([r[3] for r in rows])
+        lead, size = (np.array([r[i] for r in rows])[None, :] for i in (1, 2))
+        sums = np.zeros((out.shape[1], len(rows)))
+        for t, q in labels(p, x, reach):
+            place = np.arange(t, t + q.shape[1])[:, None]
+            sums += np.einsum("ctr,tr->cr", q, ((place >= lead) & (place < lead + size)).astype(q.dtype))
+        np.add.at(out, [r[0] for r in rows], sums.T)
+
+    for i, text in enumerate(texts):
+        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+        for at in range(0, len(raw), SPAN):
+            lead = min(at, CONTEXT)
+            waiting.append((i, lead, min(SPAN, len(raw) - at), raw[at - lead : at + SPAN + CONTEXT]))
+            if len(waiting) == 4 * ROWS:
+                waiting.sort(key=lambda r: -len(r[3]))  # rows of one length share a matrix
+                for j in range(0, 4 * ROWS, ROWS):
+                    read(waiting[j : j + ROWS])
+                waiting.clear()
+    waiting.sort(key=lambda r: -len(r[3]))
+    for j in range(0, len(waiting), ROWS):
+        read(waiting[j : j + ROWS])
+    return out / np.maximum(out.sum(1, keepdims=True), 1e-30)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], text: int, langs: list[str], p: dict) -> Iterator[pa.RecordBatch]:
-    reader = _reader(p, len(langs))
+    free()
     for batch in batches:
-        pooled = reader.pool(batch.column(text))
+        pooled = pool(p, batch.column(text))
         best = pooled.argmax(1) if len(pooled) else np.zeros(0, int)
-        arrays = [pa.array([langs[k] for k in best], pa.string()), pa.array(pooled.max(1) if len(pooled) else [], pa.float64())]
+        arrays = [pa.array([langs[k] for k in best], pa.string()), pa.array(np.minimum(pooled.max(1), 1.0) if len(pooled) else [], pa.float64())]
         yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "lang_pred", "score"])
 
 
@@ -265,19 +256,19 @@ def least_score(docs: DataFrame, langs: list[str], p: dict) -> float | None:
     checked = [(langs.index(k), t) for k, t in sample(docs, held=True) if k in langs] if len(langs) > 1 else []
     if len(checked) < LEAST_CHECKED:
         return None
-    pooled = Reader(p, len(langs)).pool(pa.array([t for _, t in checked], pa.string()))
+    pooled = pool(p, pa.array([t for _, t in checked], pa.string()))
     right = pooled.argmax(1) == [k for k, _ in checked]
     if right.mean() < LEAST_RIGHT:
         return None
     return min((1 + LEAST_SHARE * (len(langs) - 1)) / len(langs), float(pooled.max(1)[right].min()))
 
 
-def _recognised(batches: Iterator[pa.RecordBatch], text: int, classes: int, p: dict, least: float) -> Iterator[pa.RecordBatch]:
-    reader = _reader(p, classes)
+def _recognised(batches: Iterator[pa.RecordBatch], text: int, p: dict, least: float) -> Iterator[pa.RecordBatch]:
+    free()
     for batch in batches:
         if batch.num_rows:
             short = pc.less(pc.binary_length(batch.column(text)), LEAST_BYTES)
-            yield batch.filter(pc.or_(short, pa.array(reader.pool(batch.column(text)).max(1) >= least)))
+            yield batch.filter(pc.or_(short, pa.array(pool(p, batch.column(text)).max(1) >= least)))
 
 
 def recognised(docs: DataFrame) -> DataFrame:
@@ -287,7 +278,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     if (least := least_score(docs, langs, p)) is None:
         return letters
     text = docs.columns.index("text")
-    return letters.mapInArrow(lambda it: _recognised(it, text, len(langs), p, least), docs.schema)
+    return letters.mapInArrow(lambda it: _recognised(it, text, p, least), docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; where it is unset (tests on one machine), a new temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """`spark.checkpoint.dir` of the session, or the context's checkpoint folder. Where neither is set, a temporary
+    folder on one machine (tests), and an error on a cluster, whose executors don't share such a folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("matchmill.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-matchmill-')}"
-        spark.conf.set("matchmill.scratch", root) if not spark.conf.get("matchmill.scratch", None) else None
-        root = spark.conf.get("matchmill.scratch")
+        spark.conf.set("matchmill.scratch", root)
     return root.rstrip("/")
 
 
@@ -22,4 +28,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again: its lineage ends there, so a lost executor costs only reads."""
     path = f"{shared_root(df.sparkSession)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `written` gave, once all that was made of them is written itself."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            spark = table.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front of it as long as `df` has a column that Spark takes for the same."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
