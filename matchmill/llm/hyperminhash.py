@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import unused, written
 from .words import Words, mix, passes
+from .workers import free
 
 BUCKETS, MANTISSA_BITS, BAND_REGISTERS = 128, 10, 4
 BANDS = BUCKETS // BAND_REGISTERS
@@ -36,6 +37,9 @@ SLACK_SIGMAS = 5.0
 #: Fixed value: the constant in the expected number of register collisions of two HyperMinHash sketches.
 COLLISION_CONSTANT = 0.169919487159739093975315012348
 
+#: How many holders of a shingle one task compares with those that are looked up.
+HOLDERS = 512
+
 #: Size of the bitmap by which the texts of candidates are picked out, a prime below 2^23; it is broadcast, 1 MB at all sizes.
 MARKS = 8388593
 
@@ -98,9 +102,10 @@ SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    free()
     for batch in batches:
         ids = batch.column(0)
-        for i, words in passes(batch.column(1).to_pylist(), lower=True):
+        for i, words in passes(batch.column(1), lower=True):
             n = len(words.first) - 1
             h, text = shingle_sets(words, k)
             size = np.bincount(text, minlength=n)
@@ -113,7 +118,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, words in passes(batch.column(1).to_pylist(), lower=True):
+        for i, words in passes(batch.column(1), lower=True):
             n = len(words.first) - 1
             h, text = shingle_sets(words, k)
             ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n))))
@@ -187,7 +192,9 @@ def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     Shingles are ordered from rare to frequent. Linked documents of sizes n and m have percent / (100 + percent) * (n + m)
     of them in common, so the first that they share stands early in both: what comes after it has to be enough. Each
-    document is looked up by the shingles that stand early enough, and a shingle's largest component isn't paired with itself."""
+    document is looked up by the shingles that stand early enough, and a shingle's largest component isn't paired with
+    itself. The holders of a frequent shingle are dealt to parts of about HOLDERS, so no task compares all of them; texts
+    that share a long template but stay under the threshold still cost a comparison each pair, spread over the parts."""
     ids = mixed.select("id", "component").distinct()
     wanted = ids.select(F.col("id").alias("doc_id"))
     sets = _sets_of(texts, wanted, k, "mixed-sets").join(wanted, "doc_id", "left_semi")
@@ -199,11 +206,13 @@ def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     keys = keys.select("id", (F.col("n") - F.col("before") - F.col("at")).alias("left"), "n", F.col("c.shingle").alias("shingle")).join(ids, "id")
     keys = written(keys, "early-shingles")
     sizes = keys.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several")).filter("several > 1")
-    keys = keys.join(main.select("shingle", F.col("top.component").alias("main")), "shingle")
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("holders"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    keys = keys.join(main.select("shingle", "holders", F.col("top.component").alias("main")), "shingle")
     side = lambda v: [F.col("id").alias(v), F.col("component").alias(f"c{v}"), F.col("n").alias(f"n{v}"), F.col("left").alias(f"l{v}")]
-    rest = keys.filter("component <> main").select("shingle", *side("x"))
-    pairs = rest.join(keys.select("shingle", *side("y"), (F.col("component") == F.col("main")).alias("of_main")), "shingle")
+    parts = F.ceil(F.col("holders") / HOLDERS).cast("int")
+    rest = keys.filter("component <> main").select("shingle", *side("x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    held = keys.select("shingle", *side("y"), (F.col("component") == F.col("main")).alias("of_main"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    pairs = rest.join(held, ["shingle", "part"])
     pairs = pairs.filter(f"cx <> cy AND (of_main OR x < y) AND {100 + percent} * least(lx, ly) >= {percent} * (nx + ny) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -240,6 +249,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without the documents that near_duplicates() doesn't keep."""
-    dropped = written(near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id"), "near-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the rows that near_duplicates() doesn't keep, judged row by row: what the rows share is never their
+    doc_id but their text, so one that repeats the doc_id of another with other words stays, as do null doc_ids and
+    texts without words, and of rows linked to each other the one with the smallest doc_id stays.
+
+    Rows are numbered in the order of (doc_id, text) where ids repeat or are null; elsewhere the doc_id is the number."""
+    columns, row = docs.columns, unused(docs, "row")
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        dropped = written(near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id"), "near-dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*columns)
+    numbered = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(row, F.monotonically_increasing_id()), "near-numbered")
+    dropped = written(near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), k, percent).filter("NOT kept").select(F.col("doc_id").alias(row)), "near-dropped")
+    return numbered.join(dropped, row, "left_anti").select(*columns)

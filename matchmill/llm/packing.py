@@ -8,7 +8,8 @@ Sequences of one range are full but for its end. What is left there is cut into
 two, which need no padding.
 
 Defined cases: null counts as the empty text, which is the end token alone; equal keys are ordered by doc_id, so many
-equal documents spread over ranges; rows are packed one by one, repeated ones too; other columns of the input are ignored.
+equal documents spread over ranges; a null doc_id is packed like any; a very long text is cut over many sequences; rows
+are packed one by one, repeated ones too; with no rows there are no pieces; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ from pyspark.sql import types as T
 
 from .scratch import written
 from .tokencount import ODD_SPACE, byte_symbols, vocabulary
+from .workers import kept
 
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, KEY_BITS = 3, 10
-#: Words and parts of words whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Bytes that a worker spends on remembered words, and on parts of words, before it starts anew; each entry counts ENTRY.
+REMEMBERED, ENTRY = 96 << 20, 160
+#: Bytes of ids in one range of the curve.
+RANGE_BYTES = 32 << 20
 #: Fixed value: how this vocabulary cuts lower-case text into parts.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -53,33 +57,37 @@ class WordIds(dict):
         self.symbols = {b: c for c, b in byte_symbols().items()}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
+        self.spent = self.spent_on_parts = 0
 
     def part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= REMEMBERED:
+            if self.spent_on_parts > REMEMBERED:
                 self.parts.clear()
+                self.spent_on_parts = 0
             symbols = part if part.isascii() else "".join(self.symbols[b] for b in part.encode())
             ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(symbols)], "<u2").tobytes()
+            self.spent_on_parts += ENTRY + 4 * len(part) + len(ids)
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if self.spent > REMEMBERED:
             self.clear()
+            self.spent = 0
         plain = word.isascii() or max(word) < "Ā"
         if plain and not any(s in word for s in self.special) and word.isprintable():
             ids = b"".join(map(self.part, PARTS.findall(word.lower())))
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
         self[word] = ids
+        self.spent += ENTRY + 4 * len(word) + len(ids)
         return ids
 
     def text(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.split() if not ODD_SPACE.search(text) else regex.findall(r"[^ \t\n\r\f\v]+", text)))
 
 
-@lru_cache(2)
 def ids_for(path: str) -> WordIds:
-    return WordIds(path)
+    return kept(("ids", path), lambda: WordIds(path))
 
 
 @lru_cache(1)
@@ -133,7 +141,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[
                 part = batch.slice(i, 256)
                 ids = [words.text(t or "") + end for t in part.column(1).to_pylist()]
                 keys = curve_keys([np.frombuffer(x, "<u2") for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "curve", "n", "ids"])
     finally:
         gc.enable()
 
@@ -189,11 +197,13 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, kind: pa.DataType) -
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece of a document. `length` is a power
-    of two. The ids are written before the range sort, so its sampling reads them and doesn't tokenize again."""
+    of two. The ids are written before the range sort, so its sampling reads them and doesn't tokenize again; the number
+    of ranges follows their size."""
     kind = dict(docs.dtypes)["doc_id"]
-    ids = docs.select("doc_id", "text").mapInArrow(lambda it: _tokenized(it, path), f"doc_id {kind}, curve long, ids binary")
+    ids = docs.select("doc_id", "text").mapInArrow(lambda it: _tokenized(it, path), f"doc_id {kind}, curve long, n long, ids binary")
     ids = written(ids, "token-ids")
-    partitions = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = ids.agg(F.sum("n")).first()[0] or 0
+    partitions = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     sorted_ = ids.repartitionByRange(partitions, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "ids")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     schema = T.StructType([T.StructField("doc_id", ids.schema["doc_id"].dataType), *T._parse_datatype_string(PIECES).fields])

@@ -1,11 +1,12 @@
 """Quality by weak supervision: rules vote good or bad or abstain, EM weighs them, the posterior decides.
 
-Each rule looks at counts of one text. The votes of a document form a pattern; there are at most 3^7 patterns, so the
+Each rule looks at counts of one text. The votes of a document form a pattern; there are at most 3^8 patterns, so the
 counts of patterns over all documents are a table of bounded size, and EM on it is EM on every document. What goes back
-to the documents is a sum of one weight per rule and vote.
+to the documents is a sum of one weight per rule and vote, and that sum alone decides beside the two base rules.
 
 Defined cases: a null or empty text has no words and fails the base rules; with no documents there are no rows; ties in
-the posterior (exactly 0.5) keep the document; repeated rows are judged alike; other input columns are ignored.
+the posterior (exactly 0.5) keep the document; repeated rows are judged alike; a very long text is one row of counts
+like any other; a null doc_id stays null; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,21 +22,19 @@ WS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Frequent short words of the four languages.
 COMMON = ("the", "and", "of", "to", "in", "is", "that", "for", "le", "la", "de", "et", "les", "des", "que", "der", "die", "und", "das", "ein", "von", "el", "los", "en", "y", "con")
-
-
-def _shifted(words: Column, by: int, n: Column) -> Column:
-    return F.slice(words, by + 1, F.greatest(n - 2, F.lit(0)))
+COMMON_WORD = rf"(?i)(?<![^\x20\x09-\x0D])(?:{'|'.join(COMMON)})(?![^\x20\x09-\x0D])"
 
 
 def counts(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per document the counts that rules look at; n_repeat_words are words inside three-word windows that occur twice or more.
 
-    Windows are sorted by (hash, words, position), so equal windows stand together whatever their hashes do."""
+    Windows are sorted by (hash, position), so equal windows stand side by side; neighbours are compared word by word."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda l: F.length(F.translate(l, WS, "")) > 0)
     a = docs.select(F.col(id).alias("doc_id"), t.alias("text"))
     a = a.select(
         "doc_id",
+        "text",
         F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ", -1), "").alias("words"),
         F.length(F.translate("text", WS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -44,15 +43,17 @@ def counts(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
         lines.alias("lines"),
     )
     n = F.size("words")
-    grams = F.arrays_zip(_shifted(F.col("words"), 0, n).alias("a"), _shifted(F.col("words"), 1, n).alias("b"), _shifted(F.col("words"), 2, n).alias("c"))
-    keyed = F.transform(grams, lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), x.alias("w"), i.alias("i")))
-    common = F.size(F.filter("words", lambda w: F.lower(w).isin(*COMMON)))
+    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.expr("cast(array() as array<int>)"))
+    keyed = F.transform(places, lambda i: F.struct(gram(F.col("words"), i).alias("h"), i.alias("i")))
     a = a.select(
         "doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_upper", "n_stops",
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        common.cast("long").alias("n_common"), F.sort_array(keyed).alias("s"),
+        F.regexp_count("text", F.lit(COMMON_WORD)).cast("long").alias("n_common"), "words", F.sort_array(keyed).alias("s"),
     )
-    same = lambda x, y: y.isNotNull() & (x["h"] == y["h"]) & (x["w"] == y["w"])
+    word = lambda x, by: F.get("words", x["i"] + by)
+    equal = lambda x, y: (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+    same = lambda x, y: (x["h"] == y["h"]) & equal(x, y)
     twice = F.filter("s", lambda x, i: same(x, F.get("s", i - 1)) | same(x, F.get("s", i + 1)))
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     covered = F.aggregate(
@@ -78,34 +79,34 @@ def votes() -> dict[str, Column]:
     return {
         "length": _vote(F.col("n_words") >= 80, F.col("n_words") < 50),
         "word_length": _vote(mean.between(3.5, 8.0), (mean < 2.5) | (mean > 11.0)),
-        "symbols": _vote(_share("n_symbols", "word_chars") < 0.01, _share("n_symbols", "word_chars") > 0.1),
+        "symbols": _vote(_share("n_symbols", "word_chars") < 0.01, _share("n_symbols", "word_chars") > 0.04),
         "lines": _vote(_share("n_dup_lines", "n_lines") < 0.1, _share("n_dup_lines", "n_lines") > 0.3),
-        "repeats": _vote(_share("n_repeat_words", "n_words") < 0.2, _share("n_repeat_words", "n_words") > 0.4),
-        "capitals": _vote(_share("n_upper", "word_chars") < 0.1, _share("n_upper", "word_chars") > 0.4),
-        "common": _vote(_share("n_common", "n_words") > 0.08, _share("n_common", "n_words") < 0.01),
+        "repeats": _vote(_share("n_repeat_words", "n_words") < 0.1, _share("n_repeat_words", "n_words") > 0.3),
+        "capitals": _vote(_share("n_upper", "word_chars") < 0.1, _share("n_upper", "word_chars") > 0.3),
+        "common": _vote(_share("n_common", "n_words") > 0.08, _share("n_common", "n_words") < 0.02),
+        "stops": _vote(_share("n_stops", "n_words").between(0.02, 0.4), _share("n_stops", "n_words") > 0.8),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
-    """EM over counted vote patterns (at most 3^7): the prior log odds of good, and by rule each vote's log likelihood ratio.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[dict[int, float]]]:
+    """EM over counted vote patterns (at most 3^8): the prior log odds of good, and by rule each vote's log likelihood ratio.
 
-    It starts from the majority of votes. A good vote never counts against a document nor a bad vote for it, and an
+    It starts from documents that no rule votes bad. A vote weighs what the two classes make of it, to either side; an
     abstention says nothing. Without patterns the prior is even and the votes have no weight."""
     rules = len(patterns[0][0]) if patterns else len(votes())
     total = sum(n for _, n in patterns)
-    good = [0.5 + 0.5 * math.tanh(sum(p)) * 0.9 for p, _ in patterns]
+    good = [0.05 if min(p) < 0 else 0.95 for p, _ in patterns]
     prior, weights = 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in range(rules)]
     for _ in range(rounds if total else 0):
         mass = sum(g * n for g, (_, n) in zip(good, patterns))
-        share = min(0.95, max(0.05, mass / total))
-        prior = math.log(share / (1 - share))
+        prior = math.log((mass + 1) / (total - mass + 1))
         for j in range(rules):
             for v in (-1, 1):
                 in_good = sum(g * n for g, (p, n) in zip(good, patterns) if p[j] == v)
                 in_bad = sum((1 - g) * n for g, (p, n) in zip(good, patterns) if p[j] == v)
-                ratio = math.log((in_good + 1) / (mass + 3)) - math.log((in_bad + 1) / (total - mass + 3))
-                weights[j][v] = min(4.0, max(0.0, ratio)) if v > 0 else max(-4.0, min(0.0, ratio))
-        good = [1 / (1 + math.exp(-(prior + sum(weights[j][v] for j, v in enumerate(p))))) for p, _ in patterns]
+                weights[j][v] = math.log((in_good + 1) / (mass + 3)) - math.log((in_bad + 1) / (total - mass + 3))
+        odds = [prior + sum(weights[j][v] for j, v in enumerate(p)) for p, _ in patterns]
+        good = [1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) for x in odds]
     return prior, weights
 
 
@@ -114,7 +115,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rules = votes()
     seen = written(counts(docs).withColumns({f"v_{k}": v for k, v in rules.items()}), "quality")
     names = [f"v_{k}" for k in rules]
-    rows = seen.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^7 rows
+    rows = seen.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^8 rows
     prior, weights = fit([(tuple(r[c] for c in names), r["n"]) for r in rows])
     odds = F.lit(prior)
     for c, w in zip(names, weights):

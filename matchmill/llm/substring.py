@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 from .words import Words, mix, passes
+from .workers import free
 
 SETTLED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,9 +82,10 @@ def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None) -> pa.Reco
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
+    free()
     for batch in batches:
         ids, keys, docs = batch.column(0).to_numpy(zero_copy_only=False), [], []
-        for i, words in passes(batch.column(1).to_pylist()):
+        for i, words in passes(batch.column(1)):
             at, _, anchor = anchors(words, length, seed)
             if not len(at):
                 continue
@@ -103,7 +105,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> I
         flat = seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         known = np.sort(flat ^ mix(np.repeat(np.arange(len(ids)), counts).astype(np.uint64)))
         keys, docs, places = [], [], []
-        for i, words in passes(batch.column(1).to_pylist()):
+        for i, words in passes(batch.column(1)):
             at, window, anchor = anchors(words, length, seed)
             if not len(at):
                 continue
@@ -121,7 +123,7 @@ def _without(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     """The words of each text that no removed window covers, joined by spaces."""
     for batch in batches:
         places = batch.column(2)
-        for i, words in passes(batch.column(1).to_pylist()):
+        for i, words in passes(batch.column(1)):
             n = len(words.first) - 1
             kept = []
             removed = np.zeros(n, np.int64)

@@ -19,16 +19,17 @@ import gc
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import kept
+
 CHUNK_CHARS = 1 << 16
-#: Words whose counts a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Bytes that a worker spends on remembered counts before it starts anew; each entry counts ENTRY.
+REMEMBERED, ENTRY = 128 << 20, 120
 #: Transducer states after which it is emptied and filled again.
 MOST_STATES = 250_000
 #: Fixed value: how this vocabulary cuts a text into words.
@@ -138,10 +139,13 @@ class Counts(dict):
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.spent = 0
 
     def __missing__(self, unit: str) -> int:
-        if len(self) >= REMEMBERED:
+        if self.spent > REMEMBERED:
             self.clear()
+            self.spent = 0
+        self.spent += ENTRY + 4 * len(unit)
         n = self[unit] = sum(self.transducer.count(w.encode("utf-8", "surrogatepass")) for w in WORDS.findall(unit))
         return n
 
@@ -186,9 +190,8 @@ def count_text(text: str, counts: Counts, chunk: int = CHUNK_CHARS) -> int:
     return total
 
 
-@lru_cache(2)
 def counts_for(path: str) -> Counts:
-    return Counts(Transducer(path))
+    return kept(("counts", path), lambda: Counts(Transducer(path)))
 
 
 def vocabulary(name: str) -> str:

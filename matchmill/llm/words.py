@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -68,15 +70,12 @@ class Words:
         return mix(h), at
 
 
-def passes(texts: list[str | None], lower: bool = False) -> Iterator[tuple[int, Words]]:
+def passes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Words]]:
     """The words of texts, a bounded number of bytes at a time: the first text's index, and the words."""
-    i = 0
+    i, sizes = 0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     while i < len(texts):
-        parts, size, j = [], 0, i
-        while j < len(texts) and (not parts or size < PASS_BYTES):
-            parts.append((texts[j] or "").encode("utf-8", "surrogatepass"))
-            size += len(parts[-1])
-            j += 1
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + PASS_BYTES)))
+        parts = [t or b"" for t in texts.slice(i, j - i).cast(pa.binary()).to_pylist()]
         blob = b"\n".join(parts)
         if lower:
             blob = blob.translate(LOWER)

@@ -116,8 +116,8 @@ def test_mixing(docs, none):
 
 def test_quota_tree():
     counts = rng.integers(0, 50, 21)
-    q = mixing.split_quota(counts, 200, 7)
-    assert q.sum() == 200 and (q <= counts).all() and (q == mixing.split_quota(counts, 200, 7)).all()
+    q = mixing.split_quota(counts, 200, (7,))
+    assert q.sum() == 200 and (q <= counts).all() and (q == mixing.split_quota(counts, 200, (7,))).all()
 
 
 def test_tokens(docs, none):
