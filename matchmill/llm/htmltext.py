@@ -6,8 +6,9 @@ paths from a share of the spread of the page's scores on are content. Tags and c
 boilerplate element around a path divides it, unless that element holds most of the page's text, and article or main add
 to it. A heading goes with the content of its section, and lists, tables and the like with the content blocks around them.
 
-Defined cases: a null or empty page gives the empty text; unclosed and stray tags are tolerated; pages are handled one by
-one, so repeated rows and null ids stay as they are; other columns of the input are ignored.
+Defined cases: a null or empty page gives the empty text; unclosed and stray tags are tolerated, and only an unclosed
+script or style takes the rest of the page with it; paths of equal score are chosen alike; a very long page is read in
+one pass; pages are handled one by one, so repeated rows and null ids stay as they are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 
 #: Tags by what they do, and what names mark boilerplate.
 RAW = "script|style|noscript|template|svg|iframe|textarea|select|title"
+#: Of these an unclosed one is a tag without content, and what follows it is read.
+CLOSED = re.compile(r"<(/?)(noscript|template|svg|iframe|textarea|select|title)\b", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -44,6 +47,16 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 INNER = HEADING | frozenset("p br hr ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption center address".split())
 
 
+def _unclosed_named(page: str) -> str:
+    """The page with tags of CLOSED that nothing closes under names that mean nothing, found in one pass."""
+    last: dict[str, int] = {}
+    tags = [(m[2].lower(), m.start(), bool(m[1])) for m in CLOSED.finditer(page)]
+    last.update((tag, at) for tag, at, close in tags if close)
+    if all(close or at < last.get(tag, -1) for tag, at, close in tags):
+        return page
+    return CLOSED.sub(lambda m: m[0] if m[1] or m.start() < last.get(m[2].lower(), -1) else f"<x-{m[2]}", page)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
     """(path, numbers of the boilerplate elements around it, text) of each block of text in page order."""
     out: list[tuple[tuple[str, ...], tuple[int, ...], str]] = []
@@ -59,7 +72,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
                 path = tuple(t for t, _ in open_ if t in BLOCK)
                 out.append((path, open_[-1][1] if open_ else (), whole))
 
-    for m in TOKEN.finditer(page):
+    for m in TOKEN.finditer(_unclosed_named(page)):
         kind = m.lastgroup
         if kind == "text":
             text.append(m["text"])

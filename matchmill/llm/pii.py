@@ -3,8 +3,12 @@
 Everything is a column expression. A pattern's matches and the text between them come from one `regexp_extract_all` and
 one `split`; a fold over both gives each match its code-point offsets, so no text is walked twice per match.
 
-Defined cases: a null or empty text has no spans; kinds may overlap each other but not themselves; rows are never
-dropped or merged, so repeated rows give repeated results; other columns of the input are ignored.
+The four base kinds stay whatever their score. Of the others a match stays from LEAST_SCORE on: an account number by its
+checksum alone, a key or a social security number, whose checks prove little, only near a word of its context.
+
+Defined cases: a null or empty text has no spans; kinds may overlap each other but not themselves; a very long text is
+walked once per kind that its characters allow; rows are never dropped or merged, so repeated rows give repeated results
+and a null doc_id stays null; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Words that make a kind more likely when they stand just before it.
@@ -29,9 +35,12 @@ CONTEXT = {
     "card": "card|visa|credit|payment|karte|tarjeta|carte",
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|konto|compte|cuenta",
+    "secret": "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential",
+    "ssn": "ssn|social.security",
 }
-#: A pattern's own score, what its checksum adds, what a context word adds; the least score that is kept.
-PATTERN_SCORE, CHECKSUM_SCORE, CONTEXT_SCORE, LEAST_SCORE = 0.5, 0.3, 0.2, 0.75
+#: A pattern's own score, what its check adds, what a context word adds; the least score that is kept.
+PATTERN_SCORE, CONTEXT_SCORE, LEAST_SCORE = 0.5, 0.2, 0.75
+CHECK_SCORE = {"email": 0.0, "ip": 0.3, "card": 0.3, "phone": 0.0, "iban": 0.3, "secret": 0.1, "ssn": 0.1}
 CONTEXT_CHARS = 40
 
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
@@ -64,22 +73,33 @@ def confirmed(kind: str, found: Column) -> Column:
         return luhn(F.regexp_replace(found, "[ -]", ""))
     if kind == "phone":
         return F.length(F.regexp_replace(found, "[^0-9]", "")).between(8, 15)
-    return mod97(found) if kind == "iban" else F.lit(True)
+    if kind == "iban":
+        return mod97(F.regexp_replace(found, " ", ""))
+    if kind == "secret":  # digits among letters, and not one letter or digit again and again
+        return found.rlike("[0-9].*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]") & (F.length(F.regexp_replace(found, r"(.)(?=.*\1)", "")) >= 8)
+    if kind == "ssn":
+        return ~found.rlike("^(?:000|666|9)|-00-|-0000$")
+    return F.lit(True)
+
+
+def _score(kind: str, gap: Column) -> Column:
+    """The score of a confirmed match from the text between it and the one before: whether a context word is near."""
+    base = PATTERN_SCORE + CHECK_SCORE[kind]
+    near = F.lower(F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS)).rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})")
+    return F.when(near, F.lit(base + CONTEXT_SCORE)).otherwise(F.lit(base))
 
 
 def spans_of(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind in order, with scores; offsets count code points, the end is exclusive."""
     pattern = PATTERNS[kind]
-    guard = F.contains(text, F.lit({"email": "@", "phone": "+"}[kind])) if kind in ("email", "phone") else text.rlike("[0-9]")
+    guard = F.contains(text, F.lit({"email": "@", "phone": "+"}[kind])) if kind in ("email", "phone") else text.rlike(pattern if kind in ("iban", "secret", "ssn") else "[0-9]")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     walk = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    base = PATTERN_SCORE + CHECKSUM_SCORE * (kind != "email" and kind != "phone")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(F.coalesce(x["m"], F.lit("")))
-        near = F.lower(F.substring(x["gap"], -CONTEXT_CHARS, CONTEXT_CHARS)).rlike(f"(?:^|[^a-z])(?:{CONTEXT[kind]})")
-        score = F.when(near, F.lit(base + CONTEXT_SCORE)).otherwise(F.lit(base))
+        score = _score(kind, x["gap"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
         keep = x["m"].isNotNull() & confirmed(kind, x["m"])
         if kind not in BASE:
@@ -103,16 +123,21 @@ def _joined(*kinds: str) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a hash of their spans, and all spans as text."""
+    """Counts of the base kinds, a hash of their spans, all spans as text, and counts of the others and in all, with the
+    scores of the spans in the same order."""
     found = find(docs)
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined(*BASE), 256).alias("base_sha256"), _joined(*PATTERNS).alias("spans"))
+    counts = {k: F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS}
+    scores = F.array_join(F.transform(F.concat(*PATTERNS), lambda s: F.format_number(s["score"], 1)), ",")
+    every = sum((F.size(k) for k in PATTERNS), F.lit(0)).cast("long").alias("n_spans")
+    more = [counts[k] for k in PATTERNS if k not in BASE]
+    return found.select("doc_id", *(counts[k] for k in BASE), F.sha2(_joined(*BASE), 256).alias("base_sha256"), _joined(*PATTERNS).alias("spans"), scores.alias("scores"), *more, every)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with every email, ip, card, phone and account number that a pattern proposes and its check confirms replaced by its kind in angle brackets.
+    """`docs` with every span that digest() gives replaced by its kind in angle brackets.
 
-    The text is cut at the pattern's matches and joined again, kind by kind, so later kinds see the earlier replacements."""
+    The text is cut at the pattern's matches and joined again, kind by kind, so later kinds see the earlier replacements;
+    a kind's context word has to stand in the same gap, as when spans are found."""
     out = docs
     for kind in PATTERNS:
         out = out.withColumn(text, _replaced(F.col(text), kind))
@@ -123,6 +148,9 @@ def _replaced(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
 
     def part(gap: Column, m: Column) -> Column:
-        return F.concat(gap, F.when(m.isNull(), F.lit("")).when(confirmed(kind, m), F.lit(f"<{kind}>")).otherwise(m))
+        keep = confirmed(kind, m)
+        if kind not in BASE:
+            keep &= _score(kind, gap) >= LEAST_SCORE
+        return F.concat(gap, F.when(m.isNull(), F.lit("")).when(keep, F.lit(f"<{kind}>")).otherwise(m))
 
     return F.array_join(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), part), "")

@@ -39,32 +39,39 @@ SELECT doc_id,
 FROM t
 """
 
-#: RE2 forms of the patterns; a span is cut out by splitting at the matches, as positions aren't given.
+#: RE2 forms of the patterns; a span is cut out by splitting at the matches, as positions aren't given. g[i] is the text
+#: before match m[i], whose end holds the context words.
 _KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
     "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(m, '.'), lambda p: least(TRY_CAST(p AS HUGEINT), 256))) <= 255"),
     "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(regexp_replace(m, '[ -]', '', 'g')) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, 21), lambda i: CASE WHEN i % 2 = 0 THEN TRY_CAST(lpad(regexp_replace(m, '[ -]', '', 'g'), 20, '0')[i] AS INT) ELSE (2 * TRY_CAST(lpad(regexp_replace(m, '[ -]', '', 'g'), 20, '0')[i] AS INT)) // 10 + (2 * TRY_CAST(lpad(regexp_replace(m, '[ -]', '', 'g'), 20, '0')[i] AS INT)) % 10 END)) % 10 = 0"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"),
-    "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(m[5:] || m[:4], ''), lambda c: CASE WHEN c >= 'A' THEN CAST(unicode(c) - 55 AS VARCHAR) ELSE c END), ''), ''), lambda c: CAST(c AS INT))), lambda r, c: (r * 10 + c) % 97) = 1"),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''), lambda c: CASE WHEN c >= 'A' THEN CAST(unicode(c) - 55 AS VARCHAR) ELSE c END), ''), ''), lambda c: CAST(c AS INT))), lambda r, c: (r * 10 + c) % 97) = 1"),
+    "secret": (r"[A-Za-z0-9+/_=-]{20,}", "regexp_matches(m, '[0-9].*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]') AND len(list_distinct(string_split(m, ''))) >= 8 AND score >= 0.75"),
+    "ssn": (r"[0-9]+(?:-[0-9]*)*", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND before <> '-' AND score >= 0.75"),
 }
 
 
 def _pii_sql() -> str:
     ok = " ".join(f"WHEN kind = '{k}' THEN {c}" for k, (_, c) in _KINDS.items())
     every = " UNION ALL ".join(
-        f"""SELECT doc_id, {at} AS k, '{kind}' AS kind, m[i] AS m,
+        f"""SELECT doc_id, {at} AS k, '{kind}' AS kind, m[i] AS m, right(g[i], 1) AS before,
+      {pii.PATTERN_SCORE + pii.CHECK_SCORE[kind]} + CASE WHEN regexp_matches(lower(right(g[i], 40)), '(?:^|[^a-z])(?:{pii.CONTEXT[kind]})') THEN 0.2 ELSE 0 END AS score,
       list_sum(list_transform(range(1, i + 1), lambda j: length(g[j]))) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(m[j]))), 0) AS s
     FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM docs)"""
         for at, (kind, (pattern, _)) in enumerate(_KINDS.items())
     )
+    count = lambda k: f"coalesce(n_{k}, 0) AS n_{k}"
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS (SELECT doc_id, k, kind, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span FROM ({every}) WHERE CASE {ok} END),
+spans AS (SELECT doc_id, k, kind, s, score, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span FROM ({every}) WHERE CASE {ok} END),
 per AS (
-  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)},
-         string_agg(span, ',' ORDER BY k, s) FILTER (k < 4) AS base, string_agg(span, ',' ORDER BY k, s) AS spans
+  SELECT doc_id, count(*) AS n_spans, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.PATTERNS)},
+         string_agg(span, ',' ORDER BY k, s) FILTER (k < 4) AS base, string_agg(span, ',' ORDER BY k, s) AS spans,
+         string_agg(printf('%.1f', CAST(score AS DOUBLE)), ',' ORDER BY k, s) AS scores
   FROM spans GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, {", ".join(count(k) for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(scores, '') AS scores, {", ".join(count(k) for k in pii.PATTERNS if k not in pii.BASE)}, coalesce(n_spans, 0) AS n_spans
 FROM docs d LEFT JOIN per USING (doc_id)
 """
 

@@ -1,4 +1,4 @@
-"""Substring dedup by seed and extend: winnowed anchors are the seeds, verified windows extend them to maximal repeats.
+"""Substring dedup by seed and extend: winnowed anchors are the seeds, matching windows extend them to maximal repeats.
 
 A window is `length` consecutive words. Of its runs of `seed` words the one with the least hash is its anchor, so equal
 windows have equal anchors, wherever they stand, and a repeat of `length` words or more shares at least one.
@@ -9,10 +9,12 @@ windows have equal anchors, wherever they stand, and a repeat of `length` words
 
 No pairs are made: an anchor or window is compared with the smallest doc_id that holds it. What many documents of one
 batch share is settled there, and one row of the batch stands for them in the shuffle, so a passage in a third of all
-documents is a group of as many rows as there are batches.
+documents is a group of as many rows as there are batches. Anchors are 64-bit hashes, as a seed too many does no harm;
+windows are matched by two hashes of 64 bits each, so even 1e13 windows hold a false match with a probability of 1e-13.
 
 Defined cases: null or empty texts have no words; repeats inside one document stay; rows that repeat a doc_id don't
-remove each other; a null doc_id neither gives nor loses words; other columns of the input are ignored.
+remove each other; a null doc_id neither gives nor loses words; of documents that share a window the smallest doc_id keeps
+it; a very long text is read in one pass of numpy; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,24 +43,25 @@ def _sliding(x: np.ndarray, n: int, f: Callable) -> np.ndarray:
     return x
 
 
-def anchors(words: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window its place, its hash, and its anchor's hash."""
+def anchors(words: Words, length: int, seed: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window its place, its hash, its anchor's hash, and another hash if asked for."""
     h = words.hashes()
     window, at = words.windows(length, h)
     if not len(at):
-        return at, window, window
+        return at, window, window, window
+    other = words.windows(length, mix(h ^ SETTLED), 64)[0] if second else window
     runs = np.zeros(len(h), np.uint64)
     got, place = words.windows(seed, h)
     runs[place] = got
-    return at, window, _sliding(runs, length - seed + 1, np.minimum)[at]
+    return at, window, _sliding(runs, length - seed + 1, np.minimum)[at], other
 
 
-def _settle(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key and doc; whether the row's doc is the smallest of its key here; whether the key has another doc here."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
+def _settle(key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by keys and doc; whether the row's doc is the smallest of its keys here; whether they have another doc here."""
+    order = np.lexsort((doc, other, key))
+    k, o, d = key[order], other[order], doc[order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
     begin = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     first = d == d[begin][group]
@@ -67,10 +70,10 @@ def _settle(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, first, several[group]
 
 
-def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None) -> pa.RecordBatch:
+def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None, other: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of one batch. settled 0: only one document here; 1: the smallest of several; 2: one of the others, sent
     anywhere as its case is decided. own is the key where route isn't."""
-    order, first, several = _settle(key, doc)
+    order, first, several = _settle(key, key if other is None else other, doc)
     k, d = key[order], doc[order]
     settled = np.where(~several, 0, np.where(first, 1, 2)).astype(np.int8)
     other = settled == 2
@@ -78,7 +81,7 @@ def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None) -> pa.Reco
     arrays = [pa.array(route.view(np.int64)), pa.array(d), pa.array(settled)]
     if pos is None:
         return pa.RecordBatch.from_arrays([*arrays, pa.array(np.where(other, k, np.uint64(0)).view(np.int64))], ["route", "doc_id", "settled", "own"])
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(pos[order].astype(np.int32))], ["route", "doc_id", "settled", "pos"])
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(pos[order].astype(np.int32)), pa.array(other[order].view(np.int64))], ["route", "doc_id", "settled", "pos", "check"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -86,7 +89,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> I
     for batch in batches:
         ids, keys, docs = batch.column(0).to_numpy(zero_copy_only=False), [], []
         for i, words in passes(batch.column(1)):
-            at, _, anchor = anchors(words, length, seed)
+            at, _, anchor, _ = anchors(words, length, seed)
             if not len(at):
                 continue
             doc = ids[i + np.searchsorted(words.first, at, "right") - 1]
@@ -104,9 +107,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> I
         counts = np.diff(seeds.offsets.to_numpy())
         flat = seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         known = np.sort(flat ^ mix(np.repeat(np.arange(len(ids)), counts).astype(np.uint64)))
-        keys, docs, places = [], [], []
+        keys, docs, places, others = [], [], [], []
         for i, words in passes(batch.column(1)):
-            at, window, anchor = anchors(words, length, seed)
+            at, window, anchor, check = anchors(words, length, seed, True)
             if not len(at):
                 continue
             row = i + np.searchsorted(words.first, at, "right") - 1
@@ -115,8 +118,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> I
             keys.append(window[hit])
             docs.append(ids[row[hit]])
             places.append((at - words.first[row - i])[hit])
+            others.append(check[hit])
         if keys:
-            yield _routed(np.concatenate(keys), np.concatenate(docs), np.concatenate(places))
+            yield _routed(np.concatenate(keys), np.concatenate(docs), np.concatenate(places), np.concatenate(others))
 
 
 def _without(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -160,8 +164,8 @@ def repeats(docs: DataFrame, length: int = 13, seed: int = 7) -> DataFrame:
     held = rows.withColumns({"lo": F.min("doc_id").over(by), "hi": F.max("doc_id").over(by), "most": F.max("settled").over(by)})
     seeds = held.filter("lo < hi OR most > 0").select("doc_id", F.when(F.col("settled") == 2, F.col("own")).otherwise(F.col("route")).alias("anchor"))
     seeds = written(seeds.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "seeds")
-    near = texts.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(lambda it: _window_rows(it, length, seed), "route long, doc_id long, settled byte, pos int")
-    found = near.withColumn("lo", F.min("doc_id").over(by)).filter("lo < doc_id OR settled = 2")
+    near = texts.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(lambda it: _window_rows(it, length, seed), "route long, doc_id long, settled byte, pos int, check long")
+    found = near.withColumn("lo", F.min("doc_id").over(Window.partitionBy("route", "check"))).filter("lo < doc_id OR settled = 2")
     return found.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
 
 

@@ -59,13 +59,14 @@ class Words:
         total = np.add.reduceat(byte * factors(int(n.max()))[place], begin)
         return mix(total + n.astype(np.uint64))
 
-    def windows(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash for each place at which k words of one text start, and the hash's own place there; others are left out."""
+    def windows(self, k: int, hashes: np.ndarray, other: int = 7) -> tuple[np.ndarray, np.ndarray]:
+        """A hash for each place at which k words of one text start, and the hash's own place there; others are left out.
+        Another number in `other` gives another hash."""
         at = np.arange(max(0, len(hashes) - k + 1))
         text = np.searchsorted(self.first, at, "right") - 1
         at = at[at + k <= self.first[text + 1]]
         h = np.zeros(len(at), np.uint64)
-        for j, f in enumerate(factors(k + 7)[7:]):
+        for j, f in enumerate(factors(k + other)[other:]):
             h += hashes[at + j] * f
         return mix(h), at
 

@@ -136,16 +136,21 @@ def test_tokens(docs, none):
     assert tokencount.token_counts(none).count() == 0
 
 
+def pack_length(library, t):
+    return len(library.encode(t, add_special_tokens=False).ids) + 1
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokencount.vocabulary("word_bpe_49k.json"))
-    rows = packing.pack(docs.filter("doc_id <> 6")).collect()
+    rows = packing.pack(docs.filter("doc_id <> 6 OR doc_id IS NULL")).collect()
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
         sequences.setdefault(r["sequence_id"], []).append(r)
-    for i, t in enumerate(TEXTS):
+    assert sum(r["length"] for r in packing.pack(docs.filter("doc_id = 6")).collect()) == 2 * pack_length(library, TEXTS[6])
+    for i, t in [*enumerate(TEXTS), (None, BASE)]:
         if i == 6:
             continue
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
@@ -169,15 +174,47 @@ def test_packing(docs, none):
 
 def test_language_gradients():
     p = {k: v.astype(np.float64) for k, v in langid.initial(3).items()}
-    x, n, owner = langid.segments([b"hello", b"a long word of more bytes than a row", b"x"])
-    y = np.array([0, 1, 2])[owner]
-    _, g = langid.gradients(p, x, n, y)
+    x, reach = langid.side_by_side([b"a long row of bytes", b"hello", b"x"])
+    y = np.array([0, 1, 2])
+    _, g = langid.gradients(p, x, reach, y)
     for k in p:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         up, down = ({a: b.copy() for a, b in p.items()} for _ in range(2))
         up[k][i] += 1e-4
         down[k][i] -= 1e-4
-        assert abs(g[k][i] - (langid.gradients(up, x, n, y)[0] - langid.gradients(down, x, n, y)[0]) / 2e-4) < 1e-3
+        assert abs(g[k][i] - (langid.gradients(up, x, reach, y)[0] - langid.gradients(down, x, reach, y)[0]) / 2e-4) < 1e-3
+
+
+def test_language_pooling():
+    """Pooled probabilities against the network read byte by byte over the whole text: equal up to one span, near beyond."""
+    import pyarrow as pa
+
+    p = langid.initial(3, seed=4)
+
+    def plain(text):
+        def states(d, raw):
+            h, out = np.zeros(langid.HIDDEN), []
+            for byte in raw:
+                a, b = p[f"{d}x"][byte] + p[f"{d}c"], h @ p[f"{d}h"]
+                curve = lambda v: v / (1 + abs(v))
+                k = langid.HIDDEN
+                z, r = (0.5 + 0.5 * curve(a[i * k : i * k + k] + b[i * k : i * k + k]) for i in (0, 1))
+                n = curve(a[2 * k :] + r * b[2 * k :])
+                h = n + z * (h - n)
+                out.append(h)
+            return out
+
+        raw = text.encode()
+        both = [np.concatenate(x) for x in zip(states("f", raw), states("b", raw[::-1])[::-1])]
+        q = [np.exp(s @ p["o"] + p["ob"]) for s in both]
+        return np.mean([x / x.sum() for x in q], 0)
+
+    texts = ["", "hello there", "é\U0001f600", "日本語の文章" * 20, *(" ".join(rng.choice(VOCABULARY, n)) for n in (20, 60, 500))]
+    got = langid.pool(p, pa.array([*texts, None]))
+    for t, g in zip(texts, got):
+        if t:
+            assert np.abs(g - plain(t)).max() < (1e-5 if len(t.encode()) <= langid.SPAN else 5e-3)
+    assert not got[0].any() and not got[-1].any()
 
 
 def test_language(spark, docs, none):
@@ -264,3 +301,65 @@ def test_pipeline(spark, docs, tmp_path):
             root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
     assert seen[2] == {i for i in root if root[i] == i} and seen[3] <= seen[2]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()} == seen[3]
+
+
+def test_html_unclosed():
+    """An unclosed raw element other than a script or style loses nothing that follows; many of them cost no more each."""
+    long = "Long running text of the page, with commas, and more. " * 6
+    for tag in ("svg", "title", "select", "noscript", "template"):
+        assert htmltext.main_text(f"<{tag}><article><h1>Head</h1><p>{long}</p></article>") == f"Head\n{long.strip()}"
+    assert htmltext.main_text(f"<article><p>{long}</p></article><script>var a = '<p>no</p>';") == long.strip()
+    assert long.strip() in htmltext.main_text("<svg>" * 20000 + f"<article><p>{long}</p></article>")
+
+
+def test_html_rows(spark):
+    """Repeated rows, clashing columns and a very long page."""
+    page = "<article>" + "<p>Some text of the page, and more of it.</p>" * 20000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", page, "x", 5), (1, "u", page, "y", 6)], "page_id long, url string, html string, text string, n_chars long")
+    out = htmltext.extract(rows).collect()
+    assert [r["text"].count("\n") for r in out] == [19999] * 2 and out[0] == out[1]
+
+
+def test_hypergeometric():
+    """The own sampler follows numpy's law where numpy has one, and the exact moments beyond."""
+    r = np.random.default_rng(3)
+    for left, right, q in ((50, 70, 30), (5000, 300, 1000), (10, 10, 19), (3, 10**5, 50000)):
+        want = r.hypergeometric(left, right, q, 20000)
+        limit, mixing.NUMPY_DRAWS = mixing.NUMPY_DRAWS, 0
+        got = np.array([mixing.hypergeometric(r, left, right, q) for _ in range(20000)])
+        mixing.NUMPY_DRAWS = limit
+        values = np.unique(np.concatenate((want, got)))
+        a, b = (np.array([(x <= v).mean() for v in values]) for x in (want, got))
+        assert np.abs(a - b).max() < 0.02
+    big = np.array([mixing.hypergeometric(r, 3 * 10**13, 10**13, 10**13) for _ in range(2000)], float)
+    sd = (1e13 * 0.75 * 0.25 * 0.75) ** 0.5
+    assert abs(big.mean() - 7.5e12) < 5 * sd / 2000**0.5 and abs(big.std() / sd - 1) < 0.1
+
+
+def test_quota_levels(spark):
+    """Quotas of three thousand shards, split in two levels, add up and fit."""
+    rows = [(s, i, 5000, int(rng.integers(1, 9))) for s in (1, -2) for i in range(3000)]
+    held = spark.createDataFrame(rows, "source_key long, shard int, quota long, words long")
+    got = {(r["source_key"], r["shard"]): r["shard_quota"] for r in mixing.quotas_of(held, 4096).collect()}
+    words = {(s, i): w for s, i, _, w in rows}
+    assert got.keys() == words.keys() and all(0 <= got[k] <= words[k] for k in got)
+    assert all(sum(v for k, v in got.items() if k[0] == s) == 5000 for s in (1, -2))
+
+
+def test_rows_that_share_an_id(spark):
+    """Exact and near dedup drop rows, not ids."""
+    from matchmill.llm import blocknames
+
+    rows = [(3, "hello a", "x"), (5, "hello a", "y"), (5, "unique b", "z"), (None, "hello  a", "n"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = sorted((r["text"] or "", r["row"]) for r in blocknames.deduplicated(docs).collect())
+    assert [t for t, _ in kept] == ["", "hello  a", "unique b"]  # the longest of the equal ones
+    near = [(1, BASE, "a"), (2, BASE, "b"), (2, "other words of its own", "c"), (None, BASE, "d"), (None, "", "e")]
+    got = hyperminhash.deduplicated(spark.createDataFrame(near, "doc_id long, text string, row string")).collect()
+    assert sorted(r["row"] for r in got) == ["a", "c", "e"]
+
+
+def test_mix_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * 50, "s", "r", "f", i) for i in range(8)], "doc_id long, text string, source string, row string, full string, drawn long")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and all((r["row"], r["full"], r["drawn"]) == ("r", "f", r["doc_id"]) for r in out.collect())
