@@ -76,11 +76,11 @@ def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None, other: np.
     order, first, several = _settle(key, key if other is None else other, doc)
     k, d = key[order], doc[order]
     settled = np.where(~several, 0, np.where(first, 1, 2)).astype(np.int8)
-    other = settled == 2
-    route = np.where(other, mix(k ^ mix(d.astype(np.uint64) ^ SETTLED)), k)
+    moved = settled == 2
+    route = np.where(moved, mix(k ^ mix(d.astype(np.uint64) ^ SETTLED)), k)
     arrays = [pa.array(route.view(np.int64)), pa.array(d), pa.array(settled)]
     if pos is None:
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.where(other, k, np.uint64(0)).view(np.int64))], ["route", "doc_id", "settled", "own"])
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.where(moved, k, np.uint64(0)).view(np.int64))], ["route", "doc_id", "settled", "own"])
     return pa.RecordBatch.from_arrays([*arrays, pa.array(pos[order].astype(np.int32)), pa.array(other[order].view(np.int64))], ["route", "doc_id", "settled", "pos", "check"])
 
 
