@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchmill.functions.semantics import half_up, normalize_name
@@ -44,15 +44,16 @@ def updated_legs(df: DataFrame, home_goals: Column, away_goals: Column) -> DataF
 
 def merged_meetings(lists: list[DataFrame], key: str, n: int = 8) -> DataFrame:
     """The last n different meetings (key, day, home, away, score) of several lists, earlier lists first: one array per key.
-    The repeats go in a pre-aggregated minimum; what is gathered per key is the meetings of one pair of teams."""
+    The repeats go in a pre-aggregated minimum, and only the last n of a key are gathered."""
     every = lists[0].withColumn("from", F.lit(0))
     for i, more in enumerate(lists[1:], 1):
         every = every.unionByName(more.withColumn("from", F.lit(i)), allowMissingColumns=True)
     same = [key, "day", "home", "away", "score"]
     rest = [c for c in every.columns if c not in (*same, "from")]
     first = every.groupBy(*same).agg(F.min(F.struct("from", *rest)).alias("x")).select(*same, *(F.col(f"x.{c}") for c in rest))
-    in_order = F.sort_array(F.collect_list(F.struct("day", "home", "away", "score", *rest)))
-    return first.groupBy(key).agg(in_order.alias("all")).select(key, F.slice("all", F.greatest(F.size("all") - (n - 1), F.lit(1)), F.lit(n)).alias("meetings"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in ("day", "home", "away", "score"))))
+    last = first.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("day", "home", "away", "score", *rest))).alias("meetings"))
 
 
 def rivalry(home: Column, away: Column, home_country: Column, away_country: Column) -> Column:
@@ -131,5 +132,5 @@ def form_modifier(form: Column) -> Column:
 def bias_shift(reviews: DataFrame, n: int = 80, least: int = 10) -> DataFrame:
     """One row: half the mean goal error of the newest n reviews, within bounds; 0 for fewer than `least`."""
     last = reviews.orderBy(F.desc("match_date"), F.desc("match_id")).limit(n)
-    mean = F.greatest(F.lit(-0.25), F.least(F.lit(0.25), F.avg(-F.col("goal_bias"))))
+    mean = F.greatest(F.lit(-0.25), F.least(F.lit(0.25), F.avg("goal_bias")))
     return last.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, mean * 0.5).otherwise(0.0).alias("shift"))

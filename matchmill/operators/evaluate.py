@@ -5,37 +5,112 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchmill.functions.semantics import half_up, outcome
+from matchmill.functions.semantics import outcome, to_fixed
+
+SIGNALS = ("clubelo_misread", "open_lineups", "weather_risk", "rest_gap", "h2h_signal", "market_misread", "low_model_agreement")
+
+
+def likeliest(home: Column, draw: Column, away: Column) -> Column:
+    """The outcome by probability; the home side wins ties, then the away side."""
+    h, d, a = (F.coalesce(x, F.lit(0.0)) for x in (home, draw, away))
+    return F.when((h >= d) & (h >= a), "H").when((a >= d) & (a >= h), "A").otherwise("D")
 
 
 def reviews(m: DataFrame) -> DataFrame:
-    """One row per scored match with hits, errors, biases and the reasons of a wrong outcome."""
+    """One row per finished match with a score and a prediction. Biases are what came less what was predicted; the
+    signals name what may have misled a wrong outcome. Read are the goals, the prediction's goals and probabilities, and
+    elo_diff, lineups_confirmed, weather_risk, rest_diff, h2h_results, market_over_diff and agreement."""
     h, a, ph, pa = (F.col(c) for c in ("home_goals", "away_goals", "pred_home_goals", "pred_away_goals"))
-    out = m.filter(h.isNotNull()).withColumns({"actual": outcome(h, a), "predicted": outcome(ph, pa)})
+    out = m.filter((F.upper("status") == "FT") & h.isNotNull() & a.isNotNull() & ph.isNotNull() & pa.isNotNull())
+    out = out.withColumns({"actual": outcome(h, a), "predicted": outcome(ph, pa), "likeliest": likeliest(F.col("home_prob"), F.col("draw_prob"), F.col("away_prob"))})
     out = out.withColumns({
-        "outcome_hit": F.col("actual") == F.col("predicted"), "exact_hit": (h == ph) & (a == pa),
-        "goal_error": F.abs(h - ph) + F.abs(a - pa), "goal_bias": ph + pa - h - a, "home_bias": ph - h, "away_bias": pa - a,
+        "outcome_hit": F.col("actual") == F.col("predicted"), "probability_hit": F.col("actual") == F.col("likeliest"), "exact_hit": (h == ph) & (a == pa),
+        "goal_error": F.abs(h - ph) + F.abs(a - pa), "goal_bias": h + a - ph - pa, "home_bias": h - ph, "away_bias": a - pa,
     })
-    rules = {"draw_missed": F.col("actual") == "D", "home_overrated": (F.col("predicted") == "H") & (F.col("actual") == "A"), "away_overrated": (F.col("predicted") == "A") & (F.col("actual") == "H"), "goals_underestimated": F.col("goal_bias") <= -2, "goals_overestimated": F.col("goal_bias") >= 2}
-    signals = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda s: s.isNotNull())
+    num = lambda c: F.abs(F.coalesce(F.col(c), F.lit(0.0)))
+    rules = (
+        num("elo_diff") >= 80, ~F.coalesce(F.col("lineups_confirmed"), F.lit(False)), F.col("weather_risk") == "high", num("rest_diff") >= 2,
+        F.col("h2h_results") >= 3, num("market_over_diff") >= 0.45, F.coalesce(F.col("agreement"), F.lit(0.0)) < 0.45,
+    )
+    signals = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in zip(SIGNALS, rules))), lambda s: s.isNotNull())
     return out.withColumn("signals", F.when(F.col("outcome_hit"), F.array().cast("array<string>")).otherwise(signals))
 
 
-def rate(c: str) -> Column:
-    return F.avg(F.when(F.col(c), F.lit(1.0)).otherwise(F.lit(0.0)))
+def rate(hits: Column, n: Column, digits: int = 2) -> Column:
+    return to_fixed(hits / n, digits)
 
 
-def reliability(r: DataFrame, key: str, dampened: Column | None = None) -> DataFrame:
-    """Per key the share of right outcomes and scores, the mean goal error, and a score from them."""
-    g = r.filter(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.count(F.lit(1)).alias("matches"), rate("outcome_hit").alias("h"), rate("exact_hit").alias("x"), F.avg("goal_error").alias("e"))
-    score = 0.68 * F.col("h") + 0.22 * F.col("x") + 0.1 * F.greatest(F.lit(0.0), 1 - F.col("e") / 4)
-    if dampened is not None:
-        score = F.when(dampened, score * 0.96).otherwise(score)
-    return g.select(key, "matches", half_up(F.col("h"), 4).alias("hit_rate"), half_up(F.col("x"), 4).alias("exact_rate"), half_up(F.col("e"), 4).alias("avg_goal_error"), half_up(score, 4).alias("reliability"))
+def reliability(r: DataFrame, key: str) -> DataFrame:
+    """Per key (rows without one are left out) the rates of right outcomes and scores and the mean goal error, rounded,
+    and a score from the rounded ones; leagues of `Europe -` count a little less."""
+    g = r.filter(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").groupBy(key).agg(F.count(F.lit(1)).alias("matches"), F.count_if("outcome_hit").alias("o"), F.count_if("exact_hit").alias("x"), F.sum("goal_error").alias("e"))
+    n = F.col("matches")
+    g = g.select(key, "matches", rate(F.col("o"), n).alias("hit_rate"), rate(F.col("x"), n).alias("exact_rate"), rate(F.col("e"), n).alias("avg_goal_error"))
+    score = to_fixed(F.col("hit_rate") * 0.68 + F.col("exact_rate") * 0.22 + F.greatest(F.lit(0.0), 1 - F.col("avg_goal_error") / 4) * 0.1, 2)
+    return g.withColumn("reliability", F.when(F.startswith(F.col(key), F.lit("Europe -")), to_fixed(score * 0.96, 2)).otherwise(score))
 
 
 def team_learning(r: DataFrame) -> DataFrame:
-    """Per team over both sides: games, hit rate and how far its goals were misjudged."""
-    side = lambda t, b: F.struct(F.col(t).alias("team_id"), F.col(b).alias("bias"))
-    rows = r.select("outcome_hit", F.explode(F.array(side("home_team_id", "home_bias"), side("away_team_id", "away_bias"))).alias("s")).select("outcome_hit", "s.*")
-    return rows.groupBy("team_id").agg(F.count(F.lit(1)).alias("games"), F.count_if("outcome_hit").alias("hits"), F.sum("bias").cast("long").alias("bias"), F.count_if(F.col("bias") > 0).alias("overrated"), F.count_if(F.col("bias") < 0).alias("underrated"))
+    """Per team over both sides: reviews, hits and rates, biases at home and away, how often each side was over- or
+    undervalued, and misses with a signal. Rates divide by all reviews of the team, as do one side's biases."""
+    wrong = lambda o: (F.col("predicted") == o) & (F.col("actual") != o)
+    missed = lambda o: (F.col("predicted") != o) & (F.col("actual") == o)
+    has = lambda s: F.array_contains("signals", s)
+    zero = F.lit(0).cast("long")
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+
+    def side(name: str, o: str) -> Column:
+        home = o == "H"
+        bias, over, under = F.col(f"{name}_bias").cast("long"), one(wrong(o)), one(missed(o))
+        return F.struct(
+            F.col(f"{name}_team_id").alias("team_id"), (bias if home else zero).alias("home_bias"), (zero if home else bias).alias("away_bias"),
+            (over if home else zero).alias("over_home"), (zero if home else over).alias("over_away"), (under if home else zero).alias("under_home"), (zero if home else under).alias("under_away"),
+        )
+
+    rows = r.select("outcome_hit", "exact_hit", "goal_error", *(has(s).alias(s) for s in ("open_lineups", "weather_risk", "h2h_signal")), F.explode(F.array(side("home", "H"), side("away", "A"))).alias("s"))
+    total = lambda c: F.sum(c).cast("long")
+    g = rows.groupBy("s.team_id").agg(
+        F.count(F.lit(1)).alias("games"), F.count_if("outcome_hit").alias("outcome_hits"), F.count_if("exact_hit").alias("exact_hits"), total("goal_error").alias("goal_error"),
+        *(total(f"s.{c}").alias(c) for c in ("home_bias", "away_bias", "over_home", "over_away", "under_home", "under_away")),
+        F.count_if("open_lineups").alias("open_lineup_misses"), F.count_if("weather_risk").alias("weather_misses"), F.count_if("h2h_signal").alias("h2h_misses"),
+    )
+    n = F.col("games")
+    return g.select(
+        "team_id", "games", "outcome_hits", "exact_hits", rate(F.col("outcome_hits"), n).alias("hit_rate"), rate(F.col("exact_hits"), n).alias("exact_rate"), rate(F.col("goal_error"), n).alias("avg_goal_error"),
+        rate(F.col("home_bias"), n).alias("home_goal_bias"), rate(F.col("away_bias"), n).alias("away_goal_bias"),
+        rate(F.col("under_home") - F.col("over_home"), n).alias("home_outcome_bias"), rate(F.col("under_away") - F.col("over_away"), n).alias("away_outcome_bias"),
+        "over_home", "over_away", "under_home", "under_away", "open_lineup_misses", "weather_misses", "h2h_misses",
+    )
+
+
+def diagnostics(r: DataFrame) -> DataFrame:
+    """One row: reviews, the rates of right scores, outcomes and likeliest outcomes, the mean goal error."""
+    n = F.greatest(F.count(F.lit(1)), F.lit(1))
+    return r.agg(
+        F.count(F.lit(1)).alias("reviews"), rate(F.count_if("exact_hit"), n, 3).alias("exact_rate"), rate(F.count_if("outcome_hit"), n, 3).alias("hit_rate"),
+        rate(F.count_if("probability_hit"), n, 3).alias("probability_rate"), rate(F.coalesce(F.sum("goal_error"), F.lit(0)), n).alias("avg_goal_error"),
+    )
+
+
+def phase_breakdown(r: DataFrame) -> DataFrame:
+    g = r.groupBy(F.coalesce("phase", F.lit("unknown")).alias("phase")).agg(F.count(F.lit(1)).alias("matches"), F.count_if("exact_hit").alias("exact_hits"), F.count_if("outcome_hit").alias("outcome_hits"))
+    return g.withColumns({"exact_rate": rate(F.col("exact_hits"), F.col("matches")), "hit_rate": rate(F.col("outcome_hits"), F.col("matches"))})
+
+
+def top_signals(r: DataFrame, n: int = 6) -> DataFrame:
+    return r.select(F.explode("signals").alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signal").limit(n)
+
+
+def history(r: DataFrame) -> DataFrame:
+    """Reviews as the history shows them."""
+    name = lambda c: F.when(F.col(c) == "H", "Thuis").when(F.col(c) == "A", "Uit").when(F.col(c) == "D", "Gelijk").otherwise(F.col(c))
+    return r.select(
+        "match_id", F.concat_ws("-", "pred_home_goals", "pred_away_goals").alias("prediction"), F.concat_ws("-", "home_goals", "away_goals").alias("actual_score"), F.col("exact_hit").alias("was_correct"),
+        F.col("goal_error").alias("error_margin"), "league", F.col("outcome_hit").alias("winner_correct"), name("predicted").alias("predicted_outcome"), name("actual").alias("actual_outcome"),
+        F.col("probability_hit").alias("top_chance_correct"), F.col("phase").alias("phase_bucket"), "confidence",
+    )
+
+
+def newest(r: DataFrame, n: int = 2500) -> DataFrame:
+    """The reviews that are kept, the newest first; ties by match."""
+    return r.orderBy(F.desc("match_date"), F.desc("match_id")).limit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchmill.functions.semantics import half_up
+from matchmill.functions.semantics import half_up, to_fixed
 from matchmill.operators.lookups import last_n_per_key
 
 
@@ -39,10 +39,11 @@ def splits(t: DataFrame) -> DataFrame:
     return g.withColumn("strongest_side", side)
 
 
-def rest_days(t: DataFrame) -> DataFrame:
-    by = Window.partitionBy("team_id").orderBy("match_date", "match_id")
-    gap = F.datediff("match_date", F.lag("match_date").over(by))
-    return t.select("team_id", "match_id", F.when(gap > 0, gap).alias("rest_days"))
+def rest_days(t: DataFrame, at: str = "match_date") -> DataFrame:
+    """Days since the team's match before, to a tenth; null where none is, or not before."""
+    by = Window.partitionBy("team_id").orderBy(at, "match_id")
+    seconds = F.unix_timestamp(F.col(at).cast("timestamp")) - F.unix_timestamp(F.lag(at).over(by).cast("timestamp"))
+    return t.select("team_id", "match_id", F.when(seconds > 0, to_fixed(seconds / 86400, 1)).alias("rest_days"))
 
 
 def standings(t: DataFrame) -> DataFrame:
@@ -61,6 +62,12 @@ def importance(position: Column, teams: Column) -> Column:
     return F.when(position <= 3, F.lit(1.08)).when(position >= F.greatest(teams - 2, F.lit(1)), F.lit(1.08)).when(position <= 6, F.lit(1.03)).otherwise(F.lit(1.0))
 
 
+def match_importance(home: Column, away: Column, teams: Column) -> Column:
+    """The larger weight of both sides; 1 where a place isn't known."""
+    known = (F.coalesce(home, F.lit(0)) > 0) & (F.coalesce(away, F.lit(0)) > 0) & (F.coalesce(teams, F.lit(0)) > 0)
+    return F.when(known, F.greatest(importance(home, teams), importance(away, teams))).otherwise(F.lit(1.0))
+
+
 def meetings(m: DataFrame, n: int = 8) -> DataFrame:
     """Last n finished meetings of each pair of teams, whoever was at home."""
     pair = m.filter("status = 'FT' AND home_goals IS NOT NULL").withColumns({"team_a": F.least("home_team_id", "away_team_id"), "team_b": F.greatest("home_team_id", "away_team_id")})
@@ -81,3 +88,42 @@ def previous_leg(m: DataFrame, days: int = 160) -> DataFrame:
     by = Window.partitionBy(F.least("home_team_id", "away_team_id"), F.greatest("home_team_id", "away_team_id")).orderBy("match_date", "match_id")
     p = m.withColumns({"leg_id": F.lag("match_id").over(by), "leg_date": F.lag("match_date").over(by)})
     return p.filter(F.datediff("match_date", "leg_date") <= days).select("match_id", "leg_id", F.datediff("match_date", "leg_date").alias("gap"))
+
+
+def profile(t: DataFrame, n: int = 10) -> DataFrame:
+    """Rates over a team's last n finished games, which all divide by the games, and the averages at home and away, which
+    divide by the scored games there or are the defaults without any; `t` has yellow and red cards."""
+    r = recent(t, n)
+    games = F.count(F.lit(1))
+    of = lambda c: to_fixed(F.coalesce(c, F.lit(0)) / games, 2)
+    gf, ga = F.col("gf"), F.col("ga")
+
+    def side(s: str) -> list[Column]:
+        here = (F.col("side") == s) & gf.isNotNull()
+        k = F.count_if(here)
+        mean = lambda c, default: F.when(k > 0, to_fixed(F.coalesce(c, F.lit(0)) / k, 2)).otherwise(F.lit(default))
+        return [
+            k.alias(f"{s}_games"), mean(F.sum(F.when(here, gf)), 1.35).alias(f"{s}_scored"), mean(F.sum(F.when(here, ga)), 1.35).alias(f"{s}_conceded"), mean(F.count_if(here & (gf + ga > 2)), 0.45).alias(f"{s}_over25"),
+        ]
+
+    out = r.groupBy("team_id").agg(
+        games.alias("games"), F.count_if(gf > ga).alias("wins"), F.count_if(gf == ga).alias("draws"), F.count_if(gf < ga).alias("losses"), of(F.sum(gf)).alias("avg_scored"), of(F.sum(ga)).alias("avg_conceded"),
+        of(F.count_if((gf > 0) & (ga > 0))).alias("btts_rate"), of(F.count_if(gf + ga > 1)).alias("over15_rate"), of(F.count_if(gf + ga > 2)).alias("over25_rate"), of(F.count_if(ga == 0)).alias("clean_sheet_rate"),
+        of(F.count_if(gf == 0)).alias("blank_rate"), of(F.sum("yellow")).alias("yellow_rate"), of(F.sum("red")).alias("red_rate"), *side("home"), *side("away"),
+    )
+    best = F.when(F.col("home_scored") > F.col("away_scored") + 0.25, "home").when(F.col("away_scored") > F.col("home_scored") + 0.25, "away").otherwise("balanced")
+    return out.withColumn("strongest_side", best)
+
+
+def recent_matches(t: DataFrame, n: int = 5) -> DataFrame:
+    """A team's last n finished games; one without a score has none and counts as lost."""
+    result = F.when(F.col("gf") > F.col("ga"), "W").when(F.col("gf") == F.col("ga"), "D").otherwise("L")
+    score = F.when(F.col("gf").isNotNull() & F.col("ga").isNotNull(), F.concat_ws("-", "gf", "ga"))
+    return recent(t, n).select("team_id", "rank", "match_id", "opponent_id", F.when(F.col("side") == "home", "H").otherwise("A").alias("venue"), score.alias("score"), result.alias("result"))
+
+
+def meeting_form(m: DataFrame, n: int = 5) -> DataFrame:
+    """Results of the last n meetings as the smaller team id saw them, newest first."""
+    diff = F.when(F.col("home_team_id") == F.col("team_a"), F.col("home_goals") - F.col("away_goals")).otherwise(F.col("away_goals") - F.col("home_goals"))
+    r = meetings(m, n).withColumn("mark", F.when(diff > 0, "W").when(diff < 0, "L").otherwise("D"))
+    return r.groupBy("team_a", "team_b").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "mark"))), lambda x: x["mark"]), "").alias("form"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchmill.functions.semantics import half_up
+from matchmill.functions.semantics import half_up, to_fixed
 from matchmill.operators.model import normalize_odds
 
 VALID = "home_odd > 1.01 AND draw_odd > 1.01 AND away_odd > 1.01 AND outcome IS NOT NULL"
@@ -26,21 +26,51 @@ def team_profile(o: DataFrame, *by: str) -> DataFrame:
     return g.withColumn("overperformance", half_up(F.col("points") / F.col("games") - F.col("promised") / 10000 / F.col("games"), 3)).drop("promised")
 
 
+def side_profile(o: DataFrame) -> DataFrame:
+    """Per league and team, home and away games apart: games, points won and points that prices promised, a game."""
+    units = lambda p: F.round((3 * F.col(p) + F.col("p_draw")) * 10000).cast("long")
+    side = lambda s, t, p, w: F.struct(F.lit(s).alias("side"), F.col(t).alias("team_id"), units(p).alias("promised"), F.when(F.col("outcome") == w, 3).when(F.col("outcome") == "D", 1).otherwise(0).alias("won"))
+    rows = implied(o.filter(VALID)).select("league", F.explode(F.array(side("home", "home_team_id", "p_home", "H"), side("away", "away_team_id", "p_away", "A"))).alias("s")).select("league", "s.*")
+    of = lambda c, s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col(c))), F.lit(0)).cast("long")
+    g = rows.groupBy("league", "team_id").agg(*(F.count_if(F.col("side") == s).alias(f"{s}_games") for s in ("home", "away")), *(of(c, s).alias(f"{s}_{c}") for s in ("home", "away") for c in ("won", "promised")))
+    a_game = lambda s, c, by: half_up(F.col(f"{s}_{c}") / by / F.greatest(f"{s}_games", F.lit(1)), 3)
+    return g.select("league", "team_id", "home_games", "away_games", *(a_game(s, c, by).alias(f"{s}_{n}") for s in ("home", "away") for c, by, n in (("won", 1, "actual"), ("promised", 10000, "implied"))))
+
+
 def league_meta(o: DataFrame) -> DataFrame:
-    valid = o.filter(VALID).groupBy("league").agg(F.count(F.lit(1)).alias("valid_rows"), F.count_if("closing").alias("closing_rows"))
-    return valid.withColumn("closing_coverage", half_up(F.col("closing_rows") / F.col("valid_rows"), 4))
+    """Per league its valid prices and how many books of the match close: a match is covered by two of its first three."""
+    per = o.filter(VALID).groupBy("league", "match_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("closing").alias("c"))
+    g = per.groupBy("league").agg(F.sum("n").cast("long").alias("valid_rows"), F.count(F.lit(1)).alias("matches"), F.count_if(F.col("c") >= 2).alias("covered"))
+    return g.withColumn("closing_coverage", half_up(F.col("covered") / F.col("matches"), 2))
+
+
+def picked_odds(o: DataFrame, order: tuple[int, ...]) -> DataFrame:
+    """Per match the three prices of the first book in `order` that has them all, its closing prices before its opening
+    ones; of several such lines of a book the one with the lowest prices."""
+    place = F.coalesce(*(F.when(F.col("book") == b, F.lit(i)) for i, b in enumerate(order)), F.lit(None).cast("int"))
+    valid = o.filter("home_odd > 1.01 AND draw_odd > 1.01 AND away_odd > 1.01").withColumn("place", place).filter("place IS NOT NULL")
+    first = F.min(F.struct((~F.col("closing")).alias("opening"), "place", "home_odd", "draw_odd", "away_odd", "book")).alias("b")
+    return valid.groupBy("match_id").agg(first).select("match_id", "b.book", (~F.col("b.opening")).alias("closing"), "b.home_odd", "b.draw_odd", "b.away_odd")
 
 
-def closing_first(o: DataFrame) -> DataFrame:
-    """One home price per match and book: closing before opening, then the lowest."""
-    valid = o.filter("home_odd > 1.01")
-    best = valid.groupBy("match_id", "book").agg(F.min(F.struct(~F.col("closing"), "home_odd")).alias("b"))
-    return best.select("match_id", "book", F.col("b.home_odd").alias("home_odd"), (~F.col("b.col1")).alias("closing"))
+def current_signals(o: DataFrame, most: int = 8) -> DataFrame:
+    """Per match what its first books' prices lean to: one line a book, at most `most` books by number."""
+    one = o.filter("home_odd > 1.01 AND draw_odd > 1.01 AND away_odd > 1.01").groupBy("match_id", "book").agg(F.min(F.struct("home_odd", "draw_odd", "away_odd")).alias("x"))
+    one = one.withColumn("n", F.row_number().over(Window.partitionBy("match_id").orderBy("book"))).filter(F.col("n") <= most)
+    h, d, a = normalize_odds(F.col("x.home_odd"), F.col("x.draw_odd"), F.col("x.away_odd"))
+    one = one.select("match_id", "book", h.alias("h"), d.alias("d"), a.alias("a"))
+    lean = F.when((F.col("h") >= F.col("a")) & (F.col("h") >= F.col("d")), "home").when(F.col("a") >= F.col("d"), "away").otherwise("neutral")
+    one = one.select("match_id", "book", to_fixed(F.col("h") - F.col("a"), 2).alias("diff"), to_fixed(F.greatest("h", "d", "a") * 0.9, 2).alias("strength"), lean.alias("lean"))
+    return one.withColumn("agreement", to_fixed(F.avg(F.when(F.col("lean") == "neutral", 0.0).otherwise(1.0)).over(Window.partitionBy("match_id")), 2))
 
 
 def referees(m: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Games and cards per referee with a strictness bucket."""
-    g = m.filter("referee_id IS NOT NULL").groupBy("referee_id").agg(F.count(F.lit(1)).alias("games"), F.sum("cards").cast("long").alias("cards"))
-    g = g.withColumn("avg_cards", half_up(F.col("cards") / F.col("games"), 2))
-    bucket = F.when(F.col("avg_cards") >= 4.8, "strict").when(F.col("avg_cards") >= 3.2, "medium").otherwise("lenient")
+    """Per referee the games, mean yellow and red cards, the mean of yellow + 2 red, the share of games with a penalty,
+    and how strict that is."""
+    n, total = F.count(F.lit(1)), lambda c: F.coalesce(F.sum(c), F.lit(0))
+    yellow, red = F.col("home_yellow") + F.col("away_yellow"), F.col("home_red") + F.col("away_red")
+    g = m.filter("referee_id IS NOT NULL").groupBy("referee_id").agg(
+        n.alias("games"), half_up(total(yellow) / n, 2).alias("avg_yellow"), half_up(total(red) / n, 2).alias("avg_red"), half_up(total(yellow + red * 2) / n, 2).alias("avg_cards"), half_up(F.count_if(F.col("penalties") > 0) / n, 2).alias("penalty_rate"),
+    )
+    bucket = F.when(F.col("avg_cards") >= 4.8, "streng").when(F.col("avg_cards") >= 3.2, "gemiddeld").otherwise("laat doorspelen")
     return g.withColumn("strictness", bucket).join(supplier.select(F.col("s_suppkey").alias("referee_id"), F.col("s_name").alias("referee")), "referee_id", "left")

@@ -10,25 +10,21 @@ from matchmill.functions.semantics import clamp, half_up, low_score_factor, pois
 GOALS = range(7)
 
 
-def grid(home: Column, away: Column, rho: float = -0.13) -> dict[tuple[int, int], Column]:
-    """Probability of each score up to 6-6."""
-    return {(h, a): poisson(home, h) * poisson(away, a) * low_score_factor(h, a, home, away, rho) for h in GOALS for a in GOALS}
-
-
 def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho: float = -0.13) -> DataFrame:
     """`df` with win, draw and loss probabilities made to add up to one, over and both-score probabilities as they are,
-    and the likeliest score (first in order of home, then away goals). No rows are multiplied: 49 cells are one array."""
-    cells = grid(F.col(home), F.col(away), rho)
-    arr = F.array(*(F.struct(p.alias("p"), F.lit(-(7 * h + a)).alias("o"), F.lit(h).alias("h"), F.lit(a).alias("a")) for (h, a), p in cells.items()))
-    out = df.withColumn("cells", arr)
-    total = lambda keep: F.aggregate(F.filter("cells", keep), F.lit(0.0), lambda s, c: s + c["p"])
+    and the likeliest score (first in order of home, then away goals). The 7 + 7 rates are columns of their own, and a
+    cell is a product of two of them, so the totals are generated sums and no row is multiplied."""
+    out = df.withColumns({f"p_{s}{k}": poisson(F.col(x), k) for s, x in (("h", home), ("a", away)) for k in GOALS})
+    cell = {(h, a): F.col(f"p_h{h}") * F.col(f"p_a{a}") * low_score_factor(h, a, F.col(home), F.col(away), rho) for h in GOALS for a in GOALS}
+    total = lambda keep: sum((p for (h, a), p in cell.items() if keep(h, a)), F.lit(0.0))
     out = out.withColumns({
-        "w": total(lambda c: c["h"] > c["a"]), "d": total(lambda c: c["h"] == c["a"]), "l": total(lambda c: c["h"] < c["a"]),
-        "over15": total(lambda c: c["h"] + c["a"] > 1), "over25": total(lambda c: c["h"] + c["a"] > 2), "over35": total(lambda c: c["h"] + c["a"] > 3), "btts": total(lambda c: (c["h"] > 0) & (c["a"] > 0)),
-        "best": F.array_max("cells"),
+        "w": total(lambda h, a: h > a), "d": total(lambda h, a: h == a), "l": total(lambda h, a: h < a), "over15": total(lambda h, a: h + a > 1), "over25": total(lambda h, a: h + a > 2),
+        "over35": total(lambda h, a: h + a > 3), "btts": total(lambda h, a: h > 0 and a > 0), "best_prob": F.greatest(*cell.values()),
     })
+    best = F.coalesce(*(F.when(p == F.col("best_prob"), F.lit(f"{h}-{a}")) for (h, a), p in cell.items()))
     whole = F.col("w") + F.col("d") + F.col("l")
-    return out.withColumns({"home_prob": F.col("w") / whole, "draw_prob": F.col("d") / whole, "away_prob": F.col("l") / whole, "best_score": F.concat_ws("-", "best.h", "best.a"), "best_prob": F.col("best.p")}).drop("cells", "w", "d", "l", "best")
+    out = out.withColumns({"home_prob": F.col("w") / whole, "draw_prob": F.col("d") / whole, "away_prob": F.col("l") / whole, "best_score": best})
+    return out.drop("w", "d", "l", *(f"p_{s}{k}" for s in "ha" for k in GOALS))
 
 
 def normalize_odds(home: Column, draw: Column, away: Column) -> list[Column]:
@@ -59,7 +55,14 @@ def confidence(best_prob: Column, penalties: Column) -> Column:
     return clamp(F.least(F.lit(0.93), 3.5 * best_prob + 0.24) - penalties, 0.24, 0.93)
 
 
-def risk(points: Column) -> Column:
+def risk(confidence: Column, agreement: Column, weather: Column, lineups: Column, injuries: Column, travel: Column, keeper_diff: Column) -> Column:
+    """laag, middel or hoog by points for what makes a forecast unsafe; a clear keeper edge takes one off."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    points = (
+        F.when(confidence < 0.48, 2).when(confidence < 0.6, 1).otherwise(0) + F.when(agreement < 0.65, 2).when(agreement < 0.78, 1).otherwise(0)
+        + F.when(weather == "high", 2).when(weather == "medium", 1).otherwise(0) + one(~F.coalesce(lineups, F.lit(False))) + one(zero(injuries) >= 4) + one(zero(travel) >= 0.2) - one(F.abs(zero(keeper_diff)) >= 0.35)
+    )
     return F.when(points >= 5, F.lit("hoog")).when(points >= 3, F.lit("middel")).otherwise(F.lit("laag"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 K, START_ELO, START_RATE = 22.0, 1500.0, 1.5
 
@@ -22,21 +26,53 @@ def smoothed(values: Column, start: float = START_RATE, low: float = 0.6, high:
     return F.aggregate(values, F.lit(start), lambda x, v: F.greatest(F.lit(low), F.least(F.lit(high), 0.94 * x + 0.06 * v / 1.35)))
 
 
+def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Any], step: Callable[[Any, Any], None], rows: Callable[[Any, Any], list[tuple]]) -> DataFrame:
+    """Folds the rows of each key in `order`: they come sorted, batch after batch, and only the state of the key at hand is
+    kept, never its rows. start() gives a state, step(state, row) changes it, rows(key, state) gives what it comes to."""
+    at, kind = df.columns.index(key), df.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or row[at] != now:
+                    out += rows(now, state) if state is not None else []
+                    now, state = row[at], start()
+                step(state, row)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in out], schema=arrow)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows(now, state)], schema=arrow)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def rates(t: DataFrame) -> DataFrame:
+    """(team_id, attack, defence) after all scored games of a team: smoothed goals for and against."""
+    scored = t.filter("gf IS NOT NULL AND ga IS NOT NULL").select("team_id", "match_date", "match_id", "gf", "ga")
+
+    def step(x: list[float], row: tuple) -> None:
+        for i in (0, 1):
+            x[i] = max(0.6, min(3.0, 0.94 * x[i] + 0.06 * row[3 + i] / 1.35))
+
+    return folded(scored, "team_id", ["match_date", "match_id"], "team_id long, attack double, defence double", lambda: [START_RATE, START_RATE], step, lambda key, x: [(key, *x)])
+
+
 def elo(m: DataFrame) -> DataFrame:
-    """(league, team_id, elo, played) after all scored matches. Teams meet inside a league, so leagues are independent
-    and each is folded by its own task; a league's matches are bounded by its calendar."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict[int, float] = {}
-        played: dict[int, int] = {}
-        for r in pdf.sort_values(["match_date", "match_id"]).itertuples():
-            h, a = rating.get(r.home_team_id, START_ELO), rating.get(r.away_team_id, START_ELO)
-            want = 1 / (1 + 10 ** ((a - h) / 400))
-            got = 1.0 if r.home_goals > r.away_goals else 0.0 if r.home_goals < r.away_goals else 0.5
-            rating[r.home_team_id], rating[r.away_team_id] = h + K * (got - want), a - K * (got - want)
-            for t in (r.home_team_id, r.away_team_id):
-                played[t] = played.get(t, 0) + 1
-        return pd.DataFrame({"league": pdf["league"].iloc[0], "team_id": list(rating), "elo": list(rating.values()), "played": [played[t] for t in rating]})
-
-    scored = m.filter("home_goals IS NOT NULL").select("league", "match_id", "match_date", "home_team_id", "away_team_id", "home_goals", "away_goals")
-    return scored.groupBy("league").applyInPandas(fold, "league string, team_id long, elo double, played long")
+    """(league, team_id, elo, played) after all scored matches. Teams meet inside a league, so leagues are independent;
+    a league's matches are folded in order with its teams' ratings as the only state. The fold of one league can't be
+    split, as each match depends on the ones before it."""
+
+    def step(state: dict[int, list[float]], row: tuple) -> None:
+        home, away, hg, ag = row[3:7]
+        h, a = (state.setdefault(t, [START_ELO, 0]) for t in (home, away))
+        shift = K * ((1.0 if hg > ag else 0.0 if hg < ag else 0.5) - 1 / (1 + 10 ** ((a[0] - h[0]) / 400)))
+        h[0], a[0] = h[0] + shift, a[0] - shift
+        for x in (h, a):
+            x[1] += 1
+
+    scored = m.filter("home_goals IS NOT NULL").select("league", "match_date", "match_id", "home_team_id", "away_team_id", "home_goals", "away_goals")
+    result = lambda key, state: [(key, team, x[0], x[1]) for team, x in state.items()]
+    return folded(scored, "league", ["match_date", "match_id"], "league string, team_id long, elo double, played long", dict, step, result)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchmill.operators.classify import round_weight
+
 
 def on_days(m: DataFrame, day: str, days: int = 1) -> DataFrame:
     """Matches around a day: floor(days / 2) before and after, so an even number gives one more."""
@@ -60,7 +62,44 @@ def newest_history(local: DataFrame, server: DataFrame) -> DataFrame:
     return latest_per_key(both, ["match_id"], "ts", "src").drop("src")
 
 
+def retained(m: DataFrame, day: str, back: int = 12, forward: int = 4) -> DataFrame:
+    """Matches of the days that a store keeps around `day`."""
+    d = F.lit(day).cast("date")
+    return m.filter(F.col("match_date").between(F.date_sub(d, back), F.date_add(d, forward)))
+
+
+def history_by_league(r: DataFrame) -> DataFrame:
+    """Per league its reviews and how many were right, by score, by outcome, by the likeliest outcome; most reviews first."""
+    g = r.groupBy(F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("Onbekend")).alias("league"))
+    out = g.agg(F.count(F.lit(1)).alias("n"), F.count_if("exact_hit").alias("exact"), F.count_if("outcome_hit").alias("outcome"), F.count_if("probability_hit").alias("top_chance"))
+    out = out.withColumns({f"{c}_percent": F.floor(F.col(c) / F.col("n") * 100 + 0.5) for c in ("exact", "outcome", "top_chance")})
+    return out.orderBy(F.desc("n"), F.desc("outcome_percent"), "league")
+
+
+def history_page(r: DataFrame, keep: Column, page: int, size: int) -> DataFrame:
+    """A page of the filtered reviews, the newest first; pages count from 1."""
+    return r.filter(keep).orderBy(F.desc("match_date"), "match_id").offset((page - 1) * size).limit(size)
+
+
+def iso_weeks(m: DataFrame) -> DataFrame:
+    """Matches per ISO week, and whether its number is even."""
+    week, year = F.weekofyear("match_date"), F.expr("extract(YEAROFWEEK FROM match_date)").cast("long")
+    return m.groupBy(year.alias("year"), week.cast("long").alias("week")).agg(F.count(F.lit(1)).alias("n")).withColumn("even", F.col("week") % 2 == 0)
+
+
 def cup_sheets(m: DataFrame) -> DataFrame:
-    """Nested rounds: per league and month an array of matches in order."""
-    item = F.struct("match_date", "match_id", "home_team_id", "away_team_id", "home_goals", "away_goals")
-    return m.groupBy("league", F.trunc("match_date", "month").alias("round")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    """Cup matches by round in the order of kick-off: who is out, and the sibling whose winner waits for this one's.
+
+    Neighbours 0 and 1, 2 and 3 and so on of a round are siblings, so one look ahead or back gives them."""
+    by = Window.partitionBy("label", "round_label").orderBy("match_date", "match_id")
+    at = F.row_number().over(by) - 1
+    loser = F.when(F.col("home_goals") > F.col("away_goals"), F.col("away_team_id")).when(F.col("home_goals") < F.col("away_goals"), F.col("home_team_id"))
+    sibling = F.when(at % 2 == 0, F.lead("match_id").over(by)).otherwise(F.lag("match_id").over(by))
+    out = m.withColumns({"at": at, "loser": loser, "sibling": sibling, "weight": round_weight(F.col("round_label"))})
+    return out.select("label", "round_label", "weight", "at", "match_id", "loser", "sibling")
+
+
+def next_rounds(m: DataFrame) -> DataFrame:
+    """The rounds of each cup by weight, and the round after each."""
+    rounds = m.select("label", "round_label", round_weight(F.col("round_label")).alias("weight")).distinct()
+    return rounds.withColumn("next_round", F.lead("round_label").over(Window.partitionBy("label").orderBy("weight", "round_label")))

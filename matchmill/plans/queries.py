@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchmill.functions import semantics as S
-from matchmill.operators import classify, evaluate, form, lookups, market, model, monitor, sequence, serving
+from matchmill.operators import classify, form, lookups, market, model, monitor, sequence, serving
 from matchmill.plans.bridge import MATCH_SQL, matches, odds, read, team_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,10 +39,6 @@ def _o(f: Callable[[DataFrame], DataFrame]):
 
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
 OUT = "CASE WHEN {0} > {1} THEN 'H' WHEN {0} < {1} THEN 'A' WHEN {0} = {1} THEN 'D' END"
-REVIEW = f"""WITH r AS (
-  SELECT *, actual = predicted AS outcome_hit, home_goals = pred_home_goals AND away_goals = pred_away_goals AS exact_hit,
-         abs(home_goals - pred_home_goals) + abs(away_goals - pred_away_goals) AS goal_error, pred_home_goals + pred_away_goals - home_goals - away_goals AS goal_bias
-  FROM (SELECT *, {OUT.format("home_goals", "away_goals")} AS actual, {OUT.format("pred_home_goals", "pred_away_goals")} AS predicted FROM m WHERE home_goals IS NOT NULL))"""
 
 _query("q_day_matches", "SELECT match_id, league, status FROM m WHERE match_date = DATE '1998-03-03'")(_m(lambda m: serving.on_days(m, "1998-03-03").select("match_id", "league", "status")))
 _query("q_multiday_matches", "SELECT match_id, CAST(match_date AS VARCHAR) AS match_date FROM m WHERE match_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-05'")(_m(lambda m: serving.on_days(m, "1998-03-03", 4).select("match_id", F.col("match_date").cast("string").alias("match_date"))))
@@ -70,7 +66,6 @@ _query(
     f"""WITH g AS (SELECT team_id, {R4.format("coalesce(avg(gf) FILTER (side = 'home'), 1.35)")} AS home_avg, {R4.format("coalesce(avg(gf) FILTER (side = 'away'), 1.35)")} AS away_avg FROM t WHERE status = 'FT' GROUP BY team_id)
 SELECT *, CASE WHEN home_avg > away_avg + 0.25 THEN 'home' WHEN away_avg > home_avg + 0.25 THEN 'away' ELSE 'balanced' END AS strongest_side FROM g""",
 )(_t(form.splits))
-_query("q_rest_days", "SELECT team_id, match_id, CASE WHEN gap > 0 THEN gap END AS rest_days FROM (SELECT team_id, match_id, match_date - lag(match_date) OVER (PARTITION BY team_id ORDER BY match_date, match_id) AS gap FROM t)")(_t(form.rest_days))
 STANDINGS = """g AS (
   SELECT league, team_id, count(*) AS games, count(*) FILTER (gf > ga) AS wins, count(*) FILTER (gf = ga) AS draws, count(*) FILTER (gf < ga) AS losses, CAST(sum(gf) AS BIGINT) AS gf, CAST(sum(ga) AS BIGINT) AS ga
   FROM t WHERE status = 'FT' AND gf IS NOT NULL GROUP BY league, team_id),
@@ -78,16 +73,8 @@ s AS (SELECT *, wins * 3 + draws AS points, row_number() OVER (PARTITION BY leag
 _query("q_standings", f"WITH {STANDINGS} SELECT * FROM s")(_t(form.standings))
 
 
-def _zoned(t: DataFrame) -> DataFrame:
-    s = form.standings(t)
-    z = s.groupBy("league").agg(F.count(F.lit(1)).alias("teams")).select("league", F.explode(classify.zones(F.col("teams"))).alias("z")).select("league", "z.*")
-    return lookups.range_lookup(s, "position", z, "low", "high", "ord", ["league"], "team_id").select("league", "team_id", "position", "zone")
 
 
-_query("q_standing_zones", f"WITH {STANDINGS}, n AS (SELECT league, count(*) AS k FROM s GROUP BY league) SELECT s.league, team_id, position, CASE WHEN position <= 4 THEN 'champions' WHEN position <= 6 THEN 'europa' WHEN position >= k - 2 THEN 'relegation' END AS zone FROM s JOIN n USING (league)")(_t(_zoned))
-_query("q_match_importance", f"WITH {STANDINGS}, n AS (SELECT league, count(*) AS k FROM s GROUP BY league) SELECT team_id, CASE WHEN position <= 3 OR position >= greatest(k - 2, 1) THEN 1.08 WHEN position <= 6 THEN 1.03 ELSE 1.0 END::DOUBLE AS importance FROM s JOIN n USING (league)")(
-    _t(lambda t: form.standings(t).withColumn("teams", F.count(F.lit(1)).over(Window.partitionBy("league"))).select("team_id", form.importance(F.col("position"), F.col("teams")).alias("importance")))
-)
 MEET = """WITH p AS (SELECT *, least(home_team_id, away_team_id) AS team_a, greatest(home_team_id, away_team_id) AS team_b FROM m WHERE status = 'FT' AND home_goals IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY match_date DESC, match_id DESC) AS rank FROM p)"""
 _query("q_h2h_pairs_last8", f"{MEET} SELECT team_a, team_b, match_id, rank FROM k WHERE rank <= 8")(_m(lambda m: form.meetings(m).select("team_a", "team_b", "match_id", "rank")))
@@ -108,11 +95,6 @@ _query("q_implied_probs", f"{PRICED} SELECT league, closing, count(*) AS n, CAST
 )
 _query("q_market_team_profile", f"{PRICED} SELECT league, team_id, {PROFILE} FROM s GROUP BY league, team_id")(_o(market.team_profile))
 _query("q_market_book_profile", f"{PRICED} SELECT league, book, team_id, {PROFILE} FROM s GROUP BY league, book, team_id")(_o(lambda o: market.team_profile(o, "book")))
-_query("q_market_league_meta", f"{PRICED} SELECT league, count(*) AS valid_rows, count(*) FILTER (closing) AS closing_rows, {R4.format('count(*) FILTER (closing) / count(*)')} AS closing_coverage FROM v GROUP BY league")(_o(market.league_meta))
-_query("q_odds_pick_closing", "SELECT match_id, book, coalesce(min(home_odd) FILTER (closing), min(home_odd)) AS home_odd, bool_or(closing) AS closing FROM o WHERE home_odd > 1.01 GROUP BY match_id, book")(_o(market.closing_first))
-_query("q_referee_profile", "WITH g AS (SELECT referee_id, count(*) AS games, CAST(sum(cards) AS BIGINT) AS cards, floor(sum(cards) / count(*) * 100 + 0.5) / 100 AS avg_cards FROM m WHERE referee_id IS NOT NULL GROUP BY referee_id) SELECT g.*, CASE WHEN avg_cards >= 4.8 THEN 'strict' WHEN avg_cards >= 3.2 THEN 'medium' ELSE 'lenient' END AS strictness, s_name AS referee FROM g LEFT JOIN supplier ON s_suppkey = referee_id")(
-    lambda spark, d: market.referees(matches(spark, d), read(spark, d, "supplier"))
-)
 
 RATES = lambda m: m.filter("pred_home_goals IS NOT NULL").withColumns({"home_xg": F.lit(0.6) + F.col("pred_home_goals") * 0.5, "away_xg": F.lit(0.5) + F.col("pred_away_goals") * 0.45})
 GRID = """WITH x AS (SELECT DISTINCT pred_home_goals AS ph, pred_away_goals AS pa, (0.6 + pred_home_goals * 0.5)::DOUBLE AS lh, (0.5 + pred_away_goals * 0.45)::DOUBLE AS la FROM m),
@@ -124,50 +106,8 @@ _query("q_poisson_grid", f"{GRID} SELECT match_id, round(w / (w + d + l), 6) AS
 )
 
 
-def _blended(m: DataFrame) -> DataFrame:
-    g = model.score_grid(RATES(m))
-    p = [F.round(c, 6) for c in ("home_prob", "draw_prob", "away_prob")]
-    h = model.softmax([F.col("pred_home_goals") * 0.4, F.lit(0.3), F.col("pred_away_goals") * 0.4])
-    b = model.blend(p, h)
-    points = F.when(F.abs(b[0] - b[2]) < 0.1, 3).otherwise(0) + F.when(F.greatest(*b) < 0.45, 2).otherwise(0)
-    return g.select("match_id", "status", *(x.alias(n) for x, n in zip(b, ("home", "draw", "away"))), model.agreement(p, h).alias("agreement"), F.round(model.confidence(F.greatest(*b) / 4, F.lit(0.02)), 4).alias("confidence"), model.risk(points).alias("risk"))
 
 
-BLEND = f"""{GRID},
-e AS (SELECT ph, pa, round(w / (w + d + l), 6) AS p1, round(d / (w + d + l), 6) AS p2, round(l / (w + d + l), 6) AS p3, exp(ph * 0.4) AS a, exp(0.3::DOUBLE) AS b, exp(pa * 0.4) AS c FROM b),
-s AS (SELECT *, {R4.format("a / (a + b + c)")} AS h1, {R4.format("b / (a + b + c)")} AS h2, {R4.format("c / (a + b + c)")} AS h3 FROM e),
-q AS (SELECT *, p1 * 0.78 + h1 * 0.22 AS m1, p2 * 0.78 + h2 * 0.22 AS m2, p3 * 0.78 + h3 * 0.22 AS m3 FROM s),
-z AS (SELECT *, {R4.format("m1 / (m1 + m2 + m3)")} AS home, {R4.format("m2 / (m1 + m2 + m3)")} AS draw, {R4.format("m3 / (m1 + m2 + m3)")} AS away, floor(greatest(0, 1 - 4 * (abs(p1 - h1) + abs(p2 - h2) + abs(p3 - h3)) / 3) * 1000 + 0.5) / 1000 AS agreement FROM q),
-f AS (SELECT match_id, status, home, draw, away, agreement, round(greatest(0.24, least(0.93, least(0.93, 3.5 * (greatest(home, draw, away) / 4) + 0.24) - 0.02)), 4) AS confidence,
-  CASE WHEN (abs(home - away) < 0.1)::INT * 3 + (greatest(home, draw, away) < 0.45)::INT * 2 >= 5 THEN 'hoog' WHEN (abs(home - away) < 0.1)::INT * 3 + (greatest(home, draw, away) < 0.45)::INT * 2 >= 3 THEN 'middel' ELSE 'laag' END AS risk
-  FROM m JOIN z ON ph = pred_home_goals AND pa = pred_away_goals)"""
-_query("q_blend_confidence_risk", f"{BLEND} SELECT * FROM f")(_m(_blended))
-_query("q_best_bets", f"{BLEND} SELECT match_id, confidence AS sure FROM f WHERE status = 'NS' ORDER BY confidence DESC, match_id LIMIT 5")(
-    _m(lambda m: serving.best_bets(_blended(m).withColumnsRenamed({"home": "home_prob", "draw": "draw_prob", "away": "away_prob"})).select("match_id", "sure"))
-)
-_query("q_reviews", f"{REVIEW} SELECT match_id, actual, predicted, outcome_hit, exact_hit, goal_error, goal_bias FROM r")(_m(lambda m: evaluate.reviews(m).select("match_id", "actual", "predicted", "outcome_hit", "exact_hit", "goal_error", "goal_bias")))
-RELIABLE = f"count(*) AS matches, {R4.format('avg(outcome_hit::INT)')} AS hit_rate, {R4.format('avg(exact_hit::INT)')} AS exact_rate, {R4.format('avg(goal_error)')} AS avg_goal_error, {R4.format('0.68 * avg(outcome_hit::INT) + 0.22 * avg(exact_hit::INT) + 0.1 * greatest(0, 1 - avg(goal_error) / 4)')} AS reliability"
-_query("q_league_reliability", f"{REVIEW} SELECT league, {RELIABLE} FROM r GROUP BY league")(_m(lambda m: evaluate.reliability(evaluate.reviews(m), "league")))
-_query("q_phase_reliability", f"{REVIEW} SELECT CASE WHEN match_id % 7 = 0 THEN 'cup' ELSE 'league' END AS phase, {RELIABLE} FROM r GROUP BY 1")(
-    _m(lambda m: evaluate.reliability(evaluate.reviews(m).withColumn("phase", classify.phase(F.when(F.col("match_id") % 7 == 0, "Cup round"), F.lit(False))), "phase"))
-)
-_query(
-    "q_failure_signals_top6",
-    f"""{REVIEW} SELECT signal, count(*) AS n FROM (SELECT unnest([CASE WHEN actual = 'D' THEN 'draw_missed' END, CASE WHEN predicted = 'H' AND actual = 'A' THEN 'home_overrated' END, CASE WHEN predicted = 'A' AND actual = 'H' THEN 'away_overrated' END,
-  CASE WHEN goal_bias <= -2 THEN 'goals_underestimated' END, CASE WHEN goal_bias >= 2 THEN 'goals_overestimated' END]) AS signal FROM r WHERE NOT outcome_hit) WHERE signal IS NOT NULL GROUP BY signal ORDER BY n DESC, signal LIMIT 6""",
-)(_m(lambda m: evaluate.reviews(m).select(F.explode("signals").alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signal").limit(6)))
-_query(
-    "q_team_learning",
-    f"""{REVIEW}, s AS (SELECT home_team_id AS team_id, outcome_hit, pred_home_goals - home_goals AS bias FROM r UNION ALL SELECT away_team_id, outcome_hit, pred_away_goals - away_goals FROM r)
-SELECT team_id, count(*) AS games, count(*) FILTER (outcome_hit) AS hits, CAST(sum(bias) AS BIGINT) AS bias, count(*) FILTER (bias > 0) AS overrated, count(*) FILTER (bias < 0) AS underrated FROM s GROUP BY team_id""",
-)(_m(lambda m: evaluate.team_learning(evaluate.reviews(m))))
-_query("q_feature_diagnostics", f"{REVIEW} SELECT {RELIABLE} FROM r")(_m(lambda m: evaluate.reliability(evaluate.reviews(m).withColumn("k", F.lit("all")), "k").drop("k")))
-_query("q_history_by_league", f"{REVIEW} SELECT league, count(*) AS n, count(*) FILTER (exact_hit) AS exact, count(*) FILTER (outcome_hit) AS outcome, CAST(floor(count(*) FILTER (outcome_hit) / count(*) * 100 + 0.5) AS BIGINT) AS percent FROM r GROUP BY league")(
-    _m(lambda m: evaluate.reviews(m).groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact_hit").alias("exact"), F.count_if("outcome_hit").alias("outcome"), F.floor(F.count_if("outcome_hit") / F.count(F.lit(1)) * 100 + 0.5).alias("percent")))
-)
-_query("q_history_filter_page", f"{REVIEW} SELECT match_id, league FROM r WHERE NOT exact_hit AND NOT outcome_hit AND contains(lower(league), 'an') ORDER BY match_date DESC, match_id LIMIT 80 OFFSET 80")(
-    _m(lambda m: evaluate.reviews(m).filter("NOT exact_hit AND NOT outcome_hit AND contains(lower(league), 'an')").orderBy(F.desc("match_date"), "match_id").offset(80).limit(80).select("match_id", "league"))
-)
 _query("q_training_export", f"SELECT match_id, league, pred_home_goals::DOUBLE AS f_home, pred_away_goals::DOUBLE AS f_away, 0::DOUBLE AS f_absent, {OUT.format('home_goals', 'away_goals')} AS label FROM m WHERE home_goals IS NOT NULL")(
     _m(lambda m: _training(m.withColumns({"f_home": F.col("pred_home_goals"), "f_away": F.col("pred_away_goals"), "label": S.outcome(F.col("home_goals"), F.col("away_goals"))})))
 )
@@ -198,21 +138,10 @@ def _pruned(e: DataFrame) -> DataFrame:
     return lookups.expire(e.join(F.broadcast(now)), "ts", F.col("now"), 5 * 86400, 300).select("event_id", "user_id")
 
 
-_query("q_ewma_attack", None)(
-    _t(lambda t: t.filter("gf IS NOT NULL").groupBy("team_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("match_date", "match_id", "gf"))), lambda x: x["gf"]).alias("g")).select("team_id", F.round(sequence.smoothed(F.col("g")), 6).alias("attack")))
-)
-ORACLE["q_ewma_attack"] = f"WITH {MATCH_SQL}, g AS (SELECT team_id, list(gf::DOUBLE ORDER BY match_date, match_id) AS g FROM t WHERE gf IS NOT NULL GROUP BY team_id) SELECT team_id, round(list_reduce(list_prepend(1.5::DOUBLE, g), lambda x, v: greatest(0.6, least(3.0, 0.94 * x + 0.06 * v / 1.35))), 6) AS attack FROM g"
 _query("q_elo")(_m(sequence.elo))
-_query("q_cup_sheets", "SELECT league, CAST(date_trunc('month', match_date)::DATE AS VARCHAR) AS round, count(*) AS items FROM m GROUP BY 1, 2")(_m(lambda m: serving.cup_sheets(m).select("league", F.col("round").cast("string").alias("round"), F.size("items").cast("long").alias("items"))))
 _query("q_source_coverage", f"SELECT status, {R4.format('count(referee_id) / count(*)')} AS referee, {R4.format('count(home_goals) / count(*)')} AS scored FROM m GROUP BY status")(
     _m(lambda m: m.groupBy("status").agg(S.half_up(F.count("referee_id") / F.count(F.lit(1)), 4).alias("referee"), S.half_up(F.count("home_goals") / F.count(F.lit(1)), 4).alias("scored")))
 )
-_query(
-    "q_dq_rules",
-    """WITH a AS (SELECT count(*) FILTER (home_goals IS NULL) AS n1, count(*) FILTER (status = 'FT' AND home_goals IS NULL) AS n2, count(*) FILTER (home_team_id = away_team_id) AS n3, count(*) FILTER (referee_id IS NULL) AS n4 FROM m),
-b AS (SELECT count(*) FILTER (home_odd <= 1.01 OR draw_odd <= 1.01 OR away_odd <= 1.01) AS n5 FROM o)
-SELECT * FROM (SELECT 'no_score' AS rule, 'low' AS severity, n1 AS count FROM a UNION ALL SELECT 'finished_no_score', 'high', n2 FROM a UNION ALL SELECT 'self_match', 'high', n3 FROM a UNION ALL SELECT 'no_referee', 'medium', n4 FROM a UNION ALL SELECT 'bad_price', 'medium', n5 FROM b) WHERE count > 0""",
-)(lambda spark, d: monitor.quality_rules(m := matches(spark, d), odds(spark, d, m)))
 ISSUES = "SELECT ts::DATE AS day, ts, event_type AS key, (user_id % 3 + 1)::BIGINT AS severity_rank, event_type || ' ' || (event_id % 4) AS message FROM events"
 _query("q_digest_14d", f"WITH i AS ({ISSUES}) SELECT key, count(*) AS issues, max(severity_rank) AS severity, arg_min(message, (ts, message)) AS sample FROM i WHERE day >= (SELECT max(day) FROM i) - 13 GROUP BY key ORDER BY issues DESC, key LIMIT 8", bridge=False)(
     lambda spark, d: monitor.digest(read(spark, d, "events").select(F.to_date("ts").alias("day"), "ts", F.col("event_type").alias("key"), (F.col("user_id") % 3 + 1).alias("severity_rank"), F.concat_ws(" ", "event_type", (F.col("event_id") % 4).cast("string")).alias("message")))
@@ -227,24 +156,13 @@ _query("q_youth_filter", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"c
 _query("q_html_regex_counts", "SELECT page_id, len(regexp_extract_all(lower(html), 'href')) AS links, len(regexp_extract_all(lower(html), '<p>')) AS paragraphs FROM pages", bridge=False)(
     lambda spark, d: read(spark, d, "pages").select("page_id", F.regexp_count(F.lower("html"), F.lit("href")).alias("links"), F.regexp_count(F.lower("html"), F.lit("<p>")).alias("paragraphs"))
 )
-_query("q_nearest_hour", "WITH h AS (SELECT user_id, list((hour(ts) * 60 + minute(ts))::BIGINT ORDER BY ts, event_id) AS l FROM events GROUP BY user_id) SELECT user_id, l[list_position(list_transform(l, lambda x: abs(x - 900)), list_min(list_transform(l, lambda x: abs(x - 900))))] AS nearest FROM h", bridge=False)(
-    lambda spark, d: read(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id"))), lambda e: F.struct((F.hour(e["ts"]) * 60 + F.minute(e["ts"])).cast("long").alias("at"))).alias("points")).select("user_id", lookups.nearest(F.col("points"), F.lit(900), "at")["at"].alias("nearest"))
-)
 _query("q_value_flags", "SELECT count(*) FILTER (v) AS flagged, count(*) FILTER (NOT v) AS fair, count(*) FILTER (v IS NULL) AS unpriced FROM (SELECT CASE WHEN home_odd > 1.01 THEN floor((0.45 - 1 / home_odd) * 10000 + 0.5) / 10000 >= 0.04 END AS v FROM o)")(
     _o(lambda o: o.select(model.value_flag(F.lit(0.45), F.col("home_odd")).alias("v")).agg(F.count_if("v").alias("flagged"), F.count_if(~F.col("v")).alias("fair"), F.count_if(F.col("v").isNull()).alias("unpriced")))
 )
 _query("q_live_overlay", "SELECT match_id, CASE WHEN match_id % 5 = 0 THEN 'FT' ELSE status END AS status FROM m")(
     _m(lambda m: serving.overlaid(m.select("match_id", "status"), m.filter("match_id % 5 = 0").select("match_id", F.lit("FT").alias("status")), ["status"]))
 )
-_query("q_merge_full_outer", "SELECT match_id, CASE WHEN match_id % 2 = 0 THEN league ELSE region END AS league FROM m WHERE match_id % 2 = 0 OR match_id % 3 = 0")(
-    _m(lambda m: serving.merged(m.filter("match_id % 2 = 0").select("match_id", "league"), m.filter("match_id % 3 = 0").select("match_id", F.col("region").alias("league")), ["league"]))
-)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per league: matches, hit rates, goal error and reliability; the ten most reliable."""
-    return evaluate.reliability(evaluate.reviews(matches(spark, sf_dir)), "league").orderBy(F.desc("reliability"), "league").limit(10)
 
 
-QUERIES["q_flagship"] = flagship
-ORACLE["q_flagship"] = f"WITH {MATCH_SQL}, {REVIEW[5:]} SELECT league, {RELIABLE} FROM r GROUP BY league ORDER BY reliability DESC, league LIMIT 10"

@@ -55,8 +55,8 @@ def test_elo_conserves_points(spark):
 
 def test_classes(spark):
     rows = spark.createDataFrame([("Germany", "2. Bundesliga"), ("x", "Frauen Cup")], "c string, n string")
-    assert [r[0] for r in rows.select(classify.league_of(F.col("c"), F.col("n"))).collect()] == ["Germany - Bundesliga", None]
-    assert [r[0] for r in rows.select(classify.league_of(F.col("c"), F.col("n"), longest=True)).collect()] == ["Germany - 2. Bundesliga", None]
+    assert [r[0] and r[0]["label"] for r in rows.select(classify.league_of(F.col("c"), F.col("n"))).collect()] == ["Germany - Bundesliga", None]
+    assert [r[0] and r[0]["label"] for r in rows.select(classify.league_of(F.col("c"), F.col("n"), longest=True)).collect()] == ["Germany - 2. Bundesliga", None]
     assert [r[0] for r in rows.select(classify.excluded(F.col("c"), F.col("n"))).collect()] == [False, True]
 
 
