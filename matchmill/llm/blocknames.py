@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import unused, written
+from .scratch import numbered, unused, written
 
 WS = " \t\n\x0b\x0c\r"
 BLOCK_CHARS = 1024
@@ -99,7 +99,7 @@ def _judged(rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that groups() drops, row by row, so rows that share a doc_id but not their text stay."""
     columns, row = docs.columns, unused(docs, "row")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "exact-numbered")
-    judged = _judged(identities(numbered.select("doc_id", "text", F.col(row).alias("row")), keep_row=True))
+    rows = numbered(docs, row, "exact-numbered")
+    judged = _judged(identities(rows.select("doc_id", "text", F.col(row).alias("row")), keep_row=True))
     dropped = written(judged.filter("NOT kept").select(F.col("row").alias(row)), "exact-dropped")
-    return numbered.join(dropped, row, "left_anti").select(*columns)
+    return rows.join(dropped, row, "left_anti").select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e"))
         small = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import unused, written
+from .scratch import discard, numbered, unused, written
 from .words import Words, mix, passes
 from .workers import free
 
@@ -148,7 +148,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame, k: int, label: str) -> DataFrame:
             if some.num_rows:
                 yield some
 
-    return written(texts.mapInArrow(lambda it: _full_sets(chosen(it), k), "doc_id long, shingles array<long>"), label).dropDuplicates(["doc_id"])
+    return written(texts.mapInArrow(lambda it: _full_sets(chosen(it), k), "doc_id long, shingles array<long>"), label)
 
 
 def registers(bands: np.ndarray) -> np.ndarray:
@@ -181,10 +181,14 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perc
     likely = both.select("a", "b", "na", "nb", "bandsa", "bandsb").mapInArrow(lambda it: _likely(it, percent / 100), "a long, b long")
     likely = written(likely, f"{label}-likely")
     wanted = likely.select("a").union(likely.select("b")).toDF("doc_id").distinct()
-    sets = _sets_of(texts, wanted, k, f"{label}-sets")
+    written_sets = _sets_of(texts, wanted, k, f"{label}-sets")
+    sets = written_sets.dropDuplicates(["doc_id"])
     of = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set{s}"))
     common = F.size(F.array_intersect("seta", "setb"))
-    return written(likely.join(of("b"), "b").join(of("a"), "a").filter(common * 100 >= (F.size("seta") + F.size("setb") - common) * percent).select("a", "b"), f"{label}-links")
+    pairs = likely.join(of("b"), "b").join(of("a"), "a").filter(common * 100 >= (F.size("seta") + F.size("setb") - common) * percent)
+    links = written(pairs.select("a", "b"), f"{label}-links")
+    discard(likely, written_sets)
+    return links
 
 
 def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -197,7 +201,8 @@ def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     that share a long template but stay under the threshold still cost a comparison each pair, spread over the parts."""
     ids = mixed.select("id", "component").distinct()
     wanted = ids.select(F.col("id").alias("doc_id"))
-    sets = _sets_of(texts, wanted, k, "mixed-sets").join(wanted, "doc_id", "left_semi")
+    written_sets = _sets_of(texts, wanted, k, "mixed-sets")
+    sets = written_sets.dropDuplicates(["doc_id"]).join(wanted, "doc_id", "left_semi")
     each = sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     common = each.join(held, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
@@ -205,6 +210,7 @@ def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     keys = common.withColumn("before", F.col("n") - F.size("common")).select("id", "n", "before", F.posexplode(F.slice("common", 1, F.greatest(early, F.lit(0)).cast("int"))).alias("at", "c"))
     keys = keys.select("id", (F.col("n") - F.col("before") - F.col("at")).alias("left"), "n", F.col("c.shingle").alias("shingle")).join(ids, "id")
     keys = written(keys, "early-shingles")
+    discard(written_sets)
     sizes = keys.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("holders"), F.count(F.lit(1)).alias("several")).filter("several > 1")
     keys = keys.join(main.select("shingle", "holders", F.col("top.component").alias("main")), "shingle")
@@ -241,6 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     more = _confirmed(across.join(crowded.filter("a <> b").select("a", "b").distinct(), ["a", "b"], "left_anti"), reps, texts, k, percent, "cross")
     if not more.isEmpty():
         found = components(links.union(more))
+    discard(crowded, mixed, links, more)
     named = classes.select(*key, "rep", "copies").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.filter("copies > 1 OR component IS NOT NULL").select(*key, F.coalesce("component", "rep").alias("component"))
     out = seen.filter("doc_id IS NOT NULL AND n > 0").join(named, key, "left").unionByName(seen.filter("doc_id IS NULL OR n = 0"), allowMissingColumns=True)
@@ -253,11 +260,9 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     doc_id but their text, so one that repeats the doc_id of another with other words stays, as do null doc_ids and
     texts without words, and of rows linked to each other the one with the smallest doc_id stays.
 
-    Rows are numbered in the order of (doc_id, text) where ids repeat or are null; elsewhere the doc_id is the number."""
+    Where ids repeat or are null, rows are numbered in the order of (doc_id, text); elsewhere the doc_id is the number."""
     columns, row = docs.columns, unused(docs, "row")
-    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
-        dropped = written(near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id"), "near-dropped")
-        return docs.join(dropped, "doc_id", "left_anti").select(*columns)
-    numbered = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(row, F.monotonically_increasing_id()), "near-numbered")
-    dropped = written(near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), k, percent).filter("NOT kept").select(F.col("doc_id").alias(row)), "near-dropped")
-    return numbered.join(dropped, row, "left_anti").select(*columns)
+    rows = numbered(docs, row, "near-numbered", F.col("doc_id").asc_nulls_last(), F.col("text"))
+    judged = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k, percent)
+    dropped = written(judged.filter("NOT kept").select(F.col("doc_id").alias(row)), "near-dropped")
+    return rows.join(dropped, row, "left_anti").select(*columns)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import unused, written
+from .scratch import numbered, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -187,7 +187,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Documents of which nothing is taken go; n_chars, where there is such a column, is counted anew."""
     columns = docs.columns
     row, full, drawn = (unused(docs, c) for c in ("row", "full", "drawn"))
-    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-input")
+    docs = numbered(docs, row, "mix-input")
     rows, blocks = plan(docs.select(F.col(row).alias("row"), "doc_id", "source", "text"))
     some = blocks.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("place", "block", "words")).alias(drawn))
     whole = rows.select(F.col("row").alias(row), F.col("full").alias(full))

@@ -6,7 +6,8 @@ import tempfile
 from uuid import uuid4
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -42,6 +43,15 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def numbered(docs: DataFrame, row: str, label: str, *order: Column) -> DataFrame:
+    """`docs` with a unique number in the new column `row`: the doc_id where none is null or repeated, and nothing is
+    written; else a written copy with numbers, in `order` if one is given."""
+    whole = dict(docs.dtypes)["doc_id"] in ("bigint", "int")
+    if whole and docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    return written((docs.orderBy(*order) if order else docs).withColumn(row, F.monotonically_increasing_id()), label)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front of it as long as `df` has a column that Spark takes for the same."""
     taken = {c.lower() for c in df.columns}
