@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import discard, numbered, unused, written
+from .scratch import discard, numbered, small_batches, unused, written
 from .words import Words, mix, passes
 from .workers import free
 
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id, kept) per row of `docs`, linked at 100 * intersection >= percent * union.
 
     percent is best at 70 or more: below that pairs share too few bands of four registers."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(texts.mapInArrow(lambda it: _sketches(it, k), SKETCH), "sketches")
     key = ["n", "s1", "s2"]

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
 from .workers import free
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 250, 4096, 4000
@@ -240,6 +241,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], text: int, langs: list[str], p:
 
 def label(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """`docs` with lang_pred and score, by a network trained on `learn_from` (`docs` if none is given)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     langs, p = train(sample(learn_from or docs))
     unknown = F.col("text").isNull() | ~F.col("text").rlike(LETTER)
@@ -273,6 +275,7 @@ def _recognised(batches: Iterator[pa.RecordBatch], text: int, p: dict, least: fl
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows with a letter that are recognised by their score, or too short for it, by a network trained on `docs`."""
+    small_batches(docs.sparkSession)
     letters = docs.filter(F.col("text").rlike(LETTER))
     langs, p = train(sample(docs))
     if (least := least_score(docs, langs, p)) is None:

@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import written
+from .scratch import small_batches, written
 from .tokencount import ODD_SPACE, byte_symbols, vocabulary
-from .workers import kept
+from .workers import free, kept
 
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, KEY_BITS = 3, 10
-#: Bytes that a worker spends on remembered words, and on parts of words, before it starts anew; each entry counts ENTRY.
-REMEMBERED, ENTRY = 96 << 20, 160
+#: Bytes that a worker spends on remembered words, and twice that on parts of words, before it starts anew; each entry
+#: counts ENTRY.
+REMEMBERED, ENTRY = 48 << 20, 160
 #: Bytes of ids in one range of the curve.
 RANGE_BYTES = 32 << 20
 #: Fixed value: how this vocabulary cuts lower-case text into parts.
@@ -61,7 +62,7 @@ class WordIds(dict):
 
     def part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
-            if self.spent_on_parts > REMEMBERED:
+            if self.spent_on_parts > 2 * REMEMBERED:
                 self.parts.clear()
                 self.spent_on_parts = 0
             symbols = part if part.isascii() else "".join(self.symbols[b] for b in part.encode())
@@ -153,6 +154,7 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, kind: pa.DataType) -
     """Pieces of one range. Those of the sequence that is being filled wait, so that the last can be cut into powers of two."""
     from pyspark import TaskContext
 
+    free()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     number = TaskContext.get().partitionId() << 33
     waiting: list[tuple] = []  # doc_id, start, ids, doc_tokens
@@ -199,6 +201,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece of a document. `length` is a power
     of two. The ids are written before the range sort, so its sampling reads them and doesn't tokenize again; the number
     of ranges follows their size."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     ids = docs.select("doc_id", "text").mapInArrow(lambda it: _tokenized(it, path), f"doc_id {kind}, curve long, n long, ids binary")
     ids = written(ids, "token-ids")

@@ -34,6 +34,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers of this session get at most so many rows at once: whole texts, so Spark's 10,000 would be tens of
+    MB in the JVM and again in the worker. A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that `written` gave, once all that was made of them is written itself."""
     for table in tables:
