@@ -15,7 +15,10 @@ are packed one by one, repeated ones too; with no rows there are no pieces; othe
 from __future__ import annotations
 
 import gc
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,11 +44,39 @@ RANGE_BYTES = 32 << 20
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+def _latin(*kinds: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] in kinds)
+
+
+#: The same for text of the first 256 code points, whose classes are short, and what such a text must not hold.
+LATIN_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[^ \t\n\r\f\v{_latin('L', 'N')}]+")
+NOT_LATIN = re.compile(r"[^\x20-\x7e\xa1-\xac\xae-\xff\t\n\r\f\v]")
+
+
+class PartIds(dict):
+    """Ids of parts of words by the library's model, as unsigned 16-bit numbers, filled when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.spent = model, 0
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+
+    def __missing__(self, part: str) -> bytes:
+        if self.spent > 2 * REMEMBERED:
+            self.clear()
+            self.spent = 0
+        symbols = part if part.isascii() else "".join(self.symbols[b] for b in part.encode())
+        ids = self[part] = array("H", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        self.spent += ENTRY + 4 * len(part) + len(ids)
+        return ids
+
+
 class WordIds(dict):
     """Ids of words between ASCII white space, as unsigned 16-bit numbers, filled when first asked for.
 
-    Words of the first 256 code points need only lower case before the library's model takes their parts; all others go
-    through the whole library tokenizer."""
+    Text of the first 256 code points needs only lower case before the library's model takes its parts, so a whole text
+    of them is cut at once. Other texts go word by word, and words of other code points through the whole library
+    tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,29 +85,18 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
-        self.model = self.tokenizer.model
-        self.symbols = {b: c for c, b in byte_symbols().items()}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
-        self.spent = self.spent_on_parts = 0
-
-    def part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            if self.spent_on_parts > 2 * REMEMBERED:
-                self.parts.clear()
-                self.spent_on_parts = 0
-            symbols = part if part.isascii() else "".join(self.symbols[b] for b in part.encode())
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(symbols)], "<u2").tobytes()
-            self.spent_on_parts += ENTRY + 4 * len(part) + len(ids)
-        return ids
+        self.special_in = re.compile("|".join(map(re.escape, self.special)) or r"(?!)").search
+        self.parts = PartIds(self.tokenizer.model)
+        self.spent = 0
 
     def __missing__(self, word: str) -> bytes:
         if self.spent > REMEMBERED:
             self.clear()
             self.spent = 0
         plain = word.isascii() or max(word) < "Ā"
-        if plain and not any(s in word for s in self.special) and word.isprintable():
-            ids = b"".join(map(self.part, PARTS.findall(word.lower())))
+        if plain and not self.special_in(word) and word.isprintable():
+            ids = b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
         self[word] = ids
@@ -84,6 +104,8 @@ class WordIds(dict):
         return ids
 
     def text(self, text: str) -> bytes:
+        if not NOT_LATIN.search(text) and not self.special_in(text):
+            return b"".join(map(self.parts.__getitem__, LATIN_PARTS.findall(text.lower())))
         return b"".join(map(self.__getitem__, text.split() if not ODD_SPACE.search(text) else regex.findall(r"[^ \t\n\r\f\v]+", text)))
 
 

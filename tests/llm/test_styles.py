@@ -172,6 +172,19 @@ def test_packing(docs, none):
     assert sorted(keys) == list(range(512)) and (np.abs(np.diff(cube[np.argsort(keys)], axis=0)).sum(1) == 1).all()
 
 
+def test_ids_of_odd_texts():
+    """Texts of Latin, other and white-space code points, special strings and contractions against the library."""
+    import random
+
+    words = packing.WordIds(tokencount.vocabulary("word_bpe_49k.json"))
+    draw = random.Random(5)
+    odd = list("abcDEFß'ÀÉ ²1½29.,-_\t\n'sT'LLl'ré\xa0\xadа中\x1c\x85İ")
+    texts = ["".join(draw.choices(odd, k=draw.randrange(40))) for _ in range(3000)]
+    texts += [f"a {s}b" for s in words.special] + [f"x{s.upper()}y" for s in words.special]
+    for text in texts:
+        assert list(np.frombuffer(words.text(text), "<u2")) == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_language_gradients():
     p = {k: v.astype(np.float64) for k, v in langid.initial(3).items()}
     x, reach = langid.side_by_side([b"a long row of bytes", b"hello", b"x"])
