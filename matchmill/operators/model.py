@@ -10,8 +10,8 @@ from matchmill.functions.semantics import clamp, half_up, low_score_factor, pois
 GOALS = range(7)
 
 
-def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho: float = -0.13) -> DataFrame:
-    """`df` with win, draw and loss probabilities made to add up to one, over and both-score probabilities as they are,
+def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho: float = -0.13, whole: bool = True) -> DataFrame:
+    """`df` with win, draw and loss probabilities made to add up to one (unless not `whole`), over and both-score probabilities as they are,
     and the likeliest score (first in order of home, then away goals). The 7 + 7 rates are columns of their own, and a
     cell is a product of two of them, so the totals are generated sums and no row is multiplied."""
     out = df.withColumns({f"p_{s}{k}": poisson(F.col(x), k) for s, x in (("h", home), ("a", away)) for k in GOALS})
@@ -22,8 +22,8 @@ def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho:
         "over35": total(lambda h, a: h + a > 3), "btts": total(lambda h, a: h > 0 and a > 0), "best_prob": F.greatest(*cell.values()),
     })
     best = F.coalesce(*(F.when(p == F.col("best_prob"), F.lit(f"{h}-{a}")) for (h, a), p in cell.items()))
-    whole = F.col("w") + F.col("d") + F.col("l")
-    out = out.withColumns({"home_prob": F.col("w") / whole, "draw_prob": F.col("d") / whole, "away_prob": F.col("l") / whole, "best_score": best})
+    all_ = F.col("w") + F.col("d") + F.col("l") if whole else F.lit(1.0)
+    out = out.withColumns({"home_prob": F.col("w") / all_, "draw_prob": F.col("d") / all_, "away_prob": F.col("l") / all_, "best_score": best})
     return out.drop("w", "d", "l", *(f"p_{s}{k}" for s in "ha" for k in GOALS))
 
 
