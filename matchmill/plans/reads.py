@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchmill.functions.semantics import half_up
 from matchmill.operators import evaluate, form, reads
 from matchmill.plans.bridge import matches, team_rows
 from matchmill.plans.queries import R4, _m, _query
-from matchmill.plans.records import REVIEWS, X, records
+from matchmill.plans.records import REVIEWS, R, X, records
 
 
 def _read(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def _client(spark: SparkSession, d: str) -> DataFrame:
     for side in ("home", "away"):
         m = m.join(team.select(F.col("team_id").alias(f"{side}_team_id"), *(F.col(c).alias(f"{side}_{c}") for c in ("attack", "defence", "form", "elo"))), f"{side}_team_id")
     rounded = ("home_xg", "away_xg", "home_prob", "draw_prob", "away_prob", "confidence")
-    return reads.client_forecast(m).select("match_id", *(F.round(c, 6).alias(c) for c in rounded), "best_score")
+    return reads.client_forecast(m).select("match_id", *(half_up(F.col(c), 6).alias(c) for c in rounded), "best_score")
 
 
 _MOD = "CASE WHEN len(form) > 0 THEN list_sum(list_transform(string_split(form, ''), lambda c: CASE c WHEN 'W' THEN 1.2 WHEN 'D' THEN 1.0 ELSE 0.8 END::DOUBLE)) / len(form) ELSE 1 END::DOUBLE"
@@ -75,6 +76,6 @@ v AS (SELECT *, {_MOD} AS modifier FROM u),
 x AS (SELECT match_id, 1.35::DOUBLE * (a.attack / b.defence) * 1.18::DOUBLE * a.modifier AS lh, 1.35::DOUBLE * (b.attack / a.defence) * b.modifier AS la, abs(a.elo - b.elo) / 3500 + abs(a.modifier - b.modifier) / 5 AS extra
   FROM m JOIN v a ON a.team_id = home_team_id JOIN v b ON b.team_id = away_team_id),
 c AS (SELECT x.*, h, w.a, pow(lh, h) * exp(-lh) / factorial(h::INT)::DOUBLE * pow(la, w.a) * exp(-la) / factorial(w.a::INT)::DOUBLE AS p FROM x, range(7) z(h), range(7) w(a))
-SELECT match_id, round(any_value(lh), 6) AS home_xg, round(any_value(la), 6) AS away_xg, round(sum(p) FILTER (h > a), 6) AS home_prob, round(sum(p) FILTER (h = a), 6) AS draw_prob, round(sum(p) FILTER (h < a), 6) AS away_prob,
-  round(least(0.98::DOUBLE, 2.5::DOUBLE * max(p) + any_value(extra)), 6) AS confidence, arg_max(h || '-' || a, (p, -(7 * h + a))) AS best_score FROM c GROUP BY match_id""",
+SELECT match_id, {R('any_value(lh)', 6)} AS home_xg, {R('any_value(la)', 6)} AS away_xg, {R('sum(p) FILTER (h > a)', 6)} AS home_prob, {R('sum(p) FILTER (h = a)', 6)} AS draw_prob, {R('sum(p) FILTER (h < a)', 6)} AS away_prob,
+  {R('least(0.98::DOUBLE, 2.5::DOUBLE * max(p) + any_value(extra))', 6)} AS confidence, arg_max(h || '-' || a, (p, -(7 * h + a))) AS best_score FROM c GROUP BY match_id""",
 )(_client)
