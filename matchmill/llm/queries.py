@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocknames, htmltext, hyperminhash, langid, mixing, packing, pii, quality, substring, tokencount
+from . import blocknames, fim, htmltext, hyperminhash, langid, merkle, mixing, packing, pii, quality, secretscan, substring, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": lambda spark, d: quality.digest(_documents(spark, d)),
     "op9_exact_dedup": lambda spark, d: blocknames.groups(_documents(spark, d)),
     "op10_packing": lambda spark, d: packing.pack(_documents(spark, d)),
+    "op11_merkle": lambda spark, d: merkle.digest(_documents(spark, d)),
+    "op12_fim": lambda spark, d: fim.digest(_documents(spark, d)),
+    "op13_secrets": lambda spark, d: secretscan.digest(_documents(spark, d)),
 }
 
 ORACLE: dict[str, str] = {}
@@ -102,3 +105,76 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e
 SELECT a AS doc_id, coalesce(any_value(len(s.s)), 0) AS n_shingles, min(b) AS component_id, min(b) = a AS kept
 FROM reach LEFT JOIN s ON s.doc_id = a GROUP BY a
 """
+
+ORACLE["op11_merkle"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, CASE WHEN crc32_is_even THEN replace(text, chr(10), '') ELSE text END AS altered,
+         concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head
+  FROM (SELECT *, CRC_EVEN AS crc32_is_even FROM documents)),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(altered) || ':' || altered, '-')) AS other FROM d),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+lv AS (
+  SELECT 0 AS k, source, pos, n, leaf AS node, '' AS children FROM placed
+  UNION ALL
+  SELECT k + 1, source, pos // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY pos)), string_agg(node, '' ORDER BY pos)
+  FROM lv WHERE n > 1 GROUP BY k, source, pos // 3),
+subs AS (
+  SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+tops AS (
+  SELECT 0 AS k, pos, n, subroot AS node, '' AS children FROM subs
+  UNION ALL
+  SELECT k + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY pos)), string_agg(node, '' ORDER BY pos)
+  FROM tops WHERE n > 1 GROUP BY k, pos // 3),
+low AS (
+  SELECT p.source, p.pos, p.leaf, lv.k, left(children, 64 * ((p.pos // CAST(3 ** (lv.k - 1) AS BIGINT)) % 3)) AS before,
+         substr(children, 64 * ((p.pos // CAST(3 ** (lv.k - 1) AS BIGINT)) % 3) + 65) AS after
+  FROM placed p JOIN lv ON lv.source IS NOT DISTINCT FROM p.source AND lv.k > 0 AND lv.pos = p.pos // CAST(3 ** lv.k AS BIGINT)),
+high AS (
+  SELECT s.source, tops.k, left(children, 64 * ((s.pos // CAST(3 ** (tops.k - 1) AS BIGINT)) % 3)) AS before,
+         substr(children, 64 * ((s.pos // CAST(3 ** (tops.k - 1) AS BIGINT)) % 3) + 65) AS after
+  FROM subs s JOIN tops ON tops.k > 0 AND tops.pos = s.pos // CAST(3 ** tops.k AS BIGINT)),
+low_proof AS (SELECT source, pos, string_agg(before || after, '' ORDER BY k) AS proof, list(before || '?' || after ORDER BY k) AS steps FROM low GROUP BY source, pos),
+high_proof AS (SELECT source, string_agg(before || after, '' ORDER BY k) AS proof, list(before || '?' || after ORDER BY k) AS steps FROM high GROUP BY source),
+root AS (SELECT node AS root FROM tops WHERE n = 1),
+whole AS (
+  SELECT p.doc_id, p.leaf, p.other, s.subroot, root.root, coalesce(l.proof, '') || coalesce(h.proof, '') AS proof,
+         list_concat(coalesce(l.steps, []), coalesce(h.steps, [])) AS steps
+  FROM placed p CROSS JOIN root JOIN subs s ON s.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN low_proof l ON l.source IS NOT DISTINCT FROM p.source AND l.pos = p.pos LEFT JOIN high_proof h ON h.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256,
+       list_reduce(list_prepend(other, steps), lambda f, x: sha256(replace(x, '?', f))) AS folded_root,
+       list_reduce(list_prepend(other, steps), lambda f, x: sha256(replace(x, '?', f))) = root AS verified
+FROM whole
+"""
+
+
+def _crc32_even(digits: str) -> str:
+    """Whether the crc32 of a string of ASCII is even, in DuckDB, which has no crc32: its last bit is that of a shift
+    register over the bits of the string, eight steps a byte."""
+    byte = "list_reduce(list_prepend(xor(crc, ord(c)), range(1, 9)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)"
+    step = byte.replace("xor(crc, ord(c))", "xor(s, CAST(unicode(chr(CAST(b AS INT))) AS BIGINT))")
+    codes = f"list_transform(string_split({digits}, ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    return f"coalesce(xor(list_reduce(list_prepend(4294967295, {codes}), lambda s, b: {step}), 4294967295) % 2 = 0, false)"
+
+
+ORACLE["op11_merkle"] = ORACLE["op11_merkle"].replace("CRC_EVEN", _crc32_even("CAST(doc_id AS VARCHAR)"))
+
+ORACLE["op12_fim"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS x FROM t),
+v AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain'
+              WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        ELSE '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM v
+"""
