@@ -4,8 +4,9 @@ A window is `length` consecutive words. Of its runs of `seed` words the one with
 windows have equal anchors, wherever they stand, and a repeat of `length` words or more shares at least one.
 
 1. Join on anchors: an anchor that two documents hold is a seed.
-2. Extend: from its seeds each document goes window by window to both sides, as long as a window's anchor is a seed; a
-   window that a smaller doc_id holds too is part of a repeat. Neighbouring windows make the maximal repeat; its words go.
+2. Extend: around its seeds each document takes the windows whose anchor is a seed, to both sides as far as they follow one
+   another; a window that a smaller doc_id holds too is part of a repeat. Runs of such windows that overlap or touch are the
+   maximal repeats, which no word to the left or right would prolong; their words go.
 
 No pairs are made: an anchor or window is compared with the smallest doc_id that holds it. What many documents of one
 batch share is settled there, and one row of the batch stands for them in the shuffle, so a passage in a third of all
@@ -13,7 +14,7 @@ documents is a group of as many rows as there are batches. Anchors are 64-bit ha
 windows are matched by two hashes of 64 bits each, so even 1e13 windows hold a false match with a probability of 1e-13.
 
 Defined cases: null or empty texts have no words; repeats inside one document stay; rows that repeat a doc_id don't
-remove each other; a null doc_id neither gives nor loses words; of documents that share a window the smallest doc_id keeps
+remove each other, and each loses only what it holds itself; a null doc_id neither gives nor loses words; of documents that share a window the smallest doc_id keeps
 it; a very long text is read in one pass of numpy; an empty table gives no rows; other columns are ignored.
 """
 
@@ -70,7 +71,7 @@ def _settle(key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return order, first, several[group]
 
 
-def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None, other: np.ndarray | None = None) -> pa.RecordBatch:
+def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None, other: np.ndarray | None = None, row: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of one batch. settled 0: only one document here; 1: the smallest of several; 2: one of the others, sent
     anywhere as its case is decided. own is the key where route isn't."""
     order, first, several = _settle(key, key if other is None else other, doc)
@@ -81,7 +82,9 @@ def _routed(key: np.ndarray, doc: np.ndarray, pos: np.ndarray | None, other: np.
     arrays = [pa.array(route.view(np.int64)), pa.array(d), pa.array(settled)]
     if pos is None:
         return pa.RecordBatch.from_arrays([*arrays, pa.array(np.where(moved, k, np.uint64(0)).view(np.int64))], ["route", "doc_id", "settled", "own"])
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(pos[order].astype(np.int32)), pa.array(other[order].view(np.int64))], ["route", "doc_id", "settled", "pos", "check"])
+    arrays += [pa.array(pos[order].astype(np.int32)), pa.array(other[order].view(np.int64))]
+    names = ["route", "doc_id", "settled", "pos", "check"]
+    return pa.RecordBatch.from_arrays(arrays, names) if row is None else pa.RecordBatch.from_arrays([*arrays, pa.array(row[order])], [*names, "row"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -107,7 +110,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> I
         counts = np.diff(seeds.offsets.to_numpy())
         flat = seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         known = np.sort(flat ^ mix(np.repeat(np.arange(len(ids)), counts).astype(np.uint64)))
-        keys, docs, places, others = [], [], [], []
+        keys, docs, places, others, held = [], [], [], [], []
+        numbers = batch.column(3).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else None
         for i, words in passes(batch.column(1)):
             at, window, anchor, check = anchors(words, length, seed, True)
             if not len(at):
@@ -119,8 +123,10 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> I
             docs.append(ids[row[hit]])
             places.append((at - words.first[row - i])[hit])
             others.append(check[hit])
+            if numbers is not None:
+                held.append(numbers[row[hit]])
         if keys:
-            yield _routed(np.concatenate(keys), np.concatenate(docs), np.concatenate(places), np.concatenate(others))
+            yield _routed(np.concatenate(keys), np.concatenate(docs), np.concatenate(places), np.concatenate(others), np.concatenate(held) if held else None)
 
 
 def _without(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -151,28 +157,45 @@ def _digested(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*b.columns[:3], sha], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Ids and texts. Both joins with texts deal them out alike, so Spark writes one shuffle of them for both."""
-    return docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Ids and texts, and the column that tells rows apart: the doc_id, or a number where doc_ids are shared. Both joins with
+    texts deal them out alike, so Spark writes one shuffle of them for both."""
+    texts = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if texts.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return texts, "doc_id"
+    return written(texts.withColumn("row", F.monotonically_increasing_id()), "substring-numbered"), "row"
 
 
-def repeats(docs: DataFrame, length: int = 13, seed: int = 7) -> DataFrame:
-    """(doc_id, places): for each document that has any, where windows start that a smaller doc_id holds too."""
-    texts = _texts(docs).filter("doc_id IS NOT NULL")
-    rows = texts.mapInArrow(lambda it: _anchor_rows(it, length, seed), "route long, doc_id long, settled byte, own long")
+def _places(texts: DataFrame, own: str, length: int, seed: int) -> DataFrame:
+    """(own, places): for each row that has any, where windows start that a smaller doc_id holds too."""
+    texts = texts.filter("doc_id IS NOT NULL")
+    rows = texts.select("doc_id", "text").mapInArrow(lambda it: _anchor_rows(it, length, seed), "route long, doc_id long, settled byte, own long")
     by = Window.partitionBy("route")
     held = rows.withColumns({"lo": F.min("doc_id").over(by), "hi": F.max("doc_id").over(by), "most": F.max("settled").over(by)})
     seeds = held.filter("lo < hi OR most > 0").select("doc_id", F.when(F.col("settled") == 2, F.col("own")).otherwise(F.col("route")).alias("anchor"))
     seeds = written(seeds.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "seeds")
-    near = texts.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(lambda it: _window_rows(it, length, seed), "route long, doc_id long, settled byte, pos int, check long")
+    more = [] if own == "doc_id" else [own]
+    schema = ", ".join(["route long, doc_id long, settled byte, pos int, check long", *(f"{c} long" for c in more)])
+    near = texts.join(seeds, "doc_id").select("doc_id", "text", "anchors", *more).mapInArrow(lambda it: _window_rows(it, length, seed), schema)
     found = near.withColumn("lo", F.min("doc_id").over(Window.partitionBy("route", "check"))).filter("lo < doc_id OR settled = 2")
-    return found.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    return found.groupBy(own, *(["doc_id"] if more else [])).agg(F.collect_list("pos").alias("places"))
+
+
+def maximal_repeats(docs: DataFrame, length: int = 13, seed: int = 7) -> DataFrame:
+    """(doc_id, first, n_words): the stretches of words that remove() takes out, as first word and number of words."""
+    texts, own = _texts(docs)
+    at = Window.partitionBy(own).orderBy("place")
+    places = _places(texts, own, length, seed).select(*dict.fromkeys((own, "doc_id")), F.explode("places").alias("place"))
+    begins = F.coalesce(F.col("place") - F.lag("place").over(at) > length, F.lit(True))
+    runs = places.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(at))
+    ends = runs.groupBy(*dict.fromkeys((own, "doc_id", "run"))).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    return ends.select("doc_id", "first", (F.col("last") + length - F.col("first")).alias("n_words"))
 
 
 def _with_places(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    texts = _texts(docs)
-    known = texts.filter("doc_id IS NOT NULL").join(repeats(docs, length, seed), "doc_id", "left").select("doc_id", "text", "places")
-    return known.unionByName(texts.filter("doc_id IS NULL"), allowMissingColumns=True)
+    texts, own = _texts(docs)
+    known = texts.filter("doc_id IS NOT NULL").join(_places(texts, own, length, seed).select(own, "places"), own, "left").select("doc_id", "text", "places")
+    return known.unionByName(texts.filter("doc_id IS NULL").select("doc_id", "text"), allowMissingColumns=True)
 
 
 def remove(docs: DataFrame, length: int = 13, seed: int = 7) -> DataFrame:

@@ -376,3 +376,46 @@ def test_mix_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(i, f"w{i} " * 50, "s", "r", "f", i) for i in range(8)], "doc_id long, text string, source string, row string, full string, drawn long")
     out = mixing.mix(docs)
     assert out.columns == docs.columns and all((r["row"], r["full"], r["drawn"]) == ("r", "f", r["doc_id"]) for r in out.collect())
+
+
+def test_html_ratios(monkeypatch):
+    """The ratios choose the content: without the factors of tags and names more than nine pages of ten stay as they are."""
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    want = [htmltext.main_text(p) for p in pages]
+    articles = [re.search(r"<article>(.*?)</article>", p, re.S)[1] for p in pages]
+    assert all(re.sub(r"\s", "", w) == re.sub(r"\s", "", htmltext.main_text(f"<article>{a}</article>")) for w, a in zip(want, articles))
+    monkeypatch.setattr(htmltext, "LOWERED", 1.0)
+    monkeypatch.setattr(htmltext, "RAISED", 1.0)
+    monkeypatch.setattr(htmltext, "BOILERPLATE", frozenset())
+    monkeypatch.setattr(htmltext, "NAMES", frozenset())
+    assert sum(htmltext.main_text(p) == w for p, w in zip(pages, want)) > 0.9 * len(pages)
+
+
+def test_html_contract():
+    """What belongs to the article and what doesn't."""
+    long = "Long running text of the page, with commas, and more. " * 6
+    p = lambda n: f"<p>{long}</p>" * n
+    cases = {
+        f"<article><h1>T</h1>{p(3)}<h2>Needs</h2><ul><li>eggs</li><li>milk</li></ul></article>": "T L L L Needs eggs milk",
+        f"<article><h1>T</h1>{p(3)}<table><tr><td>a</td><td>b</td></tr></table></article>": "T L L L a b",
+        f'<article>{p(3)}</article><div class="comments-area"><div class="comment-body"><p>I liked this, very much.</p></div></div>': "L L L",
+        f'<article>{p(1)}</article><div class="comments"><h3>Comments</h3>{p(40)}</div>': "L",
+        f'<div class="cookie-notice">We use cookies, as you know.</div><article>{p(2)}</article><div class="related-posts"><h3>More</h3><p>Teaser one, read.</p></div>': "L L",
+        f"<article>{p(2)}</article><div>Subscribe to our newsletter today, and get news.</div><div>Copyright 2024 Someone, all rights reserved.</div>": "L L",
+        f"<div><ul><li><a>Home</a></li><li><a>About</a></li></ul></div><div id=content><h1>T</h1>{p(3)}<ul><li>point</li></ul><ul><li><a>tag</a></li></ul></div>": "T L L L point",
+        f"<main><h1>T</h1><p>Lead.</p><section><h2>One</h2>{p(2)}</section><section><h2>Two</h2>{p(2)}<blockquote><p>Quote.</p></blockquote></section></main>": "T Lead. One L L Two L L Quote.",
+    }
+    for page, want in cases.items():
+        assert htmltext.main_text(page).replace(long.strip(), "L").split("\n") == want.split(" "), page
+
+
+def test_substring_shared_ids(spark):
+    """Rows that share a doc_id lose words only where they hold the repeat themselves."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(15)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, f"{c} {a}"), (3, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove(docs).collect())
+    assert got == [(1, 15, 0, a), (2, 15, 0, b), (2, 15, 15, ""), (2, 30, 15, c), (3, 15, 15, "")]
+    spans = sorted((r["doc_id"], r["first"], r["n_words"]) for r in substring.maximal_repeats(docs).collect())
+    assert spans == [(2, 0, 15), (2, 15, 15), (3, 0, 15)]
