@@ -1,14 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with the path of open tags from the root to it. Over all blocks of a path the
-ratio of text to blocks and of punctuation to blocks is taken, both are smoothed along the page and fused to a score, and
-paths from a share of the spread of the page's scores on are content. Tags and class names only change the score: each
-boilerplate element around a path divides it, unless that element holds most of the page's text, and article or main add
-to it. A heading goes with the content of its section, and lists, tables and the like with the content blocks around them.
+A page is cut into blocks of text, each with the path of open tags from the root to it. Over all blocks of a path the text
+and the punctuation are summed, both sums are smoothed along the page and fused to a score. Content are the paths from a
+share of the best score on, and those whose blocks are denser than the best path's. Tags and class names only weigh in:
+each boilerplate element around a path divides its score, reader comments twice, and article or main add to it. An element
+that holds most of the page's text, and any article or main, divides nothing. What is divided more often than the best path
+isn't content.
+
+A heading goes with the content of its section. Of a container that holds content, what stands between content blocks
+stays; of it and of the article or main around it also paragraphs, lists, tables, quotations and the like before and after
+them, unless they are mostly links.
 
 Defined cases: a null or empty page gives the empty text; unclosed and stray tags are tolerated, and only an unclosed
 script or style takes the rest of the page with it; paths of equal score are chosen alike; a very long page is read in
-one pass; pages are handled one by one, so repeated rows and null ids stay as they are; other columns are ignored.
+one pass; pages are handled one by one, so repeated rows and null ids stay as they are; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +41,50 @@ BOILERPLATE = frozenset("nav header footer aside form button menu head dialog".s
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments reply replies cookie cookies consent contentinfo footer header menu nav navbar navigation newsletter notice popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Names of reader comments, which are lowered however long they are; prefixes that say what a page lacks or has elsewhere.
+READERS = frozenset("comment comments reply replies respond".split())
+LACKING = ("has-", "no-", "with-", "without-")
+WHOLE = frozenset("header footer".split())
+SITE = re.compile(r"^(?:site|page|global|main|top)[-_](header|footer)$")
 CLOSES_P = BLOCK - {"br", "button", "body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg\b[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*(?<=/)>|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，]")
-#: Paths are content from this share of the standard deviation of the blocks' scores.
-SPREAD = 0.6
+#: What a block's score takes from each of its neighbours; paths are content from this share of the best score on, or
+#: where their blocks have so many times the best path's density and more than one punctuation mark.
+NEIGHBOUR, SHARE, DENSER = 0.125, 0.6, 1.25
 #: What a boilerplate element around a path leaves of its score, and what article or main make of it.
 LOWERED, RAISED = 0.1, 1.5
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that stand in running text; a path up to the last other tag is the block's container.
 INNER = HEADING | frozenset("p br hr ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption center address".split())
+#: Of these, what carries an article on beside its main paragraphs.
+FLOWING = INNER - HEADING - {"br", "hr", "center", "address"}
+
+
+class Block(NamedTuple):
+    """A block's path, the numbers of the boilerplate elements around it (negative: reader comments), its text, how many of
+    its characters are links, and the numbers of the element that contains it and its like and of the article or main."""
+
+    path: tuple[str, ...]
+    around: tuple[int, ...]
+    text: str
+    linked: int
+    container: int
+    region: int
+
+
+def _named(words: str) -> set[str]:
+    """The boilerplate names among class names: whole words, parts between hyphens, or a site's header or footer."""
+    found = set()
+    for word in words.lower().split():
+        if word in NAMES:
+            found.add(word)
+        elif m := SITE.match(word):
+            found.add(m[1])
+        elif not word.startswith(LACKING):
+            found |= (NAMES - WHOLE).intersection(re.split(r"[-_]+", word))
+    return found
 
 
 def _unclosed_named(page: str) -> str:
@@ -57,25 +97,35 @@ def _unclosed_named(page: str) -> str:
     return CLOSED.sub(lambda m: m[0] if m[1] or m.start() < last.get(m[2].lower(), -1) else f"<x-{m[2]}", page)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
-    """(path, numbers of the boilerplate elements around it, text) of each block of text in page order."""
-    out: list[tuple[tuple[str, ...], tuple[int, ...], str]] = []
-    open_: list[tuple[str, tuple[int, ...]]] = []
+def blocks(page: str) -> list[Block]:
+    """The blocks of text in page order."""
+    out: list[Block] = []
+    open_: list[tuple[str, tuple[int, ...], int]] = []
     text: list[str] = []
-    elements = 0
+    elements = linked = links = 0
 
     def flush() -> None:
+        nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole:
-                path = tuple(t for t, _ in open_ if t in BLOCK)
-                out.append((path, open_[-1][1] if open_ else (), whole))
+                path = tuple(t for t, _, _ in open_ if t in BLOCK)
+                container = next((e for t, _, e in reversed(open_) if t in BLOCK and t not in INNER), 0)
+                region = next((e for t, _, e in reversed(open_) if t in ("article", "main")), 0)
+                out.append(Block(path, open_[-1][1] if open_ else (), whole, linked, container, region))
+        linked = 0
+
+    def close(i: int) -> None:
+        nonlocal links
+        links -= sum(t == "a" for t, _, _ in open_[i:])
+        del open_[i:]
 
     for m in TOKEN.finditer(_unclosed_named(page)):
         kind = m.lastgroup
         if kind == "text":
             text.append(m["text"])
+            linked += len(m["text"].strip()) if links else 0
             continue
         if (tag := m["tag"]) is None:
             continue
@@ -85,7 +135,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
         if m["close"]:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
-                    del open_[i:]
+                    close(i)
                     break
                 if tag not in BLOCK and open_[i][0] in BLOCK:
                     break
@@ -95,70 +145,83 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
         if tag in CLOSES_P:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == "p" or (tag == "li" and open_[i][0] == "li"):
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i][0] in BLOCK:
                     break
-        named = {w for a in ATTRIBUTE.findall(m["rest"]) for w in "".join(a).lower().split()} if "=" in m["rest"] else set()
+        named = _named(" ".join("".join(a) for a in ATTRIBUTE.findall(m["rest"]))) if "=" in m["rest"] else set()
         if "header" in named or tag == "header":
-            inside_article = any(t == "article" for t, _ in open_)
+            inside_article = any(t == "article" for t, _, _ in open_)
             named = named - {"header"} if inside_article else named | {"header"}
         around = open_[-1][1] if open_ else ()
-        if (tag in BOILERPLATE and tag != "header") or (tag not in ("article", "main", "body", "html") and not NAMES.isdisjoint(named)):
-            elements += 1
-            around = (*around, elements)
+        elements += 1
+        if (tag in BOILERPLATE and tag != "header") or (tag not in ("article", "main", "body", "html") and named):
+            around = (*around, -elements if named & READERS else elements)
         if not m["rest"].rstrip().endswith("/") or tag in BLOCK:
-            open_.append((tag, around))
+            open_.append((tag, around, elements))
+            links += tag == "a"
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the content paths, each one line."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    held: dict[int, int] = defaultdict(int)
-    for _, around, t in found:
-        for e in around:
-            held[e] += len(t)
-    whole = sum(len(t) for _, _, t in found)
-    lowered = [sum(2 * held[e] <= whole for e in around) for _, around, _ in found]
-    paths = [(p, n) for (p, _, _), n in zip(found, lowered)]
+def _content(found: list[Block], lowered: list[int]) -> tuple[list[bool], list[float]]:
+    """Which blocks are of content paths by the ratios of their paths, and what share of the threshold each would reach by
+    itself."""
+    paths = [(b.path, n) for b, n in zip(found, lowered)]
     chars, marks, times = defaultdict(int), defaultdict(int), defaultdict(int)
-    for k, (_, _, t) in zip(paths, found):
-        chars[k] += len(t)
-        marks[k] += len(PUNCTUATION.findall(t))
+    for k, b in zip(paths, found):
+        chars[k] += len(b.text)
+        marks[k] += len(PUNCTUATION.findall(b.text))
         times[k] += 1
-    ratio = np.array([chars[k] / times[k] for k in paths])
-    points = np.array([marks[k] / times[k] for k in paths])
-    smooth = lambda x: np.convolve(np.pad(x, 1, "edge"), [0.25, 0.5, 0.25], "valid")
-    fused = np.sqrt(smooth(ratio) * (1 + smooth(points)))
+    smooth = lambda x: np.convolve(np.pad(x, 1, "edge"), [NEIGHBOUR, 1 - 2 * NEIGHBOUR, NEIGHBOUR], "valid")
+    fused = np.sqrt(smooth(np.array([chars[k] for k in paths], float)) * (1 + smooth(np.array([marks[k] for k in paths], float))))
     total: dict[tuple, float] = defaultdict(float)
     for k, f in zip(paths, fused):
         total[k] += float(f)
     factor = {k: LOWERED ** k[1] * (RAISED if "article" in k[0] or "main" in k[0] else 1.0) for k in total}
     score = {k: total[k] / times[k] * factor[k] for k in total}
-    least = SPREAD * float(np.std([score[k] for k in paths]))
-    keep = [score[k] >= least for k in paths]
-    container = [next((p[: i + 1] for i in range(len(p) - 1, -1, -1) if p[i] not in INNER), ()) for p, _ in paths]
+    density = {k: chars[k] / times[k] * (1 + marks[k] / times[k]) * factor[k] for k in total}
+    best = max(score, key=score.get)
+    content = {k for k in score if k[1] <= best[1] and (score[k] >= SHARE * score[best] or (density[k] >= DENSER * density[best] and marks[k] > 1))}
+    alone = [density[k] / max(DENSER * density[best], 1e-9) if k[1] <= best[1] else 0.0 for k in paths]
+    return [k in content for k in paths], alone
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the content paths, each one line."""
+    found = blocks(page or "")
+    if not found:
+        return ""
+    held: dict[int, int] = defaultdict(int)
+    regions: dict[int, int] = defaultdict(int)
+    for b in found:
+        for e in b.around:
+            held[e] += len(b.text)
+            regions[e] += b.region > 0
+    whole, inside = sum(len(b.text) for b in found), sum(b.region > 0 for b in found)
+    # most of the page counts as boilerplate if it is comments, or if an article or main stands elsewhere
+    lowered = [sum(2 if e < 0 else 2 * held[e] <= whole or regions[e] < inside for e in b.around) for b in found]
+    keep, alone = _content(found, lowered)
+    places: dict[tuple[int, int], list[int]] = {}
+    for i, k in enumerate(keep):
+        if k:
+            places.setdefault((found[i].container, lowered[i]), [i, i])[1] = i
+    held_by = {(found[i].region, lowered[i]) for i, k in enumerate(keep) if k and found[i].region}
+    for i, b in enumerate(found):
+        first, last = places.get((b.container, lowered[i]), (i, i))
+        inner = next((b.path[j + 1 :] for j in range(len(b.path) - 1, -1, -1) if b.path[j] not in INNER), b.path)
+        like = not FLOWING.isdisjoint(inner) and 2 * b.linked < len(b.text)
+        near = (b.container, lowered[i]) in places or (b.region, lowered[i]) in held_by
+        keep[i] = keep[i] or first < i < last or (like and near)
     section = [-1] * 7  # most lowered content block since the last heading of at most this level, from the page's end
-    for i in range(len(paths) - 1, -1, -1):
-        tag = paths[i][0][-1] if paths[i][0] else ""
+    for i in range(len(found) - 1, -1, -1):
+        tag = found[i].path[-1] if found[i].path else ""
         if tag in HEADING:
-            own = np.sqrt(ratio[i] * (1 + points[i])) * factor[paths[i]]
-            keep[i] = section[int(tag[1])] >= lowered[i] or bool(own >= least)
+            keep[i] = section[int(tag[1])] >= lowered[i] or alone[i] >= 1
             section[int(tag[1]) :] = [-1] * (7 - int(tag[1]))
         elif keep[i]:
             section = [max(x, lowered[i]) for x in section]
-    ends: dict[tuple, list[int]] = {}
-    for i, k in enumerate(keep):
-        if k:
-            ends.setdefault((container[i], lowered[i]), [i, i])[1] = i
-    for i, n in enumerate(lowered):
-        first, last = ends.get((container[i], n), (i, i))
-        keep[i] = keep[i] or first < i < last
-    return "\n".join(t for (_, _, t), k in zip(found, keep) if k)
+    return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
