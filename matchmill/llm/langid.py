@@ -12,10 +12,12 @@ so scripts without them are read like the others, and a text of any length is re
 Parameters that bound the sample: SAMPLE_DOCS documents a language, in expectation, chosen by a hash of their ids, of
 each SAMPLE_CHARS characters from a hashed place; SAMPLE_TOTAL documents in all, shared evenly by the languages.
 
-A text is recognised from a score of LEAST_SHARE of the way from an even guess (one over the number of languages) to 1.
-That is checked on held-out documents, sampled like the others: those labelled as they were given stay, and where fewer
-than LEAST_RIGHT of them are, or there is nothing to learn from or fewer than LEAST_CHECKED documents to check on, every
-text with a letter counts as recognised. So does one of under LEAST_BYTES bytes, which are too few to judge by.
+A text is recognised from a score on that follows its length: LEAST_SHARE of the way from an even guess (one over the number
+of languages) to 1, or SPREADS standard deviations below the mean score of held-out texts of that length, if that is less.
+Lengths go by powers of two, and the held-out texts, sampled like the others, are cut into PIECES pieces of each. The scores
+of short pieces are low and spread, so a short text is hardly ever rejected. Where fewer than LEAST_RIGHT of the held-out texts are labelled as they were
+given, or there is nothing to learn from or fewer than LEAST_CHECKED documents to check on, every text with a letter counts
+as recognised.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with nothing to learn from every document is
 `und`; of equally likely languages the first by name is given; a null doc_id counts as the empty string for held_out;
@@ -39,7 +41,9 @@ from .workers import free
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 250, 4096, 4000
 HIDDEN, WINDOW, STEPS, BATCH, RATE = 12, 64, 300, 128, 1e-2
 SPAN, CONTEXT, ROWS = 448, 32, 1024
-LEAST_SHARE, LEAST_RIGHT, LEAST_CHECKED, LEAST_BYTES = 0.1, 0.9, 20, 256
+LEAST_SHARE, LEAST_RIGHT, LEAST_CHECKED, PIECES, SPREADS = 0.1, 0.9, 20, 4, 4.0
+#: Powers of two of the lengths that held-out pieces have.
+LENGTHS = range(13)
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -253,32 +257,46 @@ def label(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     return out.withColumns({"lang_pred": F.when(unknown, F.lit(UNKNOWN)).otherwise(F.col("lang_pred")), "score": F.when(unknown, F.lit(0.0)).otherwise(F.col("score"))})
 
 
-def least_score(docs: DataFrame, langs: list[str], p: dict) -> float | None:
-    """From which score a text is recognised; None if scores decide nothing."""
+def least_scores(docs: DataFrame, langs: list[str], p: dict) -> np.ndarray | None:
+    """From which score a text of 2 ** i bytes or more is recognised, for each i of LENGTHS; None if scores decide nothing."""
     checked = [(langs.index(k), t) for k, t in sample(docs, held=True) if k in langs] if len(langs) > 1 else []
     if len(checked) < LEAST_CHECKED:
         return None
     pooled = pool(p, pa.array([t for _, t in checked], pa.string()))
-    right = pooled.argmax(1) == [k for k, _ in checked]
-    if right.mean() < LEAST_RIGHT:
+    if (pooled.argmax(1) == [k for k, _ in checked]).mean() < LEAST_RIGHT:
         return None
-    return min((1 + LEAST_SHARE * (len(langs) - 1)) / len(langs), float(pooled.max(1)[right].min()))
+    even = 1 / len(langs)
+    texts = [t.encode("utf-8", "replace") for _, t in checked]
+    return np.array([min(even + LEAST_SHARE * (1 - even), _usual(p, texts, 1 << i)) for i in LENGTHS])
 
 
-def _recognised(batches: Iterator[pa.RecordBatch], text: int, p: dict, least: float) -> Iterator[pa.RecordBatch]:
+def _usual(p: dict, texts: list[bytes], size: int) -> float:
+    """The low end of the scores of pieces of that many bytes, from evenly spaced places; 0 if there are none."""
+    pieces = []
+    for raw in texts:
+        for at in sorted({(len(raw) - size) * i // PIECES for i in range(PIECES)}) if len(raw) >= size else ():
+            piece = raw[at : at + size].decode("utf-8", "ignore")
+            if any(c.isalpha() for c in piece):
+                pieces.append(piece)
+    score = pool(p, pa.array(pieces, pa.string())).max(1)
+    return float(score.mean() - SPREADS * score.std()) if len(score) else 0.0
+
+
+def _recognised(batches: Iterator[pa.RecordBatch], text: int, p: dict, least: np.ndarray) -> Iterator[pa.RecordBatch]:
     free()
     for batch in batches:
         if batch.num_rows:
-            short = pc.less(pc.binary_length(batch.column(text)), LEAST_BYTES)
-            yield batch.filter(pc.or_(short, pa.array(pool(p, batch.column(text)).max(1) >= least)))
+            size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            power = np.minimum(np.log2(np.maximum(size, 1)).astype(int), LENGTHS[-1])
+            yield batch.filter(pa.array(pool(p, batch.column(text)).max(1) >= least[power]))
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows with a letter that are recognised by their score, or too short for it, by a network trained on `docs`."""
+    """The rows with a letter that are recognised by the score that their length asks for, by a network trained on `docs`."""
     small_batches(docs.sparkSession)
     letters = docs.filter(F.col("text").rlike(LETTER))
     langs, p = train(sample(docs))
-    if (least := least_score(docs, langs, p)) is None:
+    if (least := least_scores(docs, langs, p)) is None:
         return letters
     text = docs.columns.index("text")
     return letters.mapInArrow(lambda it: _recognised(it, text, p, least), docs.schema)

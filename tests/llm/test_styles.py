@@ -419,3 +419,16 @@ def test_substring_shared_ids(spark):
     assert got == [(1, 15, 0, a), (2, 15, 0, b), (2, 15, 15, ""), (2, 30, 15, c), (3, 15, 15, "")]
     spans = sorted((r["doc_id"], r["first"], r["n_words"]) for r in substring.maximal_repeats(docs).collect())
     assert spans == [(2, 0, 15), (2, 15, 15), (3, 0, 15)]
+
+
+def test_language_lengths(spark):
+    """The score that a text must have follows its length, and no clean text of any length falls below it."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs, p = langid.train(langid.sample(table))
+    least = langid.least_scores(table, langs, p)
+    assert len(least) == len(langid.LENGTHS) and (least <= 0.325 + 1e-9).all() and (least[8:] > 0.3).all()
+    texts = [r["text"] for r in table.filter("length(text) > 3000").orderBy("doc_id").limit(60).collect()]
+    for size in (3, 20, 100, 255, 256, 1000, 3000):
+        docs = spark.createDataFrame([(i, t[:size], "x") for i, t in enumerate(texts)], "doc_id long, text string, best string")
+        kept = sum(b.num_rows for b in langid._recognised(iter(docs.toArrow().to_batches()), 1, p, least))
+        assert kept >= len(texts) - 1, size
