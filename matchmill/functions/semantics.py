@@ -32,9 +32,31 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def to_fixed(x: Column, digits: int = 0) -> Column:
-    """Halves go away from zero."""
+    """x to so many digits by its exact binary value; only exact halves go away from zero.
+
+    The product with the power of ten is taken without error, as its rounded value and what rounding left out, by splitting
+    both factors into halves of their bits. So 1.45, which is a little less than that, gives 1.4."""
     scale = float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale + F.lit(0.0)
+    high, low = _halves(scale)
+    size = F.abs(x)
+    big = size * SPLITTER
+    top = big - (big - size)
+    rest = size - top
+    product = size * scale
+    error = ((top * high - product) + top * low + rest * high) + rest * low
+    whole = F.floor(product)
+    up = ((product - whole) - 0.5) + error >= 0
+    rounded = F.signum(x) * ((whole + F.when(up, 1).otherwise(0)) / scale) + F.lit(0.0)
+    return F.when(F.isnan(x.cast("double")) | (product >= WHOLE), x.cast("double")).otherwise(rounded)
+
+
+#: A factor that splits a double's 53 bits into two halves; from WHOLE on every double is a whole number.
+SPLITTER, WHOLE = 134217729.0, float(2**53)
+
+
+def _halves(x: float) -> tuple[float, float]:
+    top = x * SPLITTER - (x * SPLITTER - x)
+    return top, x - top
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchmill.functions.semantics import clamp, half_up, low_score_factor, poisson
+from matchmill.functions.semantics import clamp, half_up, low_score_factor, poisson, to_fixed
 
 GOALS = range(7)
 
 
-def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho: float = -0.13, whole: bool = True) -> DataFrame:
+def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho: float = -0.13, whole: bool = True, scores: bool = False) -> DataFrame:
     """`df` with win, draw and loss probabilities made to add up to one (unless not `whole`), over and both-score probabilities as they are,
     and the likeliest score (first in order of home, then away goals). The 7 + 7 rates are columns of their own, and a
-    cell is a product of two of them, so the totals are generated sums and no row is multiplied."""
+    cell is a product of two of them, so the totals are generated sums and no row is multiplied. With `scores` also the map
+    of scores that aren't unlikely, before anything is made to add up."""
     out = df.withColumns({f"p_{s}{k}": poisson(F.col(x), k) for s, x in (("h", home), ("a", away)) for k in GOALS})
     cell = {(h, a): F.col(f"p_h{h}") * F.col(f"p_a{a}") * low_score_factor(h, a, F.col(home), F.col(away), rho) for h in GOALS for a in GOALS}
     total = lambda keep: sum((p for (h, a), p in cell.items() if keep(h, a)), F.lit(0.0))
@@ -24,9 +25,23 @@ def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho:
     best = F.coalesce(*(F.when(p == F.col("best_prob"), F.lit(f"{h}-{a}")) for (h, a), p in cell.items()))
     all_ = F.col("w") + F.col("d") + F.col("l") if whole else F.lit(1.0)
     out = out.withColumns({"home_prob": F.col("w") / all_, "draw_prob": F.col("d") / all_, "away_prob": F.col("l") / all_, "best_score": best})
+    out = out.withColumn("score_map", score_map(cell)) if scores else out
     return out.drop("w", "d", "l", *(f"p_{s}{k}" for s in "ha" for k in GOALS))
 
 
+def largest(scores: Column, n: int) -> Column:
+    """The n entries of a map with the largest values, in that order; of equals those that come first in the map."""
+    placed = F.transform(F.map_entries(scores), lambda e, i: F.struct((-e["value"]).alias("less"), i.alias("at"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.map_from_entries(F.transform(F.slice(F.array_sort(placed), 1, n), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+
+def score_map(cells: dict[tuple[int, int], Column], least: float = 0.01, digits: int = 4) -> Column:
+    """Scores whose probability is above `least`, in order of home, then away goals, with rounded probabilities."""
+    each = F.array(*(F.struct(F.lit(f"{h}-{a}").alias("key"), p.alias("value")) for (h, a), p in cells.items()))
+    kept = F.filter(each, lambda e: e["value"] > least)
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), to_fixed(e["value"], digits).alias("value"))))
+
+
 def normalize_odds(home: Column, draw: Column, away: Column) -> list[Column]:
     """Probabilities of prices, the bookmaker's margin removed; a fixed split where there are no prices."""
     inverse = [F.when(o > 1.01, 1 / o).otherwise(F.lit(0.0)) for o in (home, draw, away)]

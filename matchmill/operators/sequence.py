@@ -21,9 +21,43 @@ def best_streak(df: DataFrame, keys: list[str], hit: Column, *order: str) -> Dat
     return runs.groupBy(*keys).agg(F.max("run").cast("long").alias("best_streak"))
 
 
-def smoothed(values: Column, start: float = START_RATE, low: float = 0.6, high: float = 3.0) -> Column:
-    """x becomes 0.94 x + 0.06 v / 1.35 within bounds, over an ordered array of values."""
-    return F.aggregate(values, F.lit(start), lambda x, v: F.greatest(F.lit(low), F.least(F.lit(high), 0.94 * x + 0.06 * v / 1.35)))
+#: Rows whose maps one task composes at a time.
+CHUNK = 4096
+MAP = "struct<a:double,b:double,low:double,high:double>"
+
+
+def smoothing(value: Column, alpha: float = 0.06, unit: float = 1.35, low: float = 0.6, high: float = 3.0) -> Column:
+    """The step x -> (1 - alpha) x + alpha value / unit within bounds, as a map of four numbers."""
+    return F.struct(F.lit(1 - alpha).alias("a"), (value * alpha / unit).cast("double").alias("b"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+
+def after(f: Column, g: Column) -> Column:
+    """The map that takes f first and then g. Maps x -> min(high, max(low, a x + b)) with a > 0 stay of that form."""
+    bound = lambda x: F.greatest(g["low"], F.least(g["high"], g["a"] * x + g["b"]))
+    return F.struct((f["a"] * g["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), bound(f["low"]).alias("low"), bound(f["high"]).alias("high"))
+
+
+def applied(f: Column, x: Column) -> Column:
+    return F.greatest(f["low"], F.least(f["high"], f["a"] * x + f["b"]))
+
+
+def _next(name: str) -> Callable[[Column, Column], Column]:
+    return lambda f, row: after(f, row[name])
+
+
+def composed(df: DataFrame, key: str, order: list[str], maps: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """(key, maps): the maps of each key's rows, one after the other in `order`, as one map. As composing is associative, rows
+    are dealt out by ranges, chunks of them are composed in parallel, then chunks of chunks, and the few that are left per
+    range of rows; a key of any size is spread over the tasks, and what a task holds is bounded."""
+    none = F.expr(f"cast(struct(1.0D, 0.0D, -double('infinity'), double('infinity')) as {MAP})")
+    rows = df.select(key, *order, *(m.alias(n) for n, m in maps.items())).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    rows = rows.select(key, F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("at"), *maps)
+    for by in ([key, "run", "part"], [key, "run", "part"], [key]):
+        held = rows.withColumn("part", F.expr(f"at div {chunk}L")) if "part" in by else rows
+        ordered = held.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", *maps))).alias("rows"))
+        whole = {n: F.aggregate("rows", none, _next(n)) for n in maps}
+        rows = ordered.select(key, *([F.col("run"), F.col("part").alias("at")] if "part" in by else []), *(m.alias(n) for n, m in whole.items()))
+    return rows
 
 
 def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Any], step: Callable[[Any, Any], None], rows: Callable[[Any, Any], list[tuple]]) -> DataFrame:
@@ -51,13 +85,9 @@ def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callab
 
 def rates(t: DataFrame) -> DataFrame:
     """(team_id, attack, defence) after all scored games of a team: smoothed goals for and against."""
-    scored = t.filter("gf IS NOT NULL AND ga IS NOT NULL").select("team_id", "match_date", "match_id", "gf", "ga")
-
-    def step(x: list[float], row: tuple) -> None:
-        for i in (0, 1):
-            x[i] = max(0.6, min(3.0, 0.94 * x[i] + 0.06 * row[3 + i] / 1.35))
-
-    return folded(scored, "team_id", ["match_date", "match_id"], "team_id long, attack double, defence double", lambda: [START_RATE, START_RATE], step, lambda key, x: [(key, *x)])
+    scored = t.filter("gf IS NOT NULL AND ga IS NOT NULL")
+    out = composed(scored, "team_id", ["match_date", "match_id"], {"attack": smoothing(F.col("gf")), "defence": smoothing(F.col("ga"))})
+    return out.select("team_id", *(applied(F.col(c), F.lit(START_RATE)).alias(c) for c in ("attack", "defence")))
 
 
 def elo(m: DataFrame) -> DataFrame:

@@ -98,8 +98,11 @@ def R(x: str, digits: int = 2) -> str:
 
 
 def X(x: str, digits: int = 2) -> str:
-    """Halves away from zero."""
-    return f"(sign({x}) * floor(abs({x}) * {10**digits}.0::DOUBLE + 0.5) / {10**digits}.0::DOUBLE + 0.0::DOUBLE)"
+    """By the exact value, whose digits printf gives; exact halves away from zero, where printf takes the even one."""
+    n = f"({x})::DOUBLE"
+    half = f"substr(printf('%.40f', abs({n})), -{40 - digits}) = '5{'0' * (39 - digits)}'"
+    away = f"sign({n}) * (floor(abs({n}) * {10**digits}) + 1) / {10**digits}.0::DOUBLE"
+    return f"(CASE WHEN {half} THEN {away} ELSE CAST(printf('%.{digits}f', {n}) AS DOUBLE) END + 0.0::DOUBLE)"
 
 
 _CARD = "l_returnflag = 'N' AND "

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from matchmill.functions.semantics import possible_names
 
@@ -77,28 +73,6 @@ def injuries(players: Column, names: int = 4) -> Column:
     return F.struct(F.size(out).alias("count"), impact.alias("impact"), F.slice(F.transform(out, lambda p: p["player"]["name"]), 1, names).alias("names"))
 
 
-@udtf(returnType="home double, draw double, away double, path string")
-class PriceNodes:
-    """Every node of a JSON document that holds a home, a draw and an away price above 1.01, however deep."""
-
-    NAMES = {"home": ("home", "homeOdds", "1"), "draw": ("draw", "drawOdds", "X"), "away": ("away", "awayOdds", "2")}
-
-    def eval(self, document: str) -> Iterator[tuple]:
-        try:
-            waiting = [("$", json.loads(document or "null"))]
-        except ValueError:
-            return
-        while waiting:
-            path, node = waiting.pop()
-            if isinstance(node, dict):
-                prices = [next((float(node[n]) for n in names if isinstance(node.get(n), int | float) and node[n] > 1.01), None) for names in self.NAMES.values()]
-                if all(prices):
-                    yield (*prices, path)
-                waiting += [(f"{path}.{k}", v) for k, v in node.items()]
-            elif isinstance(node, list):
-                waiting += [(f"{path}[{i}]", v) for i, v in enumerate(node)]
-
-
 def availability(pages: DataFrame, html: str = "html") -> DataFrame:
     """Counts of words about absences in pages."""
     low = F.lower(F.col(html))

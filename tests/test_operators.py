@@ -23,6 +23,21 @@ def test_numbers(spark):
     assert [one(spark, S.falsy_or(F.col("x"), 0.5), x=v) for v in (0.0, 2.0, float("nan"))] == [0.5, 2.0, 0.5]
 
 
+def test_to_fixed(spark):
+    """A million doubles to nought to four digits as exact decimal arithmetic gives them."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    r = random.Random(7)
+    values = [1.45, 0.145, 1.005, 0.125, 2.5, -2.5, -0.125, 8.345, 1e-9, 0.0, -0.004, 1e15 + 0.3, 4503599627370497.5, 1e22, 123456789.125]
+    values += [r.uniform(-100, 100) for _ in range(500_000)] + [r.randrange(-(10**6), 10**6) / r.choice((8, 16, 40, 200, 1000, 3)) for _ in range(500_000)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", *(S.to_fixed(F.col("x"), d).alias(f"d{d}") for d in range(5)))
+    for x, *got in rows.toPandas().itertuples(index=False, name=None):
+        for d, g in enumerate(got):
+            assert g == float(Decimal(x).quantize(Decimal(1).scaleb(-d), ROUND_HALF_UP)), (x, d, g)
+    assert one(spark, S.to_fixed(F.col("x"), 1), x=1.45) == 1.4 and one(spark, S.to_fixed(F.col("x"), 1), x=None) is None
+
+
 def test_names_and_days(spark):
     assert one(spark, S.normalize_name(F.col("x")), x="  Málaga-CF Ærø ß ") == "malaga cf r"
     assert one(spark, S.possible_names(F.col("x")), x="FC Porto") == ["fc porto", "porto"]
@@ -71,10 +86,6 @@ def test_sources(spark, tmp_path):
     a = spark.createDataFrame([("d1", 1)], "match_date string, v int")
     b = spark.createDataFrame([("d1", 2), ("d2", 3)], "match_date string, v int")
     assert sorted(readers.fallback_chain([a, b]).collect()) == [("d1", 1), ("d2", 3)]
-    docs = spark.createDataFrame([('{"a":[{"home":2.0,"draw":3,"away":4.5},{"home":1.0,"draw":3,"away":4}]}',), ("{",)], "j string")
-    docs.createOrReplaceTempView("price_documents")
-    spark.udtf.register("price_nodes", readers.PriceNodes)
-    assert [tuple(r) for r in spark.sql("SELECT p.* FROM price_documents, LATERAL price_nodes(j) p").collect()] == [(2.0, 3.0, 4.5, "$.a[0]")]
     assert readers.read_or_default(spark, str(tmp_path / "none.json"), "a int").count() == 0
 
 
