@@ -36,18 +36,21 @@ def to_fixed(x: Column, digits: int = 0) -> Column:
 
     The product with the power of ten is taken without error, as its rounded value and what rounding left out, by splitting
     both factors into halves of their bits. So 1.45, which is a little less than that, gives 1.4."""
-    scale = float(10**digits)
+    return F.get(F.transform(F.array(x.cast("double")), lambda v: _fixed(v, float(10**digits))), F.lit(0))  # x is worked out once
+
+
+def _fixed(x: Column, scale: float) -> Column:
     high, low = _halves(scale)
     size = F.abs(x)
     big = size * SPLITTER
     top = big - (big - size)
     rest = size - top
     product = size * scale
-    error = ((top * high - product) + top * low + rest * high) + rest * low
     whole = F.floor(product)
+    error = ((top * high - product) + top * low + rest * high) + rest * low
     up = ((product - whole) - 0.5) + error >= 0
     rounded = F.signum(x) * ((whole + F.when(up, 1).otherwise(0)) / scale) + F.lit(0.0)
-    return F.when(F.isnan(x.cast("double")) | (product >= WHOLE), x.cast("double")).otherwise(rounded)
+    return F.when(F.isnan(x) | (product >= WHOLE), x).otherwise(rounded)
 
 
 #: A factor that splits a double's 53 bits into two halves; from WHOLE on every double is a whole number.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchmill.functions.semantics import outcome, to_fixed
+from matchmill.operators.before import number, running_before
 
 SIGNALS = ("clubelo_misread", "open_lineups", "weather_risk", "rest_gap", "h2h_signal", "market_misread", "low_model_agreement")
 
@@ -17,11 +18,17 @@ def likeliest(home: Column, draw: Column, away: Column) -> Column:
 
 
 def reviews(m: DataFrame) -> DataFrame:
-    """One row per finished match with a score and a prediction. Biases are what came less what was predicted; the
-    signals name what may have misled a wrong outcome. Read are the goals, the prediction's goals and probabilities, and
-    elo_diff, lineups_confirmed, weather_risk, rest_diff, h2h_results, market_over_diff and agreement."""
+    """One row per finished match with a score; a prediction without goals counts as one of none. Biases are what came less
+    what was predicted; the signals name what may have misled a wrong outcome. Read are the goals, the prediction's goals
+    and probabilities, and elo_diff, lineups_confirmed, weather_risk, rest_diff, h2h_results, market_over_diff and
+    agreement."""
+    return judged(m).filter("reviewed").drop("reviewed")
+
+
+def judged(m: DataFrame) -> DataFrame:
+    """All matches with the columns of a review and whether they have one (`reviewed`)."""
     h, a, ph, pa = (F.col(c) for c in ("home_goals", "away_goals", "pred_home_goals", "pred_away_goals"))
-    out = m.filter((F.upper("status") == "FT") & h.isNotNull() & a.isNotNull() & ph.isNotNull() & pa.isNotNull())
+    out = m.withColumns({"pred_home_goals": F.coalesce(ph, F.lit(0)), "pred_away_goals": F.coalesce(pa, F.lit(0)), "reviewed": F.coalesce((F.upper("status") == "FT") & h.isNotNull() & a.isNotNull(), F.lit(False))})
     out = out.withColumns({"actual": outcome(h, a), "predicted": outcome(ph, pa), "likeliest": likeliest(F.col("home_prob"), F.col("draw_prob"), F.col("away_prob"))})
     out = out.withColumns({
         "outcome_hit": F.col("actual") == F.col("predicted"), "probability_hit": F.col("actual") == F.col("likeliest"), "exact_hit": (h == ph) & (a == pa),
@@ -44,8 +51,12 @@ def reliability(r: DataFrame, key: str) -> DataFrame:
     """Per key (rows without one are left out) the rates of right outcomes and scores and the mean goal error, rounded,
     and a score from the rounded ones; leagues of `Europe -` count a little less."""
     g = r.filter(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").groupBy(key).agg(F.count(F.lit(1)).alias("matches"), F.count_if("outcome_hit").alias("o"), F.count_if("exact_hit").alias("x"), F.sum("goal_error").alias("e"))
-    n = F.col("matches")
-    g = g.select(key, "matches", rate(F.col("o"), n).alias("hit_rate"), rate(F.col("x"), n).alias("exact_rate"), rate(F.col("e"), n).alias("avg_goal_error"))
+    return _reliable(g, key)
+
+
+def _reliable(g: DataFrame, key: str, *more: str) -> DataFrame:
+    n = F.when(F.col("matches") > 0, F.col("matches"))
+    g = g.select(key, *more, "matches", rate(F.col("o"), n).alias("hit_rate"), rate(F.col("x"), n).alias("exact_rate"), rate(F.col("e"), n).alias("avg_goal_error"))
     score = to_fixed(F.col("hit_rate") * 0.68 + F.col("exact_rate") * 0.22 + F.greatest(F.lit(0.0), 1 - F.col("avg_goal_error") / 4) * 0.1, 2)
     return g.withColumn("reliability", F.when(F.startswith(F.col(key), F.lit("Europe -")), to_fixed(score * 0.96, 2)).otherwise(score))
 
@@ -83,6 +94,35 @@ def team_learning(r: DataFrame) -> DataFrame:
     )
 
 
+def reliability_before(j: DataFrame, key: str, day: str = "match_date") -> DataFrame:
+    """As reliability(), for each day on which a key has matches, from the reviews of earlier days; null without any."""
+    held = lambda c: F.when(F.col("reviewed"), number(F.col(c)))
+    sums = running_before(j, [key], day, {"matches": F.col("reviewed"), "o": held("outcome_hit"), "x": held("exact_hit"), "e": held("goal_error")})
+    return _reliable(sums, key, day)
+
+
+def learning_before(j: DataFrame, day: str = "match_date") -> DataFrame:
+    """(team_id, day, games, rates, biases, fragility): what the reviews of earlier days say of a team; null without any. Each
+    side's biases divide by all reviews of the team; fragility counts misses with open line-ups, weather or meetings."""
+
+    def side(name: str, o: str) -> DataFrame:
+        held = lambda c: F.when(F.col("reviewed"), number(c))
+        missed = number((F.col("predicted") != o) & (F.col("actual") == o)) - number((F.col("predicted") == o) & (F.col("actual") != o))
+        fragile = sum((number(F.array_contains("signals", s)) for s in ("open_lineups", "weather_risk", "h2h_signal")), F.lit(0))
+        own = {"goal_bias": F.col(f"{name}_bias"), "outcome_bias": missed}
+        other = "away" if name == "home" else "home"
+        return j.select(
+            F.col(f"{name}_team_id").alias("team_id"), day, number(F.col("reviewed")).alias("games"), held(F.col("outcome_hit")).alias("outcome_hits"), held(F.col("exact_hit")).alias("exact_hits"), held(fragile).alias("fragility"),
+            *(held(c).alias(f"{name}_{k}") for k, c in own.items()), *(F.lit(0).cast("long").alias(f"{other}_{k}") for k in own),
+        )
+
+    names = ("games", "outcome_hits", "exact_hits", "fragility", *(f"{s}_{k}" for s in ("home", "away") for k in ("goal_bias", "outcome_bias")))
+    sums = running_before(side("home", "H").unionByName(side("away", "A")), ["team_id"], day, {n: F.col(n) for n in names})
+    n = F.when(F.col("games") > 0, F.col("games"))
+    rates = {"hit_rate": "outcome_hits", "exact_rate": "exact_hits"} | {f"{s}_{k}": f"{s}_{k}" for s in ("home", "away") for k in ("goal_bias", "outcome_bias")}
+    return sums.select("team_id", day, n.alias("games"), "fragility", *(rate(F.col(c), n).alias(k) for k, c in rates.items()))
+
+
 def diagnostics(r: DataFrame) -> DataFrame:
     """One row: reviews, the rates of right scores, outcomes and likeliest outcomes, the mean goal error."""
     n = F.greatest(F.count(F.lit(1)), F.lit(1))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchmill.functions.semantics import half_up, to_fixed
+from matchmill.operators.before import last_before
 from matchmill.operators.lookups import last_n_per_key
 
 
@@ -115,9 +116,31 @@ def profile(t: DataFrame, n: int = 10) -> DataFrame:
     return out.withColumn("strongest_side", best)
 
 
+#: What a team's form before a day is made of, besides its number of games.
+COUNTED = ("wins", "draws", "gf", "ga", "btts", "yellow", "red", *(f"{s}_{k}" for s in ("home", "away") for k in ("n", "gf", "ga", "over25")))
+
+
+def profile_before(t: DataFrame, n: int = 10, day: str = "match_date") -> DataFrame:
+    """As profile(), for each day on which a team plays, over its last n finished games of earlier days; null without any."""
+    gf, ga = F.col("gf"), F.col("ga")
+    here = lambda s: (F.col("side") == s) & gf.isNotNull()
+    measures = {"wins": gf > ga, "draws": gf == ga, "gf": gf, "ga": ga, "btts": (gf > 0) & (ga > 0), "yellow": F.col("yellow"), "red": F.col("red")}
+    for s in ("home", "away"):
+        measures |= {f"{s}_n": here(s), f"{s}_gf": F.when(here(s), gf), f"{s}_ga": F.when(here(s), ga), f"{s}_over25": here(s) & (gf + ga > 2)}
+    sums = last_before(t, "team_id", day, "match_id", F.col("status") == "FT", measures, n)
+    games = F.when(F.col("games") > 0, F.col("games"))
+    out = [games.alias("games"), *(F.when(F.col("games") > 0, F.col(c)).alias(c) for c in ("wins", "draws"))]
+    out += [to_fixed(F.col(c) / games, 2).alias(k) for k, c in (("avg_scored", "gf"), ("avg_conceded", "ga"), ("btts_rate", "btts"), ("yellow_rate", "yellow"), ("red_rate", "red"))]
+    for s in ("home", "away"):
+        k = F.when(F.col(f"{s}_n") > 0, F.col(f"{s}_n"))
+        out += [F.when(F.col("games") > 0, F.col(f"{s}_n")).alias(f"{s}_games")]
+        out += [F.when(F.col("games") > 0, F.coalesce(to_fixed(F.col(f"{s}_{c}") / k, 2), F.lit(default))).alias(f"{s}_{name}") for name, c, default in (("scored", "gf", 1.35), ("conceded", "ga", 1.35), ("over25", "over25", 0.45))]
+    return sums.select("team_id", day, *out)
+
+
 def recent_matches(t: DataFrame, n: int = 5) -> DataFrame:
-    """A team's last n finished games; one without a score has none and counts as lost."""
-    result = F.when(F.col("gf") > F.col("ga"), "W").when(F.col("gf") == F.col("ga"), "D").otherwise("L")
+    """A team's last n finished games; one without a score has none and counts as a draw, both sides having the same."""
+    result = F.when(F.col("gf") > F.col("ga"), "W").when(F.col("gf").eqNullSafe(F.col("ga")), "D").otherwise("L")
     score = F.when(F.col("gf").isNotNull() & F.col("ga").isNotNull(), F.concat_ws("-", "gf", "ga"))
     return recent(t, n).select("team_id", "rank", "match_id", "opponent_id", F.when(F.col("side") == "home", "H").otherwise("A").alias("venue"), score.alias("score"), result.alias("result"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchmill.functions.semantics import half_up, to_fixed
+from matchmill.operators.before import running_before
 from matchmill.operators.model import normalize_odds
 
 VALID = "home_odd > 1.01 AND draw_odd > 1.01 AND away_odd > 1.01 AND outcome IS NOT NULL"
@@ -64,13 +65,91 @@ def current_signals(o: DataFrame, most: int = 8) -> DataFrame:
     return one.withColumn("agreement", to_fixed(F.avg(F.when(F.col("lean") == "neutral", 0.0).otherwise(1.0)).over(Window.partitionBy("match_id")), 2))
 
 
+BOOKS = range(8)
+
+
+def match_prices(o: DataFrame, books: bool = False) -> DataFrame:
+    """(match_id, outcome, and per match, or per match and per book: valid lines, points that they promised each side, closing
+    lines)."""
+    units = lambda p: F.round((3 * F.col(p) + F.col("p_draw")) * 10000).cast("long")
+    rows = implied(o.filter(VALID)).select("match_id", "outcome", "book", "closing", units("p_home").alias("ph"), units("p_away").alias("pa"))
+    groups = {f"b{b}_": F.col("book") == b for b in BOOKS} if books else {"": F.lit(True)}
+    sums = [x for k, c in groups.items() for x in (F.count_if(c).alias(f"{k}n"), F.sum(F.when(c, F.col("ph"))).alias(f"{k}ph"), F.sum(F.when(c, F.col("pa"))).alias(f"{k}pa"), F.count_if(c & F.col("closing")).alias(f"{k}c"))]
+    return rows.groupBy("match_id", "outcome").agg(*sums)
+
+
+def side_measures(side: str, books: bool = False) -> dict[str, Column]:
+    """What a match adds to the price record of its team on `side`, overall or per book."""
+    win, promised = ("H", "ph") if side == "home" else ("A", "pa")
+    points = F.when(F.col("outcome") == win, 3).when(F.col("outcome") == "D", 1).otherwise(0)
+    out = {}
+    for k in [f"b{b}_" for b in BOOKS] if books else [""]:
+        for s in ("home", "away"):
+            own = s == side
+            out |= {f"{k}{s}_games": F.col(f"{k}n") if own else F.lit(0), f"{k}{s}_won": F.col(f"{k}n") * points if own else F.lit(0), f"{k}{s}_promised": F.col(f"{k}{promised}") if own else F.lit(0)}
+        out |= {f"{k}closing": F.col(f"{k}c")}
+    return out
+
+
+def a_game(k: str, side: str) -> tuple[Column, Column, Column]:
+    """Points won and promised a game at home or away, and how much more was won; null without games."""
+    n = F.when(F.col(f"{k}{side}_games") > 0, F.col(f"{k}{side}_games"))
+    won, promised = F.col(f"{k}{side}_won") / n, F.col(f"{k}{side}_promised") / 10000 / n
+    return to_fixed(won, 2), to_fixed(promised, 2), to_fixed(won - promised, 2)
+
+
+def coverage_before(m: DataFrame, prices: DataFrame, day: str = "match_date") -> DataFrame:
+    """(league, day, closing_coverage): the share of the league's priced matches of earlier days that two closing prices
+    cover; null without any."""
+    rows = m.select("match_id", "league", day).join(prices.select("match_id", "n", "c"), "match_id", "left")
+    sums = running_before(rows, ["league"], day, {"matches": F.col("n") > 0, "covered": F.col("c") >= 2})
+    return sums.select("league", day, to_fixed(F.col("covered") / F.when(F.col("matches") > 0, F.col("matches")), 2).alias("closing_coverage"))
+
+
+def book_figures(record: str) -> Column:
+    """Of a struct of side_measures() per book an array with one entry per book: what it misjudged at home and away, games
+    there, and the share of closing lines; null for a book without games."""
+    raw = lambda b: F.struct(F.lit(b).alias("book"), *(F.col(f"{record}.b{b}_{c}").alias(c) for c in ("home_games", "home_won", "home_promised", "away_games", "away_won", "away_promised", "closing")))
+
+    def one(r: Column) -> Column:
+        def over(s: str) -> Column:
+            n = F.when(r[f"{s}_games"] > 0, r[f"{s}_games"])
+            return F.coalesce(to_fixed(r[f"{s}_won"] / n - r[f"{s}_promised"] / 10000 / n, 2), F.lit(0.0))
+
+        rows = r["home_games"] + r["away_games"]
+        figures = F.struct(over("home").alias("home_over"), over("away").alias("away_over"), r["home_games"].cast("double").alias("home_games"), r["away_games"].cast("double").alias("away_games"), to_fixed(r["closing"] / rows, 2).alias("coverage"))
+        return F.when(rows > 0, figures)
+
+    return F.transform(F.array(*(raw(b) for b in BOOKS)), one)
+
+
+def book_records(home: Column, away: Column) -> Column:
+    """The figures of both teams per book, as `goals.book_signals` takes them; a book that neither team has is left out."""
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    none = F.array_repeat(F.lit(None).cast("struct<home_over:double,away_over:double,home_games:double,away_games:double,coverage:double>"), len(BOOKS))
+    sides = F.zip_with(F.coalesce(home, none), F.coalesce(away, none), lambda h, a: F.struct(h.alias("h"), a.alias("a")))
+    records = F.transform(sides, lambda x, i: F.when(x["h"].isNotNull() | x["a"].isNotNull(), F.struct(
+        i.cast("string").alias("book"), zero(x["h"]["home_over"]).alias("home_over"), zero(x["a"]["away_over"]).alias("away_over"), zero(x["h"]["home_games"]).alias("home_games"), zero(x["a"]["away_games"]).alias("away_games"),
+        zero(x["h"]["coverage"]).alias("home_coverage"), zero(x["a"]["coverage"]).alias("away_coverage"),
+    )))
+    return F.filter(records, lambda x: x.isNotNull())
+
+
+def referees_before(m: DataFrame, day: str = "match_date") -> DataFrame:
+    """(referee_id, day, avg_cards, penalty_rate) from a referee's games of earlier days; null without any."""
+    cards = sum((F.col(f"{s}_{c}") * w for s in ("home", "away") for c, w in (("yellow", 1), ("red", 2))), F.lit(0))
+    sums = running_before(m.filter("referee_id IS NOT NULL"), ["referee_id"], day, {"games": F.lit(1), "cards": cards, "penalties": F.col("penalties"), "counted": F.col("penalties").isNotNull()})
+    a_game_of = lambda c, n: to_fixed(F.col(c) / F.when(F.col(n) > 0, F.col(n)), 2)
+    return sums.select("referee_id", day, a_game_of("cards", "games").alias("avg_cards"), a_game_of("penalties", "counted").alias("penalty_rate"))
+
+
 def referees(m: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Per referee the games, mean yellow and red cards, the mean of yellow + 2 red, the share of games with a penalty,
-    and how strict that is."""
+    """Per referee the games, mean yellow and red cards, the mean of yellow + 2 red, the penalties a
+    game of those that have a count (null if none has), and how strict that is."""
     n, total = F.count(F.lit(1)), lambda c: F.coalesce(F.sum(c), F.lit(0))
     yellow, red = F.col("home_yellow") + F.col("away_yellow"), F.col("home_red") + F.col("away_red")
     g = m.filter("referee_id IS NOT NULL").groupBy("referee_id").agg(
-        n.alias("games"), half_up(total(yellow) / n, 2).alias("avg_yellow"), half_up(total(red) / n, 2).alias("avg_red"), half_up(total(yellow + red * 2) / n, 2).alias("avg_cards"), half_up(F.count_if(F.col("penalties") > 0) / n, 2).alias("penalty_rate"),
+        n.alias("games"), half_up(total(yellow) / n, 2).alias("avg_yellow"), half_up(total(red) / n, 2).alias("avg_red"), half_up(total(yellow + red * 2) / n, 2).alias("avg_cards"), to_fixed(F.sum("penalties") / F.count("penalties"), 2).alias("penalty_rate"),
     )
     bucket = F.when(F.col("avg_cards") >= 4.8, "streng").when(F.col("avg_cards") >= 3.2, "gemiddeld").otherwise("laat doorspelen")
     return g.withColumn("strictness", bucket).join(supplier.select(F.col("s_suppkey").alias("referee_id"), F.col("s_name").alias("referee")), "referee_id", "left")

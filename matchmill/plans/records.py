@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchmill.functions.semantics import half_up, to_fixed
 from matchmill.operators import classify, evaluate, form, market
+from matchmill.operators.before import running_before
 from matchmill.plans.bridge import matches, odds, read, team_rows
 
 #: Fixed values of this plan: labels of cup rounds by the number of a match.
@@ -61,6 +62,15 @@ def both_sides(m: DataFrame, table: DataFrame, key: str, *columns: str) -> DataF
     return m
 
 
+def prices_before(spark: SparkSession, d: str, m: DataFrame, books: bool = False) -> DataFrame:
+    """(team_id, match_date, market): each team's price record at home and away, overall or per book, before the day."""
+    per = m.select("match_id", "match_date", "home_team_id", "away_team_id").join(market.match_prices(odds(spark, d, m), books), "match_id", "left")
+    names = list(market.side_measures("home", books))
+    side = lambda s: per.select(F.col(f"{s}_team_id").alias("team_id"), "match_date", *(c.alias(n) for n, c in market.side_measures(s, books).items()))
+    state = running_before(side("home").unionByName(side("away")), ["team_id"], "match_date", {n: F.col(n) for n in names})
+    return state.select("team_id", "match_date", F.struct(*names).alias("market"))
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Matches with ratings, rest, line-ups, absences, weather, meetings, places, market records and the prediction that
     was stored for them. Every look-up is a keyed join against one row per team, match or day."""
@@ -68,10 +78,15 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     t = team_rows(m)
     rest = form.rest_days(t)
     table = form.standings(t).withColumn("teams", F.count(F.lit(1)).over(Window.partitionBy("league")))
-    prices = market.team_profile(odds(spark, d, m)).select("team_id", F.col("overperformance").alias("market_over"), F.col("games").alias("market_games"))
     k = m.join(line_facts(spark, d), "match_id", "left").join(meetings_before(m), "match_id").join(weather(spark, d).withColumnRenamed("day", "of"), F.dayofmonth("match_date") == F.col("of"), "left")
     k = both_sides(k, ratings(spark, d), "team_id", "elo")
-    k = both_sides(both_sides(k, prices, "team_id", "market_over", "market_games"), table, "team_id", "position", "teams")
+    k = both_sides(k, table, "team_id", "position", "teams")
+    prices = prices_before(spark, d, m)
+    for side in ("home", "away"):
+        k = k.join(prices.select(F.col("team_id").alias(f"{side}_team_id"), "match_date", F.col("market").alias(f"{side}_market")), [f"{side}_team_id", "match_date"], "left")
+        actual, implied, over = market.a_game(f"{side}_market.", side)
+        any_ = F.col(f"{side}_market.home_games") + F.col(f"{side}_market.away_games") > 0
+        k = k.withColumns({f"{side}_market_actual": actual, f"{side}_market_implied": implied, f"{side}_market_over": over, f"{side}_market_games": F.when(any_, F.col(f"{side}_market.{side}_games"))})
     for side in ("home", "away"):
         k = k.join(rest.select("match_id", F.col("team_id").alias(f"{side}_team_id"), F.col("rest_days").alias(f"{side}_rest")), ["match_id", f"{side}_team_id"], "left")
     parts = [F.lit(1) + F.col("pred_home_goals") * 2 + F.col("match_id") % 5, F.lit(3) + F.col("match_id") % 3, F.lit(1) + F.col("pred_away_goals") * 2 + F.col("match_id") % 4]
@@ -105,6 +120,39 @@ def X(x: str, digits: int = 2) -> str:
     return f"(CASE WHEN {half} THEN {away} ELSE CAST(printf('%.{digits}f', {n}) AS DOUBLE) END + 0.0::DOUBLE)"
 
 
+def over_sql(t: str, side: str, k: str = "", what: str = "over") -> str:
+    """Points a game of a side in a row of `mp`: won (actual), promised (implied), or what was won over it."""
+    n = f"{t}.{k}{side}_games"
+    won, promised = f"{t}.{k}{side}_won / {n}", f"{t}.{k}{side}_promised / 10000 / {n}"
+    return f"CASE WHEN {n} > 0 THEN {X({'over': f'{won} - {promised}', 'actual': won, 'implied': promised}[what])} END"
+
+
+_UNITS = "CAST(round((3 * p{0} + pd) * 10000) AS BIGINT)"
+
+
+def prices_sql(books: bool = False, name: str = "mp") -> str:
+    """The CTE `name`: each team's price record before each of its days."""
+    groups = {f"b{b}_": f"book = {b}" for b in market.BOOKS} if books else {"": "true"}
+    names = [f"{k}{n}" for k in groups for n in ("home_games", "home_won", "home_promised", "away_games", "away_won", "away_promised", "closing")]
+    per = ",\n    ".join(
+        f"count(*) FILTER ({c}) AS {k}n, sum({_UNITS.format('h')}) FILTER ({c})::BIGINT AS {k}ph, sum({_UNITS.format('a')}) FILTER ({c})::BIGINT AS {k}pa, count(*) FILTER ({c} AND closing) AS {k}c" for k, c in groups.items()
+    )
+
+    def side(s: str, win: str) -> str:
+        points = f"CASE outcome WHEN '{win}' THEN 3 WHEN 'D' THEN 1 ELSE 0 END"
+        own = lambda x, t: f"coalesce({x}, 0)" if t == s else "0"
+        each = [f"{own(x, t)} AS {k}{t}_{n}" for k in groups for t in ("home", "away") for n, x in (("games", f"{k}n"), ("won", f"{k}n * {points}"), ("promised", f"{k}p{t[0]}"))]
+        return f"SELECT {s}_team_id AS team_id, match_date, {', '.join([*each, *(f'coalesce({k}c, 0) AS {k}closing' for k in groups)])}\n    FROM m LEFT JOIN {name}o o ON o.match_id = m.match_id"
+
+    return f"""{name}o AS (SELECT match_id, any_value(outcome) AS outcome,
+    {per} FROM op GROUP BY match_id),
+{name}d AS (SELECT team_id, match_date, {", ".join(f"sum({n})::BIGINT AS {n}" for n in names)}
+  FROM ({side("home", "H")}
+    UNION ALL BY NAME {side("away", "A")}) GROUP BY team_id, match_date),
+{name} AS (SELECT team_id, match_date, {", ".join(f"coalesce(sum({n}) OVER w, 0)::BIGINT AS {n}" for n in names)}
+  FROM {name}d WINDOW w AS (PARTITION BY team_id ORDER BY match_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
 _CARD = "l_returnflag = 'N' AND "
 _IMPLIED = ", ".join(f"CASE WHEN {c}_odd > 1.01 THEN 1 / {c}_odd ELSE 0 END AS i{c[0]}" for c in ("home", "draw", "away"))
 _ROUND = " ".join(f"WHEN {n} THEN '{name}'" for n, name in ROUNDS.items())
@@ -133,19 +181,20 @@ ta AS (
 op AS (
   SELECT *, {R("ih / (ih + id + ia)", 4)} AS ph, {R("id / (ih + id + ia)", 4)} AS pd, {R("ia / (ih + id + ia)", 4)} AS pa
   FROM (SELECT *, {_IMPLIED} FROM o WHERE home_odd > 1.01 AND draw_odd > 1.01 AND away_odd > 1.01 AND outcome IS NOT NULL)),
-mp AS (
-  SELECT team_id, count(*) AS market_games, floor((sum(won) / count(*) - sum(promised) / 10000 / count(*)) * 1000 + 0.5) / 1000 AS market_over
-  FROM (SELECT home_team_id AS team_id, CAST(round((3 * ph + pd) * 10000) AS BIGINT) AS promised, CASE outcome WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS won FROM op
-        UNION ALL SELECT away_team_id, CAST(round((3 * pa + pd) * 10000) AS BIGINT), CASE outcome WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END FROM op) GROUP BY team_id),
+{prices_sql()},
 k0 AS (
   SELECT m.*, lx.* EXCLUDE (match_id), hh.* EXCLUDE (match_id), weather_risk, a.elo AS home_elo, b.elo AS away_elo, a.elo - b.elo AS elo_diff, coalesce(n_lines >= 4, false) AS lineups_confirmed,
-         ra.rest AS home_rest, rb.rest AS away_rest, coalesce(ra.rest - rb.rest, 0) AS rest_diff, pa.market_over AS home_market_over, pb.market_over AS away_market_over, pa.market_games AS home_market_games, pb.market_games AS away_market_games,
-         {R("coalesce(pa.market_over, 0) - coalesce(pb.market_over, 0)")} AS market_over_diff, ta.position AS home_position, tb.position AS away_position, ta.teams AS teams,
+         ra.rest AS home_rest, rb.rest AS away_rest, coalesce(ra.rest - rb.rest, 0) AS rest_diff, {over_sql("pa", "home")} AS home_market_over, {over_sql("pb", "away")} AS away_market_over,
+         {over_sql("pa", "home", "", "actual")} AS home_market_actual, {over_sql("pb", "away", "", "actual")} AS away_market_actual,
+         {over_sql("pa", "home", "", "implied")} AS home_market_implied, {over_sql("pb", "away", "", "implied")} AS away_market_implied,
+         CASE WHEN pa.home_games + pa.away_games > 0 THEN pa.home_games END AS home_market_games, CASE WHEN pb.home_games + pb.away_games > 0 THEN pb.away_games END AS away_market_games,
+         {R(f"coalesce({over_sql('pa', 'home')}, 0) - coalesce({over_sql('pb', 'away')}, 0)")} AS market_over_diff, ta.position AS home_position, tb.position AS away_position, ta.teams AS teams,
          CASE WHEN m.home_team_id < m.away_team_id THEN wins_a ELSE wins_b END AS h2h_home_wins, CASE WHEN m.home_team_id < m.away_team_id THEN wins_b ELSE wins_a END AS h2h_away_wins,
          1 + pred_home_goals * 2 + m.match_id % 5 AS w1, 3 + m.match_id % 3 AS w2, 1 + pred_away_goals * 2 + m.match_id % 4 AS w3, m.match_id % 11 / 10 AS agreement,
          CASE WHEN region = 'EUROPE' THEN 'Europe - ' || m.league ELSE m.league END AS label, CASE m.match_id % 23 {_ROUND} END AS round_label, coalesce(leg_gap <= 20, false) AS two_legs
   FROM m LEFT JOIN lx ON lx.match_id = m.match_id JOIN hh ON hh.match_id = m.match_id LEFT JOIN we ON we.day = day(match_date)
-    LEFT JOIN el a ON a.team_id = home_team_id LEFT JOIN el b ON b.team_id = away_team_id LEFT JOIN mp pa ON pa.team_id = home_team_id LEFT JOIN mp pb ON pb.team_id = away_team_id
+    LEFT JOIN el a ON a.team_id = home_team_id LEFT JOIN el b ON b.team_id = away_team_id LEFT JOIN mp pa ON pa.team_id = home_team_id AND pa.match_date = m.match_date
+    LEFT JOIN mp pb ON pb.team_id = away_team_id AND pb.match_date = m.match_date
     LEFT JOIN ta ON ta.team_id = home_team_id LEFT JOIN ta tb ON tb.team_id = away_team_id
     LEFT JOIN re ra ON ra.match_id = m.match_id AND ra.team_id = home_team_id LEFT JOIN re rb ON rb.match_id = m.match_id AND rb.team_id = away_team_id),
 k1 AS (SELECT *, {R("w1 / (w1 + w2 + w3)", 4)} AS home_prob, {R("w2 / (w1 + w2 + w3)", 4)} AS draw_prob, {R("w3 / (w1 + w2 + w3)", 4)} AS away_prob,

@@ -194,7 +194,7 @@ def card_rows(k: DataFrame) -> DataFrame:
 
 FORM_COLUMNS = ("team_id", "games", "wins", "draws", "losses", "avg_scored", "avg_conceded", "btts_rate", "over15_rate", "over25_rate", "clean_sheet_rate", "blank_rate", "yellow_rate", "red_rate", *(f"{s}_{n}" for s in ("home", "away") for n in ("games", "scored", "conceded", "over25")), "strongest_side")
 _query("q_form_profile", f"WITH {FORM_SQL} SELECT {', '.join(FORM_COLUMNS)} FROM fs")(_k(lambda k: form.profile(card_rows(k)).select(*FORM_COLUMNS)))
-_query("q_recent5", f"WITH {FORM_SQL} SELECT team_id, rank::INT AS rank, match_id, opponent_id, CASE side WHEN 'home' THEN 'H' ELSE 'A' END AS venue, gf || '-' || ga AS score, CASE WHEN gf > ga THEN 'W' WHEN coalesce(gf, -1) = coalesce(ga, -1) AND gf IS NOT NULL THEN 'D' ELSE 'L' END AS result FROM l10 WHERE rank <= 5")(_t(form.recent_matches))
+_query("q_recent5", f"WITH {FORM_SQL} SELECT team_id, rank::INT AS rank, match_id, opponent_id, CASE side WHEN 'home' THEN 'H' ELSE 'A' END AS venue, gf || '-' || ga AS score, CASE WHEN gf > ga THEN 'W' WHEN gf IS NOT DISTINCT FROM ga THEN 'D' ELSE 'L' END AS result FROM l10 WHERE rank <= 5")(_t(form.recent_matches))
 _query("q_recent_form_balance", f"WITH p AS (SELECT *, least(home_team_id, away_team_id) AS team_a, greatest(home_team_id, away_team_id) AS team_b FROM m WHERE status = 'FT' AND home_goals IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY match_date DESC, match_id DESC) AS rank FROM p) SELECT team_a, team_b, string_agg(CASE WHEN home_goals = away_goals THEN 'D' WHEN (home_goals > away_goals) = (home_team_id = team_a) THEN 'W' ELSE 'L' END, '' ORDER BY rank) AS form FROM k WHERE rank <= 5 GROUP BY team_a, team_b")(_m(form.meeting_form))
 VALID_SQL = "home_odd > 1.01 AND draw_odd > 1.01 AND away_odd > 1.01"
 _query("q_odds_pick_closing", f"SELECT match_id, b[3] AS book, b[1] = 0 AS closing, b[4] AS home_odd, b[5] AS draw_odd, b[6] AS away_odd FROM (SELECT match_id, min([(NOT closing)::INT::DOUBLE, list_position([3, 1, 6, 0, 7, 2, 5, 4], book)::DOUBLE, book, home_odd, draw_odd, away_odd]) AS b FROM o WHERE {VALID_SQL} GROUP BY match_id)")(
@@ -215,7 +215,7 @@ SELECT *, {X("avg((lean <> 'neutral')::INT) OVER (PARTITION BY match_id)")} AS a
 )(_o(market.current_signals))
 _query(
     "q_referee_profile",
-    f"""WITH {RECORD_SQL}, g AS (SELECT referee_id, count(*) AS games, {R('sum(home_yellow + away_yellow) / count(*)')} AS avg_yellow, {R('sum(home_red + away_red) / count(*)')} AS avg_red, {R('sum(home_yellow + away_yellow + (home_red + away_red) * 2) / count(*)')} AS avg_cards, {R('count(*) FILTER (penalties > 0) / count(*)')} AS penalty_rate FROM k WHERE referee_id IS NOT NULL GROUP BY referee_id)
+    f"""WITH {RECORD_SQL}, g AS (SELECT referee_id, count(*) AS games, {R('sum(home_yellow + away_yellow) / count(*)')} AS avg_yellow, {R('sum(home_red + away_red) / count(*)')} AS avg_red, {R('sum(home_yellow + away_yellow + (home_red + away_red) * 2) / count(*)')} AS avg_cards, {X('sum(penalties) / count(penalties)')} AS penalty_rate FROM k WHERE referee_id IS NOT NULL GROUP BY referee_id)
 SELECT g.*, CASE WHEN avg_cards >= 4.8 THEN 'streng' WHEN avg_cards >= 3.2 THEN 'gemiddeld' ELSE 'laat doorspelen' END AS strictness, s_name AS referee FROM g LEFT JOIN supplier ON s_suppkey = referee_id""",
 )(lambda spark, d: market.referees(records(spark, d), read(spark, d, "supplier")))
 
