@@ -37,7 +37,7 @@ LENGTH, END_ID = 2048, 1
 DIMENSIONS, KEY_BITS = 3, 10
 #: Bytes that a worker spends on remembered words, and twice that on parts of words, before it starts anew; each entry
 #: counts ENTRY.
-REMEMBERED, ENTRY = 48 << 20, 160
+REMEMBERED, ENTRY = 24 << 20, 160
 #: Bytes of ids in one range of the curve.
 RANGE_BYTES = 32 << 20
 #: Fixed value: how this vocabulary cuts lower-case text into parts.
