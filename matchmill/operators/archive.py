@@ -37,6 +37,24 @@ def grams(name: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*(name.substr(i, F.lit(n)) for n in (1, 2, 3))))))
 
 
+def rarest(names: DataFrame, name: str, count: DataFrame) -> DataFrame:
+    """`names` (with `scope`) with `k`, the piece of each name that fewest entries have; one that none has counts first."""
+    each = names.select("*", F.explode(grams(F.col(name))).alias("piece")).join(count.withColumnRenamed("k", "piece"), ["scope", "piece"], "left")
+    return each.groupBy(*names.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece").alias("k"))).alias("r")).select(*names.columns, "r.*")
+
+
+def containing(asked: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of asked names (ref) and entries (key) of a scope, first those whose entry holds the name, then those whose name
+    holds the entry. The longer one has every piece of the shorter one, so the shorter one's rarest piece is looked up: a
+    piece that many entries share is no key of any name that has a rarer one."""
+    pieces = entries.select("scope", "key", "ord", "referee", F.explode(grams(F.col("key"))).alias("k"))
+    count = pieces.groupBy("scope", "k").agg(F.count(F.lit(1)).alias("n"))
+    held = rarest(asked, "ref", count).filter("n > 0").drop("n").join(pieces, ["scope", "k"]).filter(F.contains("key", "ref"))
+    of_asked = asked.select("*", F.explode(grams(F.col("ref"))).alias("k"))
+    holding = of_asked.join(rarest(entries, "key", count).drop("n"), ["scope", "k"]).filter(F.contains("ref", "key"))
+    return held, holding
+
+
 def find_referees(df: DataFrame, id: str, league: str, name: str, archive: DataFrame) -> DataFrame:
     """(id, referee) for rows of `df` whose referee is found in `archive` (league, ord, referee, matches).
 
@@ -60,13 +78,12 @@ def find_referees(df: DataFrame, id: str, league: str, name: str, archive: DataF
     by_name = asked.withColumnRenamed("ref", "key").join(entries.drop("variants"), ["scope", "key"]).withColumnRenamed("key", "ref").select(*of, hit(F.col("far") * 2 + 1, F.col("ord")))
 
     last = lambda c: F.substring_index(c, " ", -1)
-    head = lambda c: F.substring(c, 1, 3)
     marked = lambda kind, keys: F.transform(keys, lambda k: F.concat(F.lit(kind), k))
-    of_asked = F.flatten(F.array(marked("s:", F.array(last(F.col("ref")))), marked("v:", F.col("variants")), marked("i:", F.array(head(F.col("ref")))), marked("o:", grams(F.col("ref")))))
-    of_entry = F.flatten(F.array(marked("s:", F.array(last(F.col("key")))), marked("v:", F.col("variants")), marked("i:", grams(F.col("key"))), marked("o:", F.array(head(F.col("key"))))))
-    near = asked.select(*of, "scope", "far", F.explode(of_asked).alias("k")).join(entries.select("scope", "key", "ord", "referee", F.explode(of_entry).alias("k")), ["scope", "k"])
-    near = near.filter(F.substring("k", 1, 2).isin("s:", "v:") | F.contains("key", "ref") | F.contains("ref", "key"))
-    by_likeness = near.select(*of, hit(F.lit(1000), F.col("ord")))
+    alike = lambda c: F.flatten(F.array(marked("s:", F.array(last(F.col(c)))), marked("v:", F.col("variants"))))
+    first = entries.select("scope", F.explode(alike("key")).alias("k"), "ord", "referee").groupBy("scope", "k").agg(F.min(F.struct("ord", "referee")).alias("r")).select("scope", "k", "r.*")
+    near = asked.select(*of, "scope", "far", F.explode(alike("ref")).alias("k")).join(first, ["scope", "k"])
+    held, holding = containing(asked.select(*of, "scope", "far"), entries.select("scope", "key", "ord", "referee"))
+    by_likeness = near.select(*of, hit(F.lit(1000), F.col("ord"))).unionByName(held.unionByName(holding).select(*of, hit(F.lit(1000), F.col("ord"))))
     best = by_alias.unionByName(by_name).unionByName(by_likeness).groupBy(*of).agg(F.min("hit").alias("hit")).select(F.col("league").alias("hit_league"), "ref", F.col("hit.referee").alias("referee"))
     rows = df.select(F.col(id), F.col(league).alias("hit_league"), normalize_name(F.col(name)).alias("ref"))
     return rows.join(best, ["hit_league", "ref"]).select(id, "referee")
