@@ -115,6 +115,31 @@ def minute_value(x: Column) -> Column:
     return F.when(F.upper(F.trim(x)) == "HT", F.lit(45)).otherwise(number)
 
 
+def parse_score(x: Column) -> list[Column]:
+    """Home and away goals of a text as `2-1`: the numbers before and after the first dash; null if either is none, and an
+    empty part counts as 0."""
+    parts = F.split(x, "-")
+    one = lambda i: F.when(F.trim(F.get(parts, F.lit(i))) == "", F.lit(0.0)).otherwise(_as_double(F.trim(F.get(parts, F.lit(i)))))
+    home, away = one(0), one(1)
+    both = F.contains(x, F.lit("-")) & home.isNotNull() & away.isNotNull()
+    return [F.when(both, home), F.when(both, away)]
+
+
+def described_minute(text: Column) -> tuple[Column, Column]:
+    """Minute and extra time in a description as `45+2` or `67th minute`; null and null without a number."""
+    number = lambda pattern, i: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, i).cast("int"))
+    plus = r"(\d+)\s*\+\s*(\d+)"
+    current = F.coalesce(number(plus, 1), number(r"(\d+)", 1))
+    return current, F.coalesce(number(plus, 2), F.when(current.isNotNull(), F.lit(0)))
+
+
+def minute_state(current: Column, extra: Column, *descriptions: Column) -> Column:
+    """A struct of minute_value and extra_time: as given, else as the first description that has a number says; 0 is none."""
+    parsed = [described_minute(d) for d in descriptions]
+    of = lambda given, i: F.nullif(F.coalesce(given.cast("int"), F.coalesce(*(F.when(p[0].isNotNull(), p[i]) for p in parsed), F.lit(None).cast("int")), F.lit(0)), F.lit(0))
+    return F.struct(of(current, 0).alias("minute_value"), of(extra, 1).alias("extra_time"))
+
+
 def live_label(minute: Column, minutes_since: Column) -> Column:
     """A running minute; from 90 on `90+`."""
     now = minute + F.floor(minutes_since).cast("int")

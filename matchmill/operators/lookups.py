@@ -43,7 +43,7 @@ def nearest(points: Column, at: Column, time: str) -> Column:
     return F.array_min(F.transform(points, lambda p, i: F.struct(F.abs(p[time] - at).alias("gap"), i.alias("at"), p.alias("point"))))["point"]
 
 
-def expire(df: DataFrame, updated: str, now: Column, ttl_seconds: int, most: int) -> DataFrame:
-    """Rows no older than the limit, and of these the newest `most`."""
+def expire(df: DataFrame, updated: str, now: Column, ttl_seconds: int, most: int, *tie: str) -> DataFrame:
+    """Rows no older than the limit, and of these the newest `most`; of equally new ones those first by `tie`."""
     young = df.filter(F.unix_timestamp(now) - F.unix_timestamp(F.col(updated).cast("timestamp")) <= ttl_seconds)
-    return young.orderBy(F.col(updated).desc()).limit(most)
+    return young.orderBy(F.col(updated).desc(), *tie).limit(most)

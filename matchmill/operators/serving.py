@@ -15,8 +15,15 @@ def on_days(m: DataFrame, day: str, days: int = 1) -> DataFrame:
     return m.filter(F.col("match_date").between(F.date_sub(d, half), F.date_add(d, half)))
 
 
-def live() -> Column:
-    return F.col("status") == "LIVE"
+def live(minute: Column | None = None, value: Column | None = None, present: bool = False) -> Column:
+    """Whether a match is under way: by its status, or by a minute or its value that is neither empty nor 0, or, as the
+    service takes it (`present`), one that is there at all. A finished match that still has a minute is both."""
+    out = F.coalesce(F.upper("status") == "LIVE", F.lit(False))
+    if minute is not None:
+        out |= minute.isNotNull() if present else F.coalesce(minute != "", F.lit(False))
+    if value is not None:
+        out |= value.isNotNull() if present else F.coalesce(value != 0, F.lit(False))
+    return out
 
 
 def finished() -> Column:
@@ -69,11 +76,11 @@ def retained(m: DataFrame, day: str, back: int = 12, forward: int = 4) -> DataFr
 
 
 def history_by_league(r: DataFrame) -> DataFrame:
-    """Per league its reviews and how many were right, by score, by outcome, by the likeliest outcome; most reviews first."""
+    """Per league (rows without one and the unknown one are left out) its reviews and how many were right, by score, by outcome, by the likeliest outcome; most reviews first."""
     g = r.groupBy(F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("Onbekend")).alias("league"))
     out = g.agg(F.count(F.lit(1)).alias("n"), F.count_if("exact_hit").alias("exact"), F.count_if("outcome_hit").alias("outcome"), F.count_if("probability_hit").alias("top_chance"))
     out = out.withColumns({f"{c}_percent": F.floor(F.col(c) / F.col("n") * 100 + 0.5) for c in ("exact", "outcome", "top_chance")})
-    return out.orderBy(F.desc("n"), F.desc("outcome_percent"), "league")
+    return out.filter("league <> 'Onbekend'").orderBy(F.desc("n"), F.desc("outcome_percent"), "league")
 
 
 def history_page(r: DataFrame, keep: Column, page: int, size: int) -> DataFrame:

@@ -108,17 +108,6 @@ _query("q_poisson_grid", f"{GRID} SELECT match_id, round(w / (w + d + l), 6) AS
 
 
 
-_query("q_training_export", f"SELECT match_id, league, pred_home_goals::DOUBLE AS f_home, pred_away_goals::DOUBLE AS f_away, 0::DOUBLE AS f_absent, {OUT.format('home_goals', 'away_goals')} AS label FROM m WHERE home_goals IS NOT NULL")(
-    _m(lambda m: _training(m.withColumns({"f_home": F.col("pred_home_goals"), "f_away": F.col("pred_away_goals"), "label": S.outcome(F.col("home_goals"), F.col("away_goals"))})))
-)
-
-
-def _training(m: DataFrame) -> DataFrame:
-    from matchmill.sources.sinks import training_rows
-
-    return training_rows(m, ["f_home", "f_away", "f_absent"], "label")
-
-
 _query("q_best_streak", "WITH i AS (SELECT user_id, event_type <> 'error' AS hit, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events), r AS (SELECT user_id, g, count(*) FILTER (hit) AS n FROM i GROUP BY user_id, g) SELECT user_id, max(n) AS best_streak FROM r GROUP BY user_id", bridge=False)(
     lambda spark, d: sequence.best_streak(read(spark, d, "events"), ["user_id"], F.col("event_type") != "error", "ts", "event_id")
 )
@@ -128,14 +117,14 @@ _query("q_latest_per_key", "SELECT user_id, max(ts) AS ts, arg_max(event_type, (
 _query("q_keyed_upsert", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events", bridge=False)(
     lambda spark, d: lookups.keyed_upsert(read(spark, d, "events").select("event_id", "value"), read(spark, d, "events").filter("event_id % 3 = 0").select("event_id", (F.col("value") + 1).alias("value")), ["event_id"])
 )
-_query("q_ttl_prune_cap", "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 5 DAY FROM events) ORDER BY ts DESC LIMIT 300", bridge=False)(
+_query("q_ttl_prune_cap", "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 5 DAY FROM events) ORDER BY ts DESC, event_id LIMIT 300", bridge=False)(
     lambda spark, d: _pruned(read(spark, d, "events"))
 )
 
 
 def _pruned(e: DataFrame) -> DataFrame:
     now = e.agg(F.max("ts").cast("timestamp").alias("now"))
-    return lookups.expire(e.join(F.broadcast(now)), "ts", F.col("now"), 5 * 86400, 300).select("event_id", "user_id")
+    return lookups.expire(e.join(F.broadcast(now)), "ts", F.col("now"), 5 * 86400, 300, "event_id").select("event_id", "user_id")
 
 
 _query("q_elo")(_m(sequence.elo))

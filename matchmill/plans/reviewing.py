@@ -44,7 +44,7 @@ _query(
 )(_r(lambda r: evaluate.history(r.drop("league").withColumnRenamed("label", "league"))))
 BY_LEAGUE = "count(*) AS n, count(*) FILTER (exact_hit) AS exact, count(*) FILTER (outcome_hit) AS outcome, count(*) FILTER (probability_hit) AS top_chance"
 PERCENT = "CAST(floor({} / n * 100 + 0.5) AS BIGINT) AS {}_percent"
-_query("q_history_by_league", f"WITH {REVIEWS}, g AS (SELECT coalesce(nullif(label, ''), 'Onbekend') AS league, {BY_LEAGUE} FROM r GROUP BY 1) SELECT *, {', '.join(PERCENT.format(c, c) for c in ('exact', 'outcome', 'top_chance'))} FROM g ORDER BY n DESC, outcome_percent DESC, league")(
+_query("q_history_by_league", f"WITH {REVIEWS}, g AS (SELECT coalesce(nullif(label, ''), 'Onbekend') AS league, {BY_LEAGUE} FROM r GROUP BY 1) SELECT *, {', '.join(PERCENT.format(c, c) for c in ('exact', 'outcome', 'top_chance'))} FROM g WHERE league <> 'Onbekend' ORDER BY n DESC, outcome_percent DESC, league")(
     _r(lambda r: serving.history_by_league(r))
 )
 _query("q_history_filter_page", f"WITH {REVIEWS} SELECT match_id, label, predicted FROM r WHERE NOT exact_hit AND contains(lower(label), 'nat') ORDER BY match_date DESC, match_id LIMIT 80 OFFSET 80")(

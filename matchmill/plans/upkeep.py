@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchmill.operators import asof, classify, model, upkeep
+from matchmill.operators import asof, classify, model, named, serving, upkeep
 from matchmill.plans.bridge import matches, read
 from matchmill.plans.queries import GRID, RATES, _m, _query
 from matchmill.plans.records import REVIEWS, R, X, reviewed
@@ -172,3 +172,16 @@ e AS (SELECT match_id, lower(bookmaker) AS book, bookmaker, {X('h - a')} AS diff
 SELECT *, {X("avg((lean <> 'neutral')::INT) OVER (PARTITION BY match_id)")} AS agreement FROM e""",
     bridge=False,
 )(lambda spark, d: nested.book_signals(nested.price_nodes(price_documents(spark, d), "document", "match_id")).withColumnRenamed("id", "match_id"))
+
+# --- names in their order
+
+_query(
+    "q_names_in_order",
+    """WITH w AS (SELECT DISTINCT source, regexp_replace(regexp_extract(coalesce(text, ''), '[^\x20\x09-\x0D]+'), '[^\\p{L}]', '', 'g') AS name FROM documents)
+SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY icu_sort_key(name, 'und'), name)::INT AS place FROM w""",
+    bridge=False,
+)(lambda spark, d: named.placed(read(spark, d, "documents").select("source", F.regexp_replace(F.regexp_substr(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), r"[^\p{L}]", "").alias("name")).na.fill("", ["name"]).distinct(), "name", "source"))
+_query(
+    "q_live_by_league",
+    "WITH g AS (SELECT league, count(*) AS n, array_to_string(list(match_id ORDER BY match_date, match_id), ' ') AS matches FROM m WHERE status = 'LIVE' GROUP BY league) SELECT *, row_number() OVER (ORDER BY icu_sort_key(league, 'und'))::INT AS place FROM g",
+)(_m(lambda m: named.placed(named.groups(m.filter(serving.live()), "league", ["match_date"], "match_id").select("league", "n", F.array_join("items", " ").alias("matches")).withColumn("all", F.lit(0)), "league", "all").drop("all")))

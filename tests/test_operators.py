@@ -38,6 +38,23 @@ def test_to_fixed(spark):
     assert one(spark, S.to_fixed(F.col("x"), 1), x=1.45) == 1.4 and one(spark, S.to_fixed(F.col("x"), 1), x=None) is None
 
 
+def test_scores_and_minutes(spark):
+    rows = spark.createDataFrame([("2-1",), (" 3 - 0 ",), ("-",), ("x-1",), ("21",), (None,), ("1-2-3",)], "x string")
+    assert [tuple(r) for r in rows.select(*S.parse_score(F.col("x"))).collect()] == [(2, 1), (3, 0), (0, 0), (None, None), (None, None), (None, None), (1, 2)]
+    cases = [(None, None, "45+2", None), (None, None, "HT", "90 + 5"), (67, None, "1st half", None), (0, None, "12'", None), (None, 3, "none", None), (None, None, None, None)]
+    rows = spark.createDataFrame(cases, "c int, e int, a string, b string").coalesce(1)
+    got = [tuple(r[0]) for r in rows.select(S.minute_state(F.col("c"), F.col("e"), F.col("a"), F.col("b"))).collect()]
+    assert got == [(45, 2), (90, 5), (67, None), (None, None), (None, 3), (None, None)]
+
+
+def test_live(spark):
+    """By status or minute, in both variants; a finished match with a minute is live and finished."""
+    rows = spark.createDataFrame([("live", None, None), ("FT", "90'", 90), ("NS", "", 0), ("NS", None, None), ("FT", "FT", None)], "status string, minute string, value int").coalesce(1)
+    both = [serving.live(F.col("minute"), F.col("value"), p) for p in (False, True)]
+    assert [tuple(r) for r in rows.select(*both, serving.live()).collect()] == [(True, True, True), (True, True, False), (False, True, False), (False, False, False), (True, True, False)]
+    assert rows.filter(serving.live(F.col("minute"), F.col("value")) & serving.finished()).count() == 2
+
+
 def test_names_and_days(spark):
     assert one(spark, S.normalize_name(F.col("x")), x="  Málaga-CF Ærø ß ") == "malaga cf r"
     assert one(spark, S.possible_names(F.col("x")), x="FC Porto") == ["fc porto", "porto"]
