@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchmill.operators import asof, classify, model, named, serving, upkeep
+from matchmill.operators import asof, classify, model, named, resolve, serving, upkeep
 from matchmill.plans.bridge import matches, read
 from matchmill.plans.queries import GRID, RATES, _m, _query
-from matchmill.plans.records import REVIEWS, R, X, reviewed
+from matchmill.plans.records import REVIEWS, R, X, line_facts, reviewed
 from matchmill.sources import nested
 
 # --- caches and predictions as the store keeps them
@@ -185,3 +185,59 @@ _query(
     "q_live_by_league",
     "WITH g AS (SELECT league, count(*) AS n, array_to_string(list(match_id ORDER BY match_date, match_id), ' ') AS matches FROM m WHERE status = 'LIVE' GROUP BY league) SELECT *, row_number() OVER (ORDER BY icu_sort_key(league, 'und'))::INT AS place FROM g",
 )(_m(lambda m: named.placed(named.groups(m.filter(serving.live()), "league", ["match_date"], "match_id").select("league", "n", F.array_join("items", " ").alias("matches")).withColumn("all", F.lit(0)), "league", "all").drop("all")))
+
+# --- head-to-head from several sources
+
+
+def head_to_head(spark: SparkSession, d: str) -> DataFrame:
+    """Matches to come or under way with their meetings: the feed's are those with four lines or more, the previous leg is
+    that of `legs`, and the history has all that were played."""
+    m = matches(spark, d)
+    rows = m.withColumns({"a": F.least("home_team_id", "away_team_id"), "b": F.greatest("home_team_id", "away_team_id")}).join(line_facts(spark, d).select("match_id", "n_lines"), "match_id", "left")
+    one = resolve.meeting(*(F.col(c) for c in ("match_date", "home_team_id", "away_team_id", "home_goals", "away_goals")))
+    played = rows.filter("status = 'FT' AND home_goals IS NOT NULL").select("a", "b", "match_date", "match_id", "n_lines", one.alias("meeting"))
+    asked = rows.filter("status <> 'FT'").select("match_id", "a", "b", "match_date", "home_team_id", "away_team_id")
+    x = resolve.last_meetings(asked, played.filter("n_lines >= 4").drop("n_lines"), resolve.FEED, "feed")
+    x = resolve.last_meetings(x, played.drop("n_lines"), resolve.HISTORY, "history")
+    before = m.select(F.col("match_id").alias("leg_id"), F.col("match_date").alias("leg_day"), F.col("home_team_id").alias("host"), F.col("away_team_id").alias("guest"), F.concat_ws("-", "home_goals", "away_goals").alias("score"))
+    leg = legs(m).filter("leg_gap > 0").select("match_id", "leg_id").join(before, "leg_id")
+    leg = leg.select("match_id", F.struct(F.col("leg_day").alias("day"), F.col("host").alias("home"), F.col("guest").alias("away"), "score", F.lit(None).cast("long").alias("winner")).alias("leg"))
+    return resolve.resolved(x.join(leg, "match_id", "left"))
+
+
+_PAIRED = "least(home_team_id, away_team_id) AS a, greatest(home_team_id, away_team_id) AS b"
+_LAST = """SELECT match_id, src, day, home, away, score, winner, id FROM (SELECT o.match_id, {1} AS src, p.day, p.home, p.away, p.score, p.winner, p.id, row_number() OVER (PARTITION BY o.match_id ORDER BY p.day DESC, p.id DESC) AS rn
+  FROM ask o JOIN pl p ON p.a = o.a AND p.b = o.b AND p.day < o.match_date WHERE {2}) WHERE rn <= {0}"""
+_query(
+    "q_head_to_head",
+    f"""WITH ask AS (SELECT match_id, match_date, home_team_id, away_team_id, {_PAIRED} FROM m WHERE status <> 'FT'),
+nl AS (SELECT l_orderkey AS id, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey),
+pl AS (SELECT match_id AS id, match_date AS day, home_team_id AS home, away_team_id AS away, home_goals || '-' || away_goals AS score, CASE WHEN home_goals > away_goals THEN home_team_id WHEN home_goals < away_goals THEN away_team_id END AS winner, n_lines, {_PAIRED}
+  FROM m LEFT JOIN nl ON nl.id = match_id WHERE status = 'FT' AND home_goals IS NOT NULL),
+fe AS ({_LAST.format(resolve.FEED, 0, 'p.n_lines >= 4')}),
+hi AS ({_LAST.format(resolve.HISTORY, 2, 'true')}),
+ld AS (SELECT o.match_id, max(p.day) AS day FROM ask o JOIN pl p ON p.a = o.a AND p.b = o.b AND p.day <= o.match_date GROUP BY o.match_id),
+lg AS (SELECT o.match_id, 1 AS src, p.day, p.home, p.away, p.score, NULL::BIGINT AS winner, p.id FROM ask o JOIN ld ON ld.match_id = o.match_id JOIN pl p ON p.a = o.a AND p.b = o.b AND p.day = ld.day
+  WHERE o.match_date - p.day BETWEEN 1 AND 160 QUALIFY row_number() OVER (PARTITION BY o.match_id ORDER BY p.id) = 1),
+ft AS (SELECT match_id, count(*) AS n, string_agg(day::VARCHAR || ',' || score, ';' ORDER BY day, id) AS text FROM fe GROUP BY match_id),
+la AS (SELECT lg.* FROM lg LEFT JOIN ft ON ft.match_id = lg.match_id WHERE ft.n IS NULL OR NOT contains(ft.text, lg.score)),
+oe AS (SELECT * FROM fe UNION ALL SELECT * FROM la),
+st AS (SELECT k.match_id, k.home_team_id, k.away_team_id, coalesce(ft.n, 0) AS feed, (SELECT count(*) FROM oe WHERE oe.match_id = k.match_id) AS n_one, (SELECT count(*) FROM hi WHERE hi.match_id = k.match_id) AS n_hist,
+  EXISTS (SELECT 1 FROM lg WHERE lg.match_id = k.match_id) AS has_leg FROM ask k LEFT JOIN ft ON ft.match_id = k.match_id),
+al AS (SELECT e.*, st.n_one < 3 AND st.n_hist > 0 AS late FROM oe e JOIN st ON st.match_id = e.match_id UNION ALL SELECT h.*, true FROM hi h JOIN st ON st.match_id = h.match_id WHERE st.n_one < 3 AND st.n_hist > 0),
+di AS (SELECT * FROM al QUALIFY NOT late OR row_number() OVER (PARTITION BY match_id, day, home, away, score ORDER BY src, day, id) = 1),
+po AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY CASE WHEN late THEN day END, src, day, id) AS pos, count(*) OVER (PARTITION BY match_id) AS n FROM di),
+re AS (SELECT * FROM po WHERE NOT late OR pos > n - 8),
+sc AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY pos DESC) AS back, count(*) OVER (PARTITION BY match_id) AS total FROM re),
+ba AS (SELECT sc.match_id, sum((6 + least(total, 5) - back) * (CASE WHEN winner = home_team_id THEN 1 WHEN winner = away_team_id THEN -1 ELSE 0 END)) FILTER (back <= 5) AS s, sum(6 + least(total, 5) - back) FILTER (back <= 5) AS w,
+  count(*) AS played, bool_or(late) AS late, count(*) FILTER ((late OR src = 0) AND winner = home_team_id) AS hw, count(*) FILTER ((late OR src = 0) AND winner IS NULL) AS dr, count(*) FILTER ((late OR src = 0) AND winner = away_team_id) AS aw,
+  string_agg(score, ' ' ORDER BY pos) AS scores FROM sc JOIN st ON st.match_id = sc.match_id GROUP BY sc.match_id)
+SELECT st.match_id, coalesce(played, 0)::INT AS played, coalesce(hw, 0)::INT AS home_wins, coalesce(dr, 0)::INT AS draws, coalesce(aw, 0)::INT AS away_wins, (feed + CASE WHEN late THEN n_hist ELSE 0 END)::INT AS same_competition,
+  coalesce({R('s / w')}, 0)::DOUBLE AS balance, coalesce(scores, '') AS scores,
+  CASE WHEN late THEN CASE WHEN n_one > 0 THEN 'merged-historical-competition' ELSE 'historical-competition' END WHEN feed > 0 THEN 'loaded' WHEN has_leg THEN 'fallback' ELSE 'empty' END AS status
+FROM st LEFT JOIN ba ON ba.match_id = st.match_id""",
+)(
+    lambda spark, d: head_to_head(spark, d).select(
+        "match_id", "played", "home_wins", "draws", "away_wins", "same_competition", "balance", F.array_join(F.transform("results", lambda r: r["score"]), " ").alias("scores"), F.col("status_h2h").alias("status"),
+    )
+)
