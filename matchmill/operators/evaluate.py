@@ -18,7 +18,7 @@ def likeliest(home: Column, draw: Column, away: Column) -> Column:
 
 
 def reviews(m: DataFrame) -> DataFrame:
-    """One row per finished match with a score; a prediction without goals counts as one of none. Biases are what came less
+    """One row per finished match with a score and a prediction; one with probabilities but no goals counts as 0-0. Biases are what came less
     what was predicted; the signals name what may have misled a wrong outcome. Read are the goals, the prediction's goals
     and probabilities, and elo_diff, lineups_confirmed, weather_risk, rest_diff, h2h_results, market_over_diff and
     agreement."""
@@ -28,7 +28,8 @@ def reviews(m: DataFrame) -> DataFrame:
 def judged(m: DataFrame) -> DataFrame:
     """All matches with the columns of a review and whether they have one (`reviewed`)."""
     h, a, ph, pa = (F.col(c) for c in ("home_goals", "away_goals", "pred_home_goals", "pred_away_goals"))
-    out = m.withColumns({"pred_home_goals": F.coalesce(ph, F.lit(0)), "pred_away_goals": F.coalesce(pa, F.lit(0)), "reviewed": F.coalesce((F.upper("status") == "FT") & h.isNotNull() & a.isNotNull(), F.lit(False))})
+    predicted = ph.isNotNull() | pa.isNotNull() | F.col("home_prob").isNotNull() | F.col("draw_prob").isNotNull() | F.col("away_prob").isNotNull()
+    out = m.withColumns({"pred_home_goals": F.coalesce(ph, F.lit(0)), "pred_away_goals": F.coalesce(pa, F.lit(0)), "reviewed": F.coalesce((F.upper("status") == "FT") & h.isNotNull() & a.isNotNull() & predicted, F.lit(False))})
     out = out.withColumns({"actual": outcome(h, a), "predicted": outcome(ph, pa), "likeliest": likeliest(F.col("home_prob"), F.col("draw_prob"), F.col("away_prob"))})
     out = out.withColumns({
         "outcome_hit": F.col("actual") == F.col("predicted"), "probability_hit": F.col("actual") == F.col("likeliest"), "exact_hit": (h == ph) & (a == pa),

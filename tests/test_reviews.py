@@ -14,11 +14,19 @@ def reviewed(spark):
         (2, "FT", "A", "league", 10, 20, 0, 3, 2, 1, 0.4, 0.2, 0.4, 90.0, False, "high", -2.0, 3, 0.45, 0.4),
         (3, "FT", "A", "league", 20, 10, 1, 1, 1, 1, 0.2, 0.5, 0.3, 300.0, False, None, 5.0, 9, 1.0, 0.1),
         (4, "NS", "A", "league", 10, 20, None, None, 1, 1, 0.2, 0.5, 0.3, 0.0, True, None, 0.0, 0, 0.0, 0.5),
-        (5, "FT", "A", "league", 10, 20, 1, 0, None, None, 0.2, 0.5, 0.3, 0.0, True, None, 0.0, 0, 0.0, 0.5),
+        (5, "FT", "A", "league", 10, 20, 1, 0, None, None, None, None, None, 0.0, True, None, 0.0, 0, 0.0, 0.5),
     ]
     return evaluate.reviews(spark.createDataFrame(rows, MATCHES)).cache()
 
 
+def test_prediction_without_goals(spark):
+    """One with probabilities counts as 0-0, as the surveyed rule takes missing goals as none; without any there is no review."""
+    rows = [(i, "FT", "A", "league", 10, 20, 1, 0, None, g, p, 0.5, 0.3, 0.0, True, None, 0.0, 0, 0.0, 0.5) for i, g, p in ((1, None, 0.2), (2, 2, None))]
+    out = {r["match_id"]: r for r in evaluate.reviews(spark.createDataFrame(rows, MATCHES)).collect()}
+    assert (out[1]["predicted"], out[1]["actual"], out[1]["goal_error"], out[1]["home_bias"]) == ("D", "H", 1, 1)
+    assert (out[2]["predicted"], out[2]["goal_error"], out[2]["away_bias"]) == ("A", 3, -2)
+
+
 def test_reviews(spark):
     out = {r["match_id"]: r for r in reviewed(spark).collect()}
     assert sorted(out) == [1, 2, 3]
