@@ -8,25 +8,54 @@ from pyspark.sql import functions as F
 from matchmill.functions.semantics import clamp, half_up, low_score_factor, poisson, to_fixed
 
 GOALS = range(7)
+#: The scores whose probability is corrected.
+LOW = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 
 def score_grid(df: DataFrame, home: str = "home_xg", away: str = "away_xg", rho: float = -0.13, whole: bool = True, scores: bool = False) -> DataFrame:
     """`df` with win, draw and loss probabilities made to add up to one (unless not `whole`), over and both-score probabilities as they are,
-    and the likeliest score (first in order of home, then away goals). The 7 + 7 rates are columns of their own, and a
-    cell is a product of two of them, so the totals are generated sums and no row is multiplied. With `scores` also the map
-    of scores that aren't unlikely, before anything is made to add up."""
-    out = df.withColumns({f"p_{s}{k}": poisson(F.col(x), k) for s, x in (("h", home), ("a", away)) for k in GOALS})
-    cell = {(h, a): F.col(f"p_h{h}") * F.col(f"p_a{a}") * low_score_factor(h, a, F.col(home), F.col(away), rho) for h in GOALS for a in GOALS}
-    total = lambda keep: sum((p for (h, a), p in cell.items() if keep(h, a)), F.lit(0.0))
+    and the likeliest score (first in order of home, then away goals). With `scores` also the map of scores that aren't
+    unlikely, before anything is made to add up.
+
+    The 7 + 7 rates and the sums of the away side's first and last ones are columns of their own. A total is then one
+    product a row of the grid, and what the four lowest scores are corrected by is added; so the generated code stays
+    small enough to be compiled, and no row is multiplied."""
+    x, y = F.col(home), F.col(away)
+    out = df.withColumns({f"p_{s}{k}": poisson(c, k) for s, c in (("h", x), ("a", y)) for k in GOALS})
+    of = lambda s, k: F.col(f"p_{s}{k}")
+    plus = lambda parts: sum(parts[1:], parts[0])
     out = out.withColumns({
-        "w": total(lambda h, a: h > a), "d": total(lambda h, a: h == a), "l": total(lambda h, a: h < a), "over15": total(lambda h, a: h + a > 1), "over25": total(lambda h, a: h + a > 2),
-        "over35": total(lambda h, a: h + a > 3), "btts": total(lambda h, a: h > 0 and a > 0), "best_prob": F.greatest(*cell.values()),
+        **{f"p_upto{k}": plus([of("a", a) for a in GOALS if a <= k]) for k in GOALS}, **{f"p_from{k}": plus([of("a", a) for a in GOALS if a >= k]) for k in GOALS},
+        **{f"p_low{h}{a}": of("h", h) * of("a", a) * low_score_factor(h, a, x, y, rho) for h, a in LOW},
     })
-    best = F.coalesce(*(F.when(p == F.col("best_prob"), F.lit(f"{h}-{a}")) for (h, a), p in cell.items()))
+    low = lambda h, a: F.col(f"p_low{h}{a}") - of("h", h) * of("a", a)  # noqa: E731  (what the correction adds)
+    more = lambda n: plus([of("h", h) * F.col(f"p_from{max(0, n - h)}") for h in GOALS])
+    top = lambda s, least: F.greatest(*(of(s, k) for k in GOALS if k >= least))
+    rest = top("a", 2)
+    # products round alike, so the largest product is that of the largest factors
+    rows = [F.greatest(F.col(f"p_low{h}0"), F.col(f"p_low{h}1"), of("h", h) * rest) for h in (0, 1)] + [of("h", h) * F.greatest(rest, of("a", 0), of("a", 1)) for h in GOALS[2:]]
+    out = out.withColumns({
+        "w": plus([of("h", h) * F.col(f"p_upto{h - 1}") for h in GOALS[1:]]) + low(1, 0), "d": plus([of("h", k) * of("a", k) for k in GOALS]) + low(0, 0) + low(1, 1),
+        "l": plus([of("h", h) * F.col(f"p_from{h + 1}") for h in GOALS[:-1]]) + low(0, 1), "over15": more(2) + low(1, 1), "over25": more(3), "over35": more(4),
+        "btts": top_sum("h") * F.col("p_from1") + low(1, 1), **{f"p_row{h}": r for h, r in enumerate(rows)},
+    })
+    out = out.withColumn("best_prob", F.greatest(*(f"p_row{h}" for h in GOALS)))
+    best = F.col("best_prob")
+    out = out.withColumn("p_home", F.coalesce(*(F.when(F.col(f"p_row{h}") == best, h) for h in GOALS)))
+    rate = F.coalesce(*(F.when(F.col("p_home") == h, of("h", h)) for h in GOALS))
+    at = lambda a: F.when(F.col("p_home") == 0, F.col(f"p_low0{a}")).when(F.col("p_home") == 1, F.col(f"p_low1{a}")).otherwise(rate * of("a", a)) if a < 2 else rate * of("a", a)
+    score = F.concat_ws("-", F.col("p_home").cast("string"), F.coalesce(*(F.when(at(a) == best, str(a)) for a in GOALS)))
     all_ = F.col("w") + F.col("d") + F.col("l") if whole else F.lit(1.0)
-    out = out.withColumns({"home_prob": F.col("w") / all_, "draw_prob": F.col("d") / all_, "away_prob": F.col("l") / all_, "best_score": best})
-    out = out.withColumn("score_map", score_map(cell)) if scores else out
-    return out.drop("w", "d", "l", *(f"p_{s}{k}" for s in "ha" for k in GOALS))
+    out = out.withColumns({"home_prob": F.col("w") / all_, "draw_prob": F.col("d") / all_, "away_prob": F.col("l") / all_, "best_score": F.when(best.isNotNull(), score)})
+    if scores:
+        out = out.withColumn("score_map", score_map({(h, a): F.col(f"p_low{h}{a}") if (h, a) in LOW else of("h", h) * of("a", a) for h in GOALS for a in GOALS}))
+    helpers = [c for c in out.columns if c.startswith("p_") and c not in df.columns]
+    return out.drop("w", "d", "l", *helpers)
+
+
+def top_sum(side: str) -> Column:
+    """The probability that a side scores."""
+    return sum((F.col(f"p_{side}{k}") for k in GOALS[2:]), F.col(f"p_{side}1"))
 
 
 def largest(scores: Column, n: int) -> Column:
