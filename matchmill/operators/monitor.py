@@ -71,3 +71,21 @@ def proposal(findings: DataFrame) -> DataFrame:
     one = distinct_issues(findings)
     order = Window.orderBy(F.desc("severity_rank"), "ord")
     return one.withColumn("priority", F.row_number().over(order))
+
+
+def proposals(findings: DataFrame, advice: dict[str, tuple[tuple[str, ...], str]], other: tuple[tuple[str, ...], str]) -> DataFrame:
+    """Per day its issues (day, ord, key, message, severity), of each key and message the first, by severity and then as they
+    came, with what to look at and why (`advice` by key, else `other`), and how many things the whole day names."""
+    first = findings.groupBy("day", "key", "message").agg(F.min(F.struct("ord", "severity")).alias("i")).select("day", "key", "message", "i.*")
+    names = lambda x: F.array(*(F.lit(n) for n in x))
+    places, why = names(other[0]), F.lit(other[1])
+    for key, (at, reason) in advice.items():
+        places, why = F.when(F.col("key") == key, names(at)).otherwise(places), F.when(F.col("key") == key, reason).otherwise(why)
+    weight = F.lit(RANK["low"])
+    for name in ("medium", "high"):
+        weight = F.when(F.col("severity") == name, RANK[name]).otherwise(weight)
+    day = Window.partitionBy("day")
+    out = first.withColumns({"places": places, "why": why, "priority": F.row_number().over(day.orderBy(weight.desc(), "ord", "key", "message"))})
+    keys = out.groupBy("day", "key").agg(F.any_value("places").alias("places"))
+    named = keys.select("day", F.explode("places").alias("place")).groupBy("day").agg(F.count_distinct("place").alias("places_of_day"))
+    return out.join(named, "day")

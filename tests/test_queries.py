@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from matchmill.plans import forecast, models, reads, reviewing, upkeep  # noqa: F401  (they register their queries)
+from matchmill.plans import forecast, models, reads, reviewing, shown, upkeep  # noqa: F401  (they register their queries)
 from matchmill.plans.queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
