@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchmill.operators import features, form, market, monitor, shown
 from matchmill.plans.bridge import INPUT_SQL, inputs, matches, read, team_rows
 from matchmill.plans.queries import _m, _query
-from matchmill.plans.records import R, X, line_facts, meetings_before, records
+from matchmill.plans.records import RECORD_SQL, R, X, line_facts, meetings_before, records
 
 # --- fields and places
 
@@ -161,6 +161,28 @@ SELECT c.*, coalesce(missing, '') AS missing, coalesce(banned, '') AS banned FRO
     bridge=False,
 )(_absences)
 
+# --- signals
+
+SIGNALLED = {
+    "context": "CASE WHEN match_id % 4 = 0 THEN 'topstrijd' ELSE '' END", "active": "two_legs", "aggregate_score": "CASE WHEN match_id % 3 > 0 THEN '2-1' END", "h2h_draws": "h2h_results - h2h_home_wins - h2h_away_wins",
+    "league_reliability": "CASE WHEN match_id % 5 > 0 THEN match_id % 9 / 8 END", "phase_reliability": "CASE WHEN match_id % 3 > 0 THEN match_id % 7 / 8 END", "strictness": "CASE WHEN match_id % 2 = 0 THEN 'streng' END",
+}
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    k = records(spark, d).withColumns({n: F.expr(e) for n, e in SIGNALLED.items()})
+    return k.select("match_id", F.array_join(shown.key_signals(k), "; ").alias("signals"))
+
+
+_PER = "floor({} * 100 + 0.5)::BIGINT"
+_query(
+    "q_key_signals",
+    f"""WITH {RECORD_SQL}, s AS (SELECT * EXCLUDE (h2h_results), h2h_results, {", ".join(f"{e} AS {n}" for n, e in SIGNALLED.items())} FROM k)
+SELECT match_id, array_to_string(list_filter([nullif(context, ''), CASE WHEN active AND aggregate_score <> '' THEN 'aggregate ' || aggregate_score END, CASE WHEN elo_diff <> 0 THEN 'rating ' || elo_diff::BIGINT END,
+    CASE WHEN abs(rest_diff) >= 1 THEN 'rest ' || CASE WHEN rest_diff > 0 THEN '+' ELSE '' END || rest_diff::BIGINT || 'd' END, CASE WHEN h2h_results >= 3 THEN 'meetings ' || h2h_home_wins || '-' || h2h_draws || '-' || h2h_away_wins END,
+    CASE WHEN lineups_confirmed THEN 'line-ups' END, 'league ' || {_PER.format("league_reliability")} || '%', 'phase ' || {_PER.format("phase_reliability")} || '%', 'referee ' || strictness], lambda x: x IS NOT NULL)[1:5], '; ') AS signals FROM s""",
+)(_signals)
+
 # --- history
 
 PLAYED = {
