@@ -21,7 +21,7 @@ def reviews(m: DataFrame) -> DataFrame:
     """One row per finished match with a score and a prediction; one with probabilities but no goals counts as 0-0. Biases are what came less
     what was predicted; the signals name what may have misled a wrong outcome. Read are the goals, the prediction's goals
     and probabilities, and elo_diff, lineups_confirmed, weather_risk, rest_diff, h2h_results, market_over_diff and
-    agreement."""
+    agreement; rows that lack one of these seven get no signals column."""
     return judged(m).filter("reviewed").drop("reviewed")
 
 
@@ -35,6 +35,8 @@ def judged(m: DataFrame) -> DataFrame:
         "outcome_hit": F.col("actual") == F.col("predicted"), "probability_hit": F.col("actual") == F.col("likeliest"), "exact_hit": (h == ph) & (a == pa),
         "goal_error": F.abs(h - ph) + F.abs(a - pa), "goal_bias": h + a - ph - pa, "home_bias": h - ph, "away_bias": a - pa,
     })
+    if not {"elo_diff", "lineups_confirmed", "weather_risk", "rest_diff", "h2h_results", "market_over_diff", "agreement"} <= set(m.columns):
+        return out
     num = lambda c: F.abs(F.coalesce(F.col(c), F.lit(0.0)))
     rules = (
         num("elo_diff") >= 80, ~F.coalesce(F.col("lineups_confirmed"), F.lit(False)), F.col("weather_risk") == "high", num("rest_diff") >= 2,

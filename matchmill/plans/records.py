@@ -71,41 +71,60 @@ def prices_before(spark: SparkSession, d: str, m: DataFrame, books: bool = False
     return state.select("team_id", "match_date", F.struct(*names).alias("market"))
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
+#: What records() can join.
+PARTS = ("lines", "meetings", "weather", "ratings", "table", "prices", "rest")
+
+
+def records(spark: SparkSession, d: str, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """Matches with ratings, rest, line-ups, absences, weather, meetings, places, market records and the prediction that
-    was stored for them. Every look-up is a keyed join against one row per team, match or day."""
+    was stored for them. Every look-up is a keyed join against one row per team, match or day; only the named parts are
+    joined, as the optimizer can't tell that a left join on such keys keeps the rows, so doesn't drop it."""
     m = matches(spark, d)
-    t = team_rows(m)
-    rest = form.rest_days(t)
-    table = form.standings(t).withColumn("teams", F.count(F.lit(1)).over(Window.partitionBy("league")))
-    k = m.join(line_facts(spark, d), "match_id", "left").join(meetings_before(m), "match_id").join(weather(spark, d).withColumnRenamed("day", "of"), F.dayofmonth("match_date") == F.col("of"), "left")
-    k = both_sides(k, ratings(spark, d), "team_id", "elo")
-    k = both_sides(k, table, "team_id", "position", "teams")
-    prices = prices_before(spark, d, m)
-    for side in ("home", "away"):
-        k = k.join(prices.select(F.col("team_id").alias(f"{side}_team_id"), "match_date", F.col("market").alias(f"{side}_market")), [f"{side}_team_id", "match_date"], "left")
-        actual, implied, over = market.a_game(f"{side}_market.", side)
-        any_ = F.col(f"{side}_market.home_games") + F.col(f"{side}_market.away_games") > 0
-        k = k.withColumns({f"{side}_market_actual": actual, f"{side}_market_implied": implied, f"{side}_market_over": over, f"{side}_market_games": F.when(any_, F.col(f"{side}_market.{side}_games"))})
-    for side in ("home", "away"):
-        k = k.join(rest.select("match_id", F.col("team_id").alias(f"{side}_team_id"), F.col("rest_days").alias(f"{side}_rest")), ["match_id", f"{side}_team_id"], "left")
-    parts = [F.lit(1) + F.col("pred_home_goals") * 2 + F.col("match_id") % 5, F.lit(3) + F.col("match_id") % 3, F.lit(1) + F.col("pred_away_goals") * 2 + F.col("match_id") % 4]
-    whole = parts[0] + parts[1] + parts[2]
-    at_home = F.col("home_team_id") == F.least("home_team_id", "away_team_id")
+    k, sides = m, ("home", "away")
+    if "lines" in parts:
+        k = k.join(line_facts(spark, d), "match_id", "left").withColumn("lineups_confirmed", F.coalesce(F.col("n_lines") >= 4, F.lit(False)))
+    if "meetings" in parts:
+        at_home = F.col("home_team_id") == F.least("home_team_id", "away_team_id")
+        wins = {f"h2h_{s}_wins": F.when(at_home, F.col(f"wins_{x}")).otherwise(F.col(f"wins_{y}")) for s, x, y in (("home", "a", "b"), ("away", "b", "a"))}
+        k = k.join(meetings_before(m), "match_id").withColumns({**wins, "two_legs": F.coalesce(F.col("leg_gap") <= 20, F.lit(False))})
+    if "weather" in parts:
+        k = k.join(weather(spark, d).withColumnRenamed("day", "of"), F.dayofmonth("match_date") == F.col("of"), "left")
+    if "ratings" in parts:
+        k = both_sides(k, ratings(spark, d), "team_id", "elo").withColumn("elo_diff", F.col("home_elo") - F.col("away_elo"))
+    if "table" in parts:
+        table = form.standings(team_rows(m)).withColumn("teams", F.count(F.lit(1)).over(Window.partitionBy("league")))
+        k = both_sides(k, table, "team_id", "position", "teams")
+        k = k.withColumn("importance", form.match_importance(F.col("home_position"), F.col("away_position"), F.col("home_teams")))
+    if "prices" in parts:
+        prices = prices_before(spark, d, m)
+        for side in sides:
+            k = k.join(prices.select(F.col("team_id").alias(f"{side}_team_id"), "match_date", F.col("market").alias(f"{side}_market")), [f"{side}_team_id", "match_date"], "left")
+            actual, implied, over = market.a_game(f"{side}_market.", side)
+            any_ = F.col(f"{side}_market.home_games") + F.col(f"{side}_market.away_games") > 0
+            games = F.when(any_, F.col(f"{side}_market.{side}_games"))
+            k = k.withColumns({f"{side}_market_actual": actual, f"{side}_market_implied": implied, f"{side}_market_over": over, f"{side}_market_games": games})
+        k = k.withColumn("market_over_diff", half_up(F.coalesce("home_market_over", F.lit(0.0)) - F.coalesce("away_market_over", F.lit(0.0)), 2))
+    if "rest" in parts:
+        rest = form.rest_days(team_rows(m))
+        for side in sides:
+            k = k.join(rest.select("match_id", F.col("team_id").alias(f"{side}_team_id"), F.col("rest_days").alias(f"{side}_rest")), ["match_id", f"{side}_team_id"], "left")
+        k = k.withColumn("rest_diff", F.coalesce(F.col("home_rest") - F.col("away_rest"), F.lit(0.0)))
+    weights = [F.lit(1) + F.col("pred_home_goals") * 2 + F.col("match_id") % 5, F.lit(3) + F.col("match_id") % 3, F.lit(1) + F.col("pred_away_goals") * 2 + F.col("match_id") % 4]
+    whole = weights[0] + weights[1] + weights[2]
     label = F.when(F.col("region") == "EUROPE", F.concat(F.lit("Europe - "), F.col("league"))).otherwise(F.col("league"))
     rounds = F.when(F.lit(False), F.lit(""))
     for n, name in ROUNDS.items():
         rounds = rounds.when(F.col("match_id") % 23 == n, name)
     k = k.withColumns({
-        "elo_diff": F.col("home_elo") - F.col("away_elo"), "lineups_confirmed": F.coalesce(F.col("n_lines") >= 4, F.lit(False)), "rest_diff": F.coalesce(F.col("home_rest") - F.col("away_rest"), F.lit(0.0)),
-        "market_over_diff": half_up(F.coalesce("home_market_over", F.lit(0.0)) - F.coalesce("away_market_over", F.lit(0.0)), 2),
-        "importance": form.match_importance(F.col("home_position"), F.col("away_position"), F.col("home_teams")),
-        "h2h_home_wins": F.when(at_home, F.col("wins_a")).otherwise(F.col("wins_b")), "h2h_away_wins": F.when(at_home, F.col("wins_b")).otherwise(F.col("wins_a")),
-        **{f"{n}_prob": half_up(p / whole, 4) for n, p in zip(("home", "draw", "away"), parts)}, "agreement": (F.col("match_id") % 11) / 10,
-        "label": label, "round_label": rounds, "league_type": F.when(F.col("match_id") % 23 < 2, "cup"), "two_legs": F.coalesce(F.col("leg_gap") <= 20, F.lit(False)),
+        **{f"{n}_prob": half_up(w / whole, 4) for n, w in zip(("home", "draw", "away"), weights)}, "agreement": (F.col("match_id") % 11) / 10,
+        "label": label, "round_label": rounds, "league_type": F.when(F.col("match_id") % 23 < 2, "cup"),
     })
+    k = k.withColumn("confidence", F.greatest("home_prob", "draw_prob", "away_prob"))
+    if "meetings" not in parts:
+        return k
     summary = F.when(F.col("two_legs"), "tweeluik").otherwise("")
-    return k.withColumns({"confidence": F.greatest("home_prob", "draw_prob", "away_prob"), "phase": classify.phase(F.when(F.col("match_id") % 23 == 2, F.concat("label", F.lit(" qualification"))).otherwise(F.col("label")), F.col("round_label"), summary, F.col("league_type"), F.col("two_legs"))})
+    name = F.when(F.col("match_id") % 23 == 2, F.concat("label", F.lit(" qualification"))).otherwise(F.col("label"))
+    return k.withColumn("phase", classify.phase(name, F.col("round_label"), summary, F.col("league_type"), F.col("two_legs")))
 
 
 def R(x: str, digits: int = 2) -> str:
@@ -218,8 +237,9 @@ r AS (
   FROM r0)"""
 
 
-def reviewed(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.reviews(records(spark, d))
+def reviewed(spark: SparkSession, d: str, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Reviews of the records; with all parts also the signals, with `meetings` the phase."""
+    return evaluate.reviews(records(spark, d, parts))
 
 
 def learned_sql(rows: str = "r") -> str:

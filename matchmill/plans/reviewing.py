@@ -9,30 +9,30 @@ from matchmill.functions import semantics as S
 from matchmill.operators import advice, classify, duels, evaluate, form, lookups, market, monitor, sequence, serving
 from matchmill.plans.bridge import MATCH_SQL, matches, odds, read, team_rows
 from matchmill.plans.queries import ORACLE, QUERIES, _m, _o, _query, _t
-from matchmill.plans.records import RECORD_SQL, REVIEWS, R, X, learned_sql, records, reliable_sql, reviewed
+from matchmill.plans.records import PARTS, RECORD_SQL, REVIEWS, R, X, learned_sql, records, reliable_sql, reviewed
 
 
-def _k(f):
-    return lambda spark, d: f(records(spark, d))
+def _k(f, *parts: str):
+    return lambda spark, d: f(records(spark, d, parts))
 
 
-def _r(f):
-    return lambda spark, d: f(reviewed(spark, d))
+def _r(f, parts: tuple[str, ...] = PARTS):
+    return lambda spark, d: f(reviewed(spark, d, parts))
 
 
 # reviews and what is learned from them
 
 REVIEW_COLUMNS = ("match_id", "label", "phase", "actual", "predicted", "likeliest", "outcome_hit", "probability_hit", "exact_hit", "goal_error", "goal_bias", "home_bias", "away_bias", "confidence")
 _query("q_reviews", f"WITH {REVIEWS} SELECT {', '.join(REVIEW_COLUMNS)}, array_to_string(signals, ' ') AS signals FROM r")(_r(lambda r: r.select(*REVIEW_COLUMNS, F.array_join("signals", " ").alias("signals"))))
-_query("q_league_reliability", f"WITH {REVIEWS} {reliable_sql('label')}")(_r(lambda r: evaluate.reliability(r, "label")))
-_query("q_phase_reliability", f"WITH {REVIEWS} {reliable_sql('phase')}")(_r(lambda r: evaluate.reliability(r, "phase")))
+_query("q_league_reliability", f"WITH {REVIEWS} {reliable_sql('label')}")(_r(lambda r: evaluate.reliability(r, "label"), ()))
+_query("q_phase_reliability", f"WITH {REVIEWS} {reliable_sql('phase')}")(_r(lambda r: evaluate.reliability(r, "phase"), ("meetings",)))
 _query("q_team_learning", f"WITH {REVIEWS} {learned_sql()}")(_r(evaluate.team_learning))
 _query("q_failure_signals_top6", f"WITH {REVIEWS} SELECT signal, count(*) AS n FROM (SELECT unnest(signals) AS signal FROM r) GROUP BY signal ORDER BY n DESC, signal LIMIT 6")(_r(evaluate.top_signals))
 DIAGNOSED = f"count(*) AS reviews, {X('count(*) FILTER (exact_hit) / count(*)', 3)} AS exact_rate, {X('count(*) FILTER (outcome_hit) / count(*)', 3)} AS hit_rate, {X('count(*) FILTER (probability_hit) / count(*)', 3)} AS probability_rate, {X('sum(goal_error) / count(*)')} AS avg_goal_error"
-_query("q_feature_diagnostics", f"WITH {REVIEWS} SELECT {DIAGNOSED} FROM r")(_r(evaluate.diagnostics))
-_query("q_phase_breakdown", f"WITH {REVIEWS} SELECT phase, count(*) AS matches, count(*) FILTER (exact_hit) AS exact_hits, count(*) FILTER (outcome_hit) AS outcome_hits, {X('count(*) FILTER (exact_hit) / count(*)')} AS exact_rate, {X('count(*) FILTER (outcome_hit) / count(*)')} AS hit_rate FROM r GROUP BY phase")(_r(evaluate.phase_breakdown))
-_query("q_bias_shift", f"WITH {REVIEWS}, l AS (SELECT * FROM r ORDER BY match_date DESC, match_id DESC LIMIT 80) SELECT count(*) AS n, CASE WHEN count(*) >= 10 THEN greatest(-0.25, least(0.25, avg(goal_bias))) * 0.5 ELSE 0 END::DOUBLE AS shift FROM l")(_r(duels.bias_shift))
-_query("q_reviews_kept", f"WITH {REVIEWS} SELECT match_id FROM r ORDER BY match_date DESC, match_id DESC LIMIT 2500")(_r(lambda r: evaluate.newest(r).select("match_id")))
+_query("q_feature_diagnostics", f"WITH {REVIEWS} SELECT {DIAGNOSED} FROM r")(_r(evaluate.diagnostics, ()))
+_query("q_phase_breakdown", f"WITH {REVIEWS} SELECT phase, count(*) AS matches, count(*) FILTER (exact_hit) AS exact_hits, count(*) FILTER (outcome_hit) AS outcome_hits, {X('count(*) FILTER (exact_hit) / count(*)')} AS exact_rate, {X('count(*) FILTER (outcome_hit) / count(*)')} AS hit_rate FROM r GROUP BY phase")(_r(evaluate.phase_breakdown, ("meetings",)))
+_query("q_bias_shift", f"WITH {REVIEWS}, l AS (SELECT * FROM r ORDER BY match_date DESC, match_id DESC LIMIT 80) SELECT count(*) AS n, CASE WHEN count(*) >= 10 THEN greatest(-0.25, least(0.25, avg(goal_bias))) * 0.5 ELSE 0 END::DOUBLE AS shift FROM l")(_r(duels.bias_shift, ()))
+_query("q_reviews_kept", f"WITH {REVIEWS} SELECT match_id FROM r ORDER BY match_date DESC, match_id DESC LIMIT 2500")(_r(lambda r: evaluate.newest(r).select("match_id"), ()))
 
 # history
 
@@ -41,14 +41,14 @@ _query(
     "q_history",
     f"""WITH {REVIEWS} SELECT match_id, pred_home_goals || '-' || pred_away_goals AS prediction, home_goals || '-' || away_goals AS actual_score, exact_hit AS was_correct, goal_error AS error_margin, label AS league, outcome_hit AS winner_correct,
   {NAMED.format('predicted')} AS predicted_outcome, {NAMED.format('actual')} AS actual_outcome, probability_hit AS top_chance_correct, phase AS phase_bucket, confidence FROM r""",
-)(_r(lambda r: evaluate.history(r.drop("league").withColumnRenamed("label", "league"))))
+)(_r(lambda r: evaluate.history(r.drop("league").withColumnRenamed("label", "league")), ("meetings",)))
 BY_LEAGUE = "count(*) AS n, count(*) FILTER (exact_hit) AS exact, count(*) FILTER (outcome_hit) AS outcome, count(*) FILTER (probability_hit) AS top_chance"
 PERCENT = "CAST(floor({} / n * 100 + 0.5) AS BIGINT) AS {}_percent"
 _query("q_history_by_league", f"WITH {REVIEWS}, g AS (SELECT coalesce(nullif(label, ''), 'Onbekend') AS league, {BY_LEAGUE} FROM r GROUP BY 1) SELECT *, {', '.join(PERCENT.format(c, c) for c in ('exact', 'outcome', 'top_chance'))} FROM g WHERE league <> 'Onbekend' ORDER BY n DESC, outcome_percent DESC, league")(
-    _r(lambda r: serving.history_by_league(r))
+    _r(lambda r: serving.history_by_league(r), ())
 )
 _query("q_history_filter_page", f"WITH {REVIEWS} SELECT match_id, label, predicted FROM r WHERE NOT exact_hit AND contains(lower(label), 'nat') ORDER BY match_date DESC, match_id LIMIT 80 OFFSET 80")(
-    _r(lambda r: serving.history_page(r.filter("NOT exact_hit"), F.contains(F.lower("label"), F.lit("nat")), 2, 80).select("match_id", "label", "predicted"))
+    _r(lambda r: serving.history_page(r.filter("NOT exact_hit"), F.contains(F.lower("label"), F.lit("nat")), 2, 80).select("match_id", "label", "predicted"), ())
 )
 
 # advice over a day's sources and the reviews
@@ -76,7 +76,7 @@ SELECT ord::INT AS ord, topic, figure::BIGINT AS figure, priority FROM (
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
-    k = records(spark, d)
+    k = records(spark, d, ("lines", "meetings"))
     known = k.filter("referee_id IS NOT NULL AND status = 'FT'").groupBy(F.col("referee_id")).agg(F.count(F.lit(1)).alias("referee_matches"))
     day = k.join(known, "referee_id", "left").withColumns({
         "minute": F.when(F.col("match_id") % 4 != 0, F.col("match_id") % 90 + 1), "period": F.when(F.col("match_id") % 8 == 0, "Half Time"), "h2h_played": F.col("h2h_results"), "has_market": F.col("n_lines").isNotNull(),
@@ -167,9 +167,9 @@ _query(
        WHEN label LIKE '%Eredivisie' THEN CASE WHEN position <= 3 THEN 'ucl' WHEN position <= 8 THEN 'playoffs' WHEN position >= greatest(n - 2, 1) THEN 'relegation' END
        ELSE CASE WHEN position <= least(4, n) THEN 'top' WHEN position >= greatest(n - 2, 1) THEN 'bottom' END END AS zone FROM l""",
 )(_t(_zoned))
-_query("q_match_importance", f"WITH {RECORD_SQL} SELECT match_id, importance FROM k")(_k(lambda k: k.select("match_id", "importance")))
+_query("q_match_importance", f"WITH {RECORD_SQL} SELECT match_id, importance FROM k")(_k(lambda k: k.select("match_id", "importance"), "table"))
 _query("q_rest_days", "SELECT team_id, match_id, CASE WHEN gap > 0 THEN gap::DOUBLE END AS rest_days FROM (SELECT team_id, match_id, match_date - lag(match_date) OVER (PARTITION BY team_id ORDER BY match_date, match_id) AS gap FROM t)")(_t(form.rest_days))
-_query("q_weather_risk", f"WITH {RECORD_SQL} SELECT match_id, weather_risk FROM k")(_k(lambda k: k.select("match_id", "weather_risk")))
+_query("q_weather_risk", f"WITH {RECORD_SQL} SELECT match_id, weather_risk FROM k")(_k(lambda k: k.select("match_id", "weather_risk"), "weather"))
 _query("q_retained_days", "SELECT match_id FROM m WHERE match_date BETWEEN DATE '1998-03-03' - 12 AND DATE '1998-03-03' + 4")(_m(lambda m: serving.retained(m, "1998-03-03").select("match_id")))
 
 # form with cards, recent games, prices, referees
@@ -186,14 +186,16 @@ fs AS (SELECT *, CASE WHEN home_scored > away_scored + 0.25 THEN 'home' WHEN awa
 
 
 def card_rows(k: DataFrame) -> DataFrame:
-    """team_rows() with yellow and red cards of the side."""
-    t = team_rows(k)
-    cards = k.select("match_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.coalesce(f"{s}_yellow", F.lit(0)).alias("yellow"), F.coalesce(f"{s}_red", F.lit(0)).alias("red")) for s in ("home", "away")))).alias("c")).select("match_id", "c.*")
-    return t.join(cards, ["match_id", "side"])
+    """team_rows() with yellow and red cards of the side, in the same pass."""
+    rows = k.select("match_id", "match_date", "league", "status", F.explode(F.array(*(F.struct(
+        F.lit(s).alias("side"), F.col(f"{s}_team_id").alias("team_id"), F.col(f"{o}_team_id").alias("opponent_id"), F.col(f"{s}_goals").alias("gf"), F.col(f"{o}_goals").alias("ga"),
+        F.coalesce(f"{s}_yellow", F.lit(0)).alias("yellow"), F.coalesce(f"{s}_red", F.lit(0)).alias("red"),
+    ) for s, o in (("home", "away"), ("away", "home"))))).alias("t"))
+    return rows.select("match_id", "match_date", "league", "status", "t.*")
 
 
 FORM_COLUMNS = ("team_id", "games", "wins", "draws", "losses", "avg_scored", "avg_conceded", "btts_rate", "over15_rate", "over25_rate", "clean_sheet_rate", "blank_rate", "yellow_rate", "red_rate", *(f"{s}_{n}" for s in ("home", "away") for n in ("games", "scored", "conceded", "over25")), "strongest_side")
-_query("q_form_profile", f"WITH {FORM_SQL} SELECT {', '.join(FORM_COLUMNS)} FROM fs")(_k(lambda k: form.profile(card_rows(k)).select(*FORM_COLUMNS)))
+_query("q_form_profile", f"WITH {FORM_SQL} SELECT {', '.join(FORM_COLUMNS)} FROM fs")(_k(lambda k: form.profile(card_rows(k)).select(*FORM_COLUMNS), "lines"))
 _query("q_recent5", f"WITH {FORM_SQL} SELECT team_id, rank::INT AS rank, match_id, opponent_id, CASE side WHEN 'home' THEN 'H' ELSE 'A' END AS venue, gf || '-' || ga AS score, CASE WHEN gf > ga THEN 'W' WHEN gf IS NOT DISTINCT FROM ga THEN 'D' ELSE 'L' END AS result FROM l10 WHERE rank <= 5")(_t(form.recent_matches))
 _query("q_recent_form_balance", f"WITH p AS (SELECT *, least(home_team_id, away_team_id) AS team_a, greatest(home_team_id, away_team_id) AS team_b FROM m WHERE status = 'FT' AND home_goals IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY match_date DESC, match_id DESC) AS rank FROM p) SELECT team_a, team_b, string_agg(CASE WHEN home_goals = away_goals THEN 'D' WHEN (home_goals > away_goals) = (home_team_id = team_a) THEN 'W' ELSE 'L' END, '' ORDER BY rank) AS form FROM k WHERE rank <= 5 GROUP BY team_a, team_b")(_m(form.meeting_form))
 VALID_SQL = "home_odd > 1.01 AND draw_odd > 1.01 AND away_odd > 1.01"
@@ -217,7 +219,7 @@ _query(
     "q_referee_profile",
     f"""WITH {RECORD_SQL}, g AS (SELECT referee_id, count(*) AS games, {R('sum(home_yellow + away_yellow) / count(*)')} AS avg_yellow, {R('sum(home_red + away_red) / count(*)')} AS avg_red, {R('sum(home_yellow + away_yellow + (home_red + away_red) * 2) / count(*)')} AS avg_cards, {X('sum(penalties) / count(penalties)')} AS penalty_rate FROM k WHERE referee_id IS NOT NULL GROUP BY referee_id)
 SELECT g.*, CASE WHEN avg_cards >= 4.8 THEN 'streng' WHEN avg_cards >= 3.2 THEN 'gemiddeld' ELSE 'laat doorspelen' END AS strictness, s_name AS referee FROM g LEFT JOIN supplier ON s_suppkey = referee_id""",
-)(lambda spark, d: market.referees(records(spark, d), read(spark, d, "supplier")))
+)(lambda spark, d: market.referees(records(spark, d, ("lines",)), read(spark, d, "supplier")))
 
 # folds and nearest values, without gathering a key's rows
 
@@ -258,7 +260,7 @@ _query("q_next_round", f"WITH {RECORD_SQL}, w AS (SELECT DISTINCT label, round_l
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per league: reviews, hit rates, goal error and reliability; the ten most reliable."""
-    return evaluate.reliability(reviewed(spark, sf_dir), "label").orderBy(F.desc("reliability"), "label").limit(10)
+    return evaluate.reliability(reviewed(spark, sf_dir, ()), "label").orderBy(F.desc("reliability"), "label").limit(10)
 
 
 QUERIES["q_flagship"] = flagship

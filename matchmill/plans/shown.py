@@ -170,7 +170,7 @@ SIGNALLED = {
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    k = records(spark, d).withColumns({n: F.expr(e) for n, e in SIGNALLED.items()})
+    k = records(spark, d, ("lines", "meetings", "ratings", "rest")).withColumns({n: F.expr(e) for n, e in SIGNALLED.items()})
     return k.select("match_id", F.array_join(shown.key_signals(k), "; ").alias("signals"))
 
 

@@ -88,7 +88,7 @@ FROM w JOIN b ON b.ph = pred_home_goals AND b.pa = pred_away_goals JOIN x ON x.p
 _query(
     "q_reliability_by_days",
     f"WITH {REVIEWS} SELECT label, count(*) AS matches, {X('count(*) FILTER (outcome_hit) / count(*)')} AS hit_rate, {X('count(*) FILTER (exact_hit) / count(*)')} AS exact_rate, {X('sum(goal_error) / count(*)')} AS avg_goal_error FROM r GROUP BY label",
-)(lambda spark, d: upkeep.rates(upkeep.day_sums(reviewed(spark, d), "label"), "label"))
+)(lambda spark, d: upkeep.rates(upkeep.day_sums(reviewed(spark, d, ()), "label"), "label"))
 
 # --- joins on time
 
