@@ -104,7 +104,7 @@ def kickoffs(m: DataFrame) -> DataFrame:
 def weather_at(spark: SparkSession, d: str) -> DataFrame:
     """Each match with the reading of its place and day that is nearest to its kick-off."""
     readings = read(spark, d, "events").select((F.col("user_id") % 25).alias("place"), F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("wind"))
-    x = asof.nearest_reading(kickoffs(matches(spark, d)), "kickoff", readings, "ts", ["place", "day"], 86400, tie="event_id")
+    x = asof.nearest_reading(kickoffs(matches(spark, d, scores=False)), "kickoff", readings, "ts", ["place", "day"], 86400, tie="event_id")
     risk = F.when(F.col("reading").isNotNull(), classify.weather_risk(F.col("reading.wind"), F.lit(0.0)))
     return x.select("match_id", F.col("reading.event_id").alias("event_id"), F.round(F.col("reading.gap") * 1_000_000).cast("long").alias("gap_micros"), risk.alias("weather_risk"))
 

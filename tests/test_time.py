@@ -33,6 +33,16 @@ def test_nearest_reading(spark):
                 assert (g["reading"] and (g["reading"]["id"], g["reading"]["gap"], g["reading"]["wind"])) == (want and (want[2], want[1], want[3]))
 
 
+def test_nearest_reading_grows_with_its_rows(spark):
+    """No frame reaches forward, as such a frame is summed anew at every row, and a time is looked up once."""
+    left = spark.range(9000).selectExpr("id", "1L AS place", "timestamp_seconds(id % 3 * 3600) AS at")
+    right = spark.range(50).selectExpr("id AS r", "1L AS place", "timestamp_seconds(id * 100) AS ts")
+    out = asof.nearest_reading(left, "at", right, "ts", ["place"], 86400, tie="r")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "currentrow$()" in plan
+    assert [tuple(r) for r in out.groupBy(F.unix_seconds("at"), "reading.r", "reading.gap").count().sort("r").collect()] == [(0, 0, 0.0, 3000), (3600, 36, 0.0, 3000), (7200, 49, -2300.0, 3000)]
+
+
 def test_composed(spark):
     """A fold in parts equals the fold one by one, whatever the chunks, also for a key with most of the rows."""
     r = random.Random(5)
