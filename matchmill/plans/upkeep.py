@@ -10,6 +10,7 @@ from matchmill.plans.bridge import matches, read
 from matchmill.plans.queries import GRID, RATES, _m, _query
 from matchmill.plans.records import REVIEWS, R, X, line_facts, reviewed
 from matchmill.sources import nested
+from matchmill.sources.settled import settled
 
 # --- caches and predictions as the store keeps them
 
@@ -156,7 +157,7 @@ def price_documents(spark: SparkSession, d: str) -> DataFrame:
         one("home", home, 0), one("homeOdds", home.cast("string"), 1), F.when(n % 3 == 2, F.struct(home.alias("value"))).alias("choice1"), one("drawOdds", draw, 0), one("draw", draw, 1), one("drawValue", draw, 2), away.alias("away"),
     )
     line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", node.alias("node"))
-    per = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    per = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     groups = F.transform("lines", lambda x: F.struct(F.array(x["node"]).alias("choices")))
     return per.select("match_id", F.to_json(F.struct(F.struct(F.struct(groups.alias("groups")).alias("fullTime")).alias("markets"))).alias("document"))
 
@@ -171,7 +172,7 @@ p AS (SELECT match_id, bookmaker, {R('1 / h / s', 4)} AS h, {R('1 / d / s', 4)}
 e AS (SELECT match_id, lower(bookmaker) AS book, bookmaker, {X('h - a')} AS diff, {X('greatest(h, d, a) * 0.9::DOUBLE')} AS strength, CASE WHEN h >= a AND h >= d THEN 'home' WHEN a >= d THEN 'away' ELSE 'neutral' END AS lean FROM p)
 SELECT *, {X("avg((lean <> 'neutral')::INT) OVER (PARTITION BY match_id)")} AS agreement FROM e""",
     bridge=False,
-)(lambda spark, d: nested.book_signals(nested.price_nodes(price_documents(spark, d), "document", "match_id")).withColumnRenamed("id", "match_id"))
+)(lambda spark, d: nested.book_signals(nested.price_nodes(settled(price_documents(spark, d), "price-documents"), "document", "match_id")).withColumnRenamed("id", "match_id"))
 
 # --- names in their order
 

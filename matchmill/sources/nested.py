@@ -18,11 +18,16 @@ BOOKMAKER, NO_BOOKMAKER = ("bookmaker.name", "bookmakerName", "provider", "name"
 LEAST_PRICE, MOST_BOOKS = 1.01, 8
 
 
+def brackets(json: Column) -> Column:
+    """The brackets of a document in their order, without those in strings."""
+    plain = F.regexp_replace(json, r"(?s)\\.", "")  # an escape stands in a string only, so every quote left ends or begins one
+    return F.regexp_replace(plain, r'"[^"]*"|[^\[\]{}"]+', "")
+
+
 def nesting(json: Column) -> Column:
-    """How deep a document is nested at most, by its brackets; those in strings count too, so it may be less."""
-    brackets = F.split(F.regexp_replace(json, r"[^\[\]{}]", ""), "")
+    """How deep a document is nested at most, by its brackets."""
     deeper = lambda x, c: F.struct((x["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(x["most"], x["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))
-    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper, lambda x: x["most"])
+    return F.aggregate(F.split(brackets(json), ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper, lambda x: x["most"])
 
 
 def nodes(docs: DataFrame, json: str, id: str, depth: int | None = None) -> DataFrame:
@@ -30,44 +35,43 @@ def nodes(docs: DataFrame, json: str, id: str, depth: int | None = None) -> Data
     their siblings, so that places sort as the document is read. A document that can't be parsed has none.
 
     Each step opens all objects and arrays of one level. Values are variants, so that numbers and text stay apart; the text
-    beside them gives the order of keys, which variants don't keep. Without `depth` the deepest document is measured first."""
+    beside them gives the order of keys, which variants don't keep. What a value is shows by whether it can be read as a map
+    or an array, as its whole schema would cost more than all else. Without `depth` the deepest document is measured first,
+    over the distinct orders of brackets."""
     rows = docs.select(F.col(id).alias("id"), F.col(json).alias("raw"), F.try_parse_json(json).alias("node")).filter("node IS NOT NULL")
     if depth is None:
-        depth = rows.agg(F.max(nesting(F.col("raw")))).first()[0] or 0
-    rows = rows.withColumns({"place": F.expr("cast(array() as array<int>)"), "open": F.lit(True)})
+        kinds = rows.groupBy(brackets(F.col("raw")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+        depth = kinds.agg(F.max(nesting(F.col("kind"))), F.sum("n")).first()[0] or 0  # by the sum the groups are kept
+    as_map = F.try_variant_get("node", "$", "map<string,variant>")
+    rows = rows.withColumns({"place": F.expr("cast(array() as array<int>)"), "object": F.lit(False), "open": F.lit(True)})
     for _ in range(depth):
-        kind = F.schema_of_variant("node")
+        starts = lambda c: F.col("open") & F.startswith(F.ltrim("raw"), F.lit(c))
         rows = rows.withColumns({
-            "names": F.when(F.col("open") & F.startswith(kind, F.lit("OBJECT")), F.map_entries(F.from_json("raw", "map<string,string>"))),
-            "named": F.when(F.col("open") & F.startswith(kind, F.lit("OBJECT")), F.expr("cast(node as map<string,variant>)")),
-            "texts": F.when(F.col("open") & F.startswith(kind, F.lit("ARRAY")), F.from_json("raw", "array<string>")),
-            "items": F.when(F.col("open") & F.startswith(kind, F.lit("ARRAY")), F.expr("cast(node as array<variant>)")),
+            "names": F.when(starts("{"), F.map_entries(F.from_json("raw", "map<string,string>"))), "named": F.when(starts("{"), as_map),
+            "texts": F.when(starts("["), F.from_json("raw", "array<string>")), "items": F.when(starts("["), F.try_variant_get("node", "$", "array<variant>")),
         })
-        child = lambda raw, node, i: F.struct(raw.alias("raw"), node.alias("node"), F.concat("place", F.array(i.cast("int"))).alias("place"), F.lit(True).alias("open"))
-        of_object = F.transform("names", lambda e, i: child(e["value"], F.element_at("named", e["key"]), i))
-        of_array = F.transform("texts", lambda t, i: child(t, F.get("items", i), i))
-        inner = F.filter(F.coalesce(of_object, of_array, F.expr("cast(array() as array<struct<raw:string,node:variant,place:array<int>,open:boolean>>)")), _container)
-        itself = F.array(F.struct("raw", "node", "place", F.lit(False).alias("open")))
+        child = lambda raw, node, i: F.struct(raw.alias("raw"), node.alias("node"), F.concat("place", F.array(i.cast("int"))).alias("place"), F.lit(False).alias("object"), F.lit(True).alias("open"))
+        inside = lambda x: x["raw"].substr(1, 1).isin("{", "[")  # noqa: E731  (text may look so too, and can't be read as a map)
+        of_object = F.transform(F.filter(F.transform("names", lambda e, i: F.struct(e["value"].alias("raw"), e["key"].alias("key"), i.alias("i"))), inside), lambda e: child(e["raw"], F.element_at("named", e["key"]), e["i"]))
+        of_array = F.transform(F.filter(F.transform("texts", lambda t, i: F.struct(t.alias("raw"), i.alias("i"))), inside), lambda e: child(e["raw"], F.get("items", e["i"]), e["i"]))
+        none = F.expr("cast(array() as array<struct<raw:string,node:variant,place:array<int>,object:boolean,open:boolean>>)")
+        found = F.col("named").isNotNull()
+        itself = F.when(found | ~F.col("open"), F.array(F.struct(F.lit(None).cast("string").alias("raw"), "node", "place", F.lit(True).alias("object"), F.lit(False).alias("open")))).otherwise(none)
+        inner = F.when(found, of_object).when(F.col("items").isNotNull(), of_array).otherwise(none)
         rows = rows.select("id", F.explode(F.concat(itself, inner)).alias("x")).select("id", "x.*")
-    return rows.filter(F.startswith(F.schema_of_variant("node"), F.lit("OBJECT"))).select("id", "place", "node")
-
-
-def _container(x: Column) -> Column:
-    kind = F.schema_of_variant(x["node"])
-    return F.coalesce(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), F.lit(False))
+    return rows.filter(F.col("object") | as_map.isNotNull()).select("id", "place", "node")
 
 
 def _first(names: tuple[str, ...]) -> Column:
-    """The first of a node's fields that isn't null, false, zero or empty, as text."""
-    out = F.lit(None).cast("string")
-    for n in reversed(names):
-        out = falsy_or(F.try_variant_get("node", f"$.{n}", "string"), out)
-    return out
+    """The first of a node's fields that isn't null, false, zero or empty, as text; each field is read once."""
+    fields = F.array(*(F.try_variant_get("node", f"$.{n}", "string") for n in names))
+    return F.get(F.filter(fields, lambda x: falsy_or(x, F.lit(None).cast("string")).isNotNull()), F.lit(0))
 
 
 def price_nodes(docs: DataFrame, json: str, id: str, depth: int | None = None) -> DataFrame:
     """(id, place, bookmaker, home, draw, away): the nodes that hold three prices above the least one."""
-    number = lambda c: F.when(c.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.trim(c)).cast("double")
+    one = lambda x: F.when(x.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.trim(x)).cast("double")
+    number = lambda c: F.get(F.transform(F.array(c), one), F.lit(0))  # noqa: E731  (c is worked out once)
     out = nodes(docs, json, id, depth).select("id", "place", F.coalesce(_first(BOOKMAKER), F.lit(NO_BOOKMAKER)).alias("bookmaker"), *(number(_first(names)).alias(n) for n, names in PRICES.items()))
     return out.filter(" AND ".join(f"{n} > {LEAST_PRICE}" for n in PRICES))
 

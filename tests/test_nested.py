@@ -69,3 +69,11 @@ def test_book_signals(spark):
 def test_nesting(spark):
     rows = spark.createDataFrame([("[[{}]]",), ("3",), ("",), (None,)], "j string")
     assert [r[0] for r in rows.select(nested.nesting(F.col("j"))).collect()] == [3, 0, 0, None]
+
+
+def test_brackets_in_text(spark):
+    """Brackets in strings neither add to the depth nor take from it."""
+    doc = {"a": '}}}}"\\', "b": {"c": {"name": "B", "home": 2, "draw": 3, "away": 4}}, "d": "[[[[[[["}
+    rows = spark.createDataFrame([(1, json.dumps(doc))], "id long, j string")
+    assert [tuple(r) for r in nested.price_nodes(rows, "j", "id").select("id", "bookmaker", "home").collect()] == [(1, "B", 2.0)]
+    assert rows.select(nested.nesting(F.col("j"))).first()[0] == 3
