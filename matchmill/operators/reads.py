@@ -3,12 +3,14 @@ forecast that a client makes by itself."""
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchmill.functions.semantics import falsy_or, local_day, to_fixed
+from matchmill.functions.semantics import falsy_or, local_day, poisson, to_fixed
 from matchmill.operators.duels import form_modifier
-from matchmill.operators.model import score_grid
+from matchmill.operators.model import GOALS, score_grid
 
 #: League labels that the season tables cover, and their codes there.
 CODES = {
@@ -92,6 +94,18 @@ def client_forecast(df: DataFrame) -> DataFrame:
         "home_mod": mod["home"], "away_mod": mod["away"],
         "home_xg": F.lit(1.35) * (F.col("home_attack") / F.col("away_defence")) * 1.18 * mod["home"], "away_xg": F.lit(1.35) * (F.col("away_attack") / F.col("home_defence")) * mod["away"],
     })
-    out = score_grid(out, rho=0.0, whole=False)
+    out = _likeliest(score_grid(out, rho=0.0, whole=False))
     sure = F.col("best_prob") * 2.5 + F.abs(F.col("home_elo") - F.col("away_elo")) / 3500 + F.abs(F.col("home_mod") - F.col("away_mod")) / 5
     return out.withColumn("confidence", F.least(F.lit(0.98), sure)).drop("home_mod", "away_mod")
+
+
+def _likeliest(df: DataFrame) -> DataFrame:
+    """`df` with best_prob and best_score by each score's probability as it is multiplied and divided from left to right, so
+    that scores that tie but for rounding come in the order that the rounded values have."""
+    x, y = F.col("home_xg"), F.col("away_xg")
+    out = df.withColumns({**{f"c_home{k}": poisson(x, k) for k in GOALS}, **{f"c_power{k}": F.pow(y, F.lit(float(k))) for k in GOALS}, "c_none": F.exp(-y)})
+    cells = [F.col(f"c_home{h}") * F.col(f"c_power{a}") * F.col("c_none") / float(factorial(a)) for h in GOALS for a in GOALS]
+    out = out.withColumn("c_cells", F.array(*cells)).withColumn("best_prob", F.array_max("c_cells"))
+    at = (F.array_position("c_cells", F.col("best_prob")) - 1).cast("int")
+    n = len(GOALS)
+    return out.withColumn("best_score", F.concat(F.floor(at / n).cast("string"), F.lit("-"), (at % n).cast("string"))).drop("c_cells", "c_none", *(f"c_{w}{k}" for w in ("home", "power") for k in GOALS))
