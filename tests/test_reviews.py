@@ -81,3 +81,11 @@ def test_checks(spark):
 def test_risk(spark):
     df = spark.createDataFrame([(0.4, 0.5, "high", False, 4, 0.2, 0.0), (0.7, 0.9, "low", True, 0, 0.0, 0.4), (0.5, 0.7, "medium", True, None, None, None)], "c double, a double, w string, l boolean, i int, t double, k double")
     assert [r[0] for r in df.select(model.risk(*(F.col(c) for c in "cawlitk"))).collect()] == ["hoog", "laag", "middel"]
+
+
+def test_advice_joins_its_records_once(spark):
+    """Coverage, rates and signals are read from one written table, not joined anew for each."""
+    from matchmill.plans.queries import QUERIES
+
+    files = QUERIES["q_advice"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)
