@@ -14,8 +14,9 @@ each SAMPLE_CHARS characters from a hashed place; SAMPLE_TOTAL documents in all,
 
 A text is recognised from a score on that follows its length: LEAST_SHARE of the way from an even guess (one over the number
 of languages) to 1, or SPREADS standard deviations below the mean score of held-out texts of that length, if that is less.
-Lengths go by powers of two, and the held-out texts, sampled like the others, are cut into PIECES pieces of each. The scores
-of short pieces are low and spread, so a short text is hardly ever rejected. Where fewer than LEAST_RIGHT of the held-out texts are labelled as they were
+Lengths go by powers of two, and of each length PIECES pieces are cut from every held-out text, so the scores come from all of
+them; a language weighs as its held-out documents do, but at most as those that the sample would have of it. The scores of
+short pieces are low and spread, so a short text is hardly ever rejected. Where fewer than LEAST_RIGHT of the held-out texts are labelled as they were
 given, or there is nothing to learn from or fewer than LEAST_CHECKED documents to check on, every text with a letter counts
 as recognised.
 
@@ -44,6 +45,8 @@ SPAN, CONTEXT, ROWS = 448, 32, 1024
 LEAST_SHARE, LEAST_RIGHT, LEAST_CHECKED, PIECES, SPREADS = 0.1, 0.9, 20, 4, 4.0
 #: Powers of two of the lengths that held-out pieces have.
 LENGTHS = range(13)
+#: Scores are summed in whole parts, so the sums don't depend on the order of rows.
+UNITS = 1 << 30
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -52,9 +55,9 @@ def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, held: bool = False) -> list[tuple[str, str]]:
-    """(lang, text) of the bounded training sample, or that of held-out documents, in a fixed order."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (held_out(F.col("doc_id")) == held))
+def sample(docs: DataFrame) -> list[tuple[str, str]]:
+    """(lang, text) of the bounded training sample, in a fixed order."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & ~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not counts:
         return []
@@ -257,29 +260,66 @@ def label(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     return out.withColumns({"lang_pred": F.when(unknown, F.lit(UNKNOWN)).otherwise(F.col("lang_pred")), "score": F.when(unknown, F.lit(0.0)).otherwise(F.col("score"))})
 
 
+def _pieces(raw: bytes, size: int) -> list[str]:
+    """The pieces of that many bytes, from evenly spaced places, that hold a letter."""
+    places = sorted({(len(raw) - size) * i // PIECES for i in range(PIECES)}) if len(raw) >= size else ()
+    pieces = (raw[at : at + size].decode("utf-8", "ignore") for at in places)
+    return [x for x in pieces if any(c.isalpha() for c in x)]
+
+
+def _checked(batches: Iterator[pa.RecordBatch], langs: list[str], p: dict) -> Iterator[pa.RecordBatch]:
+    """Of batches (lang, text): sums (lang, power, n, s, q) of scores and their squares in units of 1 / UNITS, by the powers of
+    two of LENGTHS; those of the power -1 are whole texts, and s has those labelled as they were given."""
+    free()
+    sums = np.zeros((len(langs), len(LENGTHS) + 1, 3), np.int64)
+    for batch in batches:
+        given = np.array([langs.index(k) for k in batch.column(0).to_pylist()], int)
+        whole = batch.column(1).to_pylist()
+        if not whole:
+            continue
+        np.add.at(sums[:, -1], given, np.stack((np.ones(len(given), int), pool(p, batch.column(1)).argmax(1) == given, np.zeros(len(given), int)), 1))
+        raws = [t.encode("utf-8", "replace") for t in whole]
+        for i in LENGTHS:
+            cut = [_pieces(raw, 1 << i) for raw in raws]
+            score = pool(p, pa.array([x for c in cut for x in c], pa.string())).max(1)
+            units = [np.rint(x * UNITS).astype(np.int64) for x in (score, score**2)]
+            np.add.at(sums[:, i], np.repeat(given, [len(c) for c in cut]), np.stack((np.ones(len(score), np.int64), *units), 1))
+    rows = [(k, i if i < len(LENGTHS) else -1, *map(int, sums[j, i])) for j, k in enumerate(langs) for i in range(len(LENGTHS) + 1) if sums[j, i, 0]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.int32(), *[pa.int64()] * 3))], ["lang", "power", "n", "s", "q"])
+
+
 def least_scores(docs: DataFrame, langs: list[str], p: dict) -> np.ndarray | None:
-    """From which score a text of 2 ** i bytes or more is recognised, for each i of LENGTHS; None if scores decide nothing."""
-    checked = [(langs.index(k), t) for k, t in sample(docs, held=True) if k in langs] if len(langs) > 1 else []
-    if len(checked) < LEAST_CHECKED:
+    """From which score a text of 2 ** i bytes or more is recognised, for each i of LENGTHS, by all held-out documents; None if
+    scores decide nothing."""
+    if len(langs) < 2:
         return None
-    pooled = pool(p, pa.array([t for _, t in checked], pa.string()))
-    if (pooled.argmax(1) == [k for k, _ in checked]).mean() < LEAST_RIGHT:
+    small_batches(docs.sparkSession)
+    held = docs.filter(F.col("lang").isin(langs) & F.col("text").rlike(LETTER) & held_out(F.col("doc_id"))).select("lang", "text")
+    each = held.mapInArrow(lambda it: _checked(it, langs, p), "lang string, power int, n long, s long, q long")
+    sums = each.groupBy("lang", "power").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))).collect()  # a few rows per language
+    checked = {r["lang"]: r["n"] for r in sums if r["power"] < 0}
+    if sum(checked.values()) < LEAST_CHECKED:
+        return None
+    most = min(SAMPLE_DOCS, max(1, SAMPLE_TOTAL // len(checked)))
+    weight = {k: min(1.0, most / n) for k, n in checked.items()}
+
+    def weighed(power: int) -> np.ndarray:
+        """Number, sum and sum of squares at that length, with each language's documents at their weight."""
+        return np.sum([[weight[r["lang"]] * r[c] for c in ("n", "s", "q")] for r in sorted(sums, key=lambda r: r["lang"]) if r["power"] == power] or [[0.0] * 3], 0)
+
+    n, right, _ = weighed(-1)
+    if right / n < LEAST_RIGHT:
         return None
     even = 1 / len(langs)
-    texts = [t.encode("utf-8", "replace") for _, t in checked]
-    return np.array([min(even + LEAST_SHARE * (1 - even), _usual(p, texts, 1 << i)) for i in LENGTHS])
-
-
-def _usual(p: dict, texts: list[bytes], size: int) -> float:
-    """The low end of the scores of pieces of that many bytes, from evenly spaced places; 0 if there are none."""
-    pieces = []
-    for raw in texts:
-        for at in sorted({(len(raw) - size) * i // PIECES for i in range(PIECES)}) if len(raw) >= size else ():
-            piece = raw[at : at + size].decode("utf-8", "ignore")
-            if any(c.isalpha() for c in piece):
-                pieces.append(piece)
-    score = pool(p, pa.array(pieces, pa.string())).max(1)
-    return float(score.mean() - SPREADS * score.std()) if len(score) else 0.0
+    return np.array([min(even + LEAST_SHARE * (1 - even), _usual(*weighed(i))) for i in LENGTHS])
+
+
+def _usual(n: float, s: float, q: float) -> float:
+    """The low end of scores by their number, sum and sum of squares; 0 if there are none."""
+    if not n:
+        return 0.0
+    mean = s / n / UNITS
+    return mean - SPREADS * max(q / n / UNITS - mean**2, 0.0) ** 0.5
 
 
 def _recognised(batches: Iterator[pa.RecordBatch], text: int, p: dict, least: np.ndarray) -> Iterator[pa.RecordBatch]:

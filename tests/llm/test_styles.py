@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -432,3 +433,26 @@ def test_language_lengths(spark):
         docs = spark.createDataFrame([(i, t[:size], "x") for i, t in enumerate(texts)], "doc_id long, text string, best string")
         kept = sum(b.num_rows for b in langid._recognised(iter(docs.toArrow().to_batches()), 1, p, least))
         assert kept >= len(texts) - 1, size
+
+
+def test_language_thresholds_from_all(spark, monkeypatch):
+    """The least scores come from every held-out document, whatever the size of the sample, each language at its weight."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3)
+    langs, p = langid.train(langid.sample(table), steps=30)
+    for name, value in (("SAMPLE_DOCS", 10), ("LEAST_RIGHT", 0.0), ("LEAST_SHARE", 9.0)):
+        monkeypatch.setattr(langid, name, value)
+    least = langid.least_scores(table, langs, p)
+    rows = table.filter(langid.held_out(table["doc_id"]) & table["lang"].isNotNull() & table["text"].rlike(langid.LETTER)).select("lang", "text").collect()
+    counts = {k: sum(r["lang"] == k for r in rows) for k in langs}
+    assert min(counts.values()) > 10
+    for i in (5, 9):
+        pieces = []
+        for r in rows:
+            raw, n = r["text"].encode(), 1 << i
+            for at in sorted({(len(raw) - n) * j // langid.PIECES for j in range(langid.PIECES)}) if len(raw) >= n else ():
+                piece = raw[at : at + n].decode("utf-8", "ignore")
+                if any(c.isalpha() for c in piece):
+                    pieces.append((10 / counts[r["lang"]], piece))
+        w, score = np.array([x[0] for x in pieces]), langid.pool(p, pa.array([x[1] for x in pieces], pa.string())).max(1)
+        mean = np.average(score, weights=w)
+        assert abs(least[i] - (mean - langid.SPREADS * np.average((score - mean) ** 2, weights=w) ** 0.5)) < 1e-5, i
