@@ -40,11 +40,11 @@ def splits(t: DataFrame) -> DataFrame:
     return g.withColumn("strongest_side", side)
 
 
-def rest_days(t: DataFrame, at: str = "match_date") -> DataFrame:
-    """Days since the team's match before, to a tenth; null where none is, or not before."""
+def rest_days(t: DataFrame, at: str = "match_date", *keep: str) -> DataFrame:
+    """Days since the team's match before, to a tenth; null where none is, or not before. `keep` are further columns of `t`."""
     by = Window.partitionBy("team_id").orderBy(at, "match_id")
     seconds = F.unix_timestamp(F.col(at).cast("timestamp")) - F.unix_timestamp(F.lag(at).over(by).cast("timestamp"))
-    return t.select("team_id", "match_id", F.when(seconds > 0, to_fixed(seconds / 86400, 1)).alias("rest_days"))
+    return t.select("team_id", "match_id", *keep, F.when(seconds > 0, to_fixed(seconds / 86400, 1)).alias("rest_days"))
 
 
 def standings(t: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from matchmill.operators import classify, evaluate, model, monitor
+from matchmill.plans import forecast
 
 MATCHES = """match_id long, status string, label string, phase string, home_team_id long, away_team_id long, home_goals long, away_goals long, pred_home_goals long, pred_away_goals long,
  home_prob double, draw_prob double, away_prob double, elo_diff double, lineups_confirmed boolean, weather_risk string, rest_diff double, h2h_results long, market_over_diff double, agreement double"""
@@ -89,3 +90,10 @@ def test_advice_joins_its_records_once(spark):
 
     files = QUERIES["q_advice"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def test_forecast_reads_written_tables(spark):
+    """The assembled forecast reads lines and orders once, in the tables that it writes, and takes one row a side and one a match."""
+    x = forecast.assembled(spark, "/root/testdata/sf0.001")
+    assert not [f for f in x.inputFiles() if "lineitem" in f or "orders" in f]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 8
