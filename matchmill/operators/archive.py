@@ -43,18 +43,34 @@ def rarest(names: DataFrame, name: str, count: DataFrame) -> DataFrame:
     return each.groupBy(*names.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece").alias("k"))).alias("r")).select(*names.columns, "r.*")
 
 
+def pieces(name: Column, sizes: Column) -> Column:
+    """All pieces of a name that have one of these lengths."""
+    fits = F.filter(sizes, lambda n: n <= F.length(name))
+    return F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: name.substr(i, n)))))
+
+
+def cut(df: DataFrame, name: str, like: DataFrame, other: str) -> DataFrame:
+    """`df` with `piece`, one row for each piece of its name that is as long as one of the other names."""
+    sizes = like.agg(F.collect_set(F.length(other)).alias("sizes_"))  # one row: lengths of names
+    return df.crossJoin(F.broadcast(sizes)).select(*df.columns, F.explode(pieces(F.col(name), F.col("sizes_"))).alias("piece"))
+
+
 def containing(asked: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of asked names (ref) and entries (key) of a scope, first those whose entry holds the name, then those whose name
-    holds the entry. The longer one has every piece of the shorter one, so the shorter one's rarest piece is looked up: a
-    piece that many entries share is no key of any name that has a rarer one."""
-    pieces = entries.select("scope", "key", "ord", "referee", F.explode(grams(F.col("key"))).alias("k"))
-    count = pieces.groupBy("scope", "k").agg(F.count(F.lit(1)).alias("n"))
-    held = rarest(asked, "ref", count).filter("n > 0").drop("n").join(pieces, ["scope", "k"]).filter(F.contains("key", "ref"))
-    of_asked = asked.select("*", F.explode(grams(F.col("ref"))).alias("k"))
-    holding = of_asked.join(rarest(entries, "key", count).drop("n"), ["scope", "k"]).filter(F.contains("ref", "key"))
+    holds the entry. The longer name is cut into all pieces as long as the shorter one, which are compared as wholes."""
+    held = asked.join(cut(entries, "key", asked, "ref").withColumnRenamed("piece", "ref"), ["scope", "ref"])
+    holding = cut(asked, "ref", entries, "key").withColumnRenamed("piece", "key").join(entries, ["scope", "key"])
     return held, holding
 
 
+def first_containing(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """As containing(), but of the entries that hold a name only the first by `ord`, which is found before the join: no pairs
+    are made for a name that many entries hold."""
+    first = cut(entries, "key", asked, "ref").groupBy("scope", F.col("piece").alias("ref")).agg(F.min(F.struct("ord", "referee")).alias("r"))
+    held = asked.join(first.select("scope", "ref", "r.*"), ["scope", "ref"])
+    return held.unionByName(containing(asked, entries)[1].select(held.columns))
+
+
 def find_referees(df: DataFrame, id: str, league: str, name: str, archive: DataFrame) -> DataFrame:
     """(id, referee) for rows of `df` whose referee is found in `archive` (league, ord, referee, matches).
 
@@ -82,8 +98,8 @@ def find_referees(df: DataFrame, id: str, league: str, name: str, archive: DataF
     alike = lambda c: F.flatten(F.array(marked("s:", F.array(last(F.col(c)))), marked("v:", F.col("variants"))))
     first = entries.select("scope", F.explode(alike("key")).alias("k"), "ord", "referee").groupBy("scope", "k").agg(F.min(F.struct("ord", "referee")).alias("r")).select("scope", "k", "r.*")
     near = asked.select(*of, "scope", "far", F.explode(alike("ref")).alias("k")).join(first, ["scope", "k"])
-    held, holding = containing(asked.select(*of, "scope", "far"), entries.select("scope", "key", "ord", "referee"))
-    by_likeness = near.select(*of, hit(F.lit(1000), F.col("ord"))).unionByName(held.unionByName(holding).select(*of, hit(F.lit(1000), F.col("ord"))))
+    held = first_containing(asked.select(*of, "scope", "far"), entries.select("scope", "key", "ord", "referee"))
+    by_likeness = near.select(*of, hit(F.lit(1000), F.col("ord"))).unionByName(held.select(*of, hit(F.lit(1000), F.col("ord"))))
     best = by_alias.unionByName(by_name).unionByName(by_likeness).groupBy(*of).agg(F.min("hit").alias("hit")).select(F.col("league").alias("hit_league"), "ref", F.col("hit.referee").alias("referee"))
     rows = df.select(F.col(id), F.col(league).alias("hit_league"), normalize_name(F.col(name)).alias("ref"))
     return rows.join(best, ["hit_league", "ref"]).select(id, "referee")

@@ -29,3 +29,14 @@ def test_rare_keys(spark):
     count = entries.select("scope", F.explode(archive.grams(F.col("key"))).alias("k")).groupBy("scope", "k").agg(F.count(F.lit(1)).alias("n"))
     keys = archive.rarest(entries.select("scope", "key"), "key", count)
     assert keys.agg(F.max("n")).first()[0] < 1000 and keys.count() == len(names)
+
+
+def test_names_that_share_pieces(spark):
+    """Names of numbers share every short piece with many others; look-ups make no more rows than there are names that hold one another."""
+    names = [f"supplier {i:09d}" for i in range(3000)]
+    asked = [("l", n[-9:] if i % 2 else n, "", 0) for i, n in enumerate(names)] + [("l", "supplier", "", 0)]
+    got = archive.first_containing(spark.createDataFrame(asked, "league string, ref string, scope string, far int"), spark.createDataFrame([("", n, i, n) for i, n in enumerate(names)], "scope string, key string, ord long, referee string"))
+    first = {(r["ref"], r["ord"]) for r in got.collect()}
+    assert first == {(a[1], i) for i, a in enumerate(asked[:-1])} | {("supplier", 0)}
+    made = [n for n in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in n]
+    assert made and not any("Contains" in n for n in made)
