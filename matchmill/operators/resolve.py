@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchmill.operators.before import running_before
 from matchmill.operators.features import recent_balance
 
 #: Meetings that the feed, the history and a merged list keep, and from how many on no history is added.
@@ -18,20 +17,43 @@ def meeting(day: Column, home: Column, away: Column, home_goals: Column, away_go
     return F.struct(day.cast("date").alias("day"), home.cast("long").alias("home"), away.cast("long").alias("away"), F.concat_ws("-", home_goals, away_goals).alias("score"), winner.cast("long").alias("winner"))
 
 
+def by_pair(m: DataFrame, *keep: str) -> DataFrame:
+    """Matches by pair of teams (a, b) in the order of time, shuffled and sorted once, with the columns of `keep`. Those to
+    come or under way ask for what the pair has played, and stand before the played ones of their day; of these only those
+    with a score and a day count."""
+    pair = {"a": F.least("home_team_id", "away_team_id"), "b": F.greatest("home_team_id", "away_team_id"), "asks": F.col("status") != "FT"}
+    rows = m.withColumns(pair).filter("asks OR (status = 'FT' AND home_goals IS NOT NULL AND match_date IS NOT NULL)")
+    return _in_time(rows.select("a", "b", "match_date", "asks", "match_id", *keep))
+
+
+def _in_time(rows: DataFrame) -> DataFrame:
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "match_date", F.desc("asks"), "match_id")
+
+
+def with_last_leg(rows: DataFrame, leg: Column) -> DataFrame:
+    """`rows` of `by_pair` with `leg` of the pair's last day with a played match, up to the row's own day; of that day's
+    matches the first. One maximum is carried along a pair."""
+    so_far = Window.partitionBy("a", "b").orderBy("match_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.when(~F.col("asks"), F.struct(F.col("match_date"), -F.col("match_id")))
+    return rows.withColumn("leg", F.max_by(leg, place).over(so_far))
+
+
+def with_last(rows: DataFrame, meeting: Column, lists: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Those of `by_pair` that ask, with an array for each of `lists` (name: which meetings, n): the pair's last n of these
+    meetings on earlier days, oldest first. In the order of `by_pair` all played matches before one that asks are of
+    earlier days, so each meeting is read at its place back; nothing is joined, and a row costs n whatever the pair played."""
+    x = rows.withColumns({f"{name}_": F.when(~F.col("asks") & which, meeting) for name, (which, _) in lists.items()})
+    back = lambda name, i: F.expr(f"lag({name}_, {i}) IGNORE NULLS OVER (PARTITION BY a, b ORDER BY match_date, asks DESC, match_id)")
+    x = x.select(*rows.columns, *(back(name, i).alias(f"{name}_{i}") for name, (_, n) in lists.items() for i in range(n, 0, -1))).filter("asks")
+    return x.select(*rows.columns, *(F.array_compact(F.array(*(f"{name}_{i}" for i in range(n, 0, -1)))).alias(name) for name, (_, n) in lists.items()))
+
+
 def last_meetings(asked: DataFrame, played: DataFrame, n: int, name: str) -> DataFrame:
     """`asked` (match_id, a, b, match_date, ...) with the array `name` of the pair's last n of `played` (a, b, match_date,
-    match_id, meeting) on earlier days, oldest first. A pair's meetings are numbered and looked up by number, so a match
-    takes n of them, however many there are."""
-    pair = ["a", "b"]
-    order = Window.partitionBy(*pair).orderBy("match_date", "match_id")
-    numbered = played.select(*pair, F.row_number().over(order).cast("long").alias("at"), F.col("meeting").alias("one"))
-    days = asked.select(*pair, "match_date", F.lit(0).alias("n")).unionByName(played.select(*pair, "match_date", F.lit(1).alias("n")))
-    before = running_before(days, pair, "match_date", {"n_before": F.col("n")})
-    wanted = asked.select("match_id", *pair, "match_date").join(before, [*pair, "match_date"]).filter("n_before > 0")
-    wanted = wanted.select("match_id", *pair, F.explode(F.sequence(F.greatest(F.col("n_before") - (n - 1), F.lit(1)), F.col("n_before"))).alias("at"))
-    got = wanted.join(numbered, [*pair, "at"]).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("at", "one"))).alias("x"))
-    out = asked.join(got.select("match_id", F.transform("x", lambda r: r["one"]).alias(name)), "match_id", "left")
-    return out.withColumn(name, F.coalesce(name, F.expr(f"cast(array() as array<{MEETING}>)")))
+    match_id, meeting) on earlier days, oldest first."""
+    done = played.filter("match_date IS NOT NULL").select("a", "b", "match_date", "match_id", "meeting", F.lit(False).alias("asks"))
+    rows = asked.withColumn("asks", F.lit(True)).unionByName(done, allowMissingColumns=True)
+    return with_last(_in_time(rows), F.col("meeting"), {name: (F.lit(True), n)}).drop("asks", "meeting")
 
 
 def merged(first: Column, more: Column, n: int = MERGED) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchmill.operators import asof, classify, model, named, resolve, serving, upkeep
 from matchmill.plans.bridge import matches, read
 from matchmill.plans.queries import GRID, RATES, _m, _query
-from matchmill.plans.records import REVIEWS, R, X, line_facts, reviewed
+from matchmill.plans.records import REVIEWS, R, X, reviewed
 from matchmill.sources import nested
 from matchmill.sources.settled import settled
 
@@ -125,14 +125,11 @@ FROM q LEFT JOIN n ON n.match_id = q.match_id""",
 def legs(m: DataFrame, within: int = 160) -> DataFrame:
     """(match_id, leg_id, leg_score, leg_gap): for each match to come or under way the last one of its two teams that is over,
     from the table of played matches, with the score as the present home side saw it."""
-    pair = {"a": F.least("home_team_id", "away_team_id"), "b": F.greatest("home_team_id", "away_team_id")}
-    rows = m.withColumns(pair)
-    open_ = rows.filter("status <> 'FT'").select("match_id", "home_team_id", "a", "b", F.col("match_date").cast("timestamp").alias("at"))
-    played = rows.filter("status = 'FT' AND home_goals IS NOT NULL").select("a", "b", F.col("match_date").cast("timestamp").alias("ts"), F.col("match_id").alias("leg_id"), F.col("home_team_id").alias("host"), "home_goals", "away_goals")
-    x = asof.nearest_reading(open_, "at", played, "ts", ["a", "b"], within * 86400, "before", tie="leg_id", block=365 * 86400).filter("reading IS NOT NULL")
-    same = F.col("reading.host") == F.col("home_team_id")
-    own = F.when(same, F.concat_ws("-", "reading.home_goals", "reading.away_goals")).otherwise(F.concat_ws("-", "reading.away_goals", "reading.home_goals"))
-    return x.select("match_id", "reading.leg_id", own.alias("leg_score"), (-F.col("reading.gap") / 86400).cast("long").alias("leg_gap"))
+    rows = resolve.by_pair(m, "home_team_id", "home_goals", "away_goals")
+    leg = F.struct(F.col("match_date").alias("day"), F.col("match_id").alias("leg_id"), F.col("home_team_id").alias("host"), "home_goals", "away_goals")
+    x = resolve.with_last_leg(rows, leg).filter("asks").withColumn("leg_gap", F.datediff("match_date", "leg.day").cast("long")).filter(F.col("leg_gap") <= within)
+    own = F.when(F.col("leg.host") == F.col("home_team_id"), F.concat_ws("-", "leg.home_goals", "leg.away_goals")).otherwise(F.concat_ws("-", "leg.away_goals", "leg.home_goals"))
+    return x.select("match_id", "leg.leg_id", own.alias("leg_score"), "leg_gap")
 
 
 _query(
@@ -190,20 +187,14 @@ _query(
 # --- head-to-head from several sources
 
 
-def head_to_head(spark: SparkSession, d: str) -> DataFrame:
+def head_to_head(spark: SparkSession, d: str, within: int = 160) -> DataFrame:
     """Matches to come or under way with their meetings: the feed's are those with four lines or more, the previous leg is
-    that of `legs`, and the history has all that were played."""
-    m = matches(spark, d)
-    rows = m.withColumns({"a": F.least("home_team_id", "away_team_id"), "b": F.greatest("home_team_id", "away_team_id")}).join(line_facts(spark, d).select("match_id", "n_lines"), "match_id", "left")
+    that of `legs` on an earlier day, and the history has all that were played."""
+    rows = resolve.by_pair(matches(spark, d, lines=True), "home_team_id", "away_team_id", "home_goals", "away_goals", "n_lines")
     one = resolve.meeting(*(F.col(c) for c in ("match_date", "home_team_id", "away_team_id", "home_goals", "away_goals")))
-    played = rows.filter("status = 'FT' AND home_goals IS NOT NULL").select("a", "b", "match_date", "match_id", "n_lines", one.alias("meeting"))
-    asked = rows.filter("status <> 'FT'").select("match_id", "a", "b", "match_date", "home_team_id", "away_team_id")
-    x = resolve.last_meetings(asked, played.filter("n_lines >= 4").drop("n_lines"), resolve.FEED, "feed")
-    x = resolve.last_meetings(x, played.drop("n_lines"), resolve.HISTORY, "history")
-    before = m.select(F.col("match_id").alias("leg_id"), F.col("match_date").alias("leg_day"), F.col("home_team_id").alias("host"), F.col("away_team_id").alias("guest"), F.concat_ws("-", "home_goals", "away_goals").alias("score"))
-    leg = legs(m).filter("leg_gap > 0").select("match_id", "leg_id").join(before, "leg_id")
-    leg = leg.select("match_id", F.struct(F.col("leg_day").alias("day"), F.col("host").alias("home"), F.col("guest").alias("away"), "score", F.lit(None).cast("long").alias("winner")).alias("leg"))
-    return resolve.resolved(x.join(leg, "match_id", "left"))
+    x = resolve.with_last_leg(rows, one.withField("winner", F.lit(None).cast("long")))
+    x = resolve.with_last(x, one, {"feed": (F.col("n_lines") >= 4, resolve.FEED), "history": (F.lit(True), resolve.HISTORY)})
+    return resolve.resolved(x.withColumn("leg", F.when(F.datediff("match_date", "leg.day").between(1, within), F.col("leg"))))
 
 
 _PAIRED = "least(home_team_id, away_team_id) AS a, greatest(home_team_id, away_team_id) AS b"

@@ -1,10 +1,14 @@
 """Head-to-head from the feed, the previous leg and the history, by hand."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchmill.operators import resolve
+from matchmill.plans import upkeep  # noqa: F401  (it registers its queries)
+from matchmill.plans.queries import QUERIES
 
 DAY = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
 
@@ -51,3 +55,34 @@ def test_last_meetings(spark):
     asked = spark.createDataFrame([(1, 2, DAY(5), 500), (1, 2, DAY(0), 501), (1, 2, DAY(90), 502), (3, 4, DAY(1), 503), (5, 6, DAY(1), 504)], "a int, b int, match_date date, match_id int")
     got = {r["match_id"]: [m["score"] for m in r["x"]] for r in resolve.last_meetings(asked, played, 3, "x").collect()}
     assert got == {500: ["7", "8", "9"], 501: [], 502: ["17", "18", "19"], 503: ["99"], 504: []}
+
+
+def test_one_pass_by_pair(spark):
+    """Lists and the last leg of a pair with more rows than a window keeps at hand, of small ones, and of matches without a
+    day or a score, against plain Python."""
+    r = random.Random(8)
+    teams = lambda hot: r.choice([(1, 2), (2, 1)] if hot else [(3, 4), (4, 3), (5, 6), (7, 8)])
+    day = lambda: None if r.random() < 0.02 else DAY(r.randrange(1500))
+    rows = [(i, day(), *teams(i < 6000), r.choice(["FT", "FT", "NS", "LIVE"]), *r.choice([(1, 0), (2, 2), (0, 3), (None, None)]), r.randrange(8)) for i in range(6300)]
+    m = spark.createDataFrame(rows, "match_id long, match_date date, home_team_id long, away_team_id long, status string, home_goals long, away_goals long, n_lines long").repartition(5)
+    x = resolve.with_last_leg(resolve.by_pair(m, "home_team_id", "home_goals", "away_goals", "n_lines"), F.col("match_id"))
+    got = resolve.with_last(x, F.col("match_id"), {"feed": (F.col("n_lines") >= 4, 8), "history": (F.lit(True), 5)}).collect()
+    pairs = {}
+    for i, d, h, a, status, goals, _, n in rows:
+        if status == "FT" and goals is not None and d:
+            pairs.setdefault(frozenset((h, a)), []).append((d, i, n))
+    want = {}
+    for i, d, h, a, status, _, _, _ in rows:
+        if status != "FT":
+            met = sorted(p for p in pairs.get(frozenset((h, a)), []) if d and p[0] < d)
+            legs = [(p[0], -p[1]) for p in pairs.get(frozenset((h, a)), []) if d and p[0] <= d]
+            want[i] = ([p[1] for p in met if p[2] >= 4][-8:], [p[1] for p in met][-5:], -max(legs)[1] if legs else None)
+    assert {g["match_id"]: (g["feed"], g["history"], g["leg"]) for g in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["q_head_to_head", "q_previous_leg_played"])
+def test_meetings_read_each_table_once(spark, name):
+    """Orders, customers, nations, regions and lines are read once each, whatever is found for a match, and a pair's rows are
+    brought together once."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 5 and plan.count("RepartitionByExpression") == 1
