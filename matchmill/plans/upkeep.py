@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchmill.operators import asof, classify, model, named, resolve, serving, upkeep
@@ -10,7 +10,6 @@ from matchmill.plans.bridge import matches, read
 from matchmill.plans.queries import GRID, RATES, _m, _query
 from matchmill.plans.records import REVIEWS, R, X, reviewed
 from matchmill.sources import nested
-from matchmill.sources.settled import settled
 
 # --- caches and predictions as the store keeps them
 
@@ -143,19 +142,23 @@ FROM p o ASOF JOIN d ON d.a = o.a AND d.b = o.b AND d.match_date <= o.match_date
 # --- prices in nested documents
 
 
-def price_documents(spark: SparkSession, d: str) -> DataFrame:
-    """(match_id, document): a match's lines as a feed would nest them, five levels deep, under differing names."""
-    n = F.col("l_linenumber")
+def _price_node(x: Column) -> Column:
+    """A line of a match as a node of a feed."""
+    n = x["l_linenumber"]
     one = lambda name, c, i: F.when(n % 3 == i, c).alias(name)
-    home, draw, away = F.lit(1) + F.col("l_quantity") / 10, F.lit(1) + (F.col("l_partkey") % 50) / F.lit(10.0), F.lit(1) + (F.col("l_orderkey") % 40) / F.lit(10.0)
-    book = F.concat(F.lit("Book "), (F.col("l_suppkey") % 8).cast("string"))
-    node = F.struct(
+    home, draw, away = F.lit(1) + x["l_quantity"] / 10, F.lit(1) + (x["l_partkey"] % 50) / F.lit(10.0), F.lit(1) + (F.col("match_id") % 40) / F.lit(10.0)
+    book = F.concat(F.lit("Book "), (x["l_suppkey"] % 8).cast("string"))
+    return F.struct(
         F.when(n % 2 == 0, F.struct(book.alias("name"))).alias("bookmaker"), F.when(n % 2 == 1, book).alias("provider"),
         one("home", home, 0), one("homeOdds", home.cast("string"), 1), F.when(n % 3 == 2, F.struct(home.alias("value"))).alias("choice1"), one("drawOdds", draw, 0), one("draw", draw, 1), one("drawValue", draw, 2), away.alias("away"),
     )
-    line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", node.alias("node"))
+
+
+def price_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(match_id, document): a match's lines as a feed would nest them, five levels deep, under differing names."""
+    line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
     per = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    groups = F.transform("lines", lambda x: F.struct(F.array(x["node"]).alias("choices")))
+    groups = F.transform("lines", lambda x: F.struct(F.array(_price_node(x)).alias("choices")))
     return per.select("match_id", F.to_json(F.struct(F.struct(F.struct(groups.alias("groups")).alias("fullTime")).alias("markets"))).alias("document"))
 
 
@@ -169,7 +172,7 @@ p AS (SELECT match_id, bookmaker, {R('1 / h / s', 4)} AS h, {R('1 / d / s', 4)}
 e AS (SELECT match_id, lower(bookmaker) AS book, bookmaker, {X('h - a')} AS diff, {X('greatest(h, d, a) * 0.9::DOUBLE')} AS strength, CASE WHEN h >= a AND h >= d THEN 'home' WHEN a >= d THEN 'away' ELSE 'neutral' END AS lean FROM p)
 SELECT *, {X("avg((lean <> 'neutral')::INT) OVER (PARTITION BY match_id)")} AS agreement FROM e""",
     bridge=False,
-)(lambda spark, d: nested.book_signals(nested.price_nodes(settled(price_documents(spark, d), "price-documents"), "document", "match_id")).withColumnRenamed("id", "match_id"))
+)(lambda spark, d: nested.book_signals(nested.price_nodes(price_documents(spark, d), "document", "match_id")).withColumnRenamed("id", "match_id"))
 
 # --- names in their order
 

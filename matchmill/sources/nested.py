@@ -1,11 +1,19 @@
-"""Prices in JSON documents of unknown nesting, opened level by level in the JVM."""
+"""Prices in JSON documents of unknown nesting, found in one walk through each document."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from matchmill.functions.semantics import falsy_or, normalize_name, to_fixed
+from matchmill.functions.semantics import normalize_name, to_fixed
 from matchmill.operators.model import normalize_odds
 
 #: Under which names a node holds its prices and its bookmaker, and what a node without one is called.
@@ -16,6 +24,9 @@ PRICES = {
 }
 BOOKMAKER, NO_BOOKMAKER = ("bookmaker.name", "bookmakerName", "provider", "name", "marketName"), "Sofascore"
 LEAST_PRICE, MOST_BOOKS = 1.01, 8
+NUMBER = re.compile(r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*", re.ASCII)
+HOLDERS = (dict, list)
+_BOOKMAKER, *_PRICES = ([tuple(n.partition(".")[::2]) for n in names] for names in (BOOKMAKER, *PRICES.values()))
 
 
 def brackets(json: Column) -> Column:
@@ -30,60 +41,86 @@ def nesting(json: Column) -> Column:
     return F.aggregate(F.split(brackets(json), ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper, lambda x: x["most"])
 
 
-def nodes(docs: DataFrame, json: str, id: str, depth: int | None = None) -> DataFrame:
-    """(id, place, node): every object of each document as a variant, with its place: the positions of its ancestors among
-    their siblings, so that places sort as the document is read. A document that can't be parsed has none.
-
-    Each step opens all objects and arrays of one level. Values are variants, so that numbers and text stay apart; the text
-    beside them gives the order of keys, which variants don't keep. What a value is shows by whether it can be read as a map
-    or an array, as its whole schema would cost more than all else. Without `depth` the deepest document is measured first,
-    over the distinct orders of brackets."""
-    rows = docs.select(F.col(id).alias("id"), F.col(json).alias("raw"), F.try_parse_json(json).alias("node")).filter("node IS NOT NULL")
-    if depth is None:
-        kinds = rows.groupBy(brackets(F.col("raw")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-        depth = kinds.agg(F.max(nesting(F.col("kind"))), F.sum("n")).first()[0] or 0  # by the sum the groups are kept
-    as_map = F.try_variant_get("node", "$", "map<string,variant>")
-    rows = rows.withColumns({"place": F.expr("cast(array() as array<int>)"), "object": F.lit(False), "open": F.lit(True)})
-    for _ in range(depth):
-        starts = lambda c: F.col("open") & F.startswith(F.ltrim("raw"), F.lit(c))
-        rows = rows.withColumns({
-            "names": F.when(starts("{"), F.map_entries(F.from_json("raw", "map<string,string>"))), "named": F.when(starts("{"), as_map),
-            "texts": F.when(starts("["), F.from_json("raw", "array<string>")), "items": F.when(starts("["), F.try_variant_get("node", "$", "array<variant>")),
-        })
-        child = lambda raw, node, i: F.struct(raw.alias("raw"), node.alias("node"), F.concat("place", F.array(i.cast("int"))).alias("place"), F.lit(False).alias("object"), F.lit(True).alias("open"))
-        inside = lambda x: x["raw"].substr(1, 1).isin("{", "[")  # noqa: E731  (text may look so too, and can't be read as a map)
-        of_object = F.transform(F.filter(F.transform("names", lambda e, i: F.struct(e["value"].alias("raw"), e["key"].alias("key"), i.alias("i"))), inside), lambda e: child(e["raw"], F.element_at("named", e["key"]), e["i"]))
-        of_array = F.transform(F.filter(F.transform("texts", lambda t, i: F.struct(t.alias("raw"), i.alias("i"))), inside), lambda e: child(e["raw"], F.get("items", e["i"]), e["i"]))
-        none = F.expr("cast(array() as array<struct<raw:string,node:variant,place:array<int>,object:boolean,open:boolean>>)")
-        found = F.col("named").isNotNull()
-        itself = F.when(found | ~F.col("open"), F.array(F.struct(F.lit(None).cast("string").alias("raw"), "node", "place", F.lit(True).alias("object"), F.lit(False).alias("open")))).otherwise(none)
-        inner = F.when(found, of_object).when(F.col("items").isNotNull(), of_array).otherwise(none)
-        rows = rows.select("id", F.explode(F.concat(itself, inner)).alias("x")).select("id", "x.*")
-    return rows.filter(F.col("object") | as_map.isNotNull()).select("id", "place", "node")
-
-
-def _first(names: tuple[str, ...]) -> Column:
-    """The first of a node's fields that isn't null, false, zero or empty, as text; each field is read once."""
-    fields = F.array(*(F.try_variant_get("node", f"$.{n}", "string") for n in names))
-    return F.get(F.filter(fields, lambda x: falsy_or(x, F.lit(None).cast("string")).isNotNull()), F.lit(0))
-
-
-def price_nodes(docs: DataFrame, json: str, id: str, depth: int | None = None) -> DataFrame:
-    """(id, place, bookmaker, home, draw, away): the nodes that hold three prices above the least one."""
-    one = lambda x: F.when(x.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.trim(x)).cast("double")
-    number = lambda c: F.get(F.transform(F.array(c), one), F.lit(0))  # noqa: E731  (c is worked out once)
-    out = nodes(docs, json, id, depth).select("id", "place", F.coalesce(_first(BOOKMAKER), F.lit(NO_BOOKMAKER)).alias("bookmaker"), *(number(_first(names)).alias(n) for n, names in PRICES.items()))
-    return out.filter(" AND ".join(f"{n} > {LEAST_PRICE}" for n in PRICES))
+def _first(node: dict, names: list[tuple[str, str]]) -> Any:
+    """The first of a node's fields that isn't missing, null, false, zero or empty; objects and arrays count, even empty ones."""
+    for name, inner in names:
+        if name in node:
+            x = node[name]
+            if inner:
+                x = x.get(inner) if isinstance(x, dict) else None
+            if x or isinstance(x, HOLDERS):
+                return x
+    return None
+
+
+def _number(x: Any) -> float:
+    if isinstance(x, str):
+        return float(x) if NUMBER.fullmatch(x) else 0.0
+    return x if isinstance(x, float) else 0.0
+
+
+def _walked(document: str | None) -> Iterator[tuple[list[int], str, float, float, float]]:
+    """(place, bookmaker, home, draw, away) of a document's priced nodes as they are read. Nodes wait on a stack, so no depth is
+    too much for the walk; a document that can't be parsed has none."""
+    try:
+        whole = json.loads(document or "null", parse_int=float, parse_constant=_refused)
+    except (ValueError, RecursionError):
+        return
+    waiting = [([], whole)] if isinstance(whole, HOLDERS) else []
+    while waiting:
+        place, node = waiting.pop()
+        inner = node
+        if isinstance(node, dict):
+            inner = node.values()
+            prices = []
+            for names in _PRICES:
+                if (price := _number(_first(node, names))) <= LEAST_PRICE:
+                    break
+                prices.append(price)
+            else:
+                name = _first(node, _BOOKMAKER)
+                yield place, _text(NO_BOOKMAKER if name is None else name), *prices
+        waiting += [([*place, i], x) for i, x in enumerate(inner) if isinstance(x, HOLDERS)][::-1]
+
+
+def _text(x: Any) -> str:
+    """A value as text; what stands for half a character becomes a question mark, as no table holds it."""
+    return (x if isinstance(x, str) else json.dumps(x, ensure_ascii=False).removesuffix(".0")).encode("utf-8", "replace").decode()
+
+
+def _refused(name: str) -> float:
+    raise ValueError(f"{name} is no JSON")
+
+
+def price_nodes(docs: DataFrame, json: str, id: str) -> DataFrame:
+    """(id, place, bookmaker, home, draw, away): the nodes that hold three prices above the least one, with their places: the
+    positions of their ancestors among their siblings, so that places sort as the document is read.
+
+    A document is read once and its containers are visited in their order; nothing of it moves between tasks but what is
+    found. (Variants don't keep the order of keys; opening them level by level read the text anew at each level.)"""
+    rows = docs.select(F.col(id).alias("id"), F.col(json).alias("document"))
+    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("place array<int>, bookmaker string, home double, draw double, away double")])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *x) for i, d in enumerate(batch.column(1).to_pylist()) for x in _walked(d)]
+            at, *columns = zip(*found) if found else [()] * 6
+            own = batch.column(0).take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:]))], arrow.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def book_signals(prices: DataFrame) -> DataFrame:
     """(id, book, bookmaker, diff, strength, lean, agreement): of each document the first node of each bookmaker, the first
     bookmakers in reading order, and what their prices lean to."""
-    first = prices.withColumn("book", normalize_name(F.col("bookmaker"))).filter("book <> ''").groupBy("id", "book").agg(F.min(F.struct("place", "bookmaker", "home", "draw", "away")).alias("x"))
-    order = Window.partitionBy("id").orderBy("x.place")
-    first = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MOST_BOOKS)
-    h, d, a = normalize_odds(F.col("x.home"), F.col("x.draw"), F.col("x.away"))
-    shares = first.select("id", "book", "x.bookmaker", h.alias("h"), d.alias("d"), a.alias("a"))
+    rows = prices.withColumn("book", normalize_name(F.col("bookmaker"))).filter("book <> ''").repartition("id")
+    order = Window.partitionBy("id").orderBy("place")
+    again = F.row_number().over(Window.partitionBy("id", "book").orderBy("place"))
+    first = rows.withColumn("n", again).filter("n = 1").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MOST_BOOKS)
+    h, d, a = normalize_odds(F.col("home"), F.col("draw"), F.col("away"))
+    shares = first.select("id", "book", "bookmaker", h.alias("h"), d.alias("d"), a.alias("a"))
     lean = F.when((F.col("h") >= F.col("a")) & (F.col("h") >= F.col("d")), "home").when(F.col("a") >= F.col("d"), "away").otherwise("neutral")
     out = shares.select("id", "book", "bookmaker", to_fixed(F.col("h") - F.col("a"), 2).alias("diff"), to_fixed(F.greatest("h", "d", "a") * 0.9, 2).alias("strength"), lean.alias("lean"))
     leaning = F.avg(F.when(F.col("lean") == "neutral", 0.0).otherwise(1.0)).over(Window.partitionBy("id"))

@@ -77,3 +77,17 @@ def test_brackets_in_text(spark):
     rows = spark.createDataFrame([(1, json.dumps(doc))], "id long, j string")
     assert [tuple(r) for r in nested.price_nodes(rows, "j", "id").select("id", "bookmaker", "home").collect()] == [(1, "B", 2.0)]
     assert rows.select(nested.nesting(F.col("j"))).first()[0] == 3
+
+
+def test_odd_documents(spark):
+    """Fields count as a feed's reader takes them: text that spells zero or false is a value, a repeated key has its last one, an
+    object or array is no price but holds the place of one; a deep document is walked to its end."""
+    price = {"draw": 3, "away": 4, "name": "B"}
+    deep = 1500
+    docs = [
+        json.dumps({"home": "0", "homeOdds": 2, **price}), json.dumps({"home": 0, "homeOdds": 2, **price}), '{"home": 1, "home": 2, "draw": 3, "away": 4, "name": 5}', json.dumps({"home": {}, "homeOdds": 2, **price}),
+        "[" * deep + json.dumps({"home": " 2.0 ", **price}) + "]" * deep, '{"home": 2, "draw": 3, "away": 4, "name": "\\ud800"}', '{"home": NaN, "homeOdds": 2, "draw": 3, "away": 4}', '{"home": ' + "9" * 5000 + ', "draw": 3, "away": 4, "name": true}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id long, j string")
+    got = sorted((r["id"], len(r["place"]), r["bookmaker"], r["home"]) for r in nested.price_nodes(rows, "j", "id").collect())
+    assert got == [(1, 0, "B", 2.0), (2, 0, "5", 2.0), (4, deep, "B", 2.0), (5, 0, "?", 2.0), (7, 0, "true", float("inf"))]
