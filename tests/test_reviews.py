@@ -1,5 +1,7 @@
 """Reviews, learning, reliability, phases, zones and checks against hand-computed rows."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from matchmill.operators import classify, evaluate, model, monitor
@@ -97,3 +99,25 @@ def test_forecast_reads_written_tables(spark):
     x = forecast.assembled(spark, "/root/testdata/sf0.001")
     assert not [f for f in x.inputFiles() if "lineitem" in f or "orders" in f]
     assert x._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 8
+
+
+def test_forecast_moves_records_narrow(spark):
+    """Of what is looked up for a match only the home side's row goes through a shuffle with it: the away side's is joined last."""
+    x = forecast.assembled(spark, "/root/testdata/sf0.001")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = forecast.forecast(x)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "home_books" in plan and "Exchange hashpartitioning(match_id" not in plan
+
+
+def test_league_days(spark):
+    """A league without a name keeps what is known of the match's phase."""
+    cells = "match_id long, match_date date, label string, phase string, league string, reviewed boolean, outcome_hit boolean, exact_hit boolean, goal_error long"
+    k = spark.createDataFrame([(1, date(2024, 1, 1), "A", "cup", "a", True, True, False, 1), (2, date(2024, 1, 2), None, "cup", None, True, True, True, 0), (3, date(2024, 1, 2), "A", "league", "a", False, False, False, 0)], cells)
+    prices = spark.createDataFrame([(1, 3, 2)], "match_id long, n long, c long")
+    got = {r["of_league"]: r for r in forecast._league_days(k, prices).filter("of_match_date = '2024-01-02'").collect()}
+    assert len(got) == 2 and got[None]["league_reliability"] is None and got[None]["phase_reliability"] == 0.76 and got["a"]["phase_reliability"] is None
+    assert got["a"]["league_reliability"] == 0.76 and got["a"]["closing_coverage"] == 1.0
