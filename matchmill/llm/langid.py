@@ -14,8 +14,8 @@ each SAMPLE_CHARS characters from a hashed place; SAMPLE_TOTAL documents in all,
 
 A text is recognised from a score on that follows its length: LEAST_SHARE of the way from an even guess (one over the number
 of languages) to 1, or SPREADS standard deviations below the mean score of held-out texts of that length, if that is less.
-Lengths go by powers of two, and of each length PIECES pieces are cut from every held-out text, so the scores come from all of
-them; a language weighs as its held-out documents do, but at most as those that the sample would have of it. The scores of
+Lengths go by powers of two, and every held-out text is cut into pieces of each length, one after the other, so the scores come from
+every byte of all of them (the last piece ends with the text and may lie over the one before); a language weighs as its held-out documents do, but at most as those that the sample would have of it. The scores of
 short pieces are low and spread, so a short text is hardly ever rejected. Where fewer than LEAST_RIGHT of the held-out texts are labelled as they were
 given, or there is nothing to learn from or fewer than LEAST_CHECKED documents to check on, every text with a letter counts
 as recognised.
@@ -27,7 +27,9 @@ rows are labelled one by one, repeated ones alike; columns of the input that hav
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ SPAN, CONTEXT, ROWS = 448, 32, 1024
 LEAST_SHARE, LEAST_RIGHT, LEAST_CHECKED, PIECES, SPREADS = 0.1, 0.9, 20, 4, 4.0
 #: Powers of two of the lengths that held-out pieces have.
 LENGTHS = range(13)
+#: Bytes of pieces that are counted before they are scored.
+BLOCK = 1 << 21
 #: Scores are summed in whole parts, so the sums don't depend on the order of rows.
 UNITS = 1 << 30
 UNKNOWN = "und"
@@ -260,44 +264,67 @@ def label(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     return out.withColumns({"lang_pred": F.when(unknown, F.lit(UNKNOWN)).otherwise(F.col("lang_pred")), "score": F.when(unknown, F.lit(0.0)).otherwise(F.col("score"))})
 
 
-def _pieces(raw: bytes, size: int) -> list[str]:
-    """The pieces of that many bytes, from evenly spaced places, that hold a letter."""
-    places = sorted({(len(raw) - size) * i // PIECES for i in range(PIECES)}) if len(raw) >= size else ()
-    pieces = (raw[at : at + size].decode("utf-8", "ignore") for at in places)
-    return [x for x in pieces if any(c.isalpha() for c in x)]
+def _starts(length: int, size: int, pieces: int | None) -> Iterable[int]:
+    """Where the pieces of that many bytes begin: so many at evenly spaced places, or all that it takes to hold every byte."""
+    if length < size:
+        return ()
+    if pieces is None:
+        return chain(range(0, length - size, size), (length - size,))
+    return sorted({(length - size) * i // pieces for i in range(pieces)})
 
 
-def _checked(batches: Iterator[pa.RecordBatch], langs: list[str], p: dict) -> Iterator[pa.RecordBatch]:
+def _counted(given: Iterable[int], raws: list[bytes], size: int, pieces: int | None) -> Iterator[list[tuple[int, str, int]]]:
+    """(language, piece, how often) of pieces that hold a letter; equal pieces have equal scores, so a block has each once."""
+    counts, room = defaultdict(Counter), BLOCK
+    for k, raw in zip(given, raws):
+        for at in batched(_starts(len(raw), size, pieces), max(1, BLOCK // size)):
+            counts[k].update(raw[i : i + size] for i in at)
+            room -= len(at) * size
+            if room <= 0:
+                yield _lettered(counts)
+                counts, room = defaultdict(Counter), BLOCK
+    yield _lettered(counts)
+
+
+def _lettered(counts: dict[int, Counter]) -> list[tuple[int, str, int]]:
+    found = ((k, raw.decode("utf-8", "ignore"), n) for k, c in counts.items() for raw, n in c.items())
+    return [x for x in found if any(c.isalpha() for c in x[1])]
+
+
+def _checked(batches: Iterator[pa.RecordBatch], langs: list[str], p: dict, pieces: int | None) -> Iterator[pa.RecordBatch]:
     """Of batches (lang, text): sums (lang, power, n, s, q) of scores and their squares in units of 1 / UNITS, by the powers of
     two of LENGTHS; those of the power -1 are whole texts, and s has those labelled as they were given."""
     free()
-    sums = np.zeros((len(langs), len(LENGTHS) + 1, 3), np.int64)
     for batch in batches:
-        given = np.array([langs.index(k) for k in batch.column(0).to_pylist()], int)
+        sums = np.zeros((len(langs), len(LENGTHS) + 1, 3), np.int64)
+        given = [langs.index(k) for k in batch.column(0).to_pylist()]
         whole = batch.column(1).to_pylist()
         if not whole:
             continue
-        np.add.at(sums[:, -1], given, np.stack((np.ones(len(given), int), pool(p, batch.column(1)).argmax(1) == given, np.zeros(len(given), int)), 1))
+        of = np.array(given, int)
+        np.add.at(sums[:, -1], of, np.stack((np.ones(len(of), int), pool(p, batch.column(1)).argmax(1) == of, np.zeros(len(of), int)), 1))
         raws = [t.encode("utf-8", "replace") for t in whole]
         for i in LENGTHS:
-            cut = [_pieces(raw, 1 << i) for raw in raws]
-            score = pool(p, pa.array([x for c in cut for x in c], pa.string())).max(1)
-            units = [np.rint(x * UNITS).astype(np.int64) for x in (score, score**2)]
-            np.add.at(sums[:, i], np.repeat(given, [len(c) for c in cut]), np.stack((np.ones(len(score), np.int64), *units), 1))
-    rows = [(k, i if i < len(LENGTHS) else -1, *map(int, sums[j, i])) for j, k in enumerate(langs) for i in range(len(LENGTHS) + 1) if sums[j, i, 0]]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.int32(), *[pa.int64()] * 3))], ["lang", "power", "n", "s", "q"])
-
-
-def least_scores(docs: DataFrame, langs: list[str], p: dict) -> np.ndarray | None:
-    """From which score a text of 2 ** i bytes or more is recognised, for each i of LENGTHS, by all held-out documents; None if
-    scores decide nothing."""
+            for block in _counted(given, raws, 1 << i, pieces):
+                if block:
+                    of, texts, n = zip(*block)
+                    score, n = pool(p, pa.array(texts, pa.string())).max(1), np.array(n, np.int64)
+                    units = (np.rint(x * UNITS).astype(np.int64) for x in (score, score**2))
+                    np.add.at(sums[:, i], np.array(of), np.stack((n, *(n * u for u in units)), 1))
+        rows = [(k, i if i < len(LENGTHS) else -1, *map(int, sums[j, i])) for j, k in enumerate(langs) for i in range(len(LENGTHS) + 1) if sums[j, i, 0]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), *[pa.int64()] * 3))], ["lang", "power", "n", "s", "q"])
+
+
+def least_scores(docs: DataFrame, langs: list[str], p: dict, pieces: int | None = PIECES) -> np.ndarray | None:
+    """From which score a text of 2 ** i bytes or more is recognised, for each i of LENGTHS, by all held-out documents and so many
+    `pieces` of each length from each of them, or (None) all pieces, one after the other; None if scores decide nothing."""
     if len(langs) < 2:
         return None
     small_batches(docs.sparkSession)
     held = docs.filter(F.col("lang").isin(langs) & F.col("text").rlike(LETTER) & held_out(F.col("doc_id"))).select("lang", "text")
-    each = held.mapInArrow(lambda it: _checked(it, langs, p), "lang string, power int, n long, s long, q long")
-    sums = each.groupBy("lang", "power").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))).collect()  # a few rows per language
-    checked = {r["lang"]: r["n"] for r in sums if r["power"] < 0}
+    each = held.mapInArrow(lambda it: _checked(it, langs, p, pieces), "lang string, power int, n long, s long, q long")
+    sums = each.groupBy("lang", "power").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "s", "q"))).collect()  # a few rows per language
+    checked = {r["lang"]: int(r["n"]) for r in sums if r["power"] < 0}
     if sum(checked.values()) < LEAST_CHECKED:
         return None
     most = min(SAMPLE_DOCS, max(1, SAMPLE_TOTAL // len(checked)))
@@ -305,7 +332,7 @@ def least_scores(docs: DataFrame, langs: list[str], p: dict) -> np.ndarray | Non
 
     def weighed(power: int) -> np.ndarray:
         """Number, sum and sum of squares at that length, with each language's documents at their weight."""
-        return np.sum([[weight[r["lang"]] * r[c] for c in ("n", "s", "q")] for r in sorted(sums, key=lambda r: r["lang"]) if r["power"] == power] or [[0.0] * 3], 0)
+        return np.sum([[weight[r["lang"]] * int(r[c]) for c in ("n", "s", "q")] for r in sorted(sums, key=lambda r: r["lang"]) if r["power"] == power] or [[0.0] * 3], 0)
 
     n, right, _ = weighed(-1)
     if right / n < LEAST_RIGHT:
@@ -336,7 +363,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     letters = docs.filter(F.col("text").rlike(LETTER))
     langs, p = train(sample(docs))
-    if (least := least_scores(docs, langs, p)) is None:
+    if (least := least_scores(docs, langs, p, pieces=None)) is None:
         return letters
     text = docs.columns.index("text")
     return letters.mapInArrow(lambda it: _recognised(it, text, p, least), docs.schema)

@@ -456,3 +456,23 @@ def test_language_thresholds_from_all(spark, monkeypatch):
         w, score = np.array([x[0] for x in pieces]), langid.pool(p, pa.array([x[1] for x in pieces], pa.string())).max(1)
         mean = np.average(score, weights=w)
         assert abs(least[i] - (mean - langid.SPREADS * np.average((score - mean) ** 2, weights=w) ** 0.5)) < 1e-5, i
+
+
+def test_language_thresholds_from_whole_texts(spark, monkeypatch):
+    """The stage's least scores come from every byte of the held-out texts: what lies between a few places of a text counts."""
+    rows = [(i, "en" if i % 2 else "de", ("the river of the house and " if i % 2 else "der Fluss und das Haus ist ") * 3) for i in range(300)]
+    table = spark.createDataFrame([(i, k, t + "qzx wvk jjq " * 40 + t) for i, k, t in rows], "doc_id long, lang string, text string").repartition(3)
+    langs, p = langid.train([(k, t) for _, k, t in rows], steps=30)
+    for name, value in (("LEAST_RIGHT", 0.0), ("LEAST_SHARE", 9.0), ("BLOCK", 256)):
+        monkeypatch.setattr(langid, name, value)
+    seen = {}
+    real = langid.least_scores
+    monkeypatch.setattr(langid, "least_scores", lambda *a, **k: seen.setdefault("least", real(*a, **k)))
+    monkeypatch.setattr(langid, "train", lambda _: (langs, p))
+    langid.recognised(table)
+    held = [r["text"].encode() for r in table.filter(langid.held_out(table["doc_id"])).collect()]
+    for i in (3, 7):
+        n = 1 << i
+        cut = [raw[at : at + n].decode() for raw in held for at in [*range(0, len(raw) - n, n), len(raw) - n]]
+        score = langid.pool(p, pa.array([x for x in cut if any(c.isalpha() for c in x)], pa.string())).max(1)
+        assert abs(seen["least"][i] - (score.mean() - langid.SPREADS * score.std())) < 1e-5, i
